@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import WORD, materialise, table
 
 #: Rows of a source that one slice should hold at most, on average.
-SLICE_ROWS = 2_000
+SLICE_ROWS = 500
 
 
 def words(text: Column) -> Column:
