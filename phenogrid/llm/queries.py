@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import bpe, exact_dedup, mixing
+from phenogrid.llm import bpe, exact_dedup, html_text, mixing, pii, quality
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_nbsvm_quality": quality.op5_nbsvm_quality,
+    "op6_pii": pii.op6_pii,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
+    "op9_layout_text": html_text.op9_layout_text,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
