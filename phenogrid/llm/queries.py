@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import bpe, exact_dedup, html_text, lm, mixing, pii, quality
+from phenogrid.llm import ann, bpe, exact_dedup, html_text, lm, mixing, pii, quality
 
 QUERIES = {
+    "op1_learned_partitions": ann.op1_learned_partitions,
     "op2_log_bilinear": lm.op2_log_bilinear,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_nbsvm_quality": quality.op5_nbsvm_quality,
