@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, bpe, exact_dedup, html_text, lm, mixing, pii, quality
+from phenogrid.llm import ann, bpe, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_nbsvm_quality": quality.op5_nbsvm_quality,
     "op6_pii": pii.op6_pii,
+    "op7_dart_minhash": near_dedup.op7_dart_minhash,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op9_layout_text": html_text.op9_layout_text,
     "op10_byte_bpe": bpe.op10_byte_bpe,
