@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import SPACE, materialise, remove_table, table, task_count
+from phenogrid.llm.common import SPACE, col, free_name, materialise, table, task_count
 
 #: Entries of one digest range that a merge task should hold at the root.
 RANGE_ROWS = 50_000
@@ -93,12 +93,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Only the ids of the rows that go are joined back. Where ids repeat, the copies of a row are told apart by their text's digest
     and numbered, so that exactly one row of each group of equal texts stays."""
     found = exact_dedup(docs, id_col, text_col)
-    gone = found.groupBy(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.sum(F.col("kept").cast("int")).alias("_stay"), F.count("*").alias("_rows")).filter("_stay < _rows")
+    own, gone_id, gone_sha, stay = (free_name(docs, x) for x in ("_own", "_id", "_sha", "_stay"))
+    gone = found.groupBy(F.col("id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).agg(F.sum(F.col("kept").cast("int")).alias(stay), F.count("*").alias("_rows")).filter(F.col(stay) < F.col("_rows")).drop("_rows")
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    marked = docs.withColumn("_own", F.sha2(text, 256)).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    once = marked.filter("_stay is null").select(*docs.columns)
+    marked = docs.withColumn(own, F.sha2(text, 256)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha)), "left")
+    columns = [col(c) for c in docs.columns]
+    once = marked.filter(F.col(stay).isNull()).select(*columns)
     # rows that repeat in id and text and of which one stays: any of them, they can differ in other columns only
-    twice = marked.filter("_stay = 1").dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    twice = marked.filter(F.col(stay) == 1).dropDuplicates([id_col, own]).select(*columns)
     return once.unionByName(twice)
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WORD, materialise, table
+from phenogrid.llm.common import WORD, col, materialise, table
 
 #: Rows of a source that one slice should hold at most, on average.
 SLICE_ROWS = 500
@@ -58,7 +58,7 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: in
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("!")).alias("key"), words(F.col(text_col)).alias("size"),
         # the order within a source: a fixed hash of the id, then the id; what repeats in both is interchangeable
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order"),
-        F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).alias("carried"),
+        F.struct(*[col(c) for c in carry]).alias("carried") if carry else F.lit(None).alias("carried"),
     )
     sized = materialise(sized if carry else sized.drop("carried"), "sizes")
     slices = max(16, 1 << max(0, (sized.count() // SLICE_ROWS - 1).bit_length()))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, materialise, mix, powers, remove_table, rolling, table
+from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, free_name, materialise, mix, powers, remove_table, rolling, table
 from phenogrid.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -257,8 +257,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs but for those whose class has a smaller id; all columns unchanged."""
-    gone = classes(docs, id_col, text_col, **options).filter(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = classes(docs, id_col, text_col, **options).filter(F.col("id") != F.col("class_id")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

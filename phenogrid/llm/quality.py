@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from phenogrid.llm.common import crc_mod, hash64, table
+from phenogrid.llm.common import col, crc_mod, free_name, hash64, table
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 4_000
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id and score; with `carry` all columns of docs and `_score`."""
+    """id and score; with `carry` all columns of docs and the score under the name that `score_name` gives."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.weights, model.ratios, model.bias, model.slope, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,22 +208,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts = b.column(b.schema.get_field_index(text_name)).to_pylist()
             got = m.score(np.array([m.margin(features.of((x or "").encode())) for x in texts]))
             if carry:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, last])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["id", "score"])
 
     if carry:
-        text_name = text_col
-        schema = docs.schema.add("_score", "double")
-        return docs.mapInArrow(run, schema)
+        text_name, last = text_col, score_name(docs)
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(last, DoubleType())]))
     text_name = "text"
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, score double")
 
 
+def score_name(docs: DataFrame) -> str:
+    return free_name(docs, "_score")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, all columns unchanged."""
-    return score(docs, train(docs, labels), carry=True).filter(F.col("_score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, labels), carry=True).filter(F.col(score_name(docs)) >= threshold).select(*[col(c) for c in docs.columns])
 
 
 def op5_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

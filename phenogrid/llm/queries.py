@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, bpe, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality
+from phenogrid.llm import ann, bpe, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
     "op2_log_bilinear": lm.op2_log_bilinear,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_debruijn_repeats": substring_dedup.op4_debruijn_repeats,
     "op5_nbsvm_quality": quality.op5_nbsvm_quality,
     "op6_pii": pii.op6_pii,
     "op7_dart_minhash": near_dedup.op7_dart_minhash,
