@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from phenogrid.plans import q_clean, q_scale
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _part in (q_clean, q_scale):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
