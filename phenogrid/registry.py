@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from phenogrid.plans import q_clean, q_scale
+from phenogrid.plans import q_clean, q_eval, q_scale, q_time
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (q_clean, q_scale):
+for _part in (q_clean, q_scale, q_eval, q_time):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
