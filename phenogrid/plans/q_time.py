@@ -39,7 +39,6 @@ def _field(s, d):
 
 
 _FIELD = f"{TRACKS}, fld AS (SELECT event_id, track % 10 AS field, frame % 40 AS t, x, y FROM tracks), rk AS (SELECT *, dense_rank() OVER (PARTITION BY field ORDER BY t) AS f FROM fld)"
-_PARENT = "par AS (SELECT a.event_id, arg_min(b.event_id, (pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.event_id)) AS parent FROM rk a LEFT JOIN rk b ON a.field = b.field AND b.f = a.f - 1 GROUP BY a.event_id)"
 _PARENT = "par AS (SELECT event_id, parent FROM (SELECT a.event_id, b.event_id AS parent, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.event_id) AS rn FROM rk a LEFT JOIN rk b ON a.field = b.field AND b.f = a.f - 1) WHERE rn = 1)"
 QUERIES["track_nn_parents"] = lambda s, d: timeseries.nearest_parents(_field(s, d), "t", ["field"], "x", "y", "event_id")
 SQL["track_nn_parents"] = f"WITH {_FIELD}, {_PARENT} SELECT event_id, parent FROM par"
@@ -95,7 +94,7 @@ _MOT = {
                """SELECT a.track, "MSDalpha", "DisplacementAC_1", "DisplacementAC_4", "VelocityAC_1", "AvgTurnAngle" FROM
                (SELECT track, regr_slope(ln(m), ln(tau)) AS "MSDalpha" FROM (SELECT a.track, b.frame - a.frame AS tau, avg(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS m FROM dd a JOIN dd b ON a.track = b.track AND b.frame > a.frame GROUP BY ALL) GROUP BY track) a
                JOIN (SELECT track, sum((d - m) * (d1 - m)) / count(d1) / any_value(v) AS "DisplacementAC_1", sum((d - m) * (d4 - m)) / count(d4) / any_value(v) AS "DisplacementAC_4" FROM (SELECT track, d, lead(d) OVER w AS d1, lead(d, 4) OVER w AS d4, avg(d) OVER (PARTITION BY track) AS m, var_pop(d) OVER (PARTITION BY track) AS v FROM dd WINDOW w AS (PARTITION BY track ORDER BY frame)) GROUP BY track) b USING (track)
-               JOIN (SELECT track, avg(dx * ex + dy * ey) / avg(dx * dx + dy * dy) AS "VelocityAC_1", avg(acos(greatest(-1, least(1, (dx * ex + dy * ey) / nullif(d * e, 0))))) * 180 / pi() AS "AvgTurnAngle" FROM (SELECT *, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey, lead(d) OVER w AS e FROM dd WINDOW w AS (PARTITION BY track ORDER BY frame)) GROUP BY track) c USING (track)"""),
+               JOIN (SELECT track, avg(dx * ex + dy * ey) / avg(dx * dx + dy * dy) AS "VelocityAC_1", avg(CASE WHEN d * e > 0 THEN acos(greatest(-1, least(1, (dx * ex + dy * ey) / (d * e)))) END) * 180 / pi() AS "AvgTurnAngle" FROM (SELECT *, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey, lead(d) OVER w AS e FROM dd WINDOW w AS (PARTITION BY track ORDER BY frame)) GROUP BY track) c USING (track)"""),
 }
 for _k, (_cols, _sql) in _MOT.items():
     QUERIES[f"motility_{_k}"] = lambda s, d, c=_cols: rounded(motility.motility(tracks(s, d), "track", "frame", ["x", "y"]).select("track", *c), *c, digits=5)
