@@ -8,10 +8,10 @@ similarity. Only darts of rank up to (K ln K + 2 K) / total weight are thrown, s
 K ln K darts; a set that leaves a coordinate empty is thrown at again with twice the rank.
 
 Join. Documents with equal shingle sets are one node. BANDS bands of ROWS coordinates make buckets. Within a bucket nodes
-are paired with few leaders, never with all others; pairs are verified on the whole texts; verified links are contracted to
-components, and then every pair of nodes that share a bucket and are still in different components is verified too. So
-each pair that shares a bucket is either verified or known to be connected: no link is lost, and a group of thousands of
-near copies costs about one pair for each.
+are paired with one leader, the member that meets most others over all its buckets; pairs are verified on the whole texts,
+and verified links are contracted to components. Then, in each bucket that still holds several components, the nodes
+outside the largest are compared with all, in blocks of which only links come out. So each pair that shares a bucket is
+verified or known to be connected: no link is lost, and a group of thousands of near copies makes about one row for each.
 
 Shingles are of five words `[^\\x20\\x09-\\x0D]+`; a text of one to four words is one shingle. Weights are 1 (similarity of
 sets) or the number of times a shingle stands in the text.
@@ -190,6 +190,76 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("g").cogroup(hubs.groupBy("hub_g")).applyInArrow(judge, "a binary, b binary")
 
 
+#: Nodes of one bucket that a block holds on a side; rows that a group of blocks should hold.
+BLOCK, GROUP_ROWS = 1_024, 2_000
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by matrix products over the elements that both sides have."""
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    rows = [[x[np.isin(x, both, assume_unique=True)] for x in side] for side in (a, b)]
+    places = [[np.searchsorted(both, x) for x in side] for side in rows]
+    for at in range(0, len(both), columns):
+        m = []
+        for side in places:
+            one = np.zeros((len(side), min(columns, len(both) - at)), np.float32)
+            for i, x in enumerate(side):
+                x = x[(x >= at) & (x < at + columns)] - at
+                one[i, x] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
+
+
+def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of different label in one bucket (rows: bucket, node, label).
+
+    In each bucket the nodes outside the most frequent label meet all nodes. Both sides are cut into blocks; a pair of
+    blocks is compared by matrix products, and only pairs that are similar enough leave it."""
+    sizes = left.groupBy("bucket", "label").count()
+    big = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("big"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    big = big.select("bucket", "big", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("minor_parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = left.join(big, "bucket")
+    groups = max(1, -(-left.count() // GROUP_ROWS))
+    i, j = F.pmod(F.xxhash64("node"), F.col("minor_parts")).cast("int"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    minor = rows.filter(F.col("label") != F.col("big")).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = rows.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_parts") - 1)))
+
+    def dealt(frame: DataFrame, tag: str) -> DataFrame:
+        g = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).cast("int")
+        found = frame.select(g.alias(f"g{tag}"), "bucket", "i", "j", "node", "label").join(texts, "node")
+        return found.select(f"g{tag}", *[F.col(c).alias(f"{c}{tag}") for c in ("bucket", "i", "j", "node", "label", "text")])
+
+    def judge(one: pa.Table, two: pa.Table) -> pa.Table:
+        hashes, sets = WordHashes(), {}
+
+        def blocks(side: pa.Table) -> dict[tuple, list[tuple[bytes, bytes]]]:
+            cols = [side.column(c).to_pylist() for c in range(1, 7)]
+            out: dict[tuple, list[tuple[bytes, bytes]]] = {}
+            for bucket, i, j, node, label, text in zip(*cols, strict=True):
+                if node not in sets:
+                    sets[node] = np.unique(shingles([(text or "").encode()], hashes)[0])
+                out.setdefault((bucket, i, j), []).append((node, label))
+            return out
+
+        a, b, found = blocks(one), blocks(two), set()
+        for key, small in a.items():
+            large = b.get(key)
+            if not large:
+                continue
+            x, y = [sets[n] for n, _ in small], [sets[n] for n, _ in large]
+            common = common_counts(x, y)
+            total = np.array([len(v) for v in x], np.float32)[:, None] + np.array([len(v) for v in y], np.float32)[None] - common
+            for p, q in zip(*np.nonzero(common >= threshold * total.astype(float) - 1e-9), strict=True):
+                if small[p][1] != large[q][1]:
+                    found.add((min(small[p][0], large[q][0]), max(small[p][0], large[q][0])))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    return dealt(minor, "1").groupBy("g1").cogroup(dealt(every, "2").groupBy("g2")).applyInArrow(judge, "a binary, b binary")
+
+
 def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, text of the nodes (node, id). The one join with the texts of all documents. Where an id repeats, the text that has the node's set."""
 
@@ -210,35 +280,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     nodes = rows.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2"), F.max_by("node", F.xxhash64("node")).alias("l3")).filter("n > 1")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     member = materialise(dealt.join(shared, "bucket"), "members")
-    texts = materialise(candidate_texts(docs, member.select("node").distinct().join(nodes.select("node", "id"), "node"), id_col, text_col), "texts")
-
-    def pairs_of(frame: DataFrame, a: str, b: str) -> DataFrame:
-        return frame.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    links = materialise(verify(materialise(pairs_of(member, "l1", "node"), "stars1"), texts, threshold), "links1")
-    label = components(links)
-
-    def labelled(frame: DataFrame) -> DataFrame:
-        return frame.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def open_buckets(frame: DataFrame) -> DataFrame:
-        """Rows of the buckets that still hold more than one component."""
-        mixed = frame.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-        return frame.join(mixed, "bucket")
-
-    # two more leaders for what the first did not connect
-    left = open_buckets(labelled(member))
-    lead = label.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-    more = left.select("node", "label", F.explode(F.array("l2", "l3")).alias("leader")).distinct().join(lead, "leader", "left").filter(F.col("label") != F.coalesce("leader_label", "leader"))
-    links = materialise(links.unionByName(verify(materialise(pairs_of(more, "node", "leader"), "stars2"), texts, threshold)), "links2")
+    # a bucket's leader is the member that meets the most others in all its buckets: of a group of near copies, the one nearest to all
+    met = member.groupBy("node").agg(F.sum("n").alias("met"))
+    texts = materialise(candidate_texts(docs, met.join(nodes.select("node", "id"), "node").select("node", "id"), id_col, text_col), "texts")
+    led = member.join(met, "node")
+    lead = led.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    stars = led.join(lead, "bucket").filter(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialise(verify(materialise(stars, "stars"), texts, threshold), "links1")
     label = components(links)
-    # what still lies in different components of one bucket is compared outright
-    left = materialise(open_buckets(labelled(member)).select("bucket", "node", "label"), "open")
-    other = left.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    rest = left.join(other, "bucket").filter(F.col("label") < F.col("other_label"))
-    links = materialise(links.unionByName(verify(materialise(pairs_of(rest, "node", "other").join(links, ["a", "b"], "left_anti"), "rest"), texts, threshold)), "links3")
+    # what still lies in different components of one bucket is compared outright, inside blocks: only links come out
+    left = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
+    left = materialise(left.join(mixed, "bucket").select("bucket", "node", "label"), "open")
+    links = materialise(links.unionByName(compare_blocks(left, texts, threshold)), "links2")
     label = components(links)
     for done in (member, texts):
         remove_table(done)
