@@ -108,7 +108,7 @@ def _corr(src: str, strength: str, pairs: bool) -> str:
     if pairs:
         return f"WITH {src}, p AS ({p}) SELECT i, j, {r6('r')} AS r FROM p"
     names = "[" + ", ".join(f"'{f}'" for f in _CF) + "]"
-    return f"WITH {src}, p AS ({p}), k AS (SELECT unnest(range(5)) AS at) SELECT list_extract({names}, at + 1) AS feature, {r6(f'max({strength}) FILTER (WHERE j = at)')} AS worst, coalesce(max({strength}) FILTER (WHERE j = at), -1) <= 0.9 AS keep FROM k, p GROUP BY at"
+    return f"WITH {src}, p AS ({p}), k AS (SELECT unnest(range(5)) AS pos) SELECT list_extract({names}, pos + 1) AS feature, {r6(f'max({strength}) FILTER (WHERE j = pos)')} AS worst, coalesce(max({strength}) FILTER (WHERE j = pos), -1) <= 0.9 AS keep FROM k, p GROUP BY pos"
 
 
 _PLAIN = f"{_MIX}, src AS (SELECT * FROM mixed)"
