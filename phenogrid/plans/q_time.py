@@ -40,10 +40,10 @@ def _field(s, d):
 
 _FIELD = f"{TRACKS}, fld AS (SELECT event_id, track % 10 AS field, frame % 40 AS t, x, y FROM tracks), rk AS (SELECT *, dense_rank() OVER (PARTITION BY field ORDER BY t) AS f FROM fld)"
 _PARENT = "par AS (SELECT event_id, parent FROM (SELECT a.event_id, b.event_id AS parent, row_number() OVER (PARTITION BY a.event_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.event_id) AS rn FROM rk a LEFT JOIN rk b ON a.field = b.field AND b.f = a.f - 1) WHERE rn = 1)"
-QUERIES["track_nn_parents"] = lambda s, d: timeseries.nearest_parents(_field(s, d), "t", ["field"], "x", "y", "event_id")
-SQL["track_nn_parents"] = f"WITH {_FIELD}, {_PARENT} SELECT event_id, parent FROM par"
-QUERIES["track_nn"] = lambda s, d: timeseries.track_nn(_field(s, d), "t", ["field"], "x", "y", "event_id")
-SQL["track_nn"] = f"WITH RECURSIVE {_FIELD}, {_PARENT}, up AS (SELECT event_id, parent, event_id AS tree FROM par WHERE parent IS NULL UNION ALL SELECT p.event_id, p.parent, u.tree FROM par p JOIN up u ON p.parent = u.event_id) SELECT event_id, parent, tree FROM up"
+QUERIES["track_nn_parents"] = lambda s, d: timeseries.nearest_parents(_field(s, d), "t", ["field"], "x", "y", "event_id").fillna(-1, ["parent"])
+SQL["track_nn_parents"] = f"WITH {_FIELD}, {_PARENT} SELECT event_id, coalesce(parent, -1) AS parent FROM par"
+QUERIES["track_nn"] = lambda s, d: timeseries.track_nn(_field(s, d), "t", ["field"], "x", "y", "event_id").fillna(-1, ["parent"])
+SQL["track_nn"] = f"WITH RECURSIVE {_FIELD}, {_PARENT}, up AS (SELECT event_id, parent, event_id AS tree FROM par WHERE parent IS NULL UNION ALL SELECT p.event_id, p.parent, u.tree FROM par p JOIN up u ON p.parent = u.event_id) SELECT event_id, coalesce(parent, -1) AS parent, tree FROM up"
 QUERIES["lineage_edges"] = lambda s, d: timeseries.lineage_edges(_families(s, d), "track", "parent", "frame")
 SQL["lineage_edges"] = f"WITH {TRACKS}, p AS (SELECT track, min(frame) AS st, max(frame) AS en, track % 12 + track // 24 * 12 AS par FROM tracks GROUP BY ALL) SELECT b.track AS parent, a.track AS child, b.en AS parent_end, a.st AS child_start FROM p a JOIN p b ON a.par = b.track WHERE a.par <> a.track"
 
