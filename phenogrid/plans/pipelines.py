@@ -36,7 +36,7 @@ def plate_profiles(p: Profile, by: Sequence[str], well: str, pop_var: str, contr
     return replace(p, df=group.aggregate(df, [*by, well], p.features, "median", count=True, min_cells=min_cells, row_id=p.row_id), row_id=well)
 
 
-def cmore(p: Profile, by: Sequence[str], well: str, treat: str, dose: str, area: str, nucleus: str, dna: str, dna_total: str, control: object = "ctrl", min_cells: int = 200, k: int | str = "estimate") -> Profile:
+def profile_recipe(p: Profile, by: Sequence[str], well: str, treat: str, dose: str, area: str, nucleus: str, dna: str, dna_total: str, control: object = "ctrl", min_cells: int = 200, k: int | str = "estimate") -> Profile:
     """The recipe: clean, drop poor wells and debris, keep one cell type, label the cycle, aggregate, normalise, select by mixed model, pool features."""
     df = clean.drop_missing_rows(X.ingest(p.df, p.features), p.features, 0.5)
     gone = clean.missing_features(df, p.features)

@@ -89,11 +89,11 @@ QUERIES["simulate_ndarma"] = lambda s, d: simulate.ndarma(s, 50, 4, ma_order=1)
 QUERIES["simulate_hmm"] = lambda s, d: simulate.hidden_markov(s, 50, 3)
 
 
-def _cmore(s, d):
+def _recipe(s, d):
     df = cells(s, d).withColumns({"area": F.col("l_extendedprice") / 1000 + 5, "nucleus": F.col("l_quantity") + 20, "dna": F.col("l_tax") * 100 + F.col("line"), "dose": F.col("line").cast("double")})
     df = df.withColumn("treatment", F.when(F.col("well") % 4 == 0, "ctrl").otherwise(F.concat(F.lit("t"), F.col("well") % 4))).withColumn("dose", (F.floor(F.col("well") / 4) % 5).cast("double"))
-    p = pipelines.cmore(Profile(df, [*FEATS, "area", "nucleus", "dna"]), _BY, "well", "treatment", "dose", "area", "nucleus", "dna", "l_extendedprice", min_cells=20)
+    p = pipelines.profile_recipe(Profile(df, [*FEATS, "area", "nucleus", "dna"]), _BY, "well", "treatment", "dose", "area", "nucleus", "dna", "l_extendedprice", min_cells=20)
     return p.df.select("batch", "plate", "well", "Cycle", *p.features)
 
 
-QUERIES["pipeline_cmore"] = _cmore
+QUERIES["pipeline_recipe"] = _recipe
