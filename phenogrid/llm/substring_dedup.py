@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import BASE_B, WordHashes, materialise, remove_table, rolling, table
+from phenogrid.llm.common import BASE_B, WordHashes, materialise, rolling, table
 
 WINDOW = 50
 EDGE = WINDOW // 2 + 1
@@ -107,6 +107,8 @@ def paths(kept: DataFrame) -> DataFrame:
     """Each occurrence of a repeated edge with its source (src, src_pos) and the path it lies on (words first to last, end exclusive)."""
     first = kept.groupBy("edge").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
     first = first.filter(F.col("first.id") != F.col("last")).select("edge", F.col("first.id").alias("src"), F.col("first.pos").alias("src_pos"))
+    # written, so that the join below deals out both sides itself and can split an edge that stands very often
+    first = materialise(first, "sources")
     found = kept.join(first, "edge").withColumn("shift", F.col("pos") - F.col("src_pos"))
     order = Window.partitionBy("id", "kind").orderBy("pos")
     before = F.lag(F.struct("src", "shift", "pos")).over(order)
@@ -215,6 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = work.filter("at is not null").select("id", "kind", F.explode(F.arrays_zip("w1", "w2", "at")).alias("w")).select("id", "kind", "w.w1", "w.w2", "w.at")
     windows = materialise(windows, "windows")
     low = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("w1", "w2", "low")
+    low = materialise(low, "lowest")
     hits = windows.join(low, ["w1", "w2"]).filter(F.col("low") < F.col("id")).groupBy("id", "kind").agg(F.collect_list("at").alias("found"))
     open_ = work.filter("at is not null").select("id", "kind", "text", "spans").join(hits, ["id", "kind"], "left").select("id", "text", "spans", "found")
     out = work.filter("at is null").select("id", "n_words", "n_removed", "kept_sha256", "kept_text").unionByName(open_.mapInArrow(_finish(keep_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"))
