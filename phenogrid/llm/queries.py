@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_debruijn_repeats": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op8_curriculum_mix": mixing.SQL,
 }
