@@ -20,13 +20,14 @@ import heapq
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from phenogrid.llm.common import table
 
 #: Pieces that a worker remembers; then it starts afresh. Longer pieces than REMEMBER_BYTES are never kept.
-REMEMBER_PIECES, REMEMBER_BYTES = 600_000, 64
+REMEMBER_PIECES, REMEMBER_BYTES = 1_000_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,6 +36,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: A pair of neighbours is one number: left * _SHIFT + right.
+_SHIFT = 1 << 24
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -44,17 +49,13 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: byte -> its rank; the first symbols of any piece
         self.first = [ranks[bytes([b])] for b in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two neighbours together, or -1."""
-        got = self._pairs.get((a, b))
-        if got is None:
-            got = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            self._pairs[a, b] = got
-        return got
+        #: decimal text of every id
+        self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
+        #: pair -> rank of the two together, for every way to cut a token into two tokens
+        self.merges = {ranks[t[:i]] * _SHIFT + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: rank of two bytes together, or -1, at first byte * 256 + second byte
+        self.bytes2 = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.width = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
 
 
 @cache
@@ -65,134 +66,116 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def encode_alone(piece: bytes, v: Vocabulary) -> list[int]:
     """One piece by the definition, with a heap of candidate merges: lowest rank first, then leftmost."""
-    ids = [v.first[b] for b in piece]
+    ids, merges = [v.first[b] for b in piece], v.merges
     n = len(ids)
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(r, i) for i in range(n - 1) if (r := v.pair(ids[i], ids[i + 1])) >= 0]
+    heap = [(r, i) for i in range(n - 1) if (r := merges.get(ids[i] * _SHIFT + ids[i + 1], -1)) >= 0]
     heapq.heapify(heap)
     while heap:
         rank, i = heapq.heappop(heap)
-        if ids[i] < 0 or (j := right[i]) < 0 or v.pair(ids[i], ids[j]) != rank:
+        if ids[i] < 0 or (j := right[i]) < 0 or merges.get(ids[i] * _SHIFT + ids[j]) != rank:
             continue
         ids[i], ids[j] = rank, -1
         right[i] = k = right[j]
         if k >= 0:
             left[k] = i
-            if (r := v.pair(rank, ids[k])) >= 0:
+            if (r := merges.get(rank * _SHIFT + ids[k], -1)) >= 0:
                 heapq.heappush(heap, (r, i))
-        if (h := left[i]) >= 0 and (r := v.pair(ids[h], rank)) >= 0:
+        if (h := left[i]) >= 0 and (r := merges.get(ids[h] * _SHIFT + rank, -1)) >= 0:
             heapq.heappush(heap, (r, h))
     return [x for x in ids if x >= 0]
 
 
 def replay(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
     """The ids of each piece: every merge in rank order over an inverted index of all pieces."""
-    ranks, first, pair = v.ranks, v.first, v.pair
-    out: list[list[int] | None] = [None] * len(pieces)
-    ids: list[int] = []
-    owner: list[int] = []
-    starts: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}  # rank of the merged pair -> positions of its left symbol; two pairs of one rank make the same token
-    pairs = v._pairs
-    for p, piece in enumerate(pieces):
-        if (whole := ranks.get(piece)) is not None:  # a piece that is a token needs no merges
-            out[p] = [whole]
-            continue
-        at = len(ids)
-        symbols = [first[b] for b in piece]
-        ids += symbols
-        ids.append(-1)  # a wall between pieces
-        starts.append((p, at))
-        owner += [p] * (len(symbols) + 1)
-        prev = symbols[0]
-        for i, s in enumerate(symbols[1:], at):
-            r = pairs.get((prev, s))
-            if r is None:
-                r = pair(prev, s)
-            if r >= 0:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
-            prev = s
-    n = len(ids)
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    odd: set[int] = set()
+    out: list[list[int]] = [[r] if (r := v.ranks.get(p)) is not None else [] for p in pieces]  # a piece that is a token needs no merges
+    todo = [i for i, ids in enumerate(out) if not ids and pieces[i]]
+    if not todo:
+        return out
+    # all pieces in one row of symbols, a wall (-1) after each; neighbours that can merge, by rank
+    length = np.array([len(pieces[i]) for i in todo])
+    ends = np.cumsum(length + 1) - 1  # the walls
+    raw = np.frombuffer(b"\0".join([pieces[i] for i in todo]) + b"\0", np.uint8)
+    symbols = np.array(v.first, np.int64)[raw]
+    symbols[ends] = -1
+    n = len(symbols)
+    rank2 = v.bytes2[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    rank2[ends[:-1]] = -1
+    rank2[ends - 1] = -1
+    at = np.flatnonzero(rank2 >= 0)
+    at = at[np.argsort(rank2[at], kind="stable")]
+    kinds, starts = np.unique(rank2[at], return_index=True)
+    index = dict(zip(kinds.tolist(), (x.tolist() for x in np.split(at, starts[1:])), strict=True)) if len(at) else {}
+    ids, left, right = symbols.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+    odd: list[int] = []
+    rank_of = v.merges.get
     heap = list(index)
     heapq.heapify(heap)
     while heap:
         rank = heapq.heappop(heap)
-        for i in sorted(index.pop(rank)):
+        turn = index.pop(rank)
+        turn.sort()
+        for i in turn:
             a = ids[i]
             if a < 0:
                 continue
             j = right[i]
             b = ids[j]
-            if b < 0 or pairs.get((a, b), -2) != rank and pair(a, b) != rank:
+            if b < 0 or rank_of(a * _SHIFT + b) != rank:
                 continue
             ids[i] = rank
             ids[j] = -2
             right[i] = k = right[j]
             left[k] = i
             c = ids[k]
-            if c >= 0:
-                r = pairs.get((rank, c))
-                if r is None:
-                    r = pair(rank, c)
-                if r >= 0:
-                    if r <= rank:
-                        odd.add(owner[i])
-                    elif r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-                        heapq.heappush(heap, r)
+            if c >= 0 and (r := rank_of(rank * _SHIFT + c)) is not None:
+                if r <= rank:
+                    odd.append(i)
+                elif r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
+                    heapq.heappush(heap, r)
             h = left[i]
-            if h >= 0 and (c := ids[h]) >= 0:
-                r = pairs.get((c, rank))
-                if r is None:
-                    r = pair(c, rank)
-                if r >= 0:
-                    if r <= rank:
-                        odd.add(owner[i])
-                    elif r in index:
-                        index[r].append(h)
-                    else:
-                        index[r] = [h]
-                        heapq.heappush(heap, r)
-    for p, at in starts:
-        got = []
-        i = at
-        while (s := ids[i]) >= 0:
-            got.append(s)
-            i = right[i]
-        out[p] = got
-    for p in odd:
-        out[p] = encode_alone(pieces[p], v)
-    return out  # type: ignore[return-value]
+            if h >= 0 and (c := ids[h]) >= 0 and (r := rank_of(c * _SHIFT + rank)) is not None:
+                if r <= rank:
+                    odd.append(i)
+                elif r in index:
+                    index[r].append(h)
+                else:
+                    index[r] = [h]
+                    heapq.heappush(heap, r)
+    done = np.array(ids)
+    flat = done[done >= 0].tolist()
+    stops = np.cumsum(done >= 0)[ends].tolist()
+    begin = 0
+    for p, stop in zip(todo, stops, strict=True):
+        out[p] = flat[begin:stop]
+        begin = stop
+    for k in set(np.searchsorted(ends, odd).tolist()):
+        out[todo[k]] = encode_alone(pieces[todo[k]], v)
+    return out
 
 
 class Encoder:
-    """Keeps the pieces met lately, as (ids as decimal text, ids)."""
+    """Keeps the pieces met lately, each as the bytes of its ids."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def batch(self, texts: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """The decimal ids, joined by commas, and the ids, of each text."""
-        texts = list(texts)
-        known = self.known
+    def batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        known, width = self.known, self.v.width
         if len(known) > REMEMBER_PIECES:
             known.clear()
         split = self.v.split
         parts = [split(t) for t in texts]
         new = list(set().union(*parts).difference(known)) if parts else []
         for piece, ids in zip(new, replay([x.encode("utf-8", "surrogatepass") for x in new], self.v), strict=True):
-            known[piece] = (",".join(map(str, ids)), tuple(ids))
+            known[piece] = np.array(ids, width).tobytes()
         for part in parts:
-            got = [known[x] for x in part]
-            yield ",".join([x[0] for x in got]), [i for x in got for i in x[1]]
+            yield np.frombuffer(b"".join(map(known.__getitem__, part)), width).tolist()
         for x in new:
             if len(x) > REMEMBER_BYTES:
                 del known[x]
@@ -232,7 +215,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             texts = [x or "" for x in b.column(1).to_pylist()]
             for part in slices(texts):
                 n, each, sha, back = [], [], [], []
-                for text, (line, numbers) in zip(texts[part], encoder.batch(texts[part]), strict=True):
+                for text, numbers in zip(texts[part], encoder.batch(texts[part]), strict=True):
                     n.append(len(numbers))
                     if ids:
                         each.append(numbers)
@@ -240,7 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         raw = decode(numbers, v)
                         if raw != text.encode("utf-8", "surrogatepass"):
                             raise ValueError("decoding does not give back the text")
-                        sha.append(hashlib.sha256(line.encode()).hexdigest())
+                        sha.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, numbers)).encode()).hexdigest())
                         back.append(hashlib.sha256(raw).hexdigest())
                 cols = [names.slice(part.start, len(n)), pa.array(n, pa.int64())] + ([pa.array(each, pa.list_(pa.int32()))] if ids else []) + ([pa.array(sha, pa.string()), pa.array(back, pa.string())] if digests else [])
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
