@@ -4,7 +4,7 @@ Event space. Tokens are lower-cased words and one end per text. Every word of th
 that is open to new words has one more event, the unseen word, with count 0; all counts are smoothed by 0.1.
 
 Classes. The most frequent words are classes of their own. All other words fall into classes by shape (kind of the last
-byte, first letter beyond ASCII, frequent or rare); the heaviest shapes get classes, the rest share one.
+byte, first letter beyond ASCII, frequent or rare: seen once, or not shared); the heaviest shapes get classes, the rest share one.
 P(word | two tokens before) = P(class | classes of the two tokens before) * smoothed count of the word / that of its class.
 The first factor is the log-bilinear model: the context's vector is a sum of the neighbours' vectors through a matrix for
 each place, its product with a class's vector plus that class's bias is the class's energy. It is trained in numpy on the
@@ -12,9 +12,8 @@ class triples of all training texts by noise-contrastive estimation; then batche
 softmax give the table of normalised log-probabilities, which sums to 1 over the event space.
 
 Everything gathered from the corpus, counts of words, classes and triples, covers all training texts and grows with them.
-What is collected is bounded: `SHARED_WORDS` words of at most 64 bytes with their counts, and CLASSES ** 3 triple counts.
-The other words' counts meet their documents in a join. No rare word can be hot: one with a share above 1 / SHARED_WORDS
-of all tokens is shared. Longer words than 64 bytes stand for themselves by a digest.
+What is collected is bounded: at most `SHARED_WORDS` words of at most 64 bytes with their counts, and CLASSES ** 3 triple
+counts. The other words' counts meet their documents in a join, in which no word is hot: the frequent ones are shared. Longer words than 64 bytes stand for themselves by a digest.
 
 Defined results: a null text is empty: one token, the end. A null id counts as text "" for the held-out rule. Repeated rows
 are each counted and scored. An empty table gives an empty result. Other columns are ignored.
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, materialise, remove_table, table, task_count
+from phenogrid.llm.common import crc_mod, materialise, table, task_count
 
 #: Words whose counts every worker holds; classes in all, words that are classes, and shapes that are.
 SHARED_WORDS, CLASSES, WORD_CLASSES = 262_144, 128, 79
@@ -101,7 +100,7 @@ class Lexicon:
                 cls[i] = own
                 own += 1
             else:
-                cls[i] = self.shape_class[shape(w)]
+                cls[i] = self.shape_class[shape(w) + 64 * (self.counts[i] < 2)]
         return dict(zip(self.words, range(len(self.words)), strict=True)), cls
 
 
@@ -127,9 +126,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def lexicon(counts: DataFrame, shared: int = SHARED_WORDS) -> tuple[Lexicon, np.ndarray]:
     """The lexicon, and each class's smoothed mass."""
-    top = counts.orderBy(F.desc("c"), "word").limit(shared).toArrow()
-    words = top.column("word").to_pylist()
-    lex = Lexicon(words, np.array(top.column("c").to_pylist(), np.int64), np.full(SHAPES, _REST_CLASS, np.uint8))
+    # a cut on the counts' scale instead of a top-k, whose candidates would all meet in one task; at most a few thousand levels
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    held, least = 0, None
+    for at, n in sizes:
+        held += n
+        if held > shared:
+            break
+        least = at
+    top = counts.filter(level >= least).toArrow() if least is not None else counts.limit(0).toArrow()
+    ranked = sorted(zip((-top.column("c").to_numpy()).tolist(), top.column("word").to_pylist(), strict=True))
+    words = [w for _, w in ranked]
+    lex = Lexicon(words, np.array([-c for c, _ in ranked], np.int64), np.full(SHAPES, _REST_CLASS, np.uint8))
     number, cls = lex.place()
     own = frozenset(w for w, c in zip(words, cls.tolist(), strict=True) if c <= WORD_CLASSES)
     shared_set = counts.sparkSession.sparkContext.broadcast(words)
@@ -140,7 +149,7 @@ def lexicon(counts: DataFrame, shared: int = SHARED_WORDS) -> tuple[Lexicon, np.
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if w not in own:
-                    s = (shape(w) if w in known else 64 + shape(w)) if w[:1] != b"\xff" else 64
+                    s = (shape(w) if c > 1 and w in known else 64 + shape(w)) if w[:1] != b"\xff" else 64
                     mass[s] += c
                     n[s] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(mass), pa.array(n)], ["s", "mass", "n"])
