@@ -5,8 +5,10 @@ Random operators order rows by a fixed hash of (seed, row id): the same rows are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,38 @@ def low_count_groups(df: DataFrame, by: Sequence[str], min_cells: int) -> DataFr
     return not_null(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias(COUNT)).filter(F.col(COUNT) < min_cells)
 
 
+#: Rows of a block whose correlations with another block are one matrix product.
+PAIR_ROWS = 2048
+
+
+def _peer_sums(by: list[str], n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For rows of one block: the sum of clipped correlations with the other block's rows (not of the same id), and how many these are."""
+
+    def units(side: pa.Table, name: str) -> np.ndarray:
+        # a row without spread or with missing features correlates with none
+        return np.array([[0.0 if x is None else x for x in u] for u in side.column(name).to_pylist()], float).reshape(-1, n)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids, a, b = one.column("_id").to_pylist(), units(one, "_u"), units(two, "_ou")
+        r = np.maximum(a @ b.T, 0.0)
+        fits = np.ones(r.shape, bool)
+        if one.num_rows and two.num_rows and one.column("_p")[0] == one.column("_q")[0]:
+            where: dict = {}
+            for j, x in enumerate(two.column("_oid").to_pylist()):
+                where.setdefault(x, []).append(j)
+            for i, x in enumerate(ids):
+                fits[i, where.get(x, [])] = False
+        fits[[i for i, x in enumerate(ids) if x is None]] = False
+        return one.select([*by, "_id"]).append_column("_r", pa.array(np.where(fits, r, 0.0).sum(1))).append_column("_peers", pa.array(fits.sum(1), pa.int64()))
+
+    return run
+
+
 def aggregate_modz(df: DataFrame, by: Sequence[str], feats: Sequence[str], method: str = "spearman", min_weight: float = 0.01, row_id: str = "row_id") -> DataFrame:
     """Weighted mean of each group's rows; a row's weight is its mean correlation with the others, at least min_weight.
 
-    Rows are packed to arrays and standardised, so that a correlation is a dot product; pairs are formed inside a group only
-    (a group is a well's or treatment's replicates). Missing features make the group's result NULL."""
+    Rows are packed to arrays and standardised, so that a correlation is a dot product; all pairs inside a group are formed, as
+    matrix products of blocks of PAIR_ROWS rows: a group may be large, the work grows with its square. Missing features make the group's result NULL."""
     df = not_null(df, by)
     values = F.array(*[F.col(f).cast("double") for f in feats])
     rows = df.select(*by, F.col(row_id).alias("_id"), values.alias("_v"))
@@ -56,14 +85,22 @@ def aggregate_modz(df: DataFrame, by: Sequence[str], feats: Sequence[str], metho
     rows = rows.withColumn("_b", basis).withColumn("_m", F.aggregate("_b", F.lit(0.0), lambda a, x: a + x) / n)
     rows = rows.withColumn("_c", F.transform("_b", lambda x: x - F.col("_m"))).withColumn("_s", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
     rows = rows.withColumn("_u", F.transform("_c", lambda x: F.try_divide(x, F.col("_s")))).select(*by, "_id", "_v", "_u")
-    other = rows.select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col("_id").alias("_oid"), F.col("_u").alias("_ou"))
-    same = [F.col(b) == F.col(f"_o_{b}") for b in by]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    pairs = rows.join(other, cond & (F.col("_id") != F.col("_oid")), "left")
-    r = F.aggregate(F.zip_with("_u", "_ou", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    weights = pairs.groupBy(*by, "_id").agg(F.avg(F.greatest(r, F.lit(0.0))).alias("_w"), F.any_value("_v").alias("_v"), F.count("_oid").alias("_peers"))
+    # rows of the same id fall into the same block; every row meets every block of its group
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS)).alias("_n"))
+    rows = rows.join(sizes, list(by)).withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    left = rows.select(*by, F.col("_blk").alias("_p"), every.alias("_q"), "_id", "_u")
+    right = rows.filter("_id is not null").select(*[F.col(b).alias(f"_o_{b}") for b in by], every.alias("_op"), F.col("_blk").alias("_oq"), F.col("_id").alias("_oid"), F.col("_u").alias("_ou"))
+    dealt = right.groupBy(*[f"_o_{b}" for b in by], "_op", "_oq")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*by, "_id").schema)
+    met = left.groupBy(*by, "_p", "_q").cogroup(dealt).applyInArrow(_peer_sums(list(by), len(feats)), f"{kinds}, _r double, _peers long")
+    met = met.groupBy(*by, "_id").agg(F.sum("_r").alias("_r"), F.sum("_peers").alias("_peers"))
+    first = rows.groupBy(*by, "_id").agg(F.any_value("_v").alias("_v"))
+    met = met.select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col("_id").alias("_oid"), "_r", "_peers")
+    same = F.col("_id").eqNullSafe(F.col("_oid"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
+    weights = first.join(met, same).withColumn("_w", F.try_divide("_r", "_peers"))
     weights = weights.withColumn("_w", F.when(F.col("_peers") == 0, 1.0).otherwise(F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(min_weight))))
     total = F.sum("_w")
     return weights.groupBy(*by).agg(*[X.div(F.sum(F.col("_w") * F.get("_v", F.lit(i))), total).alias(f) for i, f in enumerate(feats)])

@@ -1,6 +1,7 @@
 """Golden values, independent numpy versions and properties."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -230,3 +231,37 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 24
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_modz_in_blocks_equals_all_pairs(spark, monkeypatch, method):
+    monkeypatch.setattr(group, "PAIR_ROWS", 7)
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(60, 5)), 1)
+    x[3] = 2.0  # without spread: correlates with none
+    df = spark.createDataFrame([(i, i % 2 if i else 5, *map(float, x[i])) for i in range(60)], "row_id long, g long, " + ", ".join(f"f{i} double" for i in range(5)))
+    got = {r.g: list(r)[1:] for r in group.aggregate_modz(df, ["g"], [f"f{i}" for i in range(5)], method).collect()}
+    assert got.pop(5) == pytest.approx(x[0])  # a row alone
+    b = pd.DataFrame(x).rank(axis=1).to_numpy() if method == "spearman" else x
+    for g in (0, 1):
+        rows = [i for i in range(1, 60) if i % 2 == g]
+        r = np.nan_to_num([[0.0 if i == j or 3 in (i, j) else np.corrcoef(b[i], b[j])[0, 1] for j in rows] for i in rows])
+        w = np.maximum(np.maximum(r, 0).sum(1) / (len(rows) - 1), 0.01)
+        assert got[g] == pytest.approx(w @ x[rows] / w.sum())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_modz_query_weighs_every_customer(spark, method):
+    from phenogrid import registry
+
+    d = "/root/testdata/sf0.001"
+    got = {r.g: list(r)[1:] for r in registry.QUERIES[f"aggregate_modz_{method}_all"](spark, d).select("g", "f0", "f1", "f2", "f3").collect()}
+    region = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
+    rows = [(region[r.c_nationkey], [r.c_acctbal, r.c_nationkey * 100.0, float(len(r.c_name)), r.c_custkey % 97 * 20.0]) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    for g in {k for k, _ in rows}:
+        x = np.array([v for k, v in rows if k == g])
+        r = np.corrcoef(pd.DataFrame(x).rank(axis=1).to_numpy() if method == "spearman" else x)
+        np.fill_diagonal(r, 0)
+        w = np.maximum(np.maximum(r, 0).sum(1) / (len(x) - 1), 0.01)
+        assert got[g] == pytest.approx(w @ x / w.sum(), abs=1e-5)
