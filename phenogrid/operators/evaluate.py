@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,71 @@ def similarity(df: DataFrame, labels: Sequence[str], vector: Column, method: str
     return pairs.select(pick("id", "id2", True).alias("a"), pick("id", "id2", False).alias("b"), *[pick(c, f"{c}_2", True).alias(f"{c}_a") for c in labels], *[pick(c, f"{c}_2", False).alias(f"{c}_b") for c in labels], sim.alias("sim"))
 
 
+#: Rows of a block whose similarities to another block are one matrix product.
+PAIR_ROWS = 2048
+
+
+def pair_sums(df: DataFrame, labels: Sequence[str], vector: Column, method: str = "pearson", row_id: str = "row_id") -> DataFrame:
+    """<label>_a, <label>_b, n, total, squares: what `reproducibility` and `effect` need of all pairs of rows (two rows' labels in either order), without a row for each pair.
+
+    Pairs without a similarity do not count. Two blocks of rows meet in one matrix product; the work is quadratic, what comes out is not."""
+    if method not in ("pearson", "spearman"):
+        raise ValueError(method)
+    raw = vector.cast("array<double>")
+    unit = _unit(raw) if method == "pearson" else _unit(_ranks(raw))
+    rows = df.select(F.col(row_id).alias("id"), *labels, unit.alias("v"))
+    blocks = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS))).alias("_n"))
+    rows = rows.join(F.broadcast(blocks), how="cross").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_n")))  # one row
+    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    left = rows.select("id", *labels, "v", F.col("blk").alias("p"), F.explode(every).alias("q")).filter("p <= q")
+    right = rows.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}_2") for c in labels], F.col("v").alias("v2"), F.explode(every).alias("p2"), F.col("blk").alias("q2")).filter("p2 <= q2")
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*labels).schema}
+    schema = ", ".join(f"`{c}_{x}` {kinds[c]}" for x in "ab" for c in labels)
+
+    def side(t: pa.Table, names: list[str], v: str) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """Unit vectors (NaN: none), each row's number of its labels, and the labels."""
+        given = t.column(v).to_pylist()
+        width = max((len(x) for x in given if x), default=1)
+        x = np.array([[np.nan if y is None else y for y in u] if u else [np.nan] * width for u in given], float).reshape(-1, width)
+        seen: dict[tuple, int] = {}
+        code = np.array([seen.setdefault(k, len(seen)) for k in zip(*[t.column(c).to_pylist() for c in names], strict=True)], np.int64)
+        return x, code, list(seen)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        sums: dict[tuple, list] = {}
+        if one.num_rows and two.num_rows:
+            (x, a, named), (y, b, named2) = side(one, list(labels), "v"), side(two, [f"{c}_2" for c in labels], "v2")
+            sim = x @ y.T
+            fits = np.isfinite(sim)
+            if one.column("p")[0] == one.column("q")[0]:
+                ids, ids2 = one.column("id").to_numpy(), two.column("id2").to_numpy()
+                fits &= ids[:, None] < ids2[None]
+            sim = np.where(fits, sim, 0.0)
+            hot, hot2 = np.eye(len(named))[a], np.eye(len(named2))[b]
+            n, total, squares = (hot.T @ m @ hot2 for m in (fits.astype(float), sim, sim * sim))
+            for i, j in zip(*np.nonzero(n), strict=True):
+                sums[named[i] + named2[j]] = [int(n[i, j]), float(total[i, j]), float(squares[i, j])]
+        out = [[*k, *v] for k, v in sums.items()]
+        names = [f"{c}_{x}" for x in "ab" for c in labels] + ["n", "total", "squares"]
+        types = [one.schema.field(c).type for _ in "ab" for c in labels] + [pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names=names)
+
+    met = left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInArrow(run, f"{schema}, n long, total double, squares double")
+    return met.groupBy(*[f"{c}_{x}" for x in "ab" for c in labels]).agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+
+
+def _mean(pairs: DataFrame) -> Column:
+    return F.avg("sim") if "sim" in pairs.columns else X.div(F.sum("total"), F.sum("n"))
+
+
+def _deviation(pairs: DataFrame) -> Column:
+    """Of the sample."""
+    if "sim" in pairs.columns:
+        return F.stddev_samp("sim")
+    n = F.sum("n")
+    return F.sqrt(X.div(F.greatest(F.sum("squares") - X.div(F.sum("total") * F.sum("total"), n), F.lit(0.0)), F.nullif(n - 1, F.lit(0))))
+
+
 def whitened(rows: DataFrame, vector: str) -> Column:
     """The vectors times the inverse root of their covariance: distances then are Mahalanobis distances. d x d numbers go to the driver."""
     from phenogrid.operators.batch import covariance, inverse_root
@@ -95,9 +162,9 @@ def _same(names: Sequence[str]) -> Column:
 
 
 def reproducibility(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """groups, mean_sim (of the condition's replicate pairs), z against all pairs of different conditions, percentile."""
-    null = pairs.filter(~_same(groups)).agg(F.avg("sim").alias("_m"), F.stddev_samp("sim").alias("_s"))
-    per = pairs.filter(_same(groups)).groupBy(*[F.col(f"{c}_a").alias(c) for c in groups]).agg(F.avg("sim").alias("mean_sim"))
+    """groups, mean_sim (of the condition's replicate pairs), z against all pairs of different conditions, percentile. pairs: of `similarity` or `pair_sums`."""
+    null = pairs.filter(~_same(groups)).agg(_mean(pairs).alias("_m"), _deviation(pairs).alias("_s"))
+    per = pairs.filter(_same(groups)).groupBy(*[F.col(f"{c}_a").alias(c) for c in groups]).agg(_mean(pairs).alias("mean_sim"))
     return _scored(per.join(F.broadcast(null), how="cross"), groups, "mean_sim")  # one row
 
 
@@ -111,13 +178,13 @@ def effect(pairs: DataFrame, group: str, others: Sequence[str] = (), control_id:
     a, b = F.col(f"{group}_a") == F.lit(control_id), F.col(f"{group}_b") == F.lit(control_id)
     one = pairs.filter(a != b)
     keys = [F.when(a, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in (group, *others)]
-    per = one.groupBy(*keys).agg(F.avg("sim").alias("effect"))
+    per = one.groupBy(*keys).agg(_mean(pairs).alias("effect"))
     both = pairs.filter(a & b)
     if others:
-        level = both.filter(_same(others)).groupBy(*[F.col(f"{c}_a").alias(c) for c in others]).agg(F.avg("sim").alias("_m"), F.stddev_samp("sim").alias("_s"))
+        level = both.filter(_same(others)).groupBy(*[F.col(f"{c}_a").alias(c) for c in others]).agg(_mean(pairs).alias("_m"), _deviation(pairs).alias("_s"))
         null = level.agg(F.avg("_m").alias("_m"), F.avg("_s").alias("_s"))
     else:
-        null = both.agg(F.avg("sim").alias("_m"), F.stddev_samp("sim").alias("_s"))
+        null = both.agg(_mean(pairs).alias("_m"), _deviation(pairs).alias("_s"))
     return _scored(per.join(F.broadcast(null), how="cross"), [group, *others], "effect")  # one row
 
 

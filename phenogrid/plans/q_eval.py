@@ -94,8 +94,10 @@ SQL["batch_numbers"] = """WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS b, s_n
 _WF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _vectors(s, d):
-    return read(s, d, "embeddings").filter("vec_id < 120").select("vec_id", "label", F.slice("embedding", 1, 12).cast("array<double>").alias("v"), F.when(F.col("label") < 3, "ctrl").otherwise(F.concat(F.lit("t"), F.col("label") % 3)).alias("treat"), (F.col("label") % 2).alias("conc"))
+def _vectors(s, d, whole=False):
+    df = read(s, d, "embeddings")
+    df = df if whole else df.filter("vec_id < 120").withColumn("embedding", F.slice("embedding", 1, 12))
+    return df.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("label") < 3, "ctrl").otherwise(F.concat(F.lit("t"), F.col("label") % 3)).alias("treat"), (F.col("label") % 2).alias("conc"))
 
 
 _V = "vec AS (SELECT vec_id AS id, label, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN label < 3 THEN 'ctrl' ELSE 't' || (label % 3) END AS treat, CAST(label % 2 AS INTEGER) AS conc FROM embeddings WHERE vec_id < 120)"
@@ -113,8 +115,12 @@ def _dist_sql(method: str) -> str:
     return f"WITH {_V}, {pre}, pairs AS (SELECT a.id AS a, b.id AS b, a.label AS label_a, b.label AS label_b, a.treat AS treat_a, b.treat AS treat_b, a.conc AS conc_a, b.conc AS conc_b, {sim} AS sim FROM u a JOIN u b ON a.id < b.id)"
 
 
-def _pairs(s, d, method="pearson"):
-    return evaluate.similarity(_vectors(s, d), ["label", "treat", "conc"], F.col("v"), method, "vec_id")
+def _pairs(s, d, method="pearson", whole=False):
+    return evaluate.similarity(_vectors(s, d, whole), ["label", "treat", "conc"], F.col("v"), method, "vec_id")
+
+
+def _sums(s, d):
+    return evaluate.pair_sums(_vectors(s, d, True), ["label", "treat", "conc"], F.col("v"), "pearson", "vec_id")
 
 
 for _m in ("pearson", "spearman", "euclidean", "cityblock"):
@@ -123,7 +129,7 @@ for _m in ("pearson", "spearman", "euclidean", "cityblock"):
 QUERIES["dist_kendall"] = lambda s, d: rounded(_pairs(s, d, "kendall").select("a", "b", "sim"), "sim")
 SQL["dist_kendall"] = f"""WITH {_V}, e AS (SELECT id, unnest(range(1, 13)) AS i, unnest(v) AS x FROM vec), g AS (SELECT p.id, p.i AS i, q.i AS j, sign(p.x - q.x) AS s FROM e p JOIN e q ON p.id = q.id AND p.i < q.i)
 SELECT a.id AS a, b.id AS b, {r6('sum(a.s * b.s) / sqrt(sum(abs(a.s)) * sum(abs(b.s)))')} AS sim FROM g a JOIN g b ON a.id < b.id AND a.i = b.i AND a.j = b.j GROUP BY a.id, b.id"""
-QUERIES["dist_mahalanobis"] = lambda s, d: rounded(_pairs(s, d, "mahalanobis").select("a", "b", "sim"), "sim")
+QUERIES["dist_mahalanobis"] = lambda s, d: rounded(_pairs(s, d, "mahalanobis", True).select("a", "b", "sim"), "sim")
 QUERIES["reproducibility_z"] = lambda s, d: rounded(evaluate.reproducibility(_pairs(s, d), ["label"]).select("label", "mean_sim", "z"), "mean_sim", "z")
 SQL["reproducibility_z"] = _dist_sql("pearson") + f", n AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FROM pairs WHERE label_a <> label_b), g AS (SELECT label_a AS label, avg(sim) AS x FROM pairs WHERE label_a = label_b GROUP BY ALL) SELECT label, {r6('x')} AS mean_sim, {r6('(x - m) / s')} AS z FROM g, n"
 QUERIES["effect_z"] = lambda s, d: rounded(evaluate.effect(_pairs(s, d), "treat").select("treat", "effect", "z"), "effect", "z")
@@ -134,10 +140,19 @@ _LEVEL = f", e AS ({_EFF}), l AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FR
 SQL["effect_by_level_z"] = _dist_sql("pearson") + _LEVEL + f" SELECT treat, conc, {r6('x')} AS effect, {r6('(x - m) / s')} AS z FROM g, n"
 QUERIES["select_concentration"] = lambda s, d: evaluate.best_concentration(_vectors(s, d), _pairs(s, d), "treat", "conc")[1].select("vec_id", "treat", "conc")
 SQL["select_concentration"] = _dist_sql("pearson") + _LEVEL + ", b AS (SELECT treat, conc FROM g, n QUALIFY row_number() OVER (PARTITION BY treat ORDER BY round(abs((x - m) / s), 9) DESC, conc) = 1) SELECT id AS vec_id, treat, conc FROM vec WHERE treat = 'ctrl' OR (treat, conc) IN (SELECT (treat, conc) FROM b)"
-QUERIES["eval_percentiles"] = lambda s, d: rounded(evaluate.reproducibility(_pairs(s, d), ["label"]).select("label", "percentile"), "percentile")
+QUERIES["eval_percentiles"] = lambda s, d: rounded(evaluate.reproducibility(_sums(s, d), ["label"]).select("label", "percentile"), "percentile")
 QUERIES["eval_quartiles"] = lambda s, d: rounded(evaluate.quartiles(evaluate.reproducibility(_pairs(s, d), ["label"]), "mean_sim"), "q1", "q2", "q3")
 SQL["eval_quartiles"] = _dist_sql("pearson") + f", g AS (SELECT label_a AS label, avg(sim) AS x FROM pairs WHERE label_a = label_b GROUP BY ALL) SELECT {r6('quantile_cont(x, 0.25)')} AS q1, {r6('quantile_cont(x, 0.5)')} AS q2, {r6('quantile_cont(x, 0.75)')} AS q3 FROM g"
 
+# all vectors, whole: too many pairs for twins
+for _m in ("pearson", "spearman", "euclidean", "cityblock", "kendall"):
+    QUERIES[f"dist_{_m}_all"] = lambda s, d, m=_m: rounded(_pairs(s, d, m, True).select("a", "b", "sim"), "sim")
+QUERIES["reproducibility_z_all"] = lambda s, d: rounded(evaluate.reproducibility(_sums(s, d), ["label"]).select("label", "mean_sim", "z"), "mean_sim", "z")
+QUERIES["effect_z_all"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat").select("treat", "effect", "z"), "effect", "z")
+QUERIES["effect_by_level_z_all"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat", ["conc"]).select("treat", "conc", "effect", "z"), "effect", "z")
+QUERIES["select_concentration_all"] = lambda s, d: evaluate.best_concentration(_vectors(s, d, True), _sums(s, d), "treat", "conc")[1].select("vec_id", "treat", "conc")
+QUERIES["eval_quartiles_all"] = lambda s, d: rounded(evaluate.quartiles(evaluate.reproducibility(_sums(s, d), ["label"]), "mean_sim"), "q1", "q2", "q3")
+
 # -- batch correction and geometry ----------------------------------------------------------------------------------------
 
 

@@ -265,3 +265,36 @@ def test_modz_query_weighs_every_customer(spark, method):
         np.fill_diagonal(r, 0)
         w = np.maximum(np.maximum(r, 0).sum(1) / (len(x) - 1), 0.01)
         assert got[g] == pytest.approx(w @ x / w.sum(), abs=1e-5)
+
+
+def test_pair_sums_equal_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "PAIR_ROWS", 9)
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, "ctrl" if i % 3 == 0 else f"t{i % 2}", i % 2, [1.0] * 6 if i == 4 else rng.normal(size=6).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, g long, treat string, conc long, v array<double>")
+    for method in ("pearson", "spearman"):
+        pairs, sums = (f(df, ["g", "treat", "conc"], F.col("v"), method) for f in (evaluate.similarity, evaluate.pair_sums))
+        for of in (lambda p: evaluate.reproducibility(p, ["g"]), lambda p: evaluate.effect(p, "treat"), lambda p: evaluate.effect(p, "treat", ["conc"])):
+            one, two = (of(p).toPandas() for p in (pairs, sums))
+            keys = list(one.columns[:-3])
+            pd.testing.assert_frame_equal(one.sort_values(keys).reset_index(drop=True), two.sort_values(keys).reset_index(drop=True))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_evaluation_takes_all_vectors_whole(spark):
+    from phenogrid import registry
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    x, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    r = np.corrcoef(x)
+    up = np.triu(np.ones(r.shape, bool), 1)
+    same = label[:, None] == label[None]
+    null = r[up & ~same]
+    got = {g.label: (g.mean_sim, g.z) for g in registry.QUERIES["reproducibility_z_all"](spark, d).collect()}
+    assert set(got) == set(label.tolist())
+    for g, (mean, z) in got.items():
+        want = r[up & same & (label == g)[:, None]].mean()
+        assert mean == pytest.approx(want, abs=2e-6) and z == pytest.approx((want - null.mean()) / null.std(ddof=1), abs=2e-5)
+    assert registry.QUERIES["dist_mahalanobis"](spark, d).count() == len(rows) * (len(rows) - 1) // 2
+    assert {g.label for g in registry.QUERIES["eval_percentiles"](spark, d).collect()} == set(label.tolist())
