@@ -3,7 +3,9 @@
 The tokenizer finds tags, comments and raw-text elements. The builder keeps a stack of open elements and closes what HTML
 lets authors leave out: a paragraph ends where a block starts, list items, definition terms, options, rows and cells end
 where the next begins, and an end tag closes what is open inside its element. Elements that browsers do not show (head,
-script, style, template, ..., `hidden`, `display:none`, `visibility:hidden`) are skipped with all they contain.
+script, style, template, ..., `hidden`, `display:none`, `visibility:hidden`) stand on the same stack, so that implied ends and ancestors' end tags close
+them too; what is in them is not rendered. An open head ends at the first tag or word that may not stand in it. Text of
+`svg` and `math` is shown, but for their definitions and descriptions.
 
 The renderer emits all visible text: white space collapses outside `pre` and `textarea`; blocks start on a line of their
 own, and paragraphs, headings, lists and tables are set off by a blank line; list items have a bullet or their number and
@@ -28,10 +30,17 @@ from phenogrid.llm.common import table
 # Fixed values of the HTML standard: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist svg math meta link".split())
+HIDDEN = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist meta link".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
+#: What may stand in a head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script noscript noframes style template".split())
+#: Content that is not HTML, where HTML stands in it, what of it is not shown, and the tags that end it.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+FOREIGN_HIDDEN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 LISTS = frozenset("ul ol menu dir".split())
 #: What a start tag ends if it is open, and the elements beyond which it does not reach.
 IMPLIED = {
@@ -48,6 +57,9 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 #: An end tag of an inline element does not close these around it.
 SCOPE = frozenset("table td th caption html template".split())
+_TEMPLATE = frozenset(["template"])
+#: What to undo at the end of an element that is not shown, and of a line of drawn text.
+_UNSEEN, _LINE = object(), object()
 
 TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|/([a-zA-Z][^\s/><]*+)[^<>]*+>|[!?/][^<>]*+>)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++)))?+""")
@@ -154,9 +166,23 @@ class Renderer:
         self.lists: list[list] = []
         self.tables: list[tuple[Table, Lines]] = []
         self.pre = 0
+        self.hidden = 0  # open elements that are not shown
+        self.foreign: list[bool] = []  # open svg and math: True; HTML inside them: False
+
+    def _leave_head(self, tag: str) -> None:
+        """End an open head at a tag, or at text (""), that may not stand in it."""
+        if self.count.get("head") and self.stack[-1][0] in ("head", "noscript") and tag not in IN_HEAD:
+            self._close_to("head", _TEMPLATE)
 
     def start(self, name: str, rest: str) -> bool:
         """A start tag; whether the element is shown."""
+        self._leave_head(name)
+        if name == "head" and (any(n != "html" for n, _ in self.stack[:2]) or self.flow.done or self.flow.now):
+            return not self.hidden  # too late for a head: the tag counts for nothing
+        while self.foreign and self.foreign[-1] and name in BREAKOUT:
+            while self.stack[-1][0] not in FOREIGN:
+                self._pop()
+            self._pop()
         if name in CLOSES_P and self.count.get("p"):
             self._close_to("p", SCOPE)
         if name in IMPLIED:
@@ -166,10 +192,14 @@ class Renderer:
             self._close_to("select", SCOPE)
         elif name == "a" and self.count.get("a"):
             self._close_to("a", SCOPE)
-        if name in HIDDEN:
-            return False
+        foreign = bool(self.foreign) and self.foreign[-1]
         given = attributes(rest) if "=" in rest or "hidden" in rest.lower() else {}
-        if "hidden" in given or UNSEEN.search(given.get("style", "")):
+        unseen = self.hidden or name in HIDDEN or "hidden" in given or UNSEEN.search(given.get("style", "")) or foreign and name in FOREIGN_HIDDEN
+        if (foreign or name in FOREIGN) and rest.endswith("/"):
+            return not unseen
+        if unseen:
+            if name not in VOID:
+                self._push(name, _UNSEEN)
             return False
         flow = self.flow
         if name == "br":
@@ -191,6 +221,9 @@ class Renderer:
                 pass
             return True
         undo: object = None
+        if foreign and name == "text":
+            flow.block(False)
+            undo = _LINE
         if name in LISTS:
             begin = given.get("start", "1")
             self.lists.append([name == "ol", int(begin) if re.fullmatch(r"-?\d{1,9}", begin) else 1])
@@ -221,17 +254,26 @@ class Renderer:
             self.flow = Lines()
         elif name == "q":
             flow.text('"')
+        self._push(name, undo)
+        return True
+
+    def _push(self, name: str, undo: object) -> None:
         self.stack.append((name, undo))
         self.count[name] = self.count.get(name, 0) + 1
-        return True
+        self.hidden += undo is _UNSEEN
+        if name in FOREIGN:
+            self.foreign.append(True)
+        elif self.foreign and name in INTEGRATION:
+            self.foreign.append(False)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
         elif name == "p" and not self.count.get("p"):
-            self.flow.block(True)
+            if not self.hidden:
+                self.flow.block(True)
         elif self.count.get(name):
-            self._close_to(name, frozenset() if name in SCOPE or name in BLOCK or name == "tr" else SCOPE)
+            self._close_to(name, frozenset() if name == "template" else _TEMPLATE if name in SCOPE or name in BLOCK or name == "tr" else SCOPE)
 
     def _end_any(self, names: frozenset, beyond: frozenset) -> None:
         if not any(self.count.get(x) for x in names):
@@ -239,7 +281,7 @@ class Renderer:
         deepest = None
         for i in range(len(self.stack) - 1, -1, -1):
             n = self.stack[i][0]
-            if n in beyond:
+            if n in beyond or n == "template":
                 break
             if n in names:
                 deepest = i
@@ -260,7 +302,15 @@ class Renderer:
     def _pop(self) -> None:
         name, undo = self.stack.pop()
         self.count[name] -= 1
+        if name in FOREIGN or self.foreign and name in INTEGRATION:
+            self.foreign.pop()
+        if undo is _UNSEEN:
+            self.hidden -= 1
+            return
         flow = self.flow
+        if undo is _LINE:
+            flow.block(False)
+            return
         if name in ("td", "th") and self.tables:
             self.tables[-1][0].rows[-1].append(flow.result())
             self.flow = self.tables[-1][1]
@@ -290,6 +340,10 @@ class Renderer:
             flow.text('"')
 
     def text(self, s: str) -> None:
+        if self.hidden and self.count.get("head") and s.strip(" \t\n\r\f"):
+            self._leave_head("")
+        if self.hidden:
+            return
         if "&" in s:
             s = unescape(s)
         if self.pre:
@@ -319,14 +373,12 @@ def render(html: str | None) -> str:
     r = Renderer()
     at, n = 0, len(html)
     lower: str | None = None
-    skip, depth = "", 0  # inside a hidden element of this name, so deep
     while at < n:
         m = TAG.search(html, at)
         if m is None:
-            if not skip:
-                r.text(html[at:])
+            r.text(html[at:])
             break
-        if m.start() > at and not skip:
+        if m.start() > at:
             r.text(html[at : m.start()])
         at = m.end()
         name = m[1]
@@ -340,32 +392,16 @@ def render(html: str | None) -> str:
                 body = html[at : stop if stop >= 0 else n]
                 close = html.find(">", stop) if stop >= 0 else -1
                 at = close + 1 if close >= 0 else n
-                if not skip and name not in HIDDEN and r.start(name, rest):
-                    if name == "textarea":
-                        r.flow.text(unescape(body))
-                    else:
-                        r.flow.text(body)
+                if name in HIDDEN:
+                    r._leave_head(name)
+                else:
+                    if r.start(name, rest):
+                        r.flow.text(unescape(body) if name == "textarea" else body)
                     r.end(name)
-                continue
-            if skip:
-                if name == skip and name not in VOID:
-                    depth += 1
-                elif skip == "head" and name in ("body", "article", "p", "div", "h1", "main", "header", "nav", "section", "table", "ul", "ol"):
-                    skip = ""  # the head's end and the body's start are implied
-                    r.start(name, rest)
-                continue
-            shown = r.start(name, rest)
-            if not shown and name not in VOID and not rest.endswith("/"):
-                skip, depth = name, 1
-        elif m[3] is not None:
-            name = m[3].lower()
-            if skip:
-                if name == skip:
-                    depth -= 1
-                    if not depth:
-                        skip = ""
             else:
-                r.end(name)
+                r.start(name, rest)
+        elif m[3] is not None:
+            r.end(m[3].lower())
     return r.result()
 
 

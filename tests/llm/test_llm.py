@@ -414,6 +414,37 @@ def test_html(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<ul><li hidden>a<li>b</ul><p>c", "- b\n\nc"),
+        ("<p style='display:none'>x<p>visible", "visible"),
+        ("<div><span hidden>a</div>b", "b"),
+        ("<div hidden>a<div>b</div>c</div>d", "d"),
+        ("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>e", "b\nd\n\ne"),
+        ("<dl><dt hidden>a<dd>b</dl>c", "  b\n\nc"),
+        ("<select><option hidden>a<option>b</select>", "b"),
+        ("<div><template><p>a</div>b</template>c</div>d", "c\nd"),
+        ("<p hidden>a<script>'</p>'</script>b</p>c", "c"),
+        ("<head><title>t</title><h2>a</h2><p>b", "a\n\nb"),
+        ("<head><meta charset=x><a href=u>a</a> b<p>c", "a b\n\nc"),
+        ("<head><title>t</title>a<p>b", "a\n\nb"),
+        ("<head><template><p>x</template><title>t</title></head><body>a", "a"),
+        ("<p>a<head>b", "ab"),
+        ("a <svg><title>t</title><path d='x'/><text>b</text></svg> c", "a\nb\nc"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+        ("<svg><defs><text>a</text></defs><p>b", "b"),
+    ],
+)
+def test_html_hidden_elements_end_as_others_do(html, text):
+    assert html_text.render(html) == text
+
+
+def test_html_hidden_stays_linear():
+    for bad in ("<p hidden>x" * 50_000, "<span hidden>" * 50_000 + "</b>" * 50_000, "<svg><foreignObject>" + "<b>" * 50_000, "<head><b>x" * 50_000, "<svg><g>" * 50_000 + "<p>x"):
+        html_text.render(bad)
+
+
 def test_html_keeps_every_visible_word():
     rng = np.random.default_rng(14)
     for _ in range(200):
