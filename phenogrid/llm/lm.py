@@ -251,46 +251,34 @@ def triples(classes: DataFrame, fan_in: int = 64) -> np.ndarray:
     return out.reshape(-1)
 
 
-def train_nce(counts: np.ndarray, width: int = 24, steps: int = 600, batch: int = 4096, noise: int = 96, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit the log-bilinear model to triple counts; noise classes come from the unigram distribution and are shared by a batch."""
+def train_nce(counts: np.ndarray, width: int = 24, steps: int = 600, noise: int = 96, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
+    """Fit the log-bilinear model to triple counts; each step is a full pass over all counted triples.
+
+    The noise classes come from the unigram distribution; their part of the gradient is its expectation, not a draw. An energy is
+    a sum of one term for each place, so a pass takes CLASSES ** 3 sigmoids and products of small matrices."""
     rng = np.random.default_rng(seed)
     uni = counts.reshape(-1, CLASSES).sum(0).astype(float) + 0.5
     uni /= uni.sum()
     p = {"R": rng.normal(0, 0.1, (CLASSES, width)), "A": np.eye(width) * 0.5, "B": np.eye(width) * 0.5, "Q": rng.normal(0, 0.1, (CLASSES, width)), "b": np.log(uni)}
     p = {k: x.astype(np.float32) for k, x in p.items()}
-    cells = np.flatnonzero(counts)
-    if not len(cells):
+    if not counts.any():
         return p
-    weight = np.cumsum(counts[cells].astype(float))
-    weight /= weight[-1]
     first = {k: np.zeros_like(x) for k, x in p.items()}
     second = {k: np.zeros_like(x) for k, x in p.items()}
     log_noise = np.log(uni * noise).astype(np.float32)
-    each, edge = np.arange(batch), np.cumsum(uni)
+    seen = (counts / counts.sum()).astype(np.float32).reshape(CLASSES, CLASSES, CLASSES)
+    both = seen + seen.sum(2, keepdims=True) * (uni * noise).astype(np.float32)  # true and noise events of each triple
+    parts = [u for u in np.array_split(np.flatnonzero(seen.any((1, 2))), 16) if len(u)]
     for t in range(1, steps + 1):
-        cell = cells[np.minimum(np.searchsorted(weight, rng.random(batch)), len(cells) - 1)]
-        u, v, w = cell // (CLASSES * CLASSES), cell // CLASSES % CLASSES, cell % CLASSES
-        ru, rv = p["R"][u], p["R"][v]
-        h = ru @ p["A"] + rv @ p["B"]
-        z = np.minimum(np.searchsorted(edge, rng.random(noise)), CLASSES - 1)
-        true = np.einsum("ij,ij->i", h, p["Q"][w]) + p["b"][w] - log_noise[w]
-        fake = h @ p["Q"][z].T + p["b"][z] - log_noise[z]
-        g = -1 / (1 + np.exp(np.clip(true, -30, 30))) / batch  # d loss / d true
-        f = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / batch  # d loss / d fake
-        dh = g[:, None] * p["Q"][w] + f @ p["Q"][z]
-        one = np.zeros((CLASSES, batch), np.float32)
-        one[w, each] = g
-        grad = {"Q": one @ h, "b": one.sum(1)}
-        fz = f.T @ h
-        np.add.at(grad["Q"], z, fz)
-        np.add.at(grad["b"], z, f.sum(0))
-        grad["A"], grad["B"] = ru.T @ dh, rv.T @ dh
-        one[w, each] = 0
-        one[u, each] = 1
-        grad["R"] = one @ (dh @ p["A"].T)
-        one[u, each] = 0
-        one[v, each] = 1
-        grad["R"] += one @ (dh @ p["B"].T)
+        ra, rb = p["R"] @ p["A"], p["R"] @ p["B"]
+        ea, eb = ra @ p["Q"].T + (p["b"] - log_noise), rb @ p["Q"].T
+        ga, gb = np.zeros_like(ea), np.zeros_like(eb)  # d loss / d energy, summed over the other place
+        for u in parts:
+            g = both[u] / (1 + np.exp(-np.clip(ea[u][:, None] + eb[None], -30, 30))) - seen[u]
+            ga[u] = g.sum(1)
+            gb += g.sum(0)
+        da, db = ga @ p["Q"], gb @ p["Q"]
+        grad = {"Q": ga.T @ ra + gb.T @ rb, "b": ga.sum(0), "A": p["R"].T @ da, "B": p["R"].T @ db, "R": da @ p["A"].T + db @ p["B"].T}
         lr = np.float32(rate) * np.float32(1 - 0.95 * t / steps)
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]

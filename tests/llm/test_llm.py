@@ -514,3 +514,14 @@ def test_nothing_else_imports_llm():
             for n in names:
                 if n.endswith(".py"):
                     assert "phenogrid.llm" not in open(os.path.join(d, n)).read(), n
+
+
+def test_lm_learns_from_every_counted_triple():
+    c = lm.CLASSES
+    counts = np.zeros((c, c, c), np.int64)
+    counts[1, 2, 3] = 500_000_000
+    counts[4, 5, 6] = 1  # a draw by weight never meets it
+    one = lm.train_nce(counts.reshape(-1), steps=5)
+    counts[4, 5, 6] = 0
+    two = lm.train_nce(counts.reshape(-1), steps=5)
+    assert not np.array_equal(one["R"][4], two["R"][4])
