@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, free_name, materialise, mix, powers, remove_table, rolling, table
 from phenogrid.llm.components import components
@@ -274,8 +275,8 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: st
     return found.dropDuplicates(["node"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """id, class_id (the smallest id of the class) of every row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, weighted: bool = False, nodes_too: bool = False) -> DataFrame:
+    """id, class_id (the smallest id of the class) of every row; with nodes_too also node (the name of its shingle set) and gone (whether another id or set of its class stays)."""
     rows = materialise(sketch(docs, id_col, text_col, weighted), "sketch")
     nodes = rows.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
@@ -300,22 +301,41 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         remove_table(done)
     # names: the smallest id of each component; then back to the rows, with groups that could be hot by broadcast
     named = nodes.select("node", "id", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    final = materialise(named.join(smallest, "label").select("node", "n", "class_id"), "classes")
+    smallest = named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("first"))
+    final = materialise(named.join(smallest, "label").select("node", "n", F.col("first.id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("stays")), "classes")
     total = final.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.col("n") > max(1000, total // 1000)  # at most 1000 nodes
     heavy, light = final.filter(hot).drop("n"), final.filter(~hot).drop("n")
     body = rows.select("id", "node")
     with_words = body.filter("node is not null and id is not null")
     out = with_words.join(F.broadcast(heavy), "node").unionByName(with_words.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(light, "node"))
-    return out.select("id", "class_id").unionByName(body.filter("node is null or id is null").select("id", F.col("id").alias("class_id")))
+    names = ["id", "class_id", "node", "gone"] if nodes_too else ["id", "class_id"]
+    rest = body.filter("node is null or id is null").select("id", F.col("id").alias("class_id"), "node", F.lit(False).alias("gone"))
+    return out.withColumn("gone", ~F.col("stays") | (F.col("id") != F.col("class_id"))).select(*names).unionByName(rest.select(*names))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs but for those whose class has a smaller id; all columns unchanged."""
-    name = free_name(docs, "_gone")
-    gone = classes(docs, id_col, text_col, **options).filter(F.col("id") != F.col("class_id")).select(F.col("id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    """The rows of docs but for those whose class has a smaller id, or the same id with another text; all columns unchanged.
+
+    Where an id stands for several texts, of which some go, its rows are told apart by their shingle sets."""
+    name, set_col = free_name(docs, "_gone"), free_name(docs, "_set")
+    found = classes(docs, id_col, text_col, nodes_too=True, **options)
+    per = found.filter("id is not null").groupBy(F.col("id").alias(name)).agg(F.bool_and("gone").alias("every"), F.bool_or("gone").alias("some")).filter("some")
+    per = materialise(per, "gone")
+    mixed = per.filter(~F.col("every")).select(name)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [np.unique(x) for x in shingles([(t or "").encode() for t in b.column(text_col).to_pylist()], hashes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_name(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names, set_col])
+
+    same = docs.columns
+    part = docs.join(mixed, docs[id_col] == F.col(name), "left_semi")
+    part = part.mapInArrow(named, T.StructType([*part.schema.fields, T.StructField(set_col, T.BinaryType())]))
+    gone = found.filter("gone").select(F.col("id").alias(name), F.col("node").alias("_node")).distinct()
+    part = part.join(gone, (part[id_col] == F.col(name)) & (part[set_col] == F.col("_node")), "left_anti").select(*same)
+    return docs.join(per.select(name), docs[id_col] == F.col(name), "left_anti").unionByName(part)
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -525,3 +525,15 @@ def test_lm_learns_from_every_counted_triple():
     counts[4, 5, 6] = 0
     two = lm.train_nce(counts.reshape(-1), steps=5)
     assert not np.array_equal(one["R"][4], two["R"][4])
+
+
+def test_near_copies_of_repeated_ids_keep_one_row_of_each_class(spark):
+    words = [f"word{i}" for i in range(300)]
+    text, near, clean = " ".join(words), " ".join(words[:299]), " ".join(f"other{i}" for i in range(300))
+    twin, twin_near = " ".join(f"twin{i}" for i in range(300)), " ".join(f"twin{i}" for i in range(299))
+    rows = [(1, text), (2, near), (2, clean), (3, twin), (3, twin_near), (4, None), (None, text)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((i, t) for i, t in got if i in (1, 2)) == [(1, text), (2, clean)]  # the clean text of a repeated id stays
+    assert len([t for i, t in got if i == 3]) == 1  # of two near-equal texts of one id one goes
+    assert (4, None) in got and (None, text) in got and kept.columns == ["doc_id", "text"]
