@@ -1,19 +1,25 @@
-"""Language-model scores of texts: a log-bilinear neural model over word classes, trained by noise-contrastive estimation.
+"""Language-model scores of texts: a log-bilinear neural model over words, trained by noise-contrastive estimation.
 
-Event space. Tokens are lower-cased words and one end per text. Every word of the training part has its count; each class
-that is open to new words has one more event, the unseen word, with count 0; all counts are smoothed by 0.1.
+Event space. Tokens are lower-cased words and one end per text. The most frequent words of the training texts and the end are
+units of their own, `own_words(tokens)` of them: a number that grows with the corpus. All other words, seen or not, fall
+into SHAPES units by shape (kind of the last byte, first letter beyond ASCII; words of more than 64 bytes have a unit of their own);
+within such a unit a word has its smoothed share of the unit's count, and one more event is the unseen word.
 
-Classes. The most frequent words are classes of their own. All other words fall into classes by shape (kind of the last
-byte, first letter beyond ASCII, frequent or rare: seen once, or not shared); the heaviest shapes get classes, the rest share one.
-P(word | two tokens before) = P(class | classes of the two tokens before) * smoothed count of the word / that of its class.
-The first factor is the log-bilinear model: the context's vector is a sum of the neighbours' vectors through a matrix for
-each place, its product with a class's vector plus that class's bias is the class's energy. It is trained in numpy on the
-class triples of all training texts by noise-contrastive estimation; then batched matrix products over all contexts and a
-softmax give the table of normalised log-probabilities, which sums to 1 over the event space.
+Model. P(word | two tokens before) = P(class | context) * P(unit | class, context) * share of the word in its unit. The first
+two factors are log-bilinear: the context is a vector, the sum of the two tokens' vectors each through a matrix for its place; its
+product with a class's or unit's vector plus a bias is the energy. The most frequent units are classes of one; the others, in the
+order of their last letters, are cut into classes of about the square root of their number. So batched matrix products give
+normalised log-probabilities at the cost of two square roots of the vocabulary for each token.
 
-Everything gathered from the corpus, counts of words, classes and triples, covers all training texts and grows with them.
-What is collected is bounded: at most `SHARED_WORDS` words of at most 64 bytes with their counts, and CLASSES ** 3 triple
-counts. The other words' counts meet their documents in a join, in which no word is hot: the frequent ones are shared. Longer words than 64 bytes stand for themselves by a digest.
+Training. Noise-contrastive estimation in numpy: each factor learns to tell the true class or unit from noise of the unigram
+distribution; the noise's part of the gradient is its expectation, not a draw. All training texts are passed over, each
+Spark partition from the same parameters; then the partitions' moves are averaged in a tree (a word's vector by how often the
+partition met it), and the next round starts. No round leaves texts out. Corpora of fewer than FEW_TOKENS tokens get more
+rounds (MOST_ROUNDS at most) and smaller steps, so that these too see enough of them.
+
+What is collected is bounded: SHARED_WORDS words of at most 64 bytes with their counts, and the parameters (MAX_OWN words).
+The other words' counts meet their documents in a join, in which no word is hot: the frequent ones are shared. Longer words
+than 64 bytes stand for themselves by a digest. No score depends on which words are shared.
 
 Defined results: a null text is empty: one token, the end. A null id counts as text "" for the held-out rule. Repeated rows
 are each counted and scored. An empty table gives an empty result. Other columns are ignored.
@@ -34,16 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, materialise, table, task_count
+from phenogrid.llm.common import crc_mod, materialise, remove_table, table, task_count
 
-#: Words whose counts every worker holds; classes in all, words that are classes, and shapes that are.
-SHARED_WORDS, CLASSES, WORD_CLASSES = 262_144, 128, 79
+#: Words whose counts every worker holds; words with vectors of their own at most.
+SHARED_WORDS, MAX_OWN = 262_144, 65_536
+#: Units of all other words: 64 shapes, and long words.
+SHAPES = 65
 SMOOTH = 0.1
 END = b""  # not a word
-_END_CLASS, _REST_CLASS = 0, CLASSES - 1
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
-SHAPES = 128
+#: Length of the vectors, classes of one unit, noise events for each true one, tokens of a step, rows of a product, first rate.
+WIDTH, SINGLES, NOISE, BATCH, BLOCK, RATE = 24, 64, 100.0, 16_384, 512, 0.15
+#: Tokens below which a corpus is passed over more than once, and how often at most.
+FEW_TOKENS, MOST_ROUNDS = 4_000_000, 8
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,14 +65,21 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= 64 else b"\xff" + hashlib.sha256(word).digest()
 
 
-def shape(word: bytes) -> int:
-    """0 to 63: kind of the last byte (8) and the first letter beyond ASCII (8)."""
-    last = word[-1]
+def shape(key: bytes) -> int:
+    """0 to 63: kind of the last byte (8) and the first letter beyond ASCII (8); 64: a long word's digest."""
+    if key[0] == 0xFF:
+        return 64
+    last = key[-1]
     kind = 0 if 97 <= last <= 122 else 1 if last >= 128 else 2 if last == 46 else 3 if last == 44 else 4 if 48 <= last <= 57 else 5 + last % 3
-    beyond = next((word[i] * 64 + word[i + 1] for i in range(len(word) - 1) if word[i] >= 0xC0), -1)
+    beyond = next((key[i] * 64 + key[i + 1] for i in range(len(key) - 1) if key[i] >= 0xC0), -1)
     return kind * 8 + (1 + beyond % 7 if beyond >= 0 else 0)
 
 
+def own_words(total: int) -> int:
+    """How many words get vectors of their own in a corpus of `total` tokens."""
+    return int(min(MAX_OWN, math.isqrt(total)))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -83,40 +100,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    """What workers know of the words: counts of the shared ones, which words and shapes are classes."""
+    """What workers know of the words: the shared ones' counts and units; the units' classes, counts and masses."""
 
-    words: list[bytes]  # shared, by falling count
+    words: list[bytes]  # shared; the end is the first
     counts: np.ndarray
-    shape_class: np.ndarray  # of shape + 64 * rare
-
-    def place(self) -> tuple[dict[bytes, int], np.ndarray]:
-        """word -> number; class of each number. END is class 0, the first words are 1, 2, ..."""
-        cls = np.empty(len(self.words), np.uint8)
-        own = 1
-        for i, w in enumerate(self.words):
-            if w == END:
-                cls[i] = _END_CLASS
-            elif own <= WORD_CLASSES:
-                cls[i] = own
-                own += 1
-            else:
-                cls[i] = self.shape_class[shape(w) + 64 * (self.counts[i] < 2)]
-        return dict(zip(self.words, range(len(self.words)), strict=True)), cls
+    unit: np.ndarray  # of each shared word
+    of_shape: np.ndarray  # the unit of each shape
+    first: np.ndarray  # of each class the first of its units, and the number of units at the end
+    tally: np.ndarray  # training tokens of each unit
+    log_mass: np.ndarray  # of each unit: log10 of what the counts of a shape's words are shares of; 0 for words of their own
 
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-class _Numbers(dict):
-    """word -> its number; an unshared word -> minus its class, minus 1."""
 
-    def __init__(self, shared: dict[bytes, int], shape_class: np.ndarray):
-        super().__init__(shared)
-        self.shape_class, self.extra = shape_class, 0
+class _Numbers(dict):
+    """word -> its place among the shared words; of any other word, minus its shape, minus 1."""
 
     def __missing__(self, word: bytes) -> int:
         key = key_of(word)
         value = self.get(key) if key is not word else None
-        if value is None:
-            value = -1 - int(self.shape_class[64 + shape(word)])
-        return value
+        return -1 - shape(key) if value is None else value
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -124,207 +129,341 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def lexicon(counts: DataFrame, shared: int = SHARED_WORDS) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon, and each class's smoothed mass."""
+def lexicon(counts: DataFrame, total: int, shared: int = SHARED_WORDS) -> Lexicon:
     # a cut on the counts' scale instead of a top-k, whose candidates would all meet in one task; at most a few thousand levels
     level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
-    held, least = 0, None
-    for at, n in sizes:
-        held += n
-        if held > shared:
-            break
-        least = at
-    top = counts.filter(level >= least).toArrow() if least is not None else counts.limit(0).toArrow()
-    ranked = sorted(zip((-top.column("c").to_numpy()).tolist(), top.column("word").to_pylist(), strict=True))
-    words = [w for _, w in ranked]
-    lex = Lexicon(words, np.array([-c for c, _ in ranked], np.int64), np.full(SHAPES, _REST_CLASS, np.uint8))
-    number, cls = lex.place()
-    own = frozenset(w for w, c in zip(words, cls.tolist(), strict=True) if c <= WORD_CLASSES)
-    shared_set = counts.sparkSession.sparkContext.broadcast(words)
+
+    def least(most: int) -> int:
+        """The lowest level at which at most so many words stand above."""
+        held, low = 0, 1 << 30
+        for at, n in sizes:
+            held += n
+            if held > most:
+                break
+            low = at
+        return low
+
+    top = counts.filter((level >= least(shared)) | (F.col("word") == END)).select("word", "c", level.alias("level")).toArrow().to_pylist()
+    top = sorted((r for r in top if r["word"] != END), key=lambda r: (-r["c"], r["word"]))
+    cut = least(min(own_words(total), shared))
+    own = [r["word"] for r in top if r["level"] >= cut]
+    taken = counts.sparkSession.sparkContext.broadcast(frozenset([END, *own]))
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(shared_set.value)
-        mass, n = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+        mass, n, end = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64), 0
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w not in own:
-                    s = (shape(w) if c > 1 and w in known else 64 + shape(w)) if w[:1] != b"\xff" else 64
-                    mass[s] += c
-                    n[s] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(mass), pa.array(n)], ["s", "mass", "n"])
-
-    per = counts.select("word", "c").mapInArrow(masses, "s int, mass long, n long").groupBy("s").agg(F.sum("mass"), F.sum("n")).collect()
-    mass, n = np.zeros(SHAPES), np.zeros(SHAPES)
-    for s, m, k in per:
+                if w not in taken.value:
+                    mass[shape(w)] += c
+                    n[shape(w)] += 1
+                elif w == END:
+                    end += c
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES + 1), pa.int32()), pa.array([*mass, end], pa.int64()), pa.array([*n, 0], pa.int64())], ["s", "mass", "n"])
+
+    mass, n = np.zeros(SHAPES + 1), np.zeros(SHAPES + 1)
+    for s, m, k in counts.select("word", "c").mapInArrow(masses, "s int, mass long, n long").groupBy("s").agg(F.sum("mass"), F.sum("n")).collect():
         mass[s], n[s] = m, k
-    heavy = np.lexsort((np.arange(SHAPES), -mass))[: CLASSES - 2 - WORD_CLASSES]
-    for k, s in enumerate(heavy):
-        lex.shape_class[s] = WORD_CLASSES + 1 + k
-    total = np.zeros(CLASSES)
-    np.add.at(total, lex.shape_class, mass + SMOOTH * n)
-    for w, c, k in zip(words, lex.counts.tolist(), cls.tolist(), strict=True):
-        if w in own:
-            total[k] += c + SMOOTH
-    total[WORD_CLASSES + 1 :] += SMOOTH  # the unseen word of each class that is open
-    return lex, np.where(total > 0, total, SMOOTH)
+    # the units: the end, then the heaviest as classes of one, then the rest by their last letters in classes of even size
+    units = [(r["c"], r["word"], None) for r in top[: len(own)]] + [(int(mass[s]), bytes([255, s]), s) for s in range(SHAPES)]
+    units.sort(key=lambda x: (-x[0], x[1]))
+    rest = sorted(units[SINGLES - 1 :], key=lambda x: (x[1][::-1], x[1]))
+    units = [(int(mass[SHAPES]), END, None), *units[: SINGLES - 1], *rest]
+    alone = len(units) - len(rest)
+    cuts = np.linspace(alone, len(units), max(1, math.isqrt(len(rest))) + 1).astype(int)[1:] if rest else []
+    place = {w: i for i, (_, w, s) in enumerate(units) if s is None}
+    of_shape = np.zeros(SHAPES, np.int32)
+    log_mass = np.zeros(len(units))
+    for i, (c, _, s) in enumerate(units):
+        if s is not None:
+            of_shape[s] = i
+            log_mass[i] = math.log10(c + SMOOTH * (n[s] + 1))  # and the unseen word
+    words, freq = [END, *[r["word"] for r in top]], [int(mass[SHAPES]), *[r["c"] for r in top]]
+    unit = np.array([place[w] if w in place else of_shape[shape(w)] for w in words], np.int32)
+    return Lexicon(words, np.array(freq, np.int64), unit, of_shape, np.array([*range(alone + 1), *cuts], np.int64), np.array([u[0] for u in units], float), log_mass)
 
 
 def annotate(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str, folds: int) -> DataFrame:
-    """For each text: its tokens' classes, what the shared words give, and the other words with their numbers."""
+    """For each text: its tokens' units, what the shared words give to both scores, and the other words with their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_shared long, part double, classes binary, words array<binary>, times array<int>"
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_shared long, part double, rest double, units binary, words array<binary>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        place, cls = lex.place()
-        numbers = _Numbers(place, lex.shape_class)
+        numbers = _Numbers(zip(lex.words, range(len(lex.words)), strict=True))
         logs = np.log10(lex.counts + SMOOTH)
-        end = place.get(END)
-        end_log = logs[end] if end is not None else math.log10(SMOOTH)
+        in_shape = np.isin(lex.unit, lex.of_shape)
         for b in batches:
-            n, known, part, classes, words, times = [], [], [], [], [], []
+            n, known, part, rest, units, words, times = [], [], [], [], [], [], []
             for text in b.column(2).to_pylist():
                 found = tokens(text)
-                at = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-                rare = np.flatnonzero(at < 0)
-                got = cls[np.maximum(at, 0)] if len(cls) else np.zeros(len(at), np.uint8)
-                got[rare] = -1 - at[rare]
-                classes.append(got.tobytes() + bytes([_END_CLASS]))
-                n.append(len(found) + 1)
-                known.append(len(found) - len(rare) + (end is not None))
-                part.append(float(logs[at[at >= 0]].sum()) + end_log)
+                at = np.zeros(len(found) + 1, np.int32)  # the last is the end
+                at[:-1] = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+                rare, held = np.flatnonzero(at < 0), at[at >= 0]
+                got = lex.unit[np.maximum(at, 0)]
+                got[rare] = lex.of_shape[-1 - at[rare]]
+                units.append(got.tobytes())
+                n.append(len(at))
+                known.append(int((lex.counts[held] > 0).sum()))
+                part.append(float(logs[held].sum()))
+                rest.append(float(logs[held[in_shape[held]]].sum()))
                 few = Counter([key_of(found[i]) for i in rare.tolist()])
                 words.append(list(few))
                 times.append(list(few.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(classes, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], ["id", "held_out", "n_tokens", "n_shared", "part", "classes", "words", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(rest, pa.float64()), pa.array(units, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], ["id", "held_out", "n_tokens", "n_shared", "part", "rest", "units", "words", "times"])
 
     named = docs.select(docs[id_col].alias("id"), (crc_mod(docs[id_col], folds) == 0).alias("held_out"), docs[text_col].alias("text"))
     return named.mapInArrow(run, schema)
 
 
-def packed(classes: bytes) -> np.ndarray:
-    """(class two before, class before, class) of each token, as one number; a text starts after an end."""
-    k = np.frombuffer(classes, np.uint8).astype(np.int32)
-    out = k.copy()
-    out[1:] += k[:-1] * CLASSES
-    out[2:] += k[:-2] * (CLASSES * CLASSES)
-    out[0] += _END_CLASS * (CLASSES + CLASSES * CLASSES)
-    if len(k) > 1:
-        out[1] += _END_CLASS * CLASSES * CLASSES
-    return out
-
+Parameters = dict[str, np.ndarray]
 
-_CHUNKS = 64
 
-
-def triples(classes: DataFrame, fan_in: int = 64) -> np.ndarray:
-    """How often each class triple stands in all texts; dense, CLASSES ** 3 numbers. Tasks' counts meet in a tree, chunk by chunk."""
-    size = CLASSES**3 // _CHUNKS
+def start(lex: Lexicon, width: int = WIDTH, seed: int = 7) -> Parameters:
+    """Small random vectors; biases that give the unigram distribution."""
+    rng = np.random.default_rng(seed)
+    units, n = len(lex.tally), len(lex.first) - 1
+    mass = lex.tally + 0.5
+    by_class = np.add.reduceat(mass, lex.first[:-1])
+    p = {
+        "R": rng.normal(0, 0.1, (units, width)), "A": np.eye(width) * 0.7, "B": np.eye(width) * 0.7,
+        "K": rng.normal(0, 0.1, (n, width)), "k": np.log(by_class / by_class.sum()),
+        "Q": rng.normal(0, 0.1, (units, width)), "q": np.log(mass / by_class[lex.class_of]),
+    }
+    return {name: x.astype(np.float32) for name, x in p.items()}
+
+
+def contexts(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token two before, token before, token) over texts; a text starts after two ends."""
+    w = np.concatenate(units)
+    ends = np.cumsum([len(u) for u in units])[:-1]
+    u, v = np.zeros_like(w), np.zeros_like(w)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    for at, x in ((ends, v), (ends, u), (ends[ends + 1 < len(w)] + 1, u)):
+        x[at] = 0
+    return u, v, w
+
+
+def _contrast(x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """The gradient of the noise-contrastive loss by the energies: expected noise events taken for true, less true ones missed.
+
+    bias is less the log of the noise. Blocks of rows stay in the processor's cache."""
+    grad = np.empty((len(x), len(noise)), np.float32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(x), BLOCK):
+            s = grad[at : at + BLOCK]
+            np.matmul(x[at : at + BLOCK], vectors.T, out=s)
+            s += bias
+            np.negative(s, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+            rows, t = np.arange(len(s)), true[at : at + BLOCK]
+            found = s[rows, t]
+            s *= noise
+            s[rows, t] -= 1 - found
+    return grad
+
+
+class Trainer:
+    """Passes over texts with adaptive steps (squared gradients are summed for each parameter)."""
+
+    def __init__(self, p: Parameters, lex: Lexicon, rate: float):
+        self.p, self.first, self.class_of, self.rate = {k: x.copy() for k, x in p.items()}, lex.first, lex.class_of, rate
+        self.batch = int(min(BATCH, max(256, lex.tally.sum() * BATCH / FEW_TOKENS)))
+        self.square = {k: np.full(x.shape, 1e-2, np.float32) for k, x in p.items()}
+        mass = lex.tally + 0.5
+        by_class = np.add.reduceat(mass, lex.first[:-1])
+        self.class_noise = (NOISE * by_class / by_class.sum()).astype(np.float32)
+        self.unit_noise = (NOISE * mass / by_class[self.class_of]).astype(np.float32)
+        self.log_class, self.log_unit = np.log(self.class_noise), np.log(self.unit_noise)
+        self.met = np.zeros(len(mass), np.float32)
+
+    def _move(self, name: str, at, grad: np.ndarray) -> None:
+        s = self.square[name][at] + grad * grad
+        self.square[name][at] = s
+        self.p[name][at] -= np.float32(self.rate) * grad / np.sqrt(s)
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        p = self.p
+        ru, rv = p["R"][u], p["R"][v]
+        h = ru @ p["A"] + rv @ p["B"]
+        c = self.class_of[w]
+        g = _contrast(h, p["K"], p["k"] - self.log_class, self.class_noise, c)
+        dh = g @ p["K"]
+        dk, dbias = g.T @ h, g.sum(0)
+        order = np.argsort(c, kind="stable")
+        kinds, begins = np.unique(c[order], return_index=True)
+        for cls, rows in zip(kinds.tolist(), np.split(order, begins[1:]), strict=True):
+            a, b = self.first[cls], self.first[cls + 1]
+            if b - a < 2:
+                continue
+            x, part = h[rows], slice(a, b)
+            g = _contrast(x, p["Q"][part], p["q"][part] - self.log_unit[part], self.unit_noise[part], w[rows] - a)
+            dh[rows] += g @ p["Q"][part]
+            self._move("Q", part, g.T @ x)
+            self._move("q", part, g.sum(0))
+        self._move("K", slice(None), dk)
+        self._move("k", slice(None), dbias)
+        du, dv = dh @ p["A"].T, dh @ p["B"].T
+        self._move("A", slice(None), ru.T @ dh)
+        self._move("B", slice(None), rv.T @ dh)
+        both = np.concatenate([u, v])
+        order = np.argsort(both, kind="stable")
+        seen, begins, times = np.unique(both[order], return_index=True, return_counts=True)
+        self._move("R", seen, np.add.reduceat(np.concatenate([du, dv])[order], begins))
+        self.met[seen] += times
+
+    def texts(self, units: list[np.ndarray]) -> None:
+        u, v, w = contexts(units)
+        for at in range(0, len(w), self.batch):
+            s = slice(at, at + self.batch)
+            self.step(u[s], v[s], w[s])
+
+
+_CHUNKS = 32
+
+
+def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in: int = 32) -> Parameters:
+    """One round: every partition passes over its texts from p; the moves are averaged in a tree, chunk by chunk."""
+    sc = rows.sparkSession.sparkContext
+    given = sc.broadcast((p, lex))
+    sizes = {k: x.size for k, x in p.items()}
+    length = -(-sum(sizes.values()) // _CHUNKS)
+
+    def blob(x: np.ndarray) -> bytes:
+        return zlib.compress(x.astype(np.float32).tobytes(), 1)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(CLASSES**3, np.int64)
+        before, lex = given.value
+        t, n = Trainer(before, lex, rate), 0
         for b in batches:
-            parts = [packed(x) for x in b.column(0).to_pylist()]
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=CLASSES**3)
-        blobs = [zlib.compress(x.tobytes(), 1) for x in total.reshape(_CHUNKS, size)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * _CHUNKS, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "blob"])
+            held: list[np.ndarray] = []
+            size = 0
+            for x in b.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.int32))
+                size += len(held[-1])
+                if size >= 4 * BATCH:
+                    t.texts(held)
+                    n, held, size = n + size, [], 0
+            if held:
+                t.texts(held)
+                n += size
+        if not n:
+            return
+        weight = {k: np.full(x.shape, n, np.float32) for k, x in before.items()}
+        weight["R"] = np.repeat(t.met[:, None], before["R"].shape[1], 1)
+        flat = np.zeros((2, length * _CHUNKS), np.float32)
+        flat[1, : sum(sizes.values())] = np.concatenate([weight[k].ravel() for k in before])
+        flat[0, : sum(sizes.values())] = np.concatenate([(t.p[k] - before[k]).ravel() for k in before])
+        flat[0] *= flat[1]
+        chunks = flat.reshape(2, _CHUNKS, length)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * _CHUNKS, pa.int32()), pa.array([blob(chunks[:, i]) for i in range(_CHUNKS)], pa.binary())], ["chunk", "part", "blob"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group["blob"])
-        return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "blob": [zlib.compress(total.tobytes(), 1)]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.float32) for x in group.sort_values("part")["blob"])
+        return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "blob": [blob(total)]})
 
-    parts = max(1, task_count(classes))
-    held = classes.mapInArrow(tally, "chunk int, part int, blob binary")
+    parts = max(1, task_count(rows))
+    held = rows.mapInArrow(tally, "chunk int, part int, blob binary")
     while True:
         parts = -(-parts // fan_in)
         held = held.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("chunk", "part").applyInPandas(add, "chunk int, part int, blob binary")
         if parts <= 1:
             break
-    out = np.zeros((_CHUNKS, size), np.int64)
-    for chunk, _, blob in held.collect():
-        out[chunk] += np.frombuffer(zlib.decompress(blob), np.int64)
-    return out.reshape(-1)
-
+    total = np.zeros((2, _CHUNKS, length), np.float32)
+    for chunk, _, x in held.collect():
+        total[:, chunk] += np.frombuffer(zlib.decompress(x), np.float32).reshape(2, length)
+    total = total.reshape(2, -1)
+    move = total[0] / np.maximum(total[1], 1)
+    out, at = {}, 0
+    for k, x in p.items():
+        out[k] = x + move[at : at + x.size].reshape(x.shape)
+        at += x.size
+    given.unpersist()
+    return out
 
-def train_nce(counts: np.ndarray, width: int = 24, steps: int = 600, noise: int = 96, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit the log-bilinear model to triple counts; each step is a full pass over all counted triples.
 
-    The noise classes come from the unigram distribution; their part of the gradient is its expectation, not a draw. An energy is
-    a sum of one term for each place, so a pass takes CLASSES ** 3 sigmoids and products of small matrices."""
-    rng = np.random.default_rng(seed)
-    uni = counts.reshape(-1, CLASSES).sum(0).astype(float) + 0.5
-    uni /= uni.sum()
-    p = {"R": rng.normal(0, 0.1, (CLASSES, width)), "A": np.eye(width) * 0.5, "B": np.eye(width) * 0.5, "Q": rng.normal(0, 0.1, (CLASSES, width)), "b": np.log(uni)}
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    if not counts.any():
-        return p
-    first = {k: np.zeros_like(x) for k, x in p.items()}
-    second = {k: np.zeros_like(x) for k, x in p.items()}
-    log_noise = np.log(uni * noise).astype(np.float32)
-    seen = (counts / counts.sum()).astype(np.float32).reshape(CLASSES, CLASSES, CLASSES)
-    both = seen + seen.sum(2, keepdims=True) * (uni * noise).astype(np.float32)  # true and noise events of each triple
-    parts = [u for u in np.array_split(np.flatnonzero(seen.any((1, 2))), 16) if len(u)]
-    for t in range(1, steps + 1):
-        ra, rb = p["R"] @ p["A"], p["R"] @ p["B"]
-        ea, eb = ra @ p["Q"].T + (p["b"] - log_noise), rb @ p["Q"].T
-        ga, gb = np.zeros_like(ea), np.zeros_like(eb)  # d loss / d energy, summed over the other place
-        for u in parts:
-            g = both[u] / (1 + np.exp(-np.clip(ea[u][:, None] + eb[None], -30, 30))) - seen[u]
-            ga[u] = g.sum(1)
-            gb += g.sum(0)
-        da, db = ga @ p["Q"], gb @ p["Q"]
-        grad = {"Q": ga.T @ ra + gb.T @ rb, "b": ga.sum(0), "A": p["R"].T @ da, "B": p["R"].T @ db, "R": da @ p["A"].T + db @ p["B"].T}
-        lr = np.float32(rate) * np.float32(1 - 0.95 * t / steps)
-        for k in p:
-            first[k] = 0.9 * first[k] + 0.1 * grad[k]
-            second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
-            p[k] = p[k] - lr * (first[k] / np.float32(1 - 0.9**t)) / (np.sqrt(second[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-    return p
+def _log_softmax_at(x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log of the softmax of x @ vectors.T + bias at one place of each row."""
+    out = np.empty(len(x))
+    for begin in range(0, len(x), BLOCK):
+        e = x[begin : begin + BLOCK] @ vectors.T
+        e += bias
+        e -= e.max(1, keepdims=True)
+        true = e[np.arange(len(e)), at[begin : begin + BLOCK]]
+        np.exp(e, out=e)
+        out[begin : begin + BLOCK] = true - np.log(e.sum(1))
+    return out
 
 
-def log_table(p: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 P(class | two classes before) for all contexts, in batches of matrix products; each row is normalised."""
-    p = {k: x.astype(float) for k, x in p.items()}
-    a, b = p["R"] @ p["A"], p["R"] @ p["B"]
-    out = np.empty((CLASSES, CLASSES, CLASSES))
-    for u in range(CLASSES):
-        energy = (a[u] + b) @ p["Q"].T + p["b"]
-        energy -= energy.max(1, keepdims=True)
-        out[u] = energy - np.log(np.exp(energy).sum(1, keepdims=True))
-    return out.reshape(-1) / math.log(10)
+class Scorer:
+    """Normalised log10 P(unit | two units before), by batched matrix products."""
+
+    def __init__(self, p: Parameters, lex: Lexicon):
+        self.p, self.first, self.class_of = p, lex.first, lex.class_of
+        self.a, self.b = p["R"] @ p["A"], p["R"] @ p["B"]
+
+    def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p, out = self.p, np.empty(len(w))
+        for begin in range(0, len(w), 4 * BATCH):
+            s = slice(begin, begin + 4 * BATCH)
+            h, c, x = self.a[u[s]] + self.b[v[s]], self.class_of[w[s]], w[s]
+            got = _log_softmax_at(h, p["K"], p["k"], c)
+            order = np.argsort(c, kind="stable")
+            kinds, begins = np.unique(c[order], return_index=True)
+            for cls, rows in zip(kinds.tolist(), np.split(order, begins[1:]), strict=True):
+                lo, hi = self.first[cls], self.first[cls + 1]
+                if hi - lo > 1:
+                    got[rows] += _log_softmax_at(h[rows], p["Q"][lo:hi], p["q"][lo:hi], x[rows] - lo)
+            out[s] = got
+        return out / math.log(10)
+
+
+def train(rows: DataFrame, lex: Lexicon) -> Parameters:
+    """Fit the model on the units of `rows` (one column)."""
+    p = start(lex)
+    for k in range(int(min(MOST_ROUNDS, max(1, FEW_TOKENS // max(1, lex.tally.sum()))))):
+        p = averaged(rows, p, lex, RATE / (1 + k / 2))
+    return p
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, shared: int = SHARED_WORDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     training = docs.filter(crc_mod(docs[id_col], folds) != 0).select(docs[text_col].alias("text"))
     counts = materialise(count_words(training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    lex, mass = lexicon(counts)
+    lex = lexicon(counts, total, shared)
     rows = materialise(annotate(docs, lex, id_col, text_col, folds).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    p = train_nce(triples(rows.filter(~F.col("held_out")).select("classes")))
-    given = spark.sparkContext.broadcast((log_table(p) - np.tile(np.log10(mass), CLASSES * CLASSES)).astype(np.float64))
+    p = train(rows.filter(~F.col("held_out")).select("units"), lex)
+    given = spark.sparkContext.broadcast((p, lex))
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = given.value
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, lex = given.value
+        scorer = Scorer(p, lex)
         for b in batches:
-            got = [float(t[packed(x)].sum()) for x in b.column(b.num_columns - 1).to_pylist()]
+            units = [np.frombuffer(x, np.int32) for x in b.column(b.num_columns - 1).to_pylist()]
+            got = np.empty(0)
+            if units:
+                u, v, w = contexts(units)
+                each = scorer.log_probabilities(u, v, w) - lex.log_mass[w]
+                got = np.add.reduceat(each, np.cumsum([0, *[len(x) for x in units[:-1]]]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], "model"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.select("row", "id", "held_out", "n_tokens", "n_shared", "part", "classes").mapInArrow(classes, f"row long, id {kind}, held_out boolean, n_tokens long, n_shared long, part double, model double")
+    kept = ["row", "id", "held_out", "n_tokens", "n_shared", "part", "rest"]
+    scored = rows.select(*kept, "units").mapInArrow(model, f"row long, id {kind}, held_out boolean, n_tokens long, n_shared long, part double, rest double, model double")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
     out = scored.join(met, "row", "left")
-    logs = F.col("part") + F.coalesce("rare", F.lit(0.0))
+    logs = F.coalesce("rare", F.lit(0.0))
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_shared") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(total + SMOOTH * (distinct + 1))).alias("base_score"), (logs + F.col("model")).alias("score"),
+        (F.col("part") + logs - F.col("n_tokens") * math.log10(total + SMOOTH * (distinct + 1))).alias("base_score"), (F.col("model") + F.col("rest") + logs).alias("score"),
     )
 
 

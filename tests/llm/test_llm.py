@@ -313,8 +313,83 @@ def test_language_model_counts_and_normalisation(spark, docs, texts):
         assert got[i].n_tokens == len(w) and got[i].n_known == sum(c[x] > 0 for x in w) and got[i].train_tokens == n
         assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 10 == 0) and got[i].score < 0
-    p = lm.train_nce(np.bincount([1, 5, 5], minlength=lm.CLASSES**3), steps=20)
-    assert np.allclose((10 ** lm.log_table(p).reshape(-1, lm.CLASSES)).sum(1), 1)
+
+
+def lm_corpus(rng):
+    own = [f"w{i}" for i in range(40)]
+    made = [" ".join([*rng.choice(own, 30), *(f"once{k}-{j}" for j in range(3)), "u" * (65 + k % 5) + str(k % 7)]) for k in range(200)]
+    return [*made, made[0], None, "", " ".join(f"d{i}" for i in range(3000)), "x" * 100]
+
+
+def test_language_model_against_brute_force(spark):
+    """Scores token by token from the parameters, with plain sums over all classes and units; the event space sums to 1, long and unseen words included."""
+    texts = lm_corpus(np.random.default_rng(3))
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "doc_id long, text string").coalesce(1)
+    got = {r.id: r for r in lm.score(df).collect() if r.id is not None}
+    train = [t for i, t in enumerate([*texts, texts[1]]) if zlib.crc32(str(i if i < len(texts) else "").encode()) % 10]
+    c = Counter(lm.key_of(w) for t in train for w in lm.tokens(t)) + Counter({b"": len(train)})
+    counts = lm.count_words(spark.createDataFrame([(t,) for t in train], "text string"))
+    total = sum(c.values())
+    lex = lm.lexicon(counts, total)
+    rows = lm.annotate(df, lex, "doc_id", "text", 10)
+    p = lm.train(rows.filter("not held_out").select("units"), lex)
+    place = dict(zip(lex.words, lex.unit.tolist()))
+    shapes = set(lex.of_shape.tolist())
+
+    def unit(key):
+        return place.get(key, None) if key in place else int(lex.of_shape[lm.shape(key)])
+
+    def units_given(u, v):
+        h = (p["R"][u].astype(float) @ p["A"] + p["R"][v].astype(float) @ p["B"])
+        e = np.exp(p["K"] @ h + p["k"])
+        out = np.zeros(len(lex.tally))
+        for k, (a, b) in enumerate(zip(lex.first[:-1], lex.first[1:])):
+            inner = np.exp(p["Q"][a:b] @ h + p["q"][a:b])
+            out[a:b] = e[k] / e.sum() * inner / inner.sum()
+        return out
+
+    mass = Counter()
+    for w, n in c.items():
+        mass[unit(w)] += n + 0.1
+    for s in shapes:
+        mass[s] += 0.1  # the unseen word
+    assert sum(1 for w in c if unit(w) not in shapes) > 20 and any(lm.shape(w) == 64 for w in c if w)
+    for u, v in ((0, 0), (3, 5), (len(lex.tally) - 1, 2)):
+        given = units_given(u, v)
+        share = Counter()
+        for w, n in c.items():
+            share[unit(w)] += given[unit(w)] * ((n + 0.1) / mass[unit(w)] if unit(w) in shapes else 1)
+        unseen = sum(given[s] * 0.1 / mass[s] for s in shapes)
+        assert sum(share.values()) + unseen == pytest.approx(1, abs=1e-6)
+    for i in (0, 7, 200, 201, 202, 204):
+        w, expect = [lm.key_of(x) for x in lm.tokens(texts[i])] + [b""], 0.0
+        before = [b"", b"", *w]
+        for k, x in enumerate(w):
+            given = units_given(unit(before[k]), unit(before[k + 1]))[unit(x)]
+            expect += math.log10(given * ((c[x] + 0.1) / mass[unit(x)] if unit(x) in shapes else 1))
+        assert got[i].score == pytest.approx(expect, rel=2e-4)
+
+
+def test_language_model_does_not_depend_on_which_words_are_shared(spark):
+    texts = lm_corpus(np.random.default_rng(4))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    few, all_ = ({r.id: r for r in lm.score(df, shared=n).collect()} for n in (150, 1 << 18))
+    for i, r in all_.items():
+        assert (few[i].n_known, few[i].n_tokens) == (r.n_known, r.n_tokens) and few[i].base_score == pytest.approx(r.base_score) and few[i].score == pytest.approx(r.score, rel=1e-6)
+
+
+def test_language_model_of_words_that_all_stand_once(spark):
+    """The level of the end holds more words than are shared; and without any training text."""
+    df = spark.createDataFrame([(1, " ".join(f"d{i}" for i in range(500)))], "doc_id long, text string")
+    r = lm.score(df, shared=20).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (501, 501, 501) and r.base_score == pytest.approx(501 * math.log10(1.1 / (501 + 50.2))) and r.score < 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    r = lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert (r.n_known, r.train_tokens, r.held_out) == (0, 0, True) and math.isfinite(r.score)
+
+
+def test_language_model_vocabulary_grows():
+    assert [lm.own_words(10**k) for k in (4, 6, 8)] == [100, 1000, 10000]
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark):
@@ -516,17 +591,6 @@ def test_nothing_else_imports_llm():
                     assert "phenogrid.llm" not in open(os.path.join(d, n)).read(), n
 
 
-def test_lm_learns_from_every_counted_triple():
-    c = lm.CLASSES
-    counts = np.zeros((c, c, c), np.int64)
-    counts[1, 2, 3] = 500_000_000
-    counts[4, 5, 6] = 1  # a draw by weight never meets it
-    one = lm.train_nce(counts.reshape(-1), steps=5)
-    counts[4, 5, 6] = 0
-    two = lm.train_nce(counts.reshape(-1), steps=5)
-    assert not np.array_equal(one["R"][4], two["R"][4])
-
-
 def test_near_copies_of_repeated_ids_keep_one_row_of_each_class(spark):
     words = [f"word{i}" for i in range(300)]
     text, near, clean = " ".join(words), " ".join(words[:299]), " ".join(f"other{i}" for i in range(300))
