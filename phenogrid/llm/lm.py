@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, materialise, remove_table, table, task_count
+from phenogrid.functions.threads import one_thread
+from phenogrid.llm.common import crc_mod, materialise, table, task_count
 
 #: Words whose counts every worker holds; words with vectors of their own at most.
 SHARED_WORDS, MAX_OWN = 262_144, 65_536
@@ -51,7 +52,7 @@ END = b""  # not a word
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
 #: Length of the vectors, classes of one unit, noise events for each true one, tokens of a step, rows of a product, first rate.
-WIDTH, SINGLES, NOISE, BATCH, BLOCK, RATE = 24, 64, 100.0, 16_384, 512, 0.15
+WIDTH, SINGLES, NOISE, BATCH, BLOCK, RATE = 16, 32, 100.0, 16_384, 512, 0.15
 #: Tokens below which a corpus is passed over more than once, and how often at most.
 FEW_TOKENS, MOST_ROUNDS = 4_000_000, 8
 
@@ -77,7 +78,7 @@ def shape(key: bytes) -> int:
 
 def own_words(total: int) -> int:
     """How many words get vectors of their own in a corpus of `total` tokens."""
-    return int(min(MAX_OWN, math.isqrt(total)))
+    return int(min(MAX_OWN, math.isqrt(total) // 2))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +339,7 @@ def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_thread()
         before, lex = given.value
         t, n = Trainer(before, lex, rate), 0
         for b in batches:
@@ -443,6 +445,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     given = spark.sparkContext.broadcast((p, lex))
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         p, lex = given.value
         scorer = Scorer(p, lex)
         for b in batches:
