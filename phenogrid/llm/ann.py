@@ -4,11 +4,13 @@ Fitting, on a bounded sample of `SAMPLE_ROWS` vectors: the sample's neighbour gr
 splits along main directions, then moves and swaps that put nodes with most of their neighbours, under a size limit). A
 small network with one hidden layer learns which parts a vector's neighbours lie in. The number of parts that a query
 probes is the smallest at which the network reaches `TARGET_RECALL` on sample vectors that it was not trained on; data
-without structure thus gets many probes, up to all parts, rather than bad results.
+without structure thus gets many probes rather than bad results. Parts have about PART_ROWS rows; a table that
+needs more than MAX_PARTS of them has two levels: each part is cut again in the same way, from a sample of its own
+rows that a task of its own fits on, so that the number of parts grows with the rows.
 
-Search: every row is put in its most probable part. Parts are cut into blocks of about `BLOCK_ROWS` rows, queries into
-groups, and each (block, query group) is one matrix product; the blocks' best meet in a window. Scores are computed again
-for each pair that is returned, on the original vectors in double precision.
+Search: every row is put in its most probable part. Parts are cut into blocks of about `BLOCK_ROWS` rows, the queries that
+probe a part into groups, and each (block, query group) is one matrix product; the blocks' best meet in a window. Scores are
+computed again for each pair that is returned, on the original vectors in double precision.
 
 Of vectors that are equal in all components only the k + 1 smallest ids can be among a query's k nearest; the others leave
 before the shuffle. So a vector that a third of all rows share is no hot spot, and no result changes.
@@ -20,6 +22,7 @@ several rows is one candidate, with its best score, and never its own neighbour.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phenogrid.functions.threads import one_thread
 from phenogrid.llm.common import materialise, table
 
 SAMPLE_ROWS, TEST_ROWS = 8_192, 512
 TARGET_RECALL = 0.94
-#: Rows for a part at most, until MAX_PARTS is reached; rows of a block; queries of a group.
-PART_ROWS, MAX_PARTS, BLOCK_ROWS, GROUP_QUERIES = 400, 256, 8_192, 4_096
+#: Rows of a part; parts of a level at most; rows of a block; queries of a group.
+PART_ROWS, MAX_PARTS, BLOCK_ROWS, GROUP_QUERIES = 64, 256, 8_192, 4_096
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -109,6 +113,33 @@ class Router:
     def energy(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def ranked(self, x: np.ndarray, every: bool) -> np.ndarray:
+        """Each row's parts to probe, or the first of them alone, from the most probable."""
+        e = self.energy(x)
+        return np.argsort(-e, axis=1, kind="stable")[:, : self.probes] if every else e.argmax(1)[:, None]
+
+
+@dataclass
+class Index:
+    """The router of the whole table, and those of parts that are cut again."""
+
+    root: Router
+    children: dict[int, Router]
+
+    def parts(self, x: np.ndarray, every: bool) -> list[np.ndarray]:
+        """Numbers of the parts that each row (of length 1) probes, or lies in."""
+        top = self.root.ranked(x, every)
+        if not self.children:
+            return list(top * MAX_PARTS)
+        found: list[list[np.ndarray]] = [[] for _ in x]
+        row, place = np.indices(top.shape)
+        for p in np.unique(top):
+            at = row[top == p]
+            inner = self.children[p].ranked(x[at], every) if p in self.children else np.zeros((len(at), 1), np.int64)
+            for i, r in zip(at.tolist(), inner, strict=True):
+                found[i].append(p * MAX_PARTS + r)
+        return [np.concatenate(f) for f in found]
+
 
 def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: int = 800, batch: int = 512, rate: float = 0.004, seed: int = 2) -> Router:
     """Fit the network to each row's distribution over parts, by Adam on the cross-entropy."""
@@ -131,13 +162,14 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: in
     return Router(*p, probes=parts)
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 5, graph_k: int = 10) -> Router:
+def fit(sample: np.ndarray, rows: int, k: int = 5, graph_k: int = 10, target_recall: float = TARGET_RECALL) -> Router:
     """A router from sample vectors, for a table of `rows` rows."""
     parts = int(min(MAX_PARTS, max(1, -(-rows // PART_ROWS)), max(1, len(sample) // 32)))
     d = sample.shape[1] if sample.ndim == 2 else 1
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = scaled(sample)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     held = min(TEST_ROWS, len(x) // 8)
     test, x = x[:held], x[held:]
     graph = neighbours(x, min(graph_k, len(x) - 1))
@@ -154,7 +186,7 @@ def fit(sample: np.ndarray, rows: int, k: int = 5, graph_k: int = 10) -> Router:
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None], 1)
     depth = np.sort(np.take_along_axis(place, home[near], 1).ravel())
-    router.probes = int(depth[min(len(depth) - 1, int(np.ceil(TARGET_RECALL * len(depth))))]) + 1
+    router.probes = int(depth[min(len(depth) - 1, int(np.ceil(target_recall * len(depth))))]) + 1
     return router
 
 
@@ -208,30 +240,45 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     rows = materialise(vectors(base, id_col, vector_col, dim).withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS + TEST_ROWS).toArrow()
-    router = fit(matrix(drawn.column("vec"), dim), total, k)
-    shared = spark.sparkContext.broadcast(router)
+    deep = total > MAX_PARTS * PART_ROWS * 4  # parts of four times their size at one level
+    aim = TARGET_RECALL ** (0.5 if deep else 1)
+    index = Index(fit(matrix(drawn.column("vec"), dim), total, k, target_recall=aim), {})
+
+    def routed(frame: DataFrame, every: bool) -> DataFrame:
+        """id, vec, part: a row for each part that a query probes, or for the part that a row lies in."""
+        shared = spark.sparkContext.broadcast(index)
 
-    def route(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = shared.value
+            one_thread()
             for b in batches:
                 x = scaled(matrix(b.column(1), dim))
-                e = r.energy(x / np.linalg.norm(x, axis=1, keepdims=True))
-                order = np.argsort(-e, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, max(1, order.shape[1])).astype(np.int32)), pa.array(order.ravel()))], ["id", "vec", "parts"])
-
-        return run
-
-    placed = materialise(rows.mapInArrow(route(1), "id long, vec binary, parts array<int>").select("id", "vec", F.get("parts", F.lit(0)).alias("part")), "placed")
-    size = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}  # a number for each part
-    blocks = F.create_map(*[F.lit(x) for p in range(router.parts) for x in (p, max(1, -(-size.get(p, 0) // BLOCK_ROWS)))])
-    asked = vectors(base.filter(queries), id_col, vector_col, dim).mapInArrow(route(router.probes), "id long, vec binary, parts array<int>")
-    groups = max(1, -(-base.filter(queries).count() * router.probes // router.parts // GROUP_QUERIES))
-    asked = asked.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), F.explode("parts").alias("part"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("part"))).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+                parts = shared.value.parts(x / np.linalg.norm(x, axis=1, keepdims=True), every) if len(x) else []
+                at = pa.array(np.repeat(np.arange(len(x)), [len(p) for p in parts]).astype(np.int32) if len(x) else np.empty(0, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(parts).astype(np.int32) if len(x) else np.empty(0, np.int32))], ["id", "vec", "part"])
+
+        return frame.mapInArrow(run, "id long, vec binary, part int")
+
+    placed = materialise(routed(rows, False), "placed")
+    if deep:
+        place = Window.partitionBy("part").orderBy(F.xxhash64("id"), "id")
+        drawn = placed.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SAMPLE_ROWS + TEST_ROWS)
+        sizes = F.broadcast(placed.groupBy("part").agg(F.count("*").alias("n")))  # at most MAX_PARTS rows
+
+        def fit_part(group: pa.Table) -> pa.Table:
+            one_thread()
+            group = group.sort_by("place")
+            r = fit(matrix(group.column("vec"), dim), group.column("n")[0].as_py(), k, target_recall=aim)
+            small = Router(*[w.astype(np.float32) for w in (r.w1, r.b1, r.w2, r.b2)], r.probes)
+            return pa.table({"part": group.column("part").slice(0, 1), "router": pa.array([pickle.dumps(small)], pa.binary())})
+
+        fitted = drawn.join(sizes, "part").filter(F.col("n") > PART_ROWS).groupBy("part").applyInArrow(fit_part, "part int, router binary")
+        index.children = {r[0] // MAX_PARTS: pickle.loads(r[1]) for r in fitted.collect()}  # at most MAX_PARTS routers of bounded size
+        placed = materialise(routed(rows, False), "placed")
+    wanted = vectors(base.filter(queries), id_col, vector_col, dim)
+    blocks = materialise(placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "parts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        one_thread()
         out = []
         if left.num_rows and right.num_rows:
             q, x = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
@@ -239,11 +286,33 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
         names, kinds = ["query_id", "id", "score"], (np.int64, np.int64, np.float64)
         return pa.table({n: np.concatenate([o[c] for o in out]) if out else np.empty(0, t) for c, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
-    keys = ["part", "block", "grp"]
-    found = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    def found_in(asked: DataFrame) -> DataFrame:
+        """query_id, id, score: the best of the parts that each query (id, vec, part) asks."""
+        asked = materialise(asked, "asked")
+        # a row for each part: at most MAX_PARTS * MAX_PARTS
+        per = F.broadcast(materialise(blocks.join(asked.groupBy("part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups")), "part"), "per"))
+
+        def dealt(frame: DataFrame, mine: str, other: str) -> DataFrame:
+            """Each row in its own block or group, and in all of the other side's of its part."""
+            own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(mine)
+            return frame.join(per, "part").select("id", "vec", "part", own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+        keys = ["part", "blocks", "groups"]
+        met = dealt(asked, "groups", "blocks").groupBy(*keys).cogroup(dealt(placed, "blocks", "groups").groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
+        best_of = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return best_of.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    found = found_in(routed(wanted, True))
+    if index.children or index.root.probes < index.root.parts:
+        # a query whose parts hold fewer than k candidates asks all parts; parts of even size leave such queries to tiny or odd tables
+        found = materialise(found, "found")
+        full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        short = materialise(wanted.join(full, "id", "left_anti"), "short")
+        if not short.isEmpty():
+            every = short.withColumn("part", F.explode(F.lit([r[0] for r in blocks.select("part").collect()])))
+            found = found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(found_in(every))
+    return found
 
 
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
