@@ -4,11 +4,13 @@ For each kind a pattern is matched leftmost and without overlap. Spark's matcher
 text is also split by the same pattern: pieces and matches alternate, and running sums of their lengths are the positions
 (in code points, end exclusive). A match that fails its check is dropped and not tried again at a later start.
 
-Kinds: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits); and iban, which this method adds:
-two letters, two check digits, 11 to 30 more letters or digits, confirmed by mod 97 (ISO 13616).
+Kinds: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits). This method adds two: iban, two
+letters, two check digits, 11 to 30 more letters or digits, confirmed by mod 97 (ISO 13616); and secret, a run of 24 to 128
+characters of an encoded key in which at least four digits and four letters stand.
 
-Each span has a score: a prior of its kind, raised by a passed checksum and by a context word of its kind within the
-`CONTEXT` characters before or the half of it after. Base spans are kept whatever their score; an iban needs `ADDED_SCORE`.
+Each span has a score: a prior of its kind, raised by a passed check and by a context word of its kind within the
+`CONTEXT` characters before or the half of it after. Base spans are kept whatever their score. Added kinds need `ADDED_SCORE`: an
+iban has it by its checksum, a run of characters is a secret only where a word such as "token" or "key" stands by it.
 
 The patterns never scan a run of characters twice: quantifiers are possessive, and a run is entered at its start only (or
 where the last match ended), so that texts that are one long word or number stay linear.
@@ -33,10 +35,11 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}+={0,2}+(?![A-Za-z0-9+/_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 KINDS = list(PATTERNS)
-BASE = KINDS[:4]
+BASE, ADDED = KINDS[:4], KINDS[4:]
 # A text without these cannot match, which a plain search finds out sooner.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 # Words that speak for a kind, and priors before and after a checksum.
@@ -45,10 +48,11 @@ WORDS = {
     "ip": ("ip", "server", "host", "address", "network"),
     "card": ("card", "visa", "credit", "payment", "pay", "carte", "karte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"),
     "iban": ("iban", "bank", "account", "transfer", "konto", "compte", "cuenta"),
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.5, "iban": 0.3}
-CHECKED = {"email": 0.0, "ip": 0.0, "card": 0.4, "phone": 0.0, "iban": 0.4}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.5, "secret": 0.3, "iban": 0.3}
+CHECKED = {"email": 0.0, "ip": 0.0, "card": 0.4, "phone": 0.0, "secret": 0.2, "iban": 0.3}
 CONTEXT, CONTEXT_RAISE, ADDED_SCORE = 40, 0.2, 0.6
 
 
@@ -76,6 +80,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "secret":
+        return (F.length(digits) >= 4) & (F.length(F.regexp_replace(match, "[^A-Za-z]", "")) >= 4)
     if kind == "iban":
         code = F.regexp_replace(match, " ", "")
         return F.length(code).between(15, 34) & (mod97(code) == 1)
@@ -127,9 +133,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for kind in KINDS:
         out = out.withColumn(f"at_{kind}", F.when(F.size(F.col(f"raw_{kind}.hits")) > 0, judged(kind, F.col(f"raw_{kind}"), F.col("text"))))
     empty = F.array().cast(out.schema["at_email"].dataType)
-    # an added kind must reach the score; it may overlap base spans, which all stay
-    added = F.filter(F.coalesce("at_iban", empty), lambda s: s["score"] >= ADDED_SCORE)
-    every = F.concat(*[F.coalesce(f"at_{k}", empty) for k in BASE], added)
+    # added kinds must reach the score (of tenths: half a tenth for rounding); they may overlap base spans, which all stay
+    added = [F.filter(F.coalesce(f"at_{k}", empty), lambda s: s["score"] > ADDED_SCORE - 0.05) for k in ADDED]
+    every = F.concat(*[F.coalesce(f"at_{k}", empty) for k in BASE], *added)
     return out.select("id", F.array_sort(every).alias("spans"))
 
 
@@ -143,4 +149,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(line(BASE), 256).alias("base_sha256"), line(KINDS).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(line(BASE), 256).alias("base_sha256"), line(KINDS).alias("spans"),
+        *[count(k) for k in ADDED], F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"),
+    )
