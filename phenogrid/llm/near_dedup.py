@@ -7,14 +7,16 @@ coordinate keeps the dart of smallest rank. Two sets agree in a coordinate with
 similarity. Only darts of rank up to (K ln K + 2 K) / total weight are thrown, so the work is the set's size plus about
 K ln K darts; a set that leaves a coordinate empty is thrown at again with twice the rank.
 
-Join. Documents with equal shingle sets are one node. BANDS bands of ROWS coordinates make buckets. Within a bucket nodes
+Join. Documents with equal weighted sets are one node. BANDS bands of ROWS coordinates make buckets. Within a bucket nodes
 are paired with one leader, the member that meets most others over all its buckets; pairs are verified on the whole texts,
 and verified links are contracted to components. Then, in each bucket that still holds several components, the nodes
 outside the largest are compared with all, in blocks of which only links come out. So each pair that shares a bucket is
 verified or known to be connected: no link is lost, and a group of thousands of near copies makes about one row for each.
 
-Shingles are of five words `[^\\x20\\x09-\\x0D]+`; a text of one to four words is one shingle. Weights are 1 (similarity of
-sets) or the number of times a shingle stands in the text.
+Shingles are of five words `[^\\x20\\x09-\\x0D]+`; a text of one to four words is one shingle. A shingle's weight is the number
+of times it stands in the text, and the similarity is the sum of the smaller weights over that of the larger ones; with
+weighted=False all weights are 1, and it is that of the sets. Names and verification work on unit layers: a shingle of weight
+3 is three elements, of which another text's share is the smaller number, so that sets of layers have the weighted similarity.
 
 Defined results: a document without words (null or empty text) is a class of its own. Null ids take no part and get a null
 class. Rows that repeat an id are one document for each text; equal texts share a class. Long texts are read whole. An empty
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phenogrid.functions.threads import one_thread
 from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, free_name, materialise, mix, powers, remove_table, rolling, table
 from phenogrid.llm.components import components
 
@@ -60,6 +63,25 @@ def shingles(texts: list[bytes], hashes: WordHashes, width: int = WIDTH) -> list
     return out
 
 
+def layers(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The unit layers of elements with whole weights: the first is the element itself, the others have hashes of their own."""
+    if not len(elements) or counts.max() == 1:
+        return elements
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    every = np.repeat(elements, counts)
+    with np.errstate(over="ignore"):
+        return np.where(number > 0, mix(every + number.astype(np.uint64) * np.uint64(BASE_B)), every)
+
+
+def bags(texts: list[bytes], hashes: WordHashes, weighted: bool = True) -> list[np.ndarray]:
+    """The layers of each text's shingles, sorted and distinct."""
+    out = []
+    for s in shingles(texts, hashes):
+        elements, counts = np.unique(s, return_counts=True)
+        out.append(np.unique(layers(elements, counts)) if weighted else elements)
+    return out
+
+
 def _throw(elements: np.ndarray, room: np.ndarray, limit: np.ndarray, owner: np.ndarray, best: np.ndarray, k: int) -> None:
     """Throw darts at unit layers until their rank passes the layer's limit; best[owner * k + coordinate] keeps the smallest (rank, dart)."""
     rank = np.zeros(len(elements))
@@ -95,18 +117,16 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
         elements, room, owner, total = [], [], [], []
         for i in todo.tolist():
             s, w = sets[i], weights[i] if weights is not None else None
-            if w is None:
-                layers, left, mass = s, np.ones(len(s)), float(len(s))
+            if w is None or len(s) and w.min() == w.max() == 1:
+                strips, left, mass = s, np.ones(len(s)), float(len(s))
             else:
                 depth = np.ceil(w).astype(np.int64)
-                layer = np.arange(depth.sum()) - np.repeat(np.cumsum(depth) - depth, depth)
-                with np.errstate(over="ignore"):
-                    layers = np.where(layer > 0, mix(np.repeat(s, depth) + layer.astype(np.uint64) * np.uint64(BASE_B)), np.repeat(s, depth))
-                left, mass = np.minimum(np.repeat(w, depth) - layer, 1.0), float(w.sum())
-            elements.append(layers)
+                strips = layers(s, depth)
+                left, mass = np.minimum(np.repeat(w, depth) - (np.arange(len(strips)) - np.repeat(np.cumsum(depth) - depth, depth)), 1.0), float(w.sum())
+            elements.append(strips)
             room.append(left)
-            owner.append(np.full(len(layers), i))
-            total.append(np.full(len(layers), thrown * boost / mass))
+            owner.append(np.full(len(strips), i))
+            total.append(np.full(len(strips), thrown * boost / mass))
         _throw(np.concatenate(elements), np.concatenate(room), np.concatenate(total), np.concatenate(owner), best.reshape(-1), k)
         todo = todo[(best[todo] == _EMPTY).any(1)]
         boost *= 2
@@ -134,8 +154,8 @@ def set_name(s: np.ndarray) -> bytes:
 _BATCH_CHARS = 1_500_000
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False) -> DataFrame:
-    """id, node (the name of the shingle set, null without words) and bands of each row."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
+    """id, node (the name of the weighted shingle set, null without words) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -150,7 +170,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False)
                 found = [np.unique(s, return_counts=True) for s in shingles(texts[at:end], hashes)]
                 sets = [x[0] for x in found]
                 keys = band_keys(dart_signatures(sets, [x[1].astype(float) for x in found] if weighted else None)).view(np.int64)
-                nodes = [set_name(s) if len(s) else None for s in sets]
+                nodes = [set_name(layers(*x) if weighted else x[0]) if len(x[0]) else None for x in found]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(nodes, pa.binary()), flat], ["id", "node", "bands"])
                 at = end
@@ -164,7 +184,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 0.0
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool = True) -> DataFrame:
     """Of pairs (a, b) of nodes those whose texts' shingle sets are at least so similar. texts: node, text.
 
     A pair goes to the group of its hub a, cut into parts by b; a group holds many small hubs or a part of a large one."""
@@ -181,9 +201,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, keep_a, keep_b = WordHashes(), [], []
-        sets = {a: np.unique(shingles([(t or "").encode()], hashes)[0]) for a, t in zip(right.column("hub").to_pylist(), right.column("hub_text").to_pylist(), strict=True)}
+        sets = {a: bags([(t or "").encode()], hashes, weighted)[0] for a, t in zip(right.column("hub").to_pylist(), right.column("hub_text").to_pylist(), strict=True)}
         for a, b, t in zip(*(left.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
-            if a in sets and similarity(sets[a], np.unique(shingles([(t or "").encode()], hashes)[0])) >= threshold:
+            if a in sets and similarity(sets[a], bags([(t or "").encode()], hashes, weighted)[0]) >= threshold:
                 keep_a.append(a)
                 keep_b.append(b)
         return pa.table({"a": pa.array(keep_a, pa.binary()), "b": pa.array(keep_b, pa.binary())})
@@ -213,7 +233,7 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8_192
     return out
 
 
-def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float, weighted: bool = True) -> DataFrame:
     """Links (a, b) between nodes of different label in one bucket (rows: bucket, node, label).
 
     In each bucket the nodes outside the most frequent label meet all nodes. Both sides are cut into blocks; a pair of
@@ -233,6 +253,7 @@ def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataF
         return found.select(f"g{tag}", *[F.col(c).alias(f"{c}{tag}") for c in ("bucket", "i", "j", "node", "label", "text")])
 
     def judge(one: pa.Table, two: pa.Table) -> pa.Table:
+        one_thread()
         hashes, sets = WordHashes(), {}
 
         def blocks(side: pa.Table) -> dict[tuple, list[tuple[bytes, bytes]]]:
@@ -240,7 +261,7 @@ def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataF
             out: dict[tuple, list[tuple[bytes, bytes]]] = {}
             for bucket, i, j, node, label, text in zip(*cols, strict=True):
                 if node not in sets:
-                    sets[node] = np.unique(shingles([(text or "").encode()], hashes)[0])
+                    sets[node] = bags([(text or "").encode()], hashes, weighted)[0]
                 out.setdefault((bucket, i, j), []).append((node, label))
             return out
 
@@ -261,13 +282,13 @@ def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataF
     return dealt(minor, "1").groupBy("g1").cogroup(dealt(every, "2").groupBy("g2")).applyInArrow(judge, "a binary, b binary")
 
 
-def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
     """node, text of the nodes (node, id). The one join with the texts of all documents. Where an id repeats, the text that has the node's set."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            same = [set_name(np.unique(s)) == n for s, n in zip(shingles([(t or "").encode() for t in b.column(1).to_pylist()], hashes), b.column(0).to_pylist(), strict=True)]
+            same = [set_name(s) == n for s, n in zip(bags([(t or "").encode() for t in b.column(1).to_pylist()], hashes, weighted), b.column(0).to_pylist(), strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -275,7 +296,7 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: st
     return found.dropDuplicates(["node"])
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, weighted: bool = False, nodes_too: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, weighted: bool = True, nodes_too: bool = False) -> DataFrame:
     """id, class_id (the smallest id of the class) of every row; with nodes_too also node (the name of its shingle set) and gone (whether another id or set of its class stays)."""
     rows = materialise(sketch(docs, id_col, text_col, weighted), "sketch")
     nodes = rows.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
@@ -285,17 +306,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     member = materialise(dealt.join(shared, "bucket"), "members")
     # a bucket's leader is the member that meets the most others in all its buckets: of a group of near copies, the one nearest to all
     met = member.groupBy("node").agg(F.sum("n").alias("met"))
-    texts = materialise(candidate_texts(docs, met.join(nodes.select("node", "id"), "node").select("node", "id"), id_col, text_col), "texts")
+    texts = materialise(candidate_texts(docs, met.join(nodes.select("node", "id"), "node").select("node", "id"), id_col, text_col, weighted), "texts")
     led = member.join(met, "node")
     lead = led.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
     stars = led.join(lead, "bucket").filter(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(verify(materialise(stars, "stars"), texts, threshold), "links1")
+    links = materialise(verify(materialise(stars, "stars"), texts, threshold, weighted), "links1")
     label = components(links)
     # what still lies in different components of one bucket is compared outright, inside blocks: only links come out
     left = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
     left = materialise(left.join(mixed, "bucket").select("bucket", "node", "label"), "open")
-    links = materialise(links.unionByName(compare_blocks(left, texts, threshold)), "links2")
+    links = materialise(links.unionByName(compare_blocks(left, texts, threshold, weighted)), "links2")
     label = components(links)
     for done in (member, texts):
         remove_table(done)
@@ -314,12 +335,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.withColumn("gone", ~F.col("stays") | (F.col("id") != F.col("class_id"))).select(*names).unionByName(rest.select(*names))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True, **options) -> DataFrame:
     """The rows of docs but for those whose class has a smaller id, or the same id with another text; all columns unchanged.
 
     Where an id stands for several texts, of which some go, its rows are told apart by their shingle sets."""
     name, set_col = free_name(docs, "_gone"), free_name(docs, "_set")
-    found = classes(docs, id_col, text_col, nodes_too=True, **options)
+    found = classes(docs, id_col, text_col, weighted=weighted, nodes_too=True, **options)
     per = found.filter("id is not null").groupBy(F.col("id").alias(name)).agg(F.bool_and("gone").alias("every"), F.bool_or("gone").alias("some")).filter("some")
     per = materialise(per, "gone")
     mixed = per.filter(~F.col("every")).select(name)
@@ -327,7 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [np.unique(x) for x in shingles([(t or "").encode() for t in b.column(text_col).to_pylist()], hashes)]
+            sets = bags([(t or "").encode() for t in b.column(text_col).to_pylist()], hashes, weighted)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_name(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names, set_col])
 
     same = docs.columns
