@@ -9,7 +9,8 @@ them too; what is in them is not rendered. An open head ends at the first tag or
 
 The renderer emits all visible text: white space collapses outside `pre` and `textarea`; blocks start on a line of their
 own, and paragraphs, headings, lists and tables are set off by a blank line; list items have a bullet or their number and
-are indented by depth; table cells are padded to their column's width and joined by " | ".
+are indented by depth; table cells stand on the grid that their column and row spans make, are padded to their column's width (at
+most PAD characters) and joined by " | ".
 
 Defined results: null or empty html gives empty text. Tags that do not end, stray end tags and unknown elements never fail:
 what is not a tag is text. Null ids are kept, repeated rows rendered each, other columns ignored. Pages are read whole; the
@@ -19,6 +20,7 @@ work is linear in their length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -58,6 +60,8 @@ IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 #: An end tag of an inline element does not close these around it.
 SCOPE = frozenset("table td th caption html template".split())
 _TEMPLATE = frozenset(["template"])
+#: Characters that a cell is padded to, and that a line is aligned to, at most: alignment never outgrows the text by more.
+PAD, ALIGN = 60, 400
 #: What to undo at the end of an element that is not shown, and of a line of drawn text.
 _UNSEEN, _LINE = object(), object()
 
@@ -74,25 +78,58 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def span(value: str | None, most: int, zero: int = 1) -> int:
+    """A span attribute: 1 if it is no number; of 0, `zero` (rows: all that follow)."""
+    found = re.match(r"\s*(\d{1,9})", value or "1")
+    return min(int(found[1]), most) or zero if found else 1
+
+
 class Table:
     def __init__(self):
-        self.rows: list[list[str]] = []
+        #: cells of each row: text, columns and rows that it spans
+        self.rows: list[list[tuple[str, int, int]]] = []
 
     def lines(self) -> list[str]:
-        """Cells padded to their column's width; a cell of several lines takes as many rows."""
-        grid = [[cell.split("\n") for cell in row] for row in self.rows if row]
-        width: list[int] = []
-        for row in grid:
-            for i, cell in enumerate(row):
-                w = max(map(len, cell))
-                if i == len(width):
-                    width.append(w)
-                elif w > width[i]:
-                    width[i] = w
+        """Cells placed on the grid as their spans say, each padded to its columns' width; a cell of several lines takes as many rows."""
+        placed, hang = [], {}  # hang: first column -> (row and column after the cell)
+        for r, row in enumerate(self.rows):
+            at, line = 0, []
+            for text, columns, rows in row:
+                while (over := hang.get(at, (0, 0)))[0] > r:
+                    at = over[1]
+                line.append((at, at + columns, text.split("\n")))
+                if rows > 1:
+                    hang[at] = (r + rows, at + columns)
+                at += columns
+            if line:
+                placed.append(line)
+        # columns at which a cell starts; others have no width of their own
+        starts = sorted({begin for line in placed for begin, _, _ in line})
+        number = {c: i for i, c in enumerate(starts)}
+        width, wide = [0] * len(starts), []
+        for line in placed:
+            for begin, end, cell in line:
+                i, j, w = number[begin], bisect_left(starts, end), min(max(map(len, cell)), PAD)
+                if j - i == 1:
+                    width[i] = max(width[i], w)
+                elif w > 3 * (j - i - 1):
+                    wide.append((j - i, i, w))
+        for n, i, w in sorted(wide):  # what a spanning cell lacks, its last column gets
+            width[i + n - 1] += max(0, w - sum(width[i : i + n]) - 3 * (n - 1))
+        offset, at = [], 0
+        for w in width:
+            offset.append(at)
+            at += w + 3
         out = []
-        for row in grid:
-            for k in range(max(map(len, row))):
-                out.append(" | ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(row)).rstrip())
+        for line in placed:
+            for k in range(max(len(cell) for _, _, cell in line)):
+                now = ""
+                for begin, _, cell in line:
+                    i = number[begin]
+                    if i:
+                        now = now.ljust(min(offset[i] - 3, ALIGN)) + " | "
+                    now += cell[k] if k < len(cell) else ""
+                out.append(now.rstrip())
         return out
 
 
@@ -162,7 +199,8 @@ class Renderer:
         self.flow = Lines()
         #: open elements: (name, what to undo at its end)
         self.stack: list[tuple[str, object]] = []
-        self.count: dict[str, int] = {}
+        #: where in the stack each name stands, lowest first: what closes an element finds it, and walls, without a walk
+        self.at: dict[str, list[int]] = {}
         self.lists: list[list] = []
         self.tables: list[tuple[Table, Lines]] = []
         self.pre = 0
@@ -171,7 +209,7 @@ class Renderer:
 
     def _leave_head(self, tag: str) -> None:
         """End an open head at a tag, or at text (""), that may not stand in it."""
-        if self.count.get("head") and self.stack[-1][0] in ("head", "noscript") and tag not in IN_HEAD:
+        if self.at.get("head") and self.stack[-1][0] in ("head", "noscript") and tag not in IN_HEAD:
             self._close_to("head", _TEMPLATE)
 
     def start(self, name: str, rest: str) -> bool:
@@ -183,14 +221,14 @@ class Renderer:
             while self.stack[-1][0] not in FOREIGN:
                 self._pop()
             self._pop()
-        if name in CLOSES_P and self.count.get("p"):
+        if name in CLOSES_P and self.at.get("p"):
             self._close_to("p", SCOPE)
         if name in IMPLIED:
             ends, beyond = IMPLIED[name]
             self._end_any(ends, beyond)
-        elif name == "select" and self.count.get("select"):
+        elif name == "select" and self.at.get("select"):
             self._close_to("select", SCOPE)
-        elif name == "a" and self.count.get("a"):
+        elif name == "a" and self.at.get("a"):
             self._close_to("a", SCOPE)
         foreign = bool(self.foreign) and self.foreign[-1]
         given = attributes(rest) if "=" in rest or "hidden" in rest.lower() else {}
@@ -251,6 +289,7 @@ class Renderer:
             t = self.tables[-1][0]
             if not t.rows:
                 t.rows.append([])  # the row's tag is implied
+            undo = span(given.get("colspan"), 1000), span(given.get("rowspan"), 65534, 65534)
             self.flow = Lines()
         elif name == "q":
             flow.text('"')
@@ -258,8 +297,8 @@ class Renderer:
         return True
 
     def _push(self, name: str, undo: object) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, undo))
-        self.count[name] = self.count.get(name, 0) + 1
         self.hidden += undo is _UNSEEN
         if name in FOREIGN:
             self.foreign.append(True)
@@ -269,39 +308,35 @@ class Renderer:
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
-        elif name == "p" and not self.count.get("p"):
+        elif name == "p" and not self.at.get("p"):
             if not self.hidden:
                 self.flow.block(True)
-        elif self.count.get(name):
+        elif self.at.get(name):
             self._close_to(name, frozenset() if name == "template" else _TEMPLATE if name in SCOPE or name in BLOCK or name == "tr" else SCOPE)
 
+    def _wall(self, names: frozenset) -> int:
+        """Where the uppermost open element of these names stands, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def _cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            self._pop()
+
     def _end_any(self, names: frozenset, beyond: frozenset) -> None:
-        if not any(self.count.get(x) for x in names):
-            return
-        deepest = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            n = self.stack[i][0]
-            if n in beyond or n == "template":
-                break
-            if n in names:
-                deepest = i
-        if deepest is not None:
-            while len(self.stack) > deepest:
-                self._pop()
+        """Close all elements of these names above the uppermost wall."""
+        wall = max(self._wall(beyond), self._wall(_TEMPLATE))
+        above = [at[bisect_right(at, wall)] for n in names if (at := self.at.get(n)) and at[-1] > wall]
+        if above:
+            self._cut(min(above))
 
     def _close_to(self, name: str, wall: frozenset) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            n = self.stack[i][0]
-            if n == name:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if n in wall:
-                return
+        at = self.at[name][-1] if self.at.get(name) else -1
+        if at >= 0 and at >= self._wall(wall):
+            self._cut(at)
 
     def _pop(self) -> None:
         name, undo = self.stack.pop()
-        self.count[name] -= 1
+        self.at[name].pop()
         if name in FOREIGN or self.foreign and name in INTEGRATION:
             self.foreign.pop()
         if undo is _UNSEEN:
@@ -312,7 +347,7 @@ class Renderer:
             flow.block(False)
             return
         if name in ("td", "th") and self.tables:
-            self.tables[-1][0].rows[-1].append(flow.result())
+            self.tables[-1][0].rows[-1].append((flow.result(), *undo))  # type: ignore[misc]
             self.flow = self.tables[-1][1]
             return
         if name == "table":
@@ -340,7 +375,7 @@ class Renderer:
             flow.text('"')
 
     def text(self, s: str) -> None:
-        if self.hidden and self.count.get("head") and s.strip(" \t\n\r\f"):
+        if self.hidden and self.at.get("head") and s.strip(" \t\n\r\f"):
             self._leave_head("")
         if self.hidden:
             return
