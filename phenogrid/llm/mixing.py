@@ -56,8 +56,8 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: in
     """A row for each document: id, size, source_size, target, taken, passes, positions (of each pass, in [0, 1]), and the columns named in `carry` in a struct `carried`."""
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("!")).alias("key"), words(F.col(text_col)).alias("size"),
-        # the order within a source: a fixed hash of the id, then the id; what repeats in both is interchangeable
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order"),
+        # the order within a source: a fixed hash of id and text, so that null and repeated ids spread too; rows that agree in both are interchangeable
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")).alias("order"),
         F.struct(*[col(c) for c in carry]).alias("carried") if carry else F.lit(None).alias("carried"),
     )
     sized = materialise(sized if carry else sized.drop("carried"), "sizes")
@@ -102,7 +102,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS ord FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM per),
 weighed AS (SELECT *, CAST(1 + place % 3 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM named),
