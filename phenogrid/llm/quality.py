@@ -5,11 +5,13 @@ says the word's case, last character, number of symbols, and whether it repeats
 the log-count ratio of the two classes, each row is brought to unit length, and a linear hinge-loss model is fitted by dual
 coordinate descent. Margins become scores through a logistic curve fitted on margins of rows that were held out in turn.
 
-The model is fitted on at most `SAMPLE_ROWS` labelled rows, those with the smallest hash of their id; that bounds what the
-driver holds. All else, features and scores, covers whole texts of all rows.
+The model is fitted on at most `SAMPLE_ROWS` labelled rows, those with the smallest hash of their id, one row for each id; a row's
+features travel as a list or as DIMS bits, whichever is shorter, which bounds what the driver holds (SAMPLE_ROWS times 31 kB).
+All else, features and scores, covers whole texts of all rows.
 
 Defined results: a null text counts as empty; an empty text has no features and gets the score of the intercept. A row that
-is labelled more than once has its highest label; labels other than 0 and 1 are ignored. With one class only, every score
+is labelled more than once has its highest label; of rows that share an id, the fit sees the one whose features' bytes are the
+smallest; labels other than 0 and 1 are ignored. With one class only, every score
 is that class's smoothed share; without labels it is 0.5. Null ids are scored and count as text "" for the fold. Repeated
 rows are each scored. Other columns are ignored.
 """
@@ -53,6 +55,19 @@ class _Shapes(dict):
         return value
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Features as a list of numbers, or as bits if that is shorter; the first byte says which."""
+    if 4 * len(found) <= DIMS // 8:
+        return b"l" + found.astype(np.int32).tobytes()
+    bits = np.zeros(DIMS, bool)
+    bits[found] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32, offset=1) if data[:1] == b"l" else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=DIMS)).astype(np.int32)
+
+
 class Features:
     def __init__(self):
         self.shapes = _Shapes()
@@ -103,7 +118,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -700, 700)))
 
 
-def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+class Rows:
+    """Packed features of rows, unpacked as they are read."""
+
+    def __init__(self, data: list[bytes]):
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self.data[i])
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(unpacked, self.data)
+
+    def where(self, keep: np.ndarray) -> Rows:
+        return Rows([x for x, k in zip(self.data, keep, strict=True) if k])
+
+
+def log_ratios(rows: Rows, labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)), with p and q the smoothed counts of the indicators in each class."""
     p, q = np.full(DIMS, smooth), np.full(DIMS, smooth)
     for found, y in zip(rows, labels, strict=True):
@@ -113,14 +147,10 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0)
     return r
 
 
-def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 4.0, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_descent(rows: Rows, labels: np.ndarray, ratios: np.ndarray, cost: float = 4.0, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
     """The hinge-loss SVM's weights and bias by dual coordinate descent. The rarer class costs more, by the inverse of its share."""
     y = np.where(labels > 0, 1.0, -1.0)
-    values = []
-    for found in rows:
-        v = ratios[found]
-        norm = np.sqrt(v @ v)
-        values.append(v / norm if norm else v)
+    norms = np.array([np.sqrt(r @ r) or 1.0 for r in (ratios[found] for found in rows)])
     share = labels.mean()
     top = np.where(labels > 0, cost / (2 * share), cost / (2 * (1 - share)))
     w, bias, alpha = np.zeros(DIMS), 0.0, np.zeros(len(rows))
@@ -128,7 +158,8 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            x, at = values[i], rows[i]
+            at = rows[i]
+            x = ratios[at] / norms[i]
             gradient = y[i] * (w[at] @ x + bias) - 1
             square = float(x @ x) + 1  # the bias is one more feature
             new = min(max(alpha[i] - gradient / square, 0.0), top[i])
@@ -159,7 +190,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, parts: int = 3) -> Model:
+def fit(rows: Rows, labels: np.ndarray, parts: int = 3) -> Model:
     zero = np.zeros(DIMS)
     if not len(rows) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(rows) + 2)
@@ -167,7 +198,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, parts: int = 3) -> Model:
     margins, part = np.zeros(len(rows)), np.arange(len(rows)) % parts
     for k in range(parts):
         inner = part != k
-        a = [x for x, i in zip(rows, inner, strict=True) if i]
+        a = rows.where(inner)
         if labels[inner].min() == labels[inner].max():
             continue
         r = log_ratios(a, labels[inner])
@@ -189,12 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
-            found = [features.of((x or "").encode()).astype(np.int32).tobytes() for x in b.column(1).to_pylist()]
+            found = [packed(features.of((x or "").encode())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["id", "found", "y"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    got = texts.mapInArrow(featurise, f"id {kind}, found binary, y int").toArrow().sort_by("id")
-    rows = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
+    got = texts.mapInArrow(featurise, f"id {kind}, found binary, y int").groupBy("id").agg(F.min("found").alias("found"), F.min("y").alias("y")).toArrow().sort_by("id")
+    rows = Rows(got.column("found").to_pylist())
     return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
 
 
