@@ -20,9 +20,11 @@ _scratch: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset (tests on one machine) a folder of our own."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset on one machine (tests) a folder of our own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phenogrid-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

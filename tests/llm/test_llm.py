@@ -104,11 +104,12 @@ def test_many_runs_merge_in_rounds(spark):
     assert sorted(r.id for r in got) == list(range(700)) and sum(r.n for r in got) == 3000
 
 
-def brute_classes(texts, threshold=0.8):
+def brute_classes(texts, threshold=0.8, weighted=True):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+        found = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+        sets.append(Counter(found if weighted else set(found)))
     up = list(range(len(texts)))
 
     def find(x):
@@ -118,8 +119,7 @@ def brute_classes(texts, threshold=0.8):
 
     for i in range(len(sets)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and both / (len(sets[i]) + len(sets[j]) - both) >= threshold:
+            if sets[i] and sets[j] and (sets[i] & sets[j]).total() / (sets[i] | sets[j]).total() >= threshold:
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]
@@ -130,6 +130,8 @@ def test_near_dedup_matches_all_pairs(spark, docs, texts):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
     kept = near_dedup.keep_one(spark.read.parquet(f"{docs}/documents.parquet"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes(texts)))
+    sets = {r.id: r.class_id for r in near_dedup.classes(spark.read.parquet(f"{docs}/documents.parquet"), weighted=False).collect()}
+    assert [sets[i] for i in range(len(texts))] == brute_classes(texts, weighted=False)
 
 
 def test_a_chain_of_near_copies_is_one_class(spark):
@@ -152,6 +154,16 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - np.minimum(u, v).sum() / np.maximum(u, v).sum()) < 0.03
 
 
+def test_near_dedup_weights_count(spark):
+    """How often a shingle stands matters: equal sets, unlike weights."""
+    few, many = "u " * 6, "u " * 4000
+    a = " ".join(f"a{i}" for i in range(60))
+    made = [few, many, "u " * 3900, f"{a} {a} {a} {a} {a}", f"{a} {a} {a} {a} {a} {a}", a]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.id: r.class_id for r in near_dedup.classes(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert {r.id: r.class_id for r in near_dedup.classes(df, weighted=False).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
 def test_common_counts():
     rng = np.random.default_rng(5)
     a, b = ([np.unique(rng.integers(0, 500, 80)).astype(np.uint64) for _ in range(n)] for n in (4, 6))
@@ -265,6 +277,17 @@ def test_pii(spark, tmp_path):
     assert "iban:8:35" in got[len(made) - 2].spans and "iban" not in got[len(made) - 1].spans
 
 
+def test_pii_context_decides(spark, tmp_path):
+    """The same run of characters is a secret beside a context word only; a base span's score changes, and it stays."""
+    run = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    made = [f'token = "{run}" x', f'colour = "{run}" x', f"{run} is the API KEY", "token " + "a" * 40, "token " + "a1" * 65, f"token {'x' * 50} {run}", "pay 4111 1111 1111 1111", "see 4111 1111 1111 1111", None]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op6_pii(spark, str(tmp_path)).collect()}
+    assert [got[i].n_secret for i in range(9)] == [1, 0, 1, 0, 0, 0, 0, 0, 0]
+    assert got[0].spans.endswith("secret:9:49") and got[0].scores.endswith("0.7")
+    assert [got[i].n_card for i in (6, 7)] == [1, 1] and [got[i].scores for i in (6, 7, 8)] == ["0.9", "0.7", ""] and got[6].n_spans == 1
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -389,7 +412,7 @@ def test_language_model_of_words_that_all_stand_once(spark):
 
 
 def test_language_model_vocabulary_grows():
-    assert [lm.own_words(10**k) for k in (4, 6, 8)] == [100, 1000, 10000]
+    assert [lm.own_words(10**k) for k in (4, 6, 8)] == [50, 500, 5000]
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark):
@@ -436,16 +459,16 @@ def brute_nearest(ids, x, q, k=5):
 
 def test_nearest_neighbours_small_and_odd(spark, tmp_path):
     rng = np.random.default_rng(11)
-    x = [[float(v) for v in np.float32(rng.normal(size=4))] for _ in range(160)]
+    x = [[float(v) for v in np.float32(rng.normal(size=4))] for _ in range(110)]
     x[3], x[4], x[5], x[6], x[7] = None, [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 1.0, 1.0], [1.0, 2.0]
-    for i in range(60, 110):
+    for i in range(60, 100):
         x[i] = x[60]  # a hot vector
-    ids = [*range(159), None]
+    ids = [*range(109), None]
     spark.createDataFrame(list(zip(ids, x, strict=True)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
     for r in ann.op1_learned_partitions(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    want = {i: brute_nearest(ids, x, i) for i in range(0, 159, 50)}
+    want = {i: brute_nearest(ids, x, i) for i in range(0, 109, 50)}
     assert got == {q: v for q, v in want.items() if v}
 
 
@@ -533,7 +556,71 @@ def test_html_keeps_every_visible_word():
         assert sorted(re.findall(r"word\d+", html_text.render("".join(parts)))) == sorted(words)
 
 
-@pytest.mark.parametrize("bad", ["<a " * 50000, '<a "' * 30000, "<!--" * 30000, "<div>" * 30000, "<li>" * 20000, "&" * 50000, "<script>" * 20000])
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    | c\nd | e | f"),
+        ("<table><tr><td colspan=2>a long title<td>c<tr><td>d<td>e<td>f</table>", "a long title | c\nd | e        | f"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<table><tr><td colspan=x>a<td rowspan=-1>b<tr><td>c<td>d</table>", "a | b\nc | d"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a | b | c\nd     | e"),
+    ],
+)
+def test_html_spans(html, text):
+    assert html_text.render(html) == text
+
+
+def test_html_wide_cells_do_not_blow_up():
+    html = "<table><tr><td>" + "x" * 20000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>"
+    assert len(html_text.render(html)) < 20000 + 3000 * 80
+    assert len(html_text.render("<table>" + "<tr><td rowspan=65534 colspan=1000>q" * 2000 + "</table>")) < 2000 * 420
+
+
+def test_html_against_a_tree():
+    """Random trees whose text is told from the tree itself; end tags that may be left out are left out at random, and hidden elements put in between."""
+    rng = np.random.default_rng(17)
+
+    def words():
+        return " ".join(f"w{int(x)}" for x in rng.integers(0, 500, int(rng.integers(1, 6))))
+
+    def maybe(tag):
+        return tag if rng.random() < 0.5 else ""
+
+    def listing(depth):
+        kind = rng.choice(["ul", "ol"])
+        html, lines = f"<{kind}>", []
+        for k in range(int(rng.integers(1, 4))):
+            w = words()
+            html += f"<li>{w}"
+            lines.append("  " * depth + (f"{k + 1}." if kind == "ol" else "-") + " " + w)
+            if depth < 2 and rng.random() < 0.3:
+                inner, below = listing(depth + 1)
+                html, lines = html + inner, lines + below
+            html += maybe("</li>")
+        return html + f"</{kind}>", lines
+
+    for _ in range(150):
+        html, want = "", []
+        for _ in range(int(rng.integers(1, 6))):
+            kind = rng.integers(0, 4)
+            if kind == 0:
+                w = words()
+                html, want = html + f"<p>{w.replace(' ', rng.choice([' ', chr(10), ' <b> ', '<i> </i>']))}{maybe('</p>')}", [*want, w]
+            elif kind == 1:
+                more, lines = listing(0)
+                html, want = html + more, [*want, "\n".join(lines)]
+            elif kind == 2:
+                grid = [[words() for _ in range(3)] for _ in range(int(rng.integers(1, 4)))]
+                width = [max(len(r[i]) for r in grid) for i in range(3)]
+                html += "<table>" + "".join(f"<tr>{''.join(f'<td>{x}' + maybe('</td>') for x in r)}{maybe('</tr>')}" for r in grid) + "</table>"
+                want.append("\n".join(" | ".join(x.ljust(n) for x, n in zip(r, width, strict=True)).rstrip() for r in grid))
+            else:
+                html += f"<div hidden>{words()}<p>{words()}</div><!-- {words()} --><script>{words()}</script>"
+        assert html_text.render(html) == "\n\n".join(want), html
+
+
+@pytest.mark.parametrize("bad", ["<p><html>" + "<div>" * 60000, "<table>" + "<tr><td>" * 20000, "<a " * 50000, '<a "' * 30000, "<!--" * 30000, "<div>" * 30000, "<li>" * 20000, "&" * 50000, "<script>" * 20000])
 def test_html_stays_linear(bad):
     html_text.render(bad)
 
