@@ -7,26 +7,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions import gram
 
 
 def covariance(df: DataFrame, feats: Sequence[str], sample: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance, rows): one aggregate of pairwise moments, in chunks that keep generated code on. Missing values raise."""
-    d = len(feats)
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(feats)], *[F.count(f).alias(f"c{i}") for i, f in enumerate(feats)]).first()
-    n = first["n"]
-    if any(first[f"c{i}"] != n for i in range(d)):
+    """(mean, covariance, rows) in one pass. Missing values raise."""
+    m = gram.moments(df, feats)[None]
+    if m.missing.any():
         raise ValueError("covariance: missing values")
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    cov = np.zeros((d, d))
-    for part in (pairs[k : k + 200] for k in range(0, len(pairs), 200)):
-        row = df.agg(*[F.covar_pop(feats[i], feats[j]).alias(f"v{i}_{j}") for i, j in part]).first()
-        for i, j in part:
-            cov[i, j] = cov[j, i] = row[f"v{i}_{j}"] or 0.0
-    return np.array([first[f"m{i}"] or 0.0 for i in range(d)]), cov * (n / (n - 1) if sample and n > 1 else 1), n
+    return m.mean, m.covariance(sample), m.n
 
 
 def _power(m: np.ndarray, p: float, eps: float = 0.0) -> np.ndarray:
@@ -38,17 +32,10 @@ def inverse_root(m: np.ndarray, eps: float = 0.0) -> np.ndarray:
     return _power(m, -0.5, eps)
 
 
-def project(feats: Sequence[str], matrix: np.ndarray, shift: np.ndarray | None = None) -> dict[str, Column]:
-    """Column expressions of (x - shift) @ matrix."""
+def project(df: DataFrame, feats: Sequence[str], matrix: np.ndarray, shift: np.ndarray | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """df with (x - shift) @ matrix in place of the features, or under new names."""
     shift = np.zeros(len(feats)) if shift is None else shift
-    out = {}
-    for j, f in enumerate(feats):
-        terms = [(F.col(g) - F.lit(float(shift[i]))) * F.lit(float(matrix[i, j])) for i, g in enumerate(feats)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        out[f] = total
-    return out
+    return gram.applied(df, feats, list(names or feats), lambda x, _: (x - shift) @ matrix)
 
 
 def _controls(df: DataFrame, treat: str, control: object, time: str | None, ref_time: object) -> DataFrame:
@@ -78,7 +65,7 @@ class TVN:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(project(self.feats, self.matrix, self.mean))
+        return project(df, self.feats, self.matrix, self.mean)
 
 
 @dataclass
@@ -98,30 +85,23 @@ class CORAL:
         base = _controls(df, self.treat_key, self.control, self.time_key, self.ref_time)
         ridge = self.weight * np.eye(len(self.feats))
         whole = _power(covariance(base, self.feats, sample=True)[1] + ridge, 0.5)
-        # moments of all batches in one grouped aggregate
-        pairs = [(i, j) for i in range(len(self.feats)) for j in range(i + 1)]
-        rows = base.groupBy(self.batch_key).agg(*[F.covar_samp(self.feats[i], self.feats[j]).alias(f"v{i}_{j}") for i, j in pairs]).collect()
-        for r in rows:
-            cov = np.zeros_like(ridge)
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = r[f"v{i}_{j}"] or 0.0
-            self.matrices[r[self.batch_key]] = _power(cov + ridge, -0.5) @ whole
+        for batch, m in gram.moments(base, self.feats, self.batch_key).items():
+            if batch is not None:
+                self.matrices[batch] = _power(m.covariance(sample=True) + ridge, -0.5) @ whole
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Batches without controls get no result: their features are NULL."""
-        spark = df.sparkSession
-        rows = [(b, [float(x) for x in m.ravel()]) for b, m in self.matrices.items()]
-        kind = df.schema[self.batch_key].dataType.simpleString()
-        side = spark.createDataFrame(rows, f"`{self.batch_key}` {kind}, _m array<double>")
-        out, d = df.join(F.broadcast(side), self.batch_key, "left"), len(self.feats)  # as many rows as batches
-        cols = {}
-        for j, f in enumerate(self.feats):
-            total = F.lit(0.0)
-            for i, g in enumerate(self.feats):
-                total = total + F.col(g) * F.get("_m", F.lit(i * d + j))
-            cols[f] = total
-        return out.withColumns(cols).drop("_m")
+        matrices, key = self.matrices, self.batch_key
+
+        def align(x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+            out, batches = np.full_like(x, np.nan), np.array(b.column(key).to_pylist(), object)
+            for k, m in matrices.items():
+                rows = batches == k
+                out[rows] = x[rows] @ m
+            return out
+
+        return gram.applied(df, self.feats, list(self.feats), align)
 
 
 def median_polish(x: np.ndarray, max_iterations: int = 10, method: str = "median") -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions.threads import one_thread
 
 
 def _sum(a: Column) -> Column:
@@ -107,6 +108,7 @@ def pair_sums(df: DataFrame, labels: Sequence[str], vector: Column, method: str
         return x, code, list(seen)
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        one_thread()
         sums: dict[tuple, list] = {}
         if one.num_rows and two.num_rows:
             (x, a, named), (y, b, named2) = side(one, list(labels), "v"), side(two, [f"{c}_2" for c in labels], "v2")

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions import gram
 
 
 def project(df: DataFrame, feats: Sequence[str], decided: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -27,9 +27,9 @@ def project(df: DataFrame, feats: Sequence[str], decided: DataFrame) -> tuple[Da
 def near_zero_variance(df: DataFrame, feats: Sequence[str], freq_thresh: float = 0.05, unique_thresh: float = 0.01) -> DataFrame:
     """feature, freq_ratio (second most frequent value's count over the most frequent's), unique_ratio, keep."""
     counts = X.long(df.select(*[F.col(f).cast("double").alias(f) for f in feats]), [], feats).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    top = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("r", F.row_number().over(top))
-    per = ranked.groupBy("feature").agg(F.max(F.when(F.col("r") == 1, F.col("n"))).alias("n1"), F.max(F.when(F.col("r") == 2, F.col("n"))).alias("n2"), F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows"))
+    first = counts.groupBy("feature").agg(F.max_by("value", "n").alias("top"), F.max("n").alias("n1"), F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows"))
+    second = counts.join(F.broadcast(first.select("feature", "top")), "feature").filter(~F.col("value").eqNullSafe(F.col("top"))).groupBy("feature").agg(F.max("n").alias("n2"))  # a row for each feature
+    per = first.join(second, "feature", "left")
     freq, uniq = X.div(F.coalesce("n2", F.lit(0)), F.col("n1")), X.div(F.col("distinct"), F.col("rows"))
     return per.select("feature", freq.alias("freq_ratio"), uniq.alias("unique_ratio"), ((F.col("distinct") > 1) & (freq >= freq_thresh) & (uniq >= unique_thresh)).alias("keep"))
 
@@ -66,30 +66,30 @@ def low_variance(df: DataFrame, feats: Sequence[str], by: Sequence[str], cutoff:
     return per.groupBy("feature").agg(F.avg("score").alias("score")).select("feature", "score", F.coalesce(F.col("score") > cutoff, F.lit(False)).alias("keep"))
 
 
-def correlation_pairs(df: DataFrame, feats: Sequence[str], method: str = "pearson") -> DataFrame:
-    """i, j, r for all pairs i < j (places in feats); r is NULL for a constant feature or one that misses values.
-
-    Pearson moments come from one aggregate of pairwise products, which are few numbers for each task; Spearman ranks each
-    feature in the long form first."""
-    if len(feats) > 60:
-        rows = df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop()
-        vec = VectorAssembler(inputCols=list(feats), outputCol="_v").transform(rows).select("_v")
-        m = Correlation.corr(vec, "_v", method).first()[0].toArray()
-        pairs = [(i, j, None if np.isnan(m[i, j]) else float(m[i, j])) for j in range(len(feats)) for i in range(j)]
-        return df.sparkSession.createDataFrame(pairs, "i int, j int, r double")
+def correlation_matrix(df: DataFrame, feats: Sequence[str], method: str = "pearson") -> np.ndarray:
+    """Correlations of all pairs of features, in one pass of matrix products; NaN for a feature that is constant or misses values.
+
+    For Spearman each feature's values are ranked first, in the long form by (feature, value), with `row_id` naming the rows."""
     if method == "spearman":
         rows = X.long(df.select("row_id", *[F.col(f).cast("double").alias(f) for f in feats]), ["row_id"], feats)
-        ranked = rows.withColumn("value", F.when(F.col("value").isNotNull(), X.avg_rank(["feature"], "value")))
-        df = ranked.groupBy("row_id").pivot("feature", list(feats)).agg(F.first("value"))
-    pairs = [(i, j) for j in range(len(feats)) for i in range(j)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "i int, j int, r double")
-    full = F.count(F.lit(1))
-    spread = [F.when(F.count(f) == full, F.var_pop(f)).alias(f"_s{i}") for i, f in enumerate(feats)]
-    mixed = [F.covar_pop(feats[i], feats[j]).alias(f"_c{i}_{j}") for i, j in pairs]
-    wide = df.agg(*spread, *mixed)
-    r = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), X.div(F.col(f"_c{i}_{j}"), F.sqrt(F.col(f"_s{i}") * F.col(f"_s{j}"))).alias("r")) for i, j in pairs]
-    return wide.select(F.explode(F.array(*r)).alias("x")).select("x.*")
+        counts = rows.filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        ranks = X.placed(counts, ["feature"]).select("feature", "value", X.mid_rank(F.col("before"), F.col("n")).alias("rank"))
+        df = rows.join(ranks, ["feature", "value"], "left").groupBy("row_id").pivot("feature", list(feats)).agg(F.first("rank"))
+    m = gram.moments(df, feats)[None]
+    spread = np.sqrt(np.diag(m.cross))
+    # what rounding leaves of a constant feature's spread is none
+    spread[(m.missing > 0) | (spread <= 1e-14 * np.abs(m.mean) * np.sqrt(max(m.n, 1)))] = np.nan
+    with np.errstate(all="ignore"):
+        return m.cross / spread[:, None] / spread[None]
+
+
+def correlation_pairs(df: DataFrame, feats: Sequence[str], method: str = "pearson") -> DataFrame:
+    """i, j, r for all pairs i < j (places in feats); r is NULL for a constant feature or one that misses values."""
+    m = correlation_matrix(df, feats, method)
+    j, i = np.tril_indices(len(feats), -1)
+    r = m[j, i]
+    table = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "r": pa.array(r, mask=~np.isfinite(r))})
+    return df.sparkSession.createDataFrame(table)
 
 
 def highly_correlated(df: DataFrame, feats: Sequence[str], thresh: float = 0.95, method: str = "pearson", neg_corr: bool = False) -> DataFrame:
@@ -118,17 +118,22 @@ def rank_features(df: DataFrame, feats: Sequence[str], group_by: str, reference:
     incomplete beta below."""
     rows = X.long(df.filter(F.col(group_by).isNotNull()).select(F.col(group_by).alias("grp"), *feats), ["grp"], feats).filter("value is not null")
     if method == "wilcoxon":
+        # ranks come from counts of distinct values, which few numbers of each range of values put in order
+        own = rows.groupBy("grp", "feature", "value").agg(F.count(F.lit(1)).alias("own"))
         if reference is None:
-            ranked = rows.withColumn("rank", X.avg_rank(["feature"], "value"))
-            per = ranked.groupBy("grp", "feature").agg(F.sum("rank").alias("rs"), F.count(F.lit(1)).alias("n1"))
-            per = per.withColumn("n2", F.sum("n1").over(Window.partitionBy("feature")) - F.col("n1"))
+            every = own.groupBy("feature", "value").agg(F.sum("own").alias("n"))
+            ranks = X.placed(every, ["feature"]).select("feature", "value", X.mid_rank(F.col("before"), F.col("n")).alias("rank"), "total")
+            per = own.join(ranks, ["feature", "value"]).groupBy("grp", "feature").agg(F.sum(F.col("rank") * F.col("own")).alias("rs"), F.sum("own").alias("n1"), F.any_value("total").alias("total"))
+            per = per.withColumn("n2", F.col("total") - F.col("n1"))
         else:
-            ref = rows.filter(F.col("grp") == reference).select("feature", "value")
-            others = rows.filter(F.col("grp") != reference)
-            groups = others.select("grp").distinct()
-            both = others.withColumn("own", F.lit(1)).unionByName(ref.join(F.broadcast(groups), how="cross").withColumn("own", F.lit(0)))  # the reference once for each of a few groups
-            ranked = both.withColumn("rank", X.avg_rank(["grp", "feature"], "value"))
-            per = ranked.groupBy("grp", "feature").agg(F.sum(F.when(F.col("own") == 1, F.col("rank"))).alias("rs"), F.sum("own").alias("n1"), F.sum(1 - F.col("own")).alias("n2"))
+            # a value's rank among a group and the reference is its place in each, added up: neither is copied
+            both = own.join(own.filter(F.col("grp") == reference).select("feature", "value", F.col("own").alias("ref")), ["feature", "value"], "left").filter(F.col("grp") != reference)
+            mine = X.placed(both.withColumnRenamed("own", "n"), ["grp", "feature"])
+            marks = own.groupBy("feature", "value").agg(F.coalesce(F.sum(F.when(F.col("grp") == reference, F.col("own"))), F.lit(0)).alias("n"))
+            below = X.placed(marks, ["feature"]).select("feature", "value", F.col("before").alias("ref_before"), F.col("total").alias("ref_total"))
+            met = mine.join(below, ["feature", "value"])
+            rank = F.col("before") + F.col("ref_before") + (F.col("n") + F.coalesce("ref", F.lit(0)) + 1) / F.lit(2.0)
+            per = met.groupBy("grp", "feature").agg(F.sum(rank * F.col("n")).alias("rs"), F.sum("n").alias("n1"), F.any_value("ref_total").alias("n2"))
         n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
         z = X.div(F.col("rs") - n1 * (n1 + n2 + 1) / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
         out = per.select("grp", "feature", F.coalesce(z, F.lit(0.0)).alias("score"), F.when(z.isNull(), 1.0).otherwise(F.least(F.lit(1.0), 2 * (1 - X.phi(F.abs(z))))).alias("p"))

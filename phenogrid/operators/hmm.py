@@ -11,25 +11,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phenogrid.functions.scratch import cut
 from phenogrid.operators.group import sample_tracks
 
 
 @dataclass
 class Model:
+    """start and trans of k states; means and covars of their k * m components (m for each state, in a row); weights, k x m: one component is a Gaussian, several are a mixture."""
+
     start: np.ndarray
     trans: np.ndarray
     means: np.ndarray
     covars: np.ndarray
     loglik: float = -np.inf
     rows: int = 0
+    weights: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.weights is None:
+            self.weights = np.ones((len(self.start), 1))
 
     @property
     def k(self) -> int:
         return len(self.start)
 
+    @property
+    def mixtures(self) -> int:
+        return self.weights.shape[1]
+
     def parameters(self) -> int:
-        d = self.means.shape[1]
-        return self.k - 1 + self.k * (self.k - 1) + self.k * d + self.k * d * (d + 1) // 2
+        d, parts = self.means.shape[1], self.k * self.mixtures
+        return self.k - 1 + self.k * (self.k - 1) + parts * d + parts * d * (d + 1) // 2 + self.k * (self.mixtures - 1)
 
     def bic(self) -> float:
         return -2 * self.loglik + self.parameters() * np.log(max(self.rows, 2))
@@ -42,18 +54,27 @@ class Model:
         x = np.abs(np.real(v[:, int(np.argmax(np.real(w)))]))
         return x / x.sum()
 
+    def state_means(self) -> np.ndarray:
+        return np.einsum("sc,scd->sd", self.weights, self.means.reshape(self.k, self.mixtures, -1))
+
     def ordered(self) -> Model:
         """States by rising first mean."""
-        o = np.lexsort(self.means.T[::-1])
-        return Model(self.start[o], self.trans[np.ix_(o, o)], self.means[o], self.covars[o], self.loglik, self.rows)
-
-    def logpdf(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), self.k))
-        for s in range(self.k):
+        o = np.lexsort(self.state_means().T[::-1])
+        parts = (o[:, None] * self.mixtures + np.arange(self.mixtures)).ravel()
+        return Model(self.start[o], self.trans[np.ix_(o, o)], self.means[parts], self.covars[parts], self.loglik, self.rows, self.weights[o])
+
+    def log_parts(self, x: np.ndarray) -> np.ndarray:
+        """Log density of each component times its weight: frames x states x components."""
+        out = np.empty((len(x), len(self.means)))
+        for s in range(len(self.means)):
             chol = np.linalg.cholesky(self.covars[s] + 1e-9 * np.eye(x.shape[1]))
             z = np.linalg.solve(chol, (x - self.means[s]).T)
             out[:, s] = -0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-        return out
+        with np.errstate(divide="ignore"):
+            return out.reshape(len(x), self.k, self.mixtures) + np.log(self.weights)
+
+    def logpdf(self, x: np.ndarray) -> np.ndarray:
+        return _lse(self.log_parts(x), 2)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -105,68 +126,98 @@ def pack(df: DataFrame, track: str, time: str, rep: str, keep: Sequence[str] = (
 
 def em(packed: DataFrame, model: Model, rounds: int = 10, tol: float = 1e-2) -> Model:
     """EM from a start model; each round is one pass over the tracks that returns k x d statistics for each task."""
-    k, d = model.means.shape
+    k, c, d = model.k, model.mixtures, model.means.shape[1]
+    parts = k * c
     for _ in range(rounds):
         shared = packed.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            total = np.zeros(2 + k + k * k + k + k * d + k * d * d)
+            total = np.zeros(2 + k + k * k + parts + parts * d + parts * d * d)
             for b in batches:
                 for x in b.column(0).to_pylist():
                     x = np.array(x, float)
                     ll, g, xi = expect(m, x)
-                    second = np.einsum("ts,ti,tj->sij", g, x, x)
-                    total += np.concatenate([[ll, len(x)], g[0], xi.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel()])
+                    each = m.log_parts(x)
+                    each = (g[:, :, None] * np.exp(each - _lse(each, 2)[:, :, None])).reshape(len(x), parts)
+                    second = np.einsum("ts,ti,tj->sij", each, x, x)
+                    total += np.concatenate([[ll, len(x)], g[0], xi.ravel(), each.sum(0), (each.T @ x).ravel(), second.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
 
         rows = packed.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        s = np.zeros(2 + k + k * k + k + k * d + k * d * d)
+        s = np.zeros(2 + k + k * k + parts + parts * d + parts * d * d)
         for r in rows:
             s[r.i] = r.v
         ll, n = s[0], int(s[1])
-        start, xi, g, first, second = np.split(s[2:], np.cumsum([k, k * k, k, k * d]))
+        start, xi, g, first, second = np.split(s[2:], np.cumsum([k, k * k, parts, parts * d]))
         g = np.maximum(g, 1e-12)
-        means = first.reshape(k, d) / g[:, None]
-        covars = second.reshape(k, d, d) / g[:, None, None] - np.einsum("si,sj->sij", means, means) + 1e-3 * np.eye(d)
+        means = first.reshape(parts, d) / g[:, None]
+        covars = second.reshape(parts, d, d) / g[:, None, None] - np.einsum("si,sj->sij", means, means) + 1e-3 * np.eye(d)
         xi = xi.reshape(k, k) + 1e-12
         gain = ll - model.loglik
-        model = Model(start / max(start.sum(), 1e-12), xi / xi.sum(1, keepdims=True), means, covars, ll, n)
+        model = Model(start / max(start.sum(), 1e-12), xi / xi.sum(1, keepdims=True), means, covars, ll, n, g.reshape(k, c) / g.reshape(k, c).sum(1, keepdims=True))
         if gain < tol:
             break
     return model
 
 
-def first_model(x: np.ndarray, k: int, seed: int) -> Model:
-    """Means by k-means++ and a few Lloyd rounds on a sample of frames."""
+def first_model(x: np.ndarray, k: int, seed: int, mixtures: int = 1) -> Model:
+    """Means by k-means++ and a few Lloyd rounds on a sample of frames; neighbours along the widest axis share a state."""
     rng = np.random.default_rng(seed)
     c = [x[rng.integers(len(x))]]
-    for _ in range(k - 1):
+    for _ in range(k * mixtures - 1):
         d = np.min([((x - m) ** 2).sum(1) for m in c], axis=0)
         c.append(x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)])
     c = np.array(c)
     for _ in range(10):
         lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-        c = np.array([x[lab == s].mean(0) if (lab == s).any() else c[s] for s in range(k)])
+        c = np.array([x[lab == s].mean(0) if (lab == s).any() else c[s] for s in range(k * mixtures)])
+    c = c[np.argsort(c[:, x.std(0).argmax()], kind="stable")] if mixtures > 1 else c
     cov = np.cov(x.T).reshape(x.shape[1], -1) + 1e-3 * np.eye(x.shape[1])
     stay = np.full((k, k), 0.2 / max(k - 1, 1))
     np.fill_diagonal(stay, 0.8 if k > 1 else 1.0)
-    return Model(np.full(k, 1 / k), stay / stay.sum(1, keepdims=True), c, np.repeat(cov[None], k, 0))
+    return Model(np.full(k, 1 / k), stay / stay.sum(1, keepdims=True), c, np.repeat(cov[None], k * mixtures, 0), weights=np.full((k, mixtures), 1 / mixtures))
+
+
+#: Frames of which start models, and silhouettes, are taken: those with the smallest hashes.
+START_FRAMES, SILHOUETTE_FRAMES = 5_000, 1_500
+
 
+def state_silhouette(packed: DataFrame, model: Model) -> float:
+    """Mean silhouette of the decoded states over a sample of frames."""
+    from phenogrid.operators.models import silhouette
 
-def fit_hmm(df: DataFrame, n_components: int | Sequence[int], track: str, time: str, rep: str, row_id: str = "row_id", select_by: str = "bic", min_len: int | None = None, sample_size: int = 1000, n_init: int = 3, rounds: int = 10, seed: int = 0, state: str = "HMMState", start: Model | None = None) -> tuple[DataFrame, Model]:
-    """(row_id, state for all rows; the model). Fitted on sample_size tracks, the best of n_init starts for each number of states, the number with the smallest bic or aic. States are ordered by their means."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(viterbi(shared.value, np.array(x, float)).astype(np.int32))], ["v", "s"])
+
+    got = packed.select("x").mapInArrow(run, "v array<double>, s int").orderBy(F.xxhash64("v"), "v").limit(SILHOUETTE_FRAMES).collect()
+    x, label = np.array([list(r.v) for r in got], float), np.array([r.s for r in got])
+    if len(np.unique(label)) < 2:
+        return -1.0
+    label = np.unique(label, return_inverse=True)[1]
+    return silhouette(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)), label)
+
+
+def fit_hmm(df: DataFrame, n_components: int | Sequence[int], track: str, time: str, rep: str, row_id: str = "row_id", select_by: str = "bic", min_len: int | None = None, sample_size: int = 1000, n_init: int = 3, rounds: int = 10, seed: int = 0, state: str = "HMMState", start: Model | None = None, mixtures: int = 1) -> tuple[DataFrame, Model]:
+    """(row_id, state for all rows; the model). Fitted on sample_size tracks, the best of n_init starts for each number of states, the number
+    with the smallest bic or aic or the largest silhouette. Emissions are Gaussians, or mixtures of several. States are ordered by their means."""
+    if select_by not in ("bic", "aic", "silhouette"):
+        raise ValueError(select_by)
     base = df if min_len is None else df.join(df.groupBy(track).count().filter(F.col("count") >= min_len).select(track), track, "left_semi")
-    packed = pack(sample_tracks(base, track, sample_size, seed), track, time, rep).cache()
-    frames = np.array([list(r[0]) for r in packed.select(F.explode("x").alias("v")).limit(5000).collect()], float)
-    best: Model | None = None
+    packed = cut(pack(sample_tracks(base, track, sample_size, seed), track, time, rep))
+    frames = np.array([list(r[0]) for r in packed.select(F.explode("x").alias("v")).orderBy(F.xxhash64("v"), "v").limit(START_FRAMES).collect()], float)
+    best, least = None, np.inf
     for k in [n_components] if isinstance(n_components, int) else n_components:
-        starts = [start] if start is not None and start.k == k else [first_model(frames, k, seed + i) for i in range(n_init)]
+        starts = [start] if start is not None and start.k == k else [first_model(frames, k, seed + i, mixtures) for i in range(n_init)]
         fits = [em(packed, m, rounds) for m in starts]
         top = max((m for m in fits if np.isfinite(m.loglik)), key=lambda m: m.loglik)
-        if best is None or getattr(top, select_by)() < getattr(best, select_by)():
-            best = top
-    packed.unpersist()
+        cost = -state_silhouette(packed, top) if select_by == "silhouette" else getattr(top, select_by)()
+        if best is None or cost < least:
+            best, least = top, cost
     model = best.ordered()
     return decode(df, model, track, time, rep, row_id, state), model
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions import gram
 
 
 def _one(c: Column) -> Column:
@@ -64,28 +65,55 @@ def transform(df: DataFrame, feats: Sequence[str], method: str) -> DataFrame:
     return df.withColumns({f: one(F.col(f)) for f in feats})
 
 
-def transform_quantile(df: DataFrame, feats: Sequence[str], n_quantiles: int = 1000, normal: bool = False) -> DataFrame:
-    """Each value's place among n reference quantiles, linear between them, as a share in [0, 1]; the mean of the places from the left and right on ties.
-
-    References are exact percentiles of all rows: one aggregate, at most n_quantiles numbers a feature, broadcast as a row."""
-    levels = np.linspace(0, 1, n_quantiles)
-    refs = df.agg(*[F.percentile(f, F.array(*[F.lit(float(x)) for x in levels])).alias(f"_q_{f}") for f in feats])
-    out = df.join(F.broadcast(refs), how="cross")  # one row
+def exact_quantiles(df: DataFrame, feats: Sequence[str], levels: np.ndarray) -> dict[str, np.ndarray]:
+    """Exact quantiles of each feature, linear between neighbours, at evenly spaced levels from 0 to 1.
+
+    Distinct values are counted and placed by ranges; each says which levels' neighbours it is. Only those come to the driver:
+    features times levels times two numbers."""
+    q = len(levels)
+    rows = X.long(df.select(*[F.col(f).cast("double").alias(f) for f in feats]), [], feats).filter("value is not null")
+    at = X.placed(rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), ["feature"])
+    # level k of q lies at k * (total - 1) / (q - 1), in whole numbers: between floor and floor + 1
+    first, last, span = F.col("before"), F.col("before") + F.col("n") - 1, F.col("total") - 1
+    low = F.when(span == 0, 0).otherwise(F.ceil(X.div((first - 1) * (q - 1), span) - 1e-6) - 1)
+    high = F.when(span == 0, q - 1).otherwise(F.floor(X.div((last + 1) * (q - 1), span) + 1e-6) + 1)
+    got = at.withColumn("k", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(F.greatest(high, low), F.lit(q - 1)).cast("int")))).withColumn("lower", F.floor(F.col("k").cast("long") * span / F.lit(float(q - 1)) + F.lit(1e-9)))
+    got = got.withColumn("is_low", F.col("lower").between(first, last)).withColumn("is_high", F.least(F.col("lower") + 1, span).between(first, last)).filter("is_low or is_high")
+    out = {f: np.full(q, np.nan) for f in feats}
+    ends = {f: np.full(q, np.nan) for f in feats}
+    parts = {f: np.zeros(q) for f in feats}
+    for r in got.select("feature", "k", "value", "is_low", "is_high", (F.col("k") * span / F.lit(float(q - 1)) - F.col("lower")).alias("part")).collect():
+        if r.is_low:
+            out[r.feature][r.k] = r.value
+        if r.is_high:
+            ends[r.feature][r.k] = r.value
+        parts[r.feature][r.k] = max(0.0, r.part)
+    return {f: out[f] * (1 - parts[f]) + ends[f] * parts[f] for f in feats}
 
-    def place(f: str) -> Column:
-        x, q, n = F.col(f), F.col(f"_q_{f}"), n_quantiles
-        below = F.size(F.filter(q, lambda v: v < x))  # references below x
-        upto = F.size(F.filter(q, lambda v: v <= x))
-        lo, hi = F.get(q, below - 1), F.get(q, upto)
 
-        def at(i: Column, part: Column) -> Column:
-            return (i + part) / F.lit(float(n - 1))
-
-        tied = (below + upto - 1) / F.lit(2.0) / F.lit(float(n - 1))
-        between = at(below - 1, X.div(x - lo, F.get(q, below) - lo))
-        return F.when(x.isNull(), None).when(below == n, 1.0).when(upto == 0, 0.0).when(upto > below, tied).otherwise(between) + F.when(hi.isNull(), 0.0).otherwise(0.0)
+def transform_quantile(df: DataFrame, feats: Sequence[str], n_quantiles: int = 1000, normal: bool = False) -> DataFrame:
+    """Each value's place among n reference quantiles, linear between them, as a share in [0, 1]; the mean of the places from the left and right on ties.
 
-    out = out.withColumns({f: place(f) for f in feats}).drop(*[f"_q_{f}" for f in feats])
+    References are exact quantiles of all rows; values find their place by binary search, in Arrow batches."""
+    refs = exact_quantiles(df, feats, np.linspace(0, 1, n_quantiles))
+    n = n_quantiles
+
+    def place(x: np.ndarray, _) -> np.ndarray:
+        out = np.full_like(x, np.nan)
+        for j, f in enumerate(feats):
+            q, v = refs[f], x[:, j]
+            if np.isnan(q).any():
+                continue  # no values
+            below, upto = np.searchsorted(q, v, "left"), np.searchsorted(q, v, "right")
+            a = np.clip(below - 1, 0, n - 1)
+            b = np.minimum(below, n - 1)
+            with np.errstate(all="ignore"):
+                between = (below - 1 + (v - q[a]) / (q[b] - q[a])) / (n - 1)
+            got = np.where(upto > below, (below + upto - 1) / 2 / (n - 1), between)
+            out[:, j] = np.where(np.isnan(v), np.nan, np.where(below == n, 1.0, np.where(upto == 0, 0.0, got)))
+        return out
+
+    out = gram.applied(df, feats, list(feats), place)
     return out.withColumns({f: normal_quantile(F.col(f)) for f in feats}) if normal else out
 
 

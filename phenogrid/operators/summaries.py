@@ -9,26 +9,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions import gram
 from phenogrid.operators.batch import covariance
 
 
 def pca(df: DataFrame, feats: Sequence[str], n: int | None = None, out: str = "X_pca") -> tuple[DataFrame, DataFrame]:
-    """(df with scores in an array column; component, variance, percent, cumulative): axes from one aggregate of moments, signs fixed by the largest loading."""
+    """(df with scores in an array column; component, variance, percent, cumulative): axes from one pass for the moments, signs fixed by the largest loading."""
     mean, cov, rows = covariance(df, feats, sample=True)
     w, v = np.linalg.eigh(cov)
     order = np.argsort(-w)[:n]
     w_all = np.maximum(w, 0)
     w, v = w_all[order], v[:, order]
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
-    scores = []
-    for j in range(v.shape[1]):
-        total = F.lit(0.0)
-        for i, f in enumerate(feats):
-            total = total + (F.col(f) - F.lit(float(mean[i]))) * F.lit(float(v[i, j]))
-        scores.append(total)
     share = 100 * w / max(w_all.sum(), 1e-300)
     table = [(j + 1, float(w[j]), float(share[j]), float(share[: j + 1].sum())) for j in range(len(w))]
-    return df.withColumn(out, F.array(*scores)), df.sparkSession.createDataFrame(table, "component int, variance double, percent double, cumulative double")
+    names = [f"{out}_{j}" for j in range(v.shape[1])]
+    scored = gram.applied(df, feats, names, lambda x, _: (x - mean) @ v).withColumn(out, F.array(*names)).drop(*names)
+    return scored, df.sparkSession.createDataFrame(table, "component int, variance double, percent double, cumulative double")
 
 
 def time_summary(df: DataFrame, time: str, feats: Sequence[str], hue: Sequence[str] = ()) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions.scratch import cut
 
 REDUCERS = ("mean", "std", "max", "min", "diff")
 
@@ -74,37 +78,44 @@ def state_distances(df: DataFrame, state: str, rep: str) -> DataFrame:
 def nearest_parents(df: DataFrame, time: str, by: Sequence[str], x: str, y: str, row_id: str = "row_id") -> DataFrame:
     """row_id, parent: the nearest object of the previous frame that the field has; ties to the smaller id; NULL in the first frame.
 
-    Frames are ranked by field, so gaps in time are no gaps here; the join is an equi-join by field and frame."""
-    cols = df.select(row_id, time, *by, x, y)
-    ranked = cols.withColumn("_f", F.dense_rank().over(Window.partitionBy(*by).orderBy(time)))
-    before = ranked.select(*by, (F.col("_f") + 1).alias("_f"), F.col(row_id).alias("_p"), F.col(x).alias("_px"), F.col(y).alias("_py"))
-    d = (F.col(x) - F.col("_px")) ** 2 + (F.col(y) - F.col("_py")) ** 2
-    near = ranked.join(before, [*by, "_f"]).groupBy(row_id).agg(F.min_by("_p", F.struct(d, F.col("_p"))).alias("parent"))
-    return ranked.select(row_id).join(near, row_id, "left")
+    Frames are ranked by field, so gaps in time are no gaps here. A field's frame and the one before it are one group, of the
+    objects of two images; distances are taken in blocks of rows, and no pair of objects leaves the task."""
+    ranked = df.select(F.col(row_id).alias("_id"), *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.dense_rank().over(Window.partitionBy(*by).orderBy(time)).alias("_f"))
+    before = ranked.select(*[F.col(c).alias(f"_b_{c}") for c in by], (F.col("_f") + 1).alias("_g"), F.col("_id").alias("_p"), F.col("_x").alias("_px"), F.col("_y").alias("_py"))
+
+    def meet(now: pa.Table, old: pa.Table) -> pa.Table:
+        if not now.num_rows:  # a side without rows has no columns either
+            return old.select(["_p", "_p"]).slice(0, 0).rename_columns([row_id, "parent"])
+        ids = now.column("_id")
+        parents = pa.nulls(now.num_rows, ids.type)
+        if old.num_rows:
+            old = old.filter(pc.and_(pc.is_valid(old.column("_px")), pc.is_valid(old.column("_py")))).sort_by("_p")  # the first of equal distances has the smaller id
+        if old.num_rows:
+            px, py = (old.column(c).to_numpy() for c in ("_px", "_py"))
+            nx, ny = (now.column(c).to_numpy() for c in ("_x", "_y"))
+            best = np.concatenate([((nx[i : i + 512, None] - px) ** 2 + (ny[i : i + 512, None] - py) ** 2).argmin(1) for i in range(0, len(nx), 512)])
+            known = np.isfinite(nx) & np.isfinite(ny)
+            parents = old.column("_p").combine_chunks().take(pa.array(best, mask=~known))
+        return pa.table({row_id: ids, "parent": parents})
+
+    kind = df.schema[row_id].dataType.simpleString()
+    return ranked.groupBy(*by, "_f").cogroup(before.groupBy(*[f"_b_{c}" for c in by], "_g")).applyInArrow(meet, f"`{row_id}` {kind}, parent {kind}")
 
 
 def track_nn(df: DataFrame, time: str, by: Sequence[str], x: str, y: str, row_id: str = "row_id") -> DataFrame:
     """row_id, parent, tree: parents by nearest_parents(); the tree is the first object at the end of the chain of parents.
 
-    Chains are halved at each round (pointer jumping): as many joins as the logarithm of the number of frames."""
-    parents = nearest_parents(df, time, by, x, y, row_id)
-    up = parents.select(F.col(row_id).alias("id"), F.coalesce("parent", row_id).alias("top"), F.col("parent").isNull().alias("done"))
+    Chains are halved at each round (pointer jumping): as many joins as the logarithm of the number of frames, each round
+    written before the next, so that no plan grows with the frames."""
+    parents = cut(nearest_parents(df, time, by, x, y, row_id))
+    up = parents.select(F.col(row_id).alias("id"), F.coalesce("parent", row_id).alias("top"))
     frames = df.groupBy(*by).agg(F.countDistinct(time).alias("n")).agg(F.max("n")).first()[0] or 1
-    jumps = max(1, (frames - 1).bit_length())
-    for _ in range(jumps):
+    for _ in range(max(1, (frames - 1).bit_length())):
         over = up.select(F.col("id").alias("_i"), F.col("top").alias("_t"))
-        up = up.join(over, up["top"] == over["_i"], "left").select("id", F.coalesce("_t", "top").alias("top"))
-        if _ % 3 == 2:
-            up = _cut(up)
+        up = cut(up.join(over, up["top"] == over["_i"], "left").select("id", F.coalesce("_t", "top").alias("top")))
     return parents.join(up.select(F.col("id").alias(row_id), F.col("top").alias("tree")), row_id)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut a growing plan where the session names a folder for checkpoints."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() else df
-
-
 def lineage_edges(df: DataFrame, track: str, parent: str, time: str) -> DataFrame:
     """parent, child, parent_end, child_start of tracks whose parent is another track."""
     per = df.filter(F.col(track).isNotNull()).groupBy(track).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.min_by(F.col(parent), F.col(time)).alias("_p"))
