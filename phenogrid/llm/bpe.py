@@ -1,20 +1,19 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A text is split by the tokenizer's pattern. Documents are dealt into blocks of about BLOCK_CHARS characters by a hash; each
-block asks for the distinct pieces of its documents that are not tokens themselves. The requests of the whole corpus meet by
-piece, so that every distinct piece is merged once. There, the pieces form one array of symbols with links to the left
-and right neighbours; an inverted index maps each mergeable pair to the positions where it stands; merges are replayed in rank
-order over the whole index, and each touches only the two neighbours of its position. The answers go back to the blocks that asked,
-where documents are put together from their pieces' ids.
+A text is split by the tokenizer's pattern. The pieces of the whole corpus that are not tokens themselves are counted; the most
+frequent ones, SHARED_PIECES at most, are merged once, in tasks of which each has some of them, and every worker gets their ids.
+Rarer pieces are merged where they stand: the distinct ones of a batch of documents that the worker has not met lately.
+
+Merging works on all pieces at hand at once. They form one array of symbols with links to the left and right neighbours; an
+inverted index maps each mergeable pair to the positions where it stands; merges are replayed in rank order over the whole
+index, and each touches only the two neighbours of its position. Documents are then put together from their pieces' ids.
 
 A piece must come out as if it were encoded alone, lowest rank first, leftmost first. Replaying a rank over all pieces at
 once keeps that as long as no merge creates a pair of a lower rank; a piece where one does is encoded on its own instead.
 
-A block's texts and dictionary are what a task holds; a piece that all blocks ask for is a row for each block.
-
 Defined results: a null text counts as empty: no ids. Every byte sequence has an encoding, since all 256 bytes have ranks.
 A null id is kept. Repeated rows are encoded each. Other columns are ignored. Very long pieces are encoded whole. An empty table
-gives an empty result.
+gives an empty result. No result depends on which pieces are shared.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -30,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import table
+from phenogrid.llm.common import frequent, materialise, remove_table, table
 
-#: Characters of the documents of a block; requests that a task holds before it passes them on; characters of pieces that one replay works on.
-BLOCK_CHARS, HELD_REQUESTS, REPLAY_CHARS = 32_000_000, 400_000, 4_000_000
+#: Pieces that all workers know; distinct pieces that a task counts before it passes them on.
+SHARED_PIECES, FLUSH_PIECES = 262_144, 300_000
+#: Pieces that a worker remembers beside them; then it starts afresh. Longer pieces than REMEMBER_BYTES are never kept.
+REMEMBER_PIECES, REMEMBER_BYTES = 500_000, 64
+#: Characters of text, or of pieces, that one replay works on at a time.
+REPLAY_CHARS = 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -173,103 +177,134 @@ def replay(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
     return out
 
 
-def requests(ranks_path: str, pattern: str):
-    """(block, text) to (block, piece): the distinct pieces that are not tokens, of each block."""
+class Encoder:
+    """Knows the shared pieces and keeps those met lately, each as the bytes of its ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(ranks_path, pattern)
-        held: dict[int, set[str]] = {}
+    def __init__(self, v: Vocabulary, shared: dict[str, bytes] | None = None):
+        self.v = v
+        self.shared = v.whole | (shared or {})
+        self.known = dict(self.shared)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, pieces in held.items():
-                for batch in pa.table({"block": pa.array([block] * len(pieces), pa.int32()), "piece": pa.array(list(pieces), pa.string())}).to_batches(50_000):
-                    yield batch
-            held.clear()
+    def batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        if len(self.known) > len(self.shared) + REMEMBER_PIECES:
+            self.known = dict(self.shared)
+        known, width = self.known, self.v.width
+        parts = [self.v.split(t) for t in texts]
+        new = list(set().union(*parts).difference(known)) if parts else []
+        known.update(zip(new, merged(new, self.v), strict=True))
+        for part in parts:
+            yield np.frombuffer(b"".join(map(known.__getitem__, part)), width).tolist()
+        for x in new:
+            if len(x) > REMEMBER_BYTES:
+                del known[x]
 
-        for b in batches:
-            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text:
-                    held.setdefault(block, set()).update(set(v.split(text)).difference(v.whole))
-            if sum(map(len, held.values())) > HELD_REQUESTS:
-                yield from out()
-        yield from out()
 
-    return run
+def merged(pieces: list[str], v: Vocabulary) -> list[bytes]:
+    """The ids of each piece as bytes."""
+    return [np.array(ids, v.width).tobytes() for ids in replay([x.encode("utf-8", "surrogatepass") for x in pieces], v)]
 
 
-def answers(ranks_path: str, pattern: str):
-    """(block, piece) sorted by piece and block to (block, piece, ids): each distinct piece is merged once."""
+def count_pieces(ranks_path: str, pattern: str):
+    """Texts to (piece, c): pieces that are not tokens, and how many of the texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path, pattern)
-        held: list[tuple[str, int]] = []
-        chars = 0
+        held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = list(dict.fromkeys(held))
-            pieces = list(dict.fromkeys(p for p, _ in rows))
-            ids = {p: np.array(x, v.width).tobytes() for p, x in zip(pieces, replay([p.encode() for p in pieces], v), strict=True)}
+            got = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "c"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([b for _, b in rows], pa.int32()), pa.array([p for p, _ in rows], pa.string()), pa.array([ids[p] for p, _ in rows], pa.binary())], ["block", "piece", "ids"])
+            return got
 
         for b in batches:
-            for block, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not held or held[-1][0] != piece:
-                    if chars > REPLAY_CHARS:
-                        yield out()
-                        chars = 0
-                    chars += len(piece)
-                held.append((piece, block))
+            for text in b.column(0).to_pylist():
+                held.update(p for p in set(v.split(text or "")).difference(v.whole) if len(p) <= REMEMBER_BYTES)
+                if len(held) > FLUSH_PIECES:
+                    yield out()
         if held:
             yield out()
 
     return run
 
 
+def dictionary(texts: DataFrame, ranks_path: str, pattern: str, most: int = SHARED_PIECES) -> dict[str, bytes]:
+    """The most frequent pieces of the corpus that are not tokens, at most `most`, with their ids; those that stand in one text only are left out."""
+    counts = texts.mapInArrow(count_pieces(ranks_path, pattern), "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c")).filter("c > 1")
+    counts = materialise(counts, "pieces")
+    level, least = frequent(counts, most)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(ranks_path, pattern)
+        for b in batches:
+            pieces = b.column(0).to_pylist()
+            for part in slices(pieces):
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[part], pa.string()), pa.array(merged(pieces[part], v), pa.binary())], ["piece", "ids"])
+
+    got = counts.filter(level >= least).select("piece").mapInArrow(merge, "piece string, ids binary").toArrow()
+    remove_table(counts)
+    return dict(zip(got.column("piece").to_pylist(), got.column("ids").to_pylist(), strict=True))
+
+
 def decode(ids: Iterable[int], v: Vocabulary) -> bytes:
     tokens = v.tokens
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+def slices(texts: list[str], chars: int = REPLAY_CHARS) -> Iterator[slice]:
+    """Cut a list of texts into parts of about `chars` characters; a longer text is a part of its own."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > chars:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(t)
+    if texts:
+        yield slice(at, len(texts))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, shared_pieces: int = SHARED_PIECES) -> DataFrame:
     """id; n_tokens; with `ids` the ids; with `digests` ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
 
     Decoding is checked: it must give back the text's bytes. ranks_path must be readable on every executor."""
+
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    chars = named.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-chars // BLOCK_CHARS)))).cast("int")
-    named = named.withColumn("block", block)
-    asked = named.select("block", "text").mapInArrow(requests(ranks_path, pattern), "block int, piece string")
-    known = asked.repartition("piece").sortWithinPartitions("piece", "block").mapInArrow(answers(ranks_path, pattern), "block int, piece string, ids binary")
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(named.select("text"), ranks_path, pattern, shared_pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(ranks_path, pattern)
+        encoder = Encoder(v, shared.value)
+        for b in batches:
+            names = b.column(0)
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for part in slices(texts):
+                n, each, sha, back = [], [], [], []
+                for text, numbers in zip(texts[part], encoder.batch(texts[part]), strict=True):
+                    n.append(len(numbers))
+                    if ids:
+                        each.append(numbers)
+                    if digests:
+                        raw = decode(numbers, v)
+                        if raw != text.encode("utf-8", "surrogatepass"):
+                            raise ValueError("decoding does not give back the text")
+                        sha.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, numbers)).encode()).hexdigest())
+                        back.append(hashlib.sha256(raw).hexdigest())
+                cols = [names.slice(part.start, len(n)), pa.array(n, pa.int64())] + ([pa.array(each, pa.list_(pa.int32()))] if ids else []) + ([pa.array(sha, pa.string()), pa.array(back, pa.string())] if digests else [])
+                yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
+
     kind = named.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long" + (", ids array<int>" if ids else "") + (", ids_sha256 string, decoded_sha256 string" if digests else "")
+    return named.mapInArrow(renamed(run, schema), schema)
 
-    def assemble(texts: pa.Table, pieces: pa.Table) -> pa.Table:
-        v = vocabulary(ranks_path, pattern)
-        ids_of = dict(v.whole)
-        ids_of.update(zip(pieces.column("piece").to_pylist(), pieces.column("ids").to_pylist(), strict=True))
-        n, each, sha, back = [], [], [], []
-        for x in texts.column("text"):
-            text = x.as_py() or ""
-            numbers = np.frombuffer(b"".join(map(ids_of.__getitem__, v.split(text))), v.width)
-            n.append(len(numbers))
-            if ids:
-                each.append(numbers.astype(np.int32))
-            if digests:
-                found = numbers.tolist()
-                raw = decode(found, v)
-                if raw != text.encode():
-                    raise ValueError("decoding does not give back the text")
-                sha.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, found)).encode()).hexdigest())
-                back.append(hashlib.sha256(raw).hexdigest())
-        out = {"id": texts.column("id"), "n_tokens": pa.array(n, pa.int64())}
-        if ids:
-            out["ids"] = pa.array(each, pa.list_(pa.int32()))
-        if digests:
-            out |= {"ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
-        return pa.table(out)
-
-    return named.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, schema)
+
+def renamed(run, schema: str):
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def go(batches):
+        for b in run(batches):
+            yield b.rename_columns(names)
+
+    return go
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
