@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import weakref
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenogrid.functions.scratch import scratch_dir
+
 #: The white space that ends a word, as a Java / RE2 character class, and the words between.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,17 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _scratch: set[str] = set()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset on one machine (tests) a folder of our own; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phenogrid-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     _scratch.discard(path)
     try:
@@ -51,12 +40,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_when_unused(owner: DataFrame, table: DataFrame) -> None:
-    """Delete a materialised table once `owner`, the last frame that reads it, is garbage."""
-    for path in table.inputFiles()[:1]:
-        weakref.finalize(owner, _remove, table.sparkSession, path.rsplit("/", 1)[0])
-
-
 def remove_table(table: DataFrame) -> None:
     """Delete a materialised table that no later plan reads."""
     for path in table.inputFiles()[:1]:
@@ -73,6 +56,20 @@ def crc_mod(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[Column, int]:
+    """(level, least): rows of `counts` (column c) whose level is at least that are the most frequent, at most `most` rows, never some of equal ones.
+
+    A cut on the counts' scale instead of a top-k, whose candidates would all meet in one task; at most a few thousand levels."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    held, least = 0, 1 << 30
+    for at, n in sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = at
+    return level, least
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores in front as make it differ from df's columns."""
     taken = {c.lower() for c in df.columns}
