@@ -21,60 +21,101 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _unit(v: Column) -> Column:
-    """Centred and scaled to length one; NULLs where constant."""
-    n = F.size(v)
-    centred = F.transform(v, lambda x: x - _sum(v) / n)
-    return F.transform(centred, lambda x: F.try_divide(x, F.sqrt(_sum(F.transform(centred, lambda y: y * y)))))
+METHODS = ("pearson", "spearman", "kendall", "euclidean", "cityblock", "mahalanobis")
 
 
-def _ranks(v: Column) -> Column:
-    return F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / F.lit(2.0))
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """Mean ranks within each row."""
+    return (x[:, None] < x[:, :, None]).sum(2) + ((x[:, None] == x[:, :, None]).sum(2) + 1) / 2
 
 
-def _kendall(a: Column, b: Column) -> Column:
-    """tau-b over all pairs of places."""
-    n = F.size(a)
-    at = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(F.signum(F.get(a, i) - F.get(a, j)).alias("s"), F.signum(F.get(b, i) - F.get(b, j)).alias("t")))))
-    score = F.aggregate(at, F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t")), lambda acc, x: F.struct((acc["c"] + x["s"] * x["t"]).alias("c"), (acc["s"] + F.abs(x["s"])).alias("s"), (acc["t"] + F.abs(x["t"])).alias("t")))
-    return F.try_divide(score["c"], F.sqrt(score["s"] * score["t"]))
+def _signs(x: np.ndarray) -> np.ndarray:
+    """Signs of the differences of all pairs of places: their cosine is Kendall's tau-b."""
+    i, j = np.triu_indices(x.shape[1], 1)
+    return np.sign(x[:, i] - x[:, j])
 
 
-METHODS = ("pearson", "spearman", "kendall", "euclidean", "cityblock", "mahalanobis")
+def prepared(x: np.ndarray, method: str) -> np.ndarray:
+    """Vectors whose products (correlations) or distances are the similarities; NaN where constant."""
+    if method not in ("pearson", "spearman", "kendall"):
+        return x
+    x = x - x.mean(1, keepdims=True) if method == "pearson" else _ranked(x) - (x.shape[1] + 1) / 2 if method == "spearman" else _signs(x)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    with np.errstate(all="ignore"):
+        return np.where(size > 0, x / size, np.nan)
+
+
+def compared(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
+    """Similarities of all rows of x with all of y, from prepared vectors."""
+    if method in ("pearson", "spearman", "kendall"):
+        return x @ y.T
+    if method == "cityblock":
+        return np.stack([np.abs(r - y).sum(1) for r in x])
+    return np.stack([np.sqrt(((r - y) ** 2).sum(1)) for r in x])
 
 
-def similarity(df: DataFrame, labels: Sequence[str], vector: Column, method: str = "pearson", row_id: str = "row_id", blocks: int = 8, code_compatible: bool = False) -> DataFrame:
-    """a, b (row ids, a < b), <label>_a, <label>_b, sim. `mahalanobis` uses the inverse covariance of all rows, or with code_compatible the city-block distance."""
+def similarity(df: DataFrame, labels: Sequence[str], vector: Column, method: str = "pearson", row_id: str = "row_id", block_rows: int = 512, code_compatible: bool = False) -> DataFrame:
+    """a, b (row ids, a < b), <label>_a, <label>_b, sim. `mahalanobis` uses the inverse covariance of all rows, or with code_compatible the city-block distance.
+
+    Two blocks of rows meet in a task, whose rows' similarities are matrix products; the number of blocks grows with the rows."""
     if method not in METHODS:
         raise ValueError(method)
     if method == "mahalanobis" and code_compatible:
         method = "cityblock"
-    rows = df.select(F.col(row_id).alias("id"), *labels, vector.cast("array<double>").alias("raw"))
+    rows = df.select(F.col(row_id).alias("id"), *labels, vector.cast("array<double>").alias("v"))
     if method == "mahalanobis":
-        rows = rows.withColumn("v", whitened(rows, "raw"))
-        method = "euclidean"
-    else:
-        rows = rows.withColumn("v", _unit(F.col("raw")) if method == "pearson" else _unit(_ranks(F.col("raw"))) if method == "spearman" else F.col("raw"))
-    rows = rows.drop("raw").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("q", F.explode(every)).filter(F.col("q") >= F.col("blk")).select("id", *labels, "v", F.col("blk").alias("p"), "q")
-    right = rows.withColumn("p", F.explode(every)).filter(F.col("p") <= F.col("blk")).select("id", *labels, "v", "p", F.col("blk").alias("q"))
-    right = right.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}_2") for c in labels], F.col("v").alias("v2"), "p", "q")
-    pairs = left.join(right, ["p", "q"]).filter((F.col("p") != F.col("q")) | (F.col("id") < F.col("id2")))
-    a, b = F.col("v"), F.col("v2")
-    sim = {
-        "pearson": lambda: _sum(F.zip_with(a, b, lambda x, y: x * y)),
-        "spearman": lambda: _sum(F.zip_with(a, b, lambda x, y: x * y)),
-        "kendall": lambda: _kendall(a, b),
-        "euclidean": lambda: F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))),
-        "cityblock": lambda: _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y))),
-    }[method]()
-    swap = F.col("id") > F.col("id2")
-
-    def pick(c: str, c2: str, first: bool) -> Column:
-        return F.when(swap == F.lit(first), F.col(c2)).otherwise(F.col(c))
-
-    return pairs.select(pick("id", "id2", True).alias("a"), pick("id", "id2", False).alias("b"), *[pick(c, f"{c}_2", True).alias(f"{c}_a") for c in labels], *[pick(c, f"{c}_2", False).alias(f"{c}_b") for c in labels], sim.alias("sim"))
+        rows, method = rows.withColumn("v", whitened(rows, "v")), "euclidean"
+    left, right = _blocks(rows, labels, block_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = ["a", "b", *[f"{c}_{x}" for x in "ab" for c in labels], "sim"]
+    schema = f"a {kinds['id']}, b {kinds['id']}, " + "".join(f"`{c}_{x}` {kinds[c]}, " for x in "ab" for c in labels) + "sim double"
+    types = schema_types(rows, [("a", "id"), ("b", "id"), *[(f"{c}_{x}", c) for x in "ab" for c in labels]])
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        one_thread()
+        if not one.num_rows or not two.num_rows:
+            return pa.table([pa.array([], t) for t in [*types, pa.float64()]], names=names)
+        two = two.rename_columns(["id", *labels, "v", "p", "q"])
+        x, y = (prepared(_matrix(t.column("v")), method) for t in (one, two))
+        ids, ids2 = (np.array(t.column("id").to_pylist(), object if pa.types.is_string(t.schema.field("id").type) else None) for t in (one, two))
+        i, j = np.nonzero(ids[:, None] < ids2[None]) if one.column("p")[0] == one.column("q")[0] else (k.ravel() for k in np.indices((len(ids), len(ids2))))
+        sim = compared(x, y, method)[i, j]
+        swap = ids[i] > ids2[j]
+
+        def sides(c: str) -> tuple[pa.Array, pa.Array]:
+            """The column of the pair's smaller and larger id."""
+            both = pa.concat_arrays([one.column(c).combine_chunks(), two.column(c).combine_chunks()])
+            first, second = i, j + one.num_rows
+            return both.take(pa.array(np.where(swap, second, first))), both.take(pa.array(np.where(swap, first, second)))
+
+        named = {c: sides(c) for c in ["id", *labels]}
+        return pa.table([*named["id"], *[named[c][k] for k in (0, 1) for c in labels], pa.array(sim, mask=np.isnan(sim))], names=names)
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInArrow(run, schema)
+
+
+def schema_types(rows: DataFrame, named: Sequence[tuple[str, str]]) -> list[pa.DataType]:
+    """Arrow types of columns of rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(rows.schema[c].dataType) for _, c in named]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; NaN where missing."""
+    given = column.to_pylist()
+    width = max((len(x) for x in given if x), default=1)
+    return np.array([[np.nan if y is None else y for y in u] if u else [np.nan] * width for u in given], float).reshape(-1, width)
+
+
+def _blocks(rows: DataFrame, labels: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, labels, v, p, q; of the right with a 2) of every pair of blocks p <= q."""
+    blocks = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).alias("_n"))
+    rows = rows.join(F.broadcast(blocks), how="cross").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_n")))  # one row
+    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    left = rows.select("id", *labels, "v", F.col("blk").alias("p"), F.explode(every).alias("q")).filter("p <= q")
+    right = rows.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}_2") for c in labels], F.col("v").alias("v2"), F.explode(every).alias("p2"), F.col("blk").alias("q2")).filter("p2 <= q2")
+    return left, right
 
 
 #: Rows of a block whose similarities to another block are one matrix product.
@@ -87,22 +128,13 @@ def pair_sums(df: DataFrame, labels: Sequence[str], vector: Column, method: str
     Pairs without a similarity do not count. Two blocks of rows meet in one matrix product; the work is quadratic, what comes out is not."""
     if method not in ("pearson", "spearman"):
         raise ValueError(method)
-    raw = vector.cast("array<double>")
-    unit = _unit(raw) if method == "pearson" else _unit(_ranks(raw))
-    rows = df.select(F.col(row_id).alias("id"), *labels, unit.alias("v"))
-    blocks = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS))).alias("_n"))
-    rows = rows.join(F.broadcast(blocks), how="cross").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_n")))  # one row
-    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
-    left = rows.select("id", *labels, "v", F.col("blk").alias("p"), F.explode(every).alias("q")).filter("p <= q")
-    right = rows.select(F.col("id").alias("id2"), *[F.col(c).alias(f"{c}_2") for c in labels], F.col("v").alias("v2"), F.explode(every).alias("p2"), F.col("blk").alias("q2")).filter("p2 <= q2")
+    left, right = _blocks(df.select(F.col(row_id).alias("id"), *labels, vector.cast("array<double>").alias("v")), labels, PAIR_ROWS)
     kinds = {f.name: f.dataType.simpleString() for f in df.select(*labels).schema}
     schema = ", ".join(f"`{c}_{x}` {kinds[c]}" for x in "ab" for c in labels)
 
     def side(t: pa.Table, names: list[str], v: str) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
         """Unit vectors (NaN: none), each row's number of its labels, and the labels."""
-        given = t.column(v).to_pylist()
-        width = max((len(x) for x in given if x), default=1)
-        x = np.array([[np.nan if y is None else y for y in u] if u else [np.nan] * width for u in given], float).reshape(-1, width)
+        x = prepared(_matrix(t.column(v)), method)
         seen: dict[tuple, int] = {}
         code = np.array([seen.setdefault(k, len(seen)) for k in zip(*[t.column(c).to_pylist() for c in names], strict=True)], np.int64)
         return x, code, list(seen)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions import gram
+from phenogrid.functions.scratch import cut as cut_plan
 from phenogrid.functions.stats import adjust, normal_two_sided
 from phenogrid.operators.batch import covariance, inverse_root
 from phenogrid.operators.group import sample_rows
@@ -217,7 +219,8 @@ def svm_rfe(df: DataFrame, feats: Sequence[str], treat: str, n_features: int | N
     """feature, rank (1: kept), keep: the feature with the smallest sum of squared weights of linear one-against-rest machines goes, until n_features (half) are left."""
     if sample_size is not None:
         df = sample_rows(df, sample_size, row_id)
-    rows = StringIndexer(inputCol=treat, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df.na.drop(subset=[*feats, treat])).select("_y", *feats).cache()
+    rows = StringIndexer(inputCol=treat, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df.na.drop(subset=[*feats, treat])).select("_y", *feats)
+    rows = cut_plan(rows)
     left, goal, ranks = list(feats), n_features or max(1, len(feats) // 2), {}
     while len(left) > goal:
         vec = VectorAssembler(inputCols=left, outputCol="_v").transform(rows)
@@ -226,7 +229,6 @@ def svm_rfe(df: DataFrame, feats: Sequence[str], treat: str, n_features: int | N
         for i in np.argsort(weight, kind="stable")[: min(step, len(left) - goal)]:
             ranks[left[i]] = len(left) - goal + 1
         left = [f for f in left if f not in ranks]
-    rows.unpersist()
     return df.sparkSession.createDataFrame([(f, ranks.get(f, 1), f in left) for f in feats], "feature string, rank int, keep boolean")
 
 
@@ -263,11 +265,45 @@ def _path(n: int) -> float:
     return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
+def _robust_covariance(df: DataFrame, feats: Sequence[str], contamination: float) -> DataFrame:
+    """Squared distances from the centre of the nearest three quarters of all rows, which are found again until they are stable (10 rounds at most).
+
+    Each round is a pass for the moments and one for the quantile of distances (to one in ten thousand)."""
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop()
+    kept, last = rows, None
+    for _ in range(10):
+        m = gram.moments(kept, feats)[None]
+        w = inverse_root(m.covariance(sample=True), 1e-9)
+
+        def away(x: np.ndarray, _, centre=m.mean, w=w) -> np.ndarray:
+            return (((x - centre) @ w) ** 2).sum(1)[:, None]
+
+        scored = gram.applied(rows, feats, ["_d"], away)
+        edge = scored.agg(F.percentile_approx("_d", 0.75, 10_000)).first()[0]
+        if edge is None or last is not None and abs(edge - last) <= 1e-9 * abs(last):
+            break
+        last = edge
+        kept = scored.filter(F.col("_d") <= edge).drop("_d")
+    limit = scored.agg(F.percentile_approx("_d", 1 - contamination, 10_000)).first()[0]
+    out = gram.applied(df, feats, ["outlier_score"], away)
+    return out.withColumn("inlier", F.coalesce(F.col("outlier_score") <= F.lit(limit), F.lit(False)))
+
+
 def outlier_scores(df: DataFrame, feats: Sequence[str], method: str = "if", contamination: float = 0.1, trees: int = 100, size: int = 256, neighbours: int = 20, nu: float = 0.5, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """df with `outlier_score` (higher: stranger) and `inlier`. Methods: `if` isolation forest; `rc` robust covariance (distances from a
-    reweighted centre); `lof` local density against the sample; `oc-svm` and `oc-svm-sgd` one-class machine on random Fourier features.
-
-    Trained on a sample of TRAIN_ROWS rows (by hash of the row id); all rows are scored. Rows that miss features are no inliers."""
+    reweighted centre of all rows); `lof` local density, each row among all rows (exact, quadratic work in blocks); `oc-svm` and
+    `oc-svm-sgd` one-class machine on random Fourier features.
+
+    An isolation forest's trees and the one-class machine are trained on a sample of TRAIN_ROWS rows (by hash of the row id); all rows
+    are scored. Rows that miss features are no inliers."""
+    vector = F.array(*[F.col(f).cast("double") for f in feats])
+    if method == "lof":
+        from phenogrid.operators.neighbours import local_outlier_factor
+
+        found = local_outlier_factor(df, row_id, vector, neighbours).select(F.col("id").alias(row_id), F.col("lof").alias("outlier_score"))
+        return df.join(found, row_id, "left").withColumn("inlier", F.coalesce(F.col("outlier_score") <= 1.5, F.lit(False)))
+    if method == "rc":
+        return _robust_covariance(df, feats, contamination)
     sample = np.array([list(r) for r in sample_rows(df.select(row_id, *feats).na.drop(), TRAIN_ROWS, row_id, seed).drop(row_id).collect()], float).reshape(-1, len(feats))
     rng = np.random.default_rng(seed)
     if not len(sample):
@@ -289,42 +325,6 @@ def outlier_scores(df: DataFrame, feats: Sequence[str], method: str = "if", cont
             return 2 ** (-total / len(forest) / scale)
 
         limit = 0.5
-    elif method == "rc":
-        keep = np.ones(len(sample), bool)
-        for _ in range(10):
-            centre, cov = sample[keep].mean(0), np.cov(sample[keep].T).reshape(len(feats), -1)
-            w = inverse_root(cov, 1e-9)
-            dist = (((sample - centre) @ w) ** 2).sum(1)
-            new = dist <= np.quantile(dist, 0.75)
-            if (new == keep).all():
-                break
-            keep = new
-
-        def score(x: np.ndarray) -> np.ndarray:
-            return (((x - centre) @ w) ** 2).sum(1)
-
-        limit = float(np.quantile(score(sample), 1 - contamination))
-    elif method == "lof":
-        sub = sample[:2000]
-        k = min(neighbours, len(sub) - 1)
-
-        def near(x: np.ndarray, skip: bool) -> tuple[np.ndarray, np.ndarray]:
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (sub**2).sum(1)[None] - 2 * x @ sub.T, 0))
-            if skip:
-                np.fill_diagonal(d, np.inf)
-            i = np.argpartition(d, k - 1, axis=1)[:, :k]
-            return np.take_along_axis(d, i, 1), i
-
-        d0, i0 = near(sub, True)
-        reach0 = d0.max(1)
-        dens = 1 / np.maximum(np.maximum(reach0[i0], d0).mean(1), 1e-12)
-
-        def score(x: np.ndarray) -> np.ndarray:
-            d, i = near(x, False)
-            own = 1 / np.maximum(np.maximum(reach0[i], d).mean(1), 1e-12)
-            return dens[i].mean(1) / own
-
-        limit = 1.5
     else:
         centre, spread = sample.mean(0), sample.std(0) + 1e-12
         width = 1 / max(len(feats), 1) ** 0.5
@@ -380,9 +380,10 @@ def dtw_pairs(df: DataFrame, groups: Sequence[str], time: str, values: Sequence[
     vec = F.col(values).cast("array<double>") if isinstance(values, str) else F.array(*[F.col(v).cast("double") for v in values])
     name = F.concat_ws(":", *[F.col(g).cast("string") for g in groups])
     series = df.filter(X.all_valid([*groups, time])).groupBy(name.alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), vec.alias("v")))), lambda s: s["v"]).alias("s"))
-    blocks = 4
-    blk = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    count = series.agg(F.greatest(F.lit(4), F.ceil(F.count(F.lit(1)) / F.lit(64))).cast("int").alias("_n"))
+    series = series.join(F.broadcast(count), how="cross")  # one row
+    blk = F.pmod(F.xxhash64("name"), F.col("_n")).cast("int")
+    every = F.sequence(F.lit(0), F.col("_n") - 1)
     left = series.select(F.col("name").alias("a"), F.col("s").alias("sa"), blk.alias("p"), F.explode(every).alias("q"))
     right = series.select(F.col("name").alias("b"), F.col("s").alias("sb"), F.explode(every).alias("p"), blk.alias("q"))
 
@@ -397,9 +398,15 @@ def dtw_pairs(df: DataFrame, groups: Sequence[str], time: str, values: Sequence[
     return left.join(right, ["p", "q"]).filter("a < b").select("a", "b", distance("sa", "sb").alias("distance"))
 
 
+#: Pairs of groups (about 2,000 groups) that a tree is built of.
+MOST_PAIRS = 2_000_000
+
+
 def linkage_tree(pairs: DataFrame, method: str = "ward") -> DataFrame:
     """step, left, right, height, size: the tree over groups of a distance table (a, b, distance); leaves are names, merges `#step`."""
-    rows = pairs.collect()  # groups x groups
+    rows = pairs.limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"linkage_tree: a tree of more than {MOST_PAIRS} pairs of groups is not built on one machine")
     names = sorted({r.a for r in rows} | {r.b for r in rows})
     at = {n: i for i, n in enumerate(names)}
     d = np.zeros((len(names), len(names)))
@@ -416,51 +423,36 @@ def linkage_tree(pairs: DataFrame, method: str = "ward") -> DataFrame:
 def fate_cluster(df: DataFrame, rep: str, k: int = 10, n_iter: int = 100, centroid_method: str = "median", seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """row_id, terminal, visits, share, is_class: for each object the terminal objects that random walks through it reached.
 
-    Walks start at the object nearest to the centroid; a step goes to one of the k nearest neighbours that is farther from the
-    centroid. The neighbour graph is found by blocks on executors; walks run on executors over the broadcast graph, which is
-    of the objects given (aggregated or subsampled profiles). Objects that no walk visits have no row."""
-    spark = df.sparkSession
-    rows = df.select(row_id, rep).orderBy(row_id).collect()
-    ids, x = [r[0] for r in rows], np.array([list(r[1]) for r in rows], float)
-    centre = np.median(x, 0) if centroid_method == "median" else x.mean(0)
-    far = np.linalg.norm(x - centre, axis=1)
-    shared = spark.sparkContext.broadcast(x)
-
-    def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        for part in parts:
-            i = part["id"].to_numpy()
-            d = ((x[i] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[i] @ x.T).round(12)
-            n = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"i": i, "n": list(n)})
-
-    got = spark.range(len(ids)).mapInPandas(near, "i long, n array<long>").collect()
-    graph = {r.i: [j for j in r.n if far[j] > far[r.i]] for r in got}
-    start = int(far.argmin())
-    walks = spark.sparkContext.broadcast(graph)
-
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = walks.value
-        for part in parts:
-            seen, end = [], []
-            for w in part["id"]:
-                rng = np.random.default_rng([seed, int(w)])
-                at, path = start, [start]
-                while graph[at]:
-                    at = int(graph[at][rng.integers(len(graph[at]))])
-                    path.append(at)
-                seen += path
-                end += [at] * len(path)
-            yield pd.DataFrame({"cell": seen, "terminal": end})
-
-    visits = spark.range(n_iter).mapInPandas(walk, "cell long, terminal long").groupBy("cell", "terminal").agg(F.count(F.lit(1)).alias("visits"))
-    names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"i long, name {df.schema[row_id].dataType.simpleString()}")
+    Walks start at the object nearest to the centroid; a step goes to one of the k nearest neighbours (itself counts as one) that is
+    farther from the centroid, chosen by a hash of (seed, walk, step). The neighbour graph is found by blocks and written; each step joins
+    the walks (n_iter rows) with it, until all have ended. Objects that no walk visits have no row."""
+    from phenogrid.operators.neighbours import nearest
+
+    mid = X.median("x") if centroid_method == "median" else F.avg("x")
+    centre = [r.m for r in df.select(F.posexplode(rep).alias("i", "x")).groupBy("i").agg(mid.alias("m")).orderBy("i").collect()]
+    gap = F.aggregate(F.zip_with(F.col(rep), F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    far = df.select(F.col(row_id).alias("id"), gap.alias("far")).filter(F.col("far").isNotNull())
+    near = nearest(df, row_id, F.col(rep), max(1, k - 1))
+    out = near.join(far, "id").join(far.select(F.col("id").alias("other"), F.col("far").alias("far2")), "other").filter("far2 > far")
+    graph = cut_plan(out.groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("next")))
+    first = far.orderBy("far", "id").first()
+    if first is None:
+        return df.select(row_id, F.col(row_id).alias("terminal"), F.lit(0).cast("long").alias("visits"), F.lit(0.0).alias("share"), F.lit(True).alias("is_class")).limit(0)
+    walks = df.sparkSession.range(n_iter).select(F.col("id").alias("walk"), F.lit(0).alias("step"), F.lit(first.id).cast(df.schema[row_id].dataType).alias("at"))
+    done = cut_plan(walks)
+    now = done
+    while True:
+        pick = F.pmod(F.xxhash64(F.lit(seed), "walk", "step"), F.size("next")).cast("int")
+        now = cut_plan(graph.join(F.broadcast(now), F.col("id") == F.col("at")).select("walk", (F.col("step") + 1).alias("step"), F.get("next", pick).alias("at")))  # n_iter rows at most
+        if now.isEmpty():
+            break
+        done = done.unionByName(now)
+    end = done.groupBy("walk").agg(F.max_by("at", "step").alias("terminal"))
+    visits = done.join(end, "walk").groupBy("at", "terminal").agg(F.count(F.lit(1)).alias("visits"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("cell")
-    out = visits.withColumn("share", F.col("visits") / F.sum("visits").over(w)).withColumn("is_class", F.row_number().over(w.orderBy(F.desc("visits"), "terminal")) == 1)
-    out = out.join(names.withColumnRenamed("name", row_id), F.col("cell") == F.col("i")).drop("i", "cell")
-    return out.join(names.withColumnRenamed("name", "end"), F.col("terminal") == F.col("i")).select(row_id, F.col("end").alias("terminal"), "visits", "share", "is_class")
+    w = Window.partitionBy("at")
+    return visits.withColumn("share", F.col("visits") / F.sum("visits").over(w)).withColumn("is_class", F.row_number().over(w.orderBy(F.desc("visits"), "terminal")) == 1).select(F.col("at").alias(row_id), "terminal", "visits", "share", "is_class")
 
 
 def transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.ndarray:

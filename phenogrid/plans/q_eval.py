@@ -40,14 +40,14 @@ SQL["merge_relation"] = f"""WITH {CELLS} SELECT row_id, image AS "Line_Parent_Or
 
 
 def _layout(s, d):
-    wells = read(s, d, "supplier").select("s_suppkey", F.concat(F.char(65 + F.floor(F.col("s_suppkey") / 10)), F.lpad((F.col("s_suppkey") % 10).cast("string"), 2, "0")).alias("Metadata_Well"))
+    wells = read(s, d, "supplier").select("s_suppkey", F.concat(F.char(65 + F.floor(F.col("s_suppkey") / 10) % 10), F.lpad((F.col("s_suppkey") % 10).cast("string"), 2, "0")).alias("Metadata_Well"))
     layout = read(s, d, "nation").join(F.broadcast(read(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     layout = layout.select(F.concat(F.char(65 + F.floor(F.col("n_nationkey") / 5)), (F.col("n_nationkey") % 5).cast("string")).alias("well"), F.col("n_name").alias("Treatment"), F.col("r_name").alias("Class"))
-    return plates.annotate_layout(wells.filter("s_suppkey < 100"), layout)
+    return plates.annotate_layout(wells, layout)
 
 
 QUERIES["annotate_layout"] = _layout
-SQL["annotate_layout"] = """WITH w AS (SELECT s_suppkey, chr(CAST(65 + s_suppkey // 10 AS INTEGER)) || (s_suppkey % 10)::INTEGER::VARCHAR AS well FROM supplier WHERE s_suppkey < 100),
+SQL["annotate_layout"] = """WITH w AS (SELECT s_suppkey, chr(CAST(65 + s_suppkey // 10 % 10 AS INTEGER)) || (s_suppkey % 10)::INTEGER::VARCHAR AS well FROM supplier),
 l AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INTEGER)) || (n_nationkey % 5)::INTEGER::VARCHAR AS well, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT well AS "Metadata_Well", s_suppkey, n_name AS "Metadata_Treatment", r_name AS "Metadata_Class" FROM w JOIN l USING (well)"""
 
@@ -94,13 +94,11 @@ SQL["batch_numbers"] = """WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS b, s_n
 _WF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _vectors(s, d, whole=False):
-    df = read(s, d, "embeddings")
-    df = df if whole else df.filter("vec_id < 120").withColumn("embedding", F.slice("embedding", 1, 12))
-    return df.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("label") < 3, "ctrl").otherwise(F.concat(F.lit("t"), F.col("label") % 3)).alias("treat"), (F.col("label") % 2).alias("conc"))
+def _vectors(s, d):
+    return read(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("label") < 3, "ctrl").otherwise(F.concat(F.lit("t"), F.col("label") % 3)).alias("treat"), (F.col("label") % 2).alias("conc"))
 
 
-_V = "vec AS (SELECT vec_id AS id, label, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN label < 3 THEN 'ctrl' ELSE 't' || (label % 3) END AS treat, CAST(label % 2 AS INTEGER) AS conc FROM embeddings WHERE vec_id < 120)"
+_V = "vec AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN label < 3 THEN 'ctrl' ELSE 't' || (label % 3) END AS treat, CAST(label % 2 AS INTEGER) AS conc FROM embeddings)"
 _UNIT = "list_transform(list_transform({0}, lambda x: x - list_avg({0})), lambda y: y / sqrt(list_sum(list_transform({0}, lambda z: pow(z - list_avg({0}), 2)))))"
 _RANK = "list_transform(v, lambda x: len(list_filter(v, lambda y: y < x)) + (len(list_filter(v, lambda y: y = x)) + 1) / 2.0)"
 
@@ -115,44 +113,37 @@ def _dist_sql(method: str) -> str:
     return f"WITH {_V}, {pre}, pairs AS (SELECT a.id AS a, b.id AS b, a.label AS label_a, b.label AS label_b, a.treat AS treat_a, b.treat AS treat_b, a.conc AS conc_a, b.conc AS conc_b, {sim} AS sim FROM u a JOIN u b ON a.id < b.id)"
 
 
-def _pairs(s, d, method="pearson", whole=False):
-    return evaluate.similarity(_vectors(s, d, whole), ["label", "treat", "conc"], F.col("v"), method, "vec_id")
+def _pairs(s, d, method="pearson"):
+    return evaluate.similarity(_vectors(s, d), ["label", "treat", "conc"], F.col("v"), method, "vec_id")
 
 
 def _sums(s, d):
-    return evaluate.pair_sums(_vectors(s, d, True), ["label", "treat", "conc"], F.col("v"), "pearson", "vec_id")
+    return evaluate.pair_sums(_vectors(s, d), ["label", "treat", "conc"], F.col("v"), "pearson", "vec_id")
 
 
 for _m in ("pearson", "spearman", "euclidean", "cityblock"):
     QUERIES[f"dist_{_m}"] = lambda s, d, m=_m: rounded(_pairs(s, d, m).select("a", "b", "sim"), "sim")
     SQL[f"dist_{_m}"] = _dist_sql(_m) + f" SELECT a, b, {r6('sim')} AS sim FROM pairs"
 QUERIES["dist_kendall"] = lambda s, d: rounded(_pairs(s, d, "kendall").select("a", "b", "sim"), "sim")
-SQL["dist_kendall"] = f"""WITH {_V}, e AS (SELECT id, unnest(range(1, 13)) AS i, unnest(v) AS x FROM vec), g AS (SELECT p.id, p.i AS i, q.i AS j, sign(p.x - q.x) AS s FROM e p JOIN e q ON p.id = q.id AND p.i < q.i)
-SELECT a.id AS a, b.id AS b, {r6('sum(a.s * b.s) / sqrt(sum(abs(a.s)) * sum(abs(b.s)))')} AS sim FROM g a JOIN g b ON a.id < b.id AND a.i = b.i AND a.j = b.j GROUP BY a.id, b.id"""
-QUERIES["dist_mahalanobis"] = lambda s, d: rounded(_pairs(s, d, "mahalanobis", True).select("a", "b", "sim"), "sim")
-QUERIES["reproducibility_z"] = lambda s, d: rounded(evaluate.reproducibility(_pairs(s, d), ["label"]).select("label", "mean_sim", "z"), "mean_sim", "z")
+SQL["dist_kendall"] = f"""WITH {_V}, g AS (SELECT id, flatten(list_transform(range(1, len(v)), lambda i: list_transform(range(i + 1, len(v) + 1), lambda j: CAST(sign(v[i] - v[j]) AS DOUBLE)))) AS s FROM vec)
+SELECT a.id AS a, b.id AS b, {r6('list_dot_product(a.s, b.s) / sqrt(list_dot_product(a.s, a.s) * list_dot_product(b.s, b.s))')} AS sim FROM g a JOIN g b ON a.id < b.id"""
+QUERIES["dist_mahalanobis"] = lambda s, d: rounded(_pairs(s, d, "mahalanobis").select("a", "b", "sim"), "sim")
+QUERIES["reproducibility_z"] = lambda s, d: rounded(evaluate.reproducibility(_sums(s, d), ["label"]).select("label", "mean_sim", "z"), "mean_sim", "z")
 SQL["reproducibility_z"] = _dist_sql("pearson") + f", n AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FROM pairs WHERE label_a <> label_b), g AS (SELECT label_a AS label, avg(sim) AS x FROM pairs WHERE label_a = label_b GROUP BY ALL) SELECT label, {r6('x')} AS mean_sim, {r6('(x - m) / s')} AS z FROM g, n"
-QUERIES["effect_z"] = lambda s, d: rounded(evaluate.effect(_pairs(s, d), "treat").select("treat", "effect", "z"), "effect", "z")
+QUERIES["effect_z"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat").select("treat", "effect", "z"), "effect", "z")
 _EFF = "SELECT CASE WHEN treat_a = 'ctrl' THEN treat_b ELSE treat_a END AS treat, CASE WHEN treat_a = 'ctrl' THEN conc_b ELSE conc_a END AS conc, sim FROM pairs WHERE (treat_a = 'ctrl') <> (treat_b = 'ctrl')"
 SQL["effect_z"] = _dist_sql("pearson") + f", e AS ({_EFF}), n AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FROM pairs WHERE treat_a = 'ctrl' AND treat_b = 'ctrl'), g AS (SELECT treat, avg(sim) AS x FROM e GROUP BY treat) SELECT treat, {r6('x')} AS effect, {r6('(x - m) / s')} AS z FROM g, n"
-QUERIES["effect_by_level_z"] = lambda s, d: rounded(evaluate.effect(_pairs(s, d), "treat", ["conc"]).select("treat", "conc", "effect", "z"), "effect", "z")
+QUERIES["effect_by_level_z"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat", ["conc"]).select("treat", "conc", "effect", "z"), "effect", "z")
 _LEVEL = f", e AS ({_EFF}), l AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FROM pairs WHERE treat_a = 'ctrl' AND treat_b = 'ctrl' AND conc_a = conc_b GROUP BY conc_a), n AS (SELECT avg(m) AS m, avg(s) AS s FROM l), g AS (SELECT treat, conc, avg(sim) AS x FROM e GROUP BY ALL)"
 SQL["effect_by_level_z"] = _dist_sql("pearson") + _LEVEL + f" SELECT treat, conc, {r6('x')} AS effect, {r6('(x - m) / s')} AS z FROM g, n"
-QUERIES["select_concentration"] = lambda s, d: evaluate.best_concentration(_vectors(s, d), _pairs(s, d), "treat", "conc")[1].select("vec_id", "treat", "conc")
+QUERIES["select_concentration"] = lambda s, d: evaluate.best_concentration(_vectors(s, d), _sums(s, d), "treat", "conc")[1].select("vec_id", "treat", "conc")
 SQL["select_concentration"] = _dist_sql("pearson") + _LEVEL + ", b AS (SELECT treat, conc FROM g, n QUALIFY row_number() OVER (PARTITION BY treat ORDER BY round(abs((x - m) / s), 9) DESC, conc) = 1) SELECT id AS vec_id, treat, conc FROM vec WHERE treat = 'ctrl' OR (treat, conc) IN (SELECT (treat, conc) FROM b)"
 QUERIES["eval_percentiles"] = lambda s, d: rounded(evaluate.reproducibility(_sums(s, d), ["label"]).select("label", "percentile"), "percentile")
-QUERIES["eval_quartiles"] = lambda s, d: rounded(evaluate.quartiles(evaluate.reproducibility(_pairs(s, d), ["label"]), "mean_sim"), "q1", "q2", "q3")
+_PHI = "0.5 * (1 + (1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2)))"
+SQL["eval_percentiles"] = _dist_sql("pearson") + f", n AS (SELECT avg(sim) AS m, stddev_samp(sim) AS s FROM pairs WHERE label_a <> label_b), g AS (SELECT label_a AS label, avg(sim) AS x FROM pairs WHERE label_a = label_b GROUP BY ALL), zz AS (SELECT label, abs((x - m) / s) AS z FROM g, n), tt AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS t FROM zz) SELECT label, {r6(_PHI)} AS percentile FROM tt"
+QUERIES["eval_quartiles"] = lambda s, d: rounded(evaluate.quartiles(evaluate.reproducibility(_sums(s, d), ["label"]), "mean_sim"), "q1", "q2", "q3")
 SQL["eval_quartiles"] = _dist_sql("pearson") + f", g AS (SELECT label_a AS label, avg(sim) AS x FROM pairs WHERE label_a = label_b GROUP BY ALL) SELECT {r6('quantile_cont(x, 0.25)')} AS q1, {r6('quantile_cont(x, 0.5)')} AS q2, {r6('quantile_cont(x, 0.75)')} AS q3 FROM g"
 
-# all vectors, whole: too many pairs for twins
-for _m in ("pearson", "spearman", "euclidean", "cityblock", "kendall"):
-    QUERIES[f"dist_{_m}_all"] = lambda s, d, m=_m: rounded(_pairs(s, d, m, True).select("a", "b", "sim"), "sim")
-QUERIES["reproducibility_z_all"] = lambda s, d: rounded(evaluate.reproducibility(_sums(s, d), ["label"]).select("label", "mean_sim", "z"), "mean_sim", "z")
-QUERIES["effect_z_all"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat").select("treat", "effect", "z"), "effect", "z")
-QUERIES["effect_by_level_z_all"] = lambda s, d: rounded(evaluate.effect(_sums(s, d), "treat", ["conc"]).select("treat", "conc", "effect", "z"), "effect", "z")
-QUERIES["select_concentration_all"] = lambda s, d: evaluate.best_concentration(_vectors(s, d, True), _sums(s, d), "treat", "conc")[1].select("vec_id", "treat", "conc")
-QUERIES["eval_quartiles_all"] = lambda s, d: rounded(evaluate.quartiles(evaluate.reproducibility(_sums(s, d), ["label"]), "mean_sim"), "q1", "q2", "q3")
-
 # -- batch correction and geometry ----------------------------------------------------------------------------------------
 
 
@@ -174,25 +165,36 @@ QUERIES["coral"] = lambda s, d: rounded(batch.CORAL(FEATS, "batch", "treatment")
 
 
 def _plate(s, d, method, sweeps):
-    wells = group.aggregate(cells(s, d).filter("well < 100"), ["plate", "well"], ["l_quantity", "l_extendedprice"], "mean")
-    wells = wells.withColumns({"prow": F.floor(F.col("well") / 10), "pcol": F.col("well") % 10})
-    return rounded(batch.correct_plates(wells, ["l_quantity", "l_extendedprice"], "prow", "pcol", ["plate"], sweeps, method).select("plate", "well", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", digits=5)
+    wells = group.aggregate(cells(s, d), ["plate", "well"], ["l_quantity", "l_extendedprice"], "mean")
+    at = F.col("well") - 1  # plates of 10 x 10 wells
+    wells = wells.withColumns({"part": F.floor(at / 100), "prow": F.floor(at / 10) % 10, "pcol": at % 10})
+    return rounded(batch.correct_plates(wells, ["l_quantity", "l_extendedprice"], "prow", "pcol", ["plate", "part"], sweeps, method).select("plate", "well", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", digits=5)
 
 
 QUERIES["plate_polish"] = lambda s, d: _plate(s, d, "median", 10)
 QUERIES["plate_polish_mean"] = lambda s, d: _plate(s, d, "mean", 1)
-SQL["plate_polish_mean"] = f"""WITH {CELLS}, w AS (SELECT plate, well, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM cells WHERE well < 100 GROUP BY ALL),
-l AS (UNPIVOT w ON q, e INTO NAME f VALUE x), a AS (SELECT *, x - avg(x) OVER (PARTITION BY plate, f, well // 10) AS r FROM l), b AS (SELECT *, r - avg(r) OVER (PARTITION BY plate, f, well % 10) AS z FROM a),
-m AS (SELECT plate, f, mad(z) AS mad FROM b GROUP BY ALL), s AS (SELECT plate, well, f, z / mad AS v FROM b JOIN m USING (plate, f))
+_POLISH = f"""WITH {CELLS}, w AS (SELECT plate, well, (well - 1) // 100 AS part, (well - 1) // 10 % 10 AS prow, (well - 1) % 10 AS pcol, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM cells GROUP BY ALL), r0 AS (UNPIVOT w ON q, e INTO NAME f VALUE x)"""
+
+
+def _polish_sql(mid: str, sweeps: int) -> str:
+    steps = "".join(
+        f", c{k} AS (SELECT * REPLACE (x - {mid} OVER (PARTITION BY plate, part, f, prow) AS x) FROM r{k - 1}), r{k} AS (SELECT * REPLACE (x - {mid} OVER (PARTITION BY plate, part, f, pcol) AS x) FROM c{k})"
+        for k in range(1, sweeps + 1)
+    )
+    return _POLISH + steps + f""", m AS (SELECT plate, part, f, mad(x) AS mad FROM r{sweeps} GROUP BY ALL), s AS (SELECT plate, well, f, x / nullif(mad, 0) AS v FROM r{sweeps} JOIN m USING (plate, part, f))
 SELECT plate, well, {r6("max(v) FILTER (WHERE f = 'q')", 5)} AS l_quantity, {r6("max(v) FILTER (WHERE f = 'e')", 5)} AS l_extendedprice FROM s GROUP BY ALL"""
 
 
+SQL["plate_polish"] = _polish_sql("quantile_cont(x, 0.5)", 10)
+SQL["plate_polish_mean"] = _polish_sql("avg(x)", 1)
+
+
 def _bleach(s, d):
-    return cells(s, d).filter("well < 40").select("row_id", "treatment", F.col("line").cast("double").alias("t"), (F.col("l_quantity") * F.exp(-0.3 * F.col("line")) + 5).alias("DNA_mean"), F.col("l_tax").alias("other"))
+    return cells(s, d).select("row_id", "treatment", F.col("line").cast("double").alias("t"), (F.col("l_quantity") * F.exp(-0.3 * F.col("line")) + 5).alias("DNA_mean"), F.col("l_tax").alias("other"))
 
 
 QUERIES["bleach_control_curve"] = lambda s, d: rounded(batch.control_curve(_bleach(s, d).withColumn("treatment", F.lit("ctrl")), ["DNA_mean"], "treatment", "t"), "mean")
-SQL["bleach_control_curve"] = f"WITH {CELLS} SELECT CAST(line AS DOUBLE) AS t, 'DNA_mean' AS feature, {r6('avg(l_quantity * exp(-0.3 * line) + 5)')} AS mean FROM cells WHERE well < 40 GROUP BY ALL"
+SQL["bleach_control_curve"] = f"WITH {CELLS} SELECT CAST(line AS DOUBLE) AS t, 'DNA_mean' AS feature, {r6('avg(l_quantity * exp(-0.3 * line) + 5)')} AS mean FROM cells GROUP BY ALL"
 QUERIES["bleach_corrected"] = lambda s, d: rounded(batch.correct_bleaching(_bleach(s, d).withColumn("treatment", F.lit("ctrl")), ["DNA_mean", "other"], ["DNA"], "treatment", "t")[0].select("row_id", "DNA_mean"), "DNA_mean", digits=4)
 
 
@@ -210,10 +212,36 @@ SELECT event_id, tile_row, tile_col, {r6('x')} AS x, {r6('y')} AS y FROM q WHERE
 
 
 def _plate_map(s, d):
-    wells = group.aggregate(cells(s, d), ["well"], ["l_quantity"], "mean", count=True).filter("well < 60").withColumn("name", F.concat(F.char(65 + F.floor(F.col("well") / 10)), (F.col("well") % 10 + 1).cast("string")))
+    at = (F.col("well") - 1) % 96
+    wells = group.aggregate(cells(s, d).withColumn("name", F.concat(F.char(65 + F.floor(at / 12)), (at % 12 + 1).cast("string"))), ["name"], ["l_quantity"], "mean", count=True)
     return rounded(batch.plate_map(wells, "name", "l_quantity", size=group.COUNT, size_range=(10.0, 50.0)), "value", "size")
 
 
 QUERIES["plate_map"] = _plate_map
-SQL["plate_map"] = f"""WITH {CELLS}, w AS (SELECT well, avg(l_quantity) AS v, count(*) AS n FROM cells WHERE well < 60 GROUP BY well), g AS (SELECT CAST(unnest(range(96)) AS INTEGER) AS i), f AS (SELECT i // 12 + 1 AS "row", i % 12 + 1 AS col, v, n FROM g LEFT JOIN w ON i // 12 = well // 10 AND i % 12 = well % 10)
+SQL["plate_map"] = f"""WITH {CELLS}, w AS (SELECT (well - 1) % 96 AS at, avg(l_quantity) AS v, count(*) AS n FROM cells GROUP BY ALL), g AS (SELECT CAST(unnest(range(96)) AS INTEGER) AS i), f AS (SELECT i // 12 + 1 AS "row", i % 12 + 1 AS col, v, n FROM g LEFT JOIN w ON i = w.at)
 SELECT "row", col, {r6('v')} AS value, {r6('10 + (n - min(n) OVER ()) * 40.0 / (max(n) OVER () - min(n) OVER ())')} AS size FROM f"""
+
+# -- two features: roots and axes of 2 x 2 matrices have closed forms, which SQL can write -----------------------------------
+
+_TWO = ["l_quantity", "l_tax"]
+_two = lambda s, d: cells(s, d).withColumns({"l_tax": F.col("l_tax") * 100 + F.col("l_quantity") / 10})
+_PAIR = f"{CELLS}, two AS (SELECT row_id, batch, treatment, l_quantity AS x, l_tax * 100 + l_quantity / 10 AS y FROM cells)"
+# the axes of a symmetric matrix (a b, b c), b > 0: values l1 >= l2, the first axis (u, v), the second (-v, u) or (v, -u)
+_AXES = "(a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2, b / sqrt(b * b + pow((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) - a, 2)) AS u, ((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) - a) / sqrt(b * b + pow((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) - a, 2)) AS v"
+_FIRST, _SECOND = "(x - mx) * u + (y - my) * v", "(CASE WHEN abs(u) >= abs(v) THEN (y - my) * u - (x - mx) * v ELSE (x - mx) * v - (y - my) * u END)"
+QUERIES["tvn_pair"] = lambda s, d: rounded(batch.TVN(_TWO, "treatment").fit(_two(s, d)).transform(_two(s, d)).select("row_id", *_TWO), *_TWO, digits=5)
+SQL["tvn_pair"] = f"WITH {_PAIR}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM two WHERE treatment = 'ctrl'), e AS (SELECT *, {_AXES} FROM m) SELECT row_id, {r6(f'({_FIRST}) / sqrt(l1 + 1e-5)', 5)} AS l_quantity, {r6(f'{_SECOND} / sqrt(l2 + 1e-5)', 5)} AS l_tax FROM two, e"
+QUERIES["coral_pair"] = lambda s, d: rounded(batch.CORAL(_TWO, "batch", "treatment").fit(_two(s, d)).transform(_two(s, d)).select("row_id", *_TWO), *_TWO, digits=5)
+# the root of (a b, b c): add the root of the determinant to the diagonal, divide by the root of trace plus twice that
+SQL["coral_pair"] = f"""WITH {_PAIR}, k AS (SELECT * FROM two WHERE treatment = 'ctrl'), g AS (SELECT var_samp(x) + 1 AS a, covar_samp(x, y) AS b, var_samp(y) + 1 AS c FROM k), gr AS (SELECT *, sqrt(a * c - b * b) AS d FROM g), w AS (SELECT (a + d) / sqrt(a + c + 2 * d) AS wa, b / sqrt(a + c + 2 * d) AS wb, (c + d) / sqrt(a + c + 2 * d) AS wc FROM gr),
+h AS (SELECT batch, var_samp(x) + 1 AS a, covar_samp(x, y) AS b, var_samp(y) + 1 AS c FROM k GROUP BY batch), hr AS (SELECT *, sqrt(a * c - b * b) AS d FROM h), i AS (SELECT batch, d * sqrt(a + c + 2 * d) AS q, (c + d) AS ia, -b AS ib, (a + d) AS ic FROM hr),
+z AS (SELECT row_id, (x * ia + y * ib) / q AS p, (x * ib + y * ic) / q AS r FROM two JOIN i USING (batch)) SELECT row_id, {r6('p * wa + r * wb', 5)} AS l_quantity, {r6('p * wb + r * wc', 5)} AS l_tax FROM z, w"""
+
+
+def _two_wells(s, d):
+    return group.aggregate(_two(s, d), ["batch", "well"], _TWO, "mean").withColumns({"id": F.col("well") * 2 + (F.col("batch") == "O").cast("int"), "v": F.array(*_TWO)})
+
+
+QUERIES["dist_mahalanobis_pair"] = lambda s, d: rounded(evaluate.similarity(_two_wells(s, d), [], F.col("v"), "mahalanobis", "id").select("a", "b", "sim"), "sim", digits=5)
+SQL["dist_mahalanobis_pair"] = f"""WITH {_PAIR}, w AS (SELECT l_suppkey * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS id, avg(l_quantity) AS x, avg(l_tax * 100 + l_quantity / 10) AS y FROM lineitem GROUP BY ALL), m AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM w)
+SELECT p.id AS a, q.id AS b, {r6('sqrt((pow(p.x - q.x, 2) * c - 2 * (p.x - q.x) * (p.y - q.y) * b + pow(p.y - q.y, 2) * a) / (a * c - b * b))', 5)} AS sim FROM w p JOIN w q ON p.id < q.id, m"""

@@ -37,37 +37,38 @@ SELECT min(row_id) AS row_id, l_quantity, l_extendedprice FROM (SELECT row_id, l
 
 
 def _wells(s, d):
-    df = group.aggregate(cells(s, d), ["batch", "well"], FEATS, "mean", row_id="row_id").filter("well < 90")
+    df = group.aggregate(cells(s, d), ["batch", "well"], FEATS, "mean", row_id="row_id")
     return df.withColumns({"row_id": F.concat_ws("-", "batch", F.lpad(F.col("well").cast("string"), 4, "0")), "treat": F.when(F.col("well") % 3 == 0, "ctrl").otherwise(F.concat(F.lit("t"), F.col("well") % 3)), "dose": (F.floor(F.col("well") / 3) % 5).cast("double"), "l_tax": F.col("l_tax") + F.when(F.col("well") % 3 == 1, (F.floor(F.col("well") / 3) % 5) * 0.01).otherwise(0.0)})
 
 
 QUERIES["lmem"] = lambda s, d: rounded(models.feature_lmem(_wells(s, d), FEATS, "treat", "dose", "batch", intercept=True), "p_min", "r2_mean", "r2_std")
 QUERIES["feature_agglo"] = lambda s, d: rounded(models.feature_agglo(_wells(s, d).withColumns({"a": F.col("l_quantity") * 1.01, "b": F.col("l_tax") + 0.001}), [*FEATS, "a", "b"], 3)[0].select("row_id", "agglo_0", "agglo_1", "agglo_2"), "agglo_0", "agglo_1", "agglo_2")
-SQL["feature_agglo"] = f"""WITH {CELLS}, w AS (SELECT batch, well, avg(l_quantity) AS q, avg(l_extendedprice) AS e, avg(l_discount) AS di, avg(l_tax) + CASE WHEN well % 3 = 1 THEN well // 3 % 5 * 0.01 ELSE 0 END AS t FROM cells WHERE well < 90 GROUP BY batch, well)
+SQL["feature_agglo"] = f"""WITH {CELLS}, w AS (SELECT batch, well, avg(l_quantity) AS q, avg(l_extendedprice) AS e, avg(l_discount) AS di, avg(l_tax) + CASE WHEN well % 3 = 1 THEN well // 3 % 5 * 0.01 ELSE 0 END AS t FROM cells GROUP BY batch, well)
 SELECT batch || '-' || lpad(well::VARCHAR, 4, '0') AS row_id, {r6('(q + q * 1.01) / 2')} AS agglo_0, {r6('e')} AS agglo_1, {r6('(di + t + t + 0.001) / 3')} AS agglo_2 FROM w"""
 QUERIES["estimate_k"] = lambda s, d: s.createDataFrame([(models.estimate_k(models.feature_distances(_wells(s, d).withColumns({f"{f}_{i}": F.col(f) * (1 + i / 100) for f in FEATS for i in range(3)}), [f"{f}_{i}" for f in FEATS for i in range(3)]), (2, 8)),)], "k int")
 QUERIES["svm_rfe"] = lambda s, d: models.svm_rfe(_wells(s, d), FEATS, "treat", 2)
 for _m in ("if", "rc", "lof", "oc-svm"):
-    QUERIES[f"outliers_{_m.replace('-', '_')}"] = lambda s, d, m=_m: models.outlier_scores(cells(s, d).filter("well < 10"), FEATS, m).select("row_id", F.round("outlier_score", 6).alias("outlier_score"), "inlier")
+    QUERIES[f"outliers_{_m.replace('-', '_')}"] = lambda s, d, m=_m: models.outlier_scores(_wells(s, d), FEATS, m).select("row_id", F.round("outlier_score", 6).alias("outlier_score"), "inlier")
 
 
 def _series(s, d):
-    return tracks(s, d).filter("track < 24 and frame < 40")
+    """Mean courses of 24 groups of tracks, over all frames."""
+    return tracks(s, d).groupBy((F.col("track") % 24).alias("track"), "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
 QUERIES["dtw_matrix"] = lambda s, d: rounded(models.dtw_pairs(_series(s, d), ["track"], "frame", ["x", "y"]), "distance")
 QUERIES["dtw_matrix_independent"] = lambda s, d: rounded(models.dtw_pairs(_series(s, d), ["track"], "frame", ["x", "y"], "independent"), "distance")
 QUERIES["linkage_tree"] = lambda s, d: models.linkage_tree(models.dtw_pairs(_series(s, d), ["track"], "frame", ["x", "y"]))
-QUERIES["fate_walks"] = lambda s, d: models.fate_cluster(read(s, d, "embeddings").filter("vec_id < 300").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", row_id="vec_id")
+QUERIES["fate_walks"] = lambda s, d: models.fate_cluster(read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", row_id="vec_id")
 
 
 def _hidden(s, d):
     return tracks(s, d).select("event_id", "track", "frame", F.array((F.col("x") + F.when(F.col("state") == "click", 300.0).otherwise(0.0)) / 100, F.col("y") / 50).alias("rep"))
 
 
-QUERIES["hmm_states"] = lambda s, d: hmm.fit_hmm(_hidden(s, d), [2, 3], "track", "frame", "rep", "event_id", n_init=1, rounds=4)[0]
-QUERIES["hmm_by_key"] = lambda s, d: hmm.fit_hmm_by_key(_hidden(s, d).withColumn("key", F.col("track") % 2), "key", 2, "track", "frame", "rep", "event_id", n_init=1, rounds=3)[0]
-QUERIES["hmm_distance"] = lambda s, d: hmm.hmm_distance(_hidden(s, d), hmm.fit_hmm_by_key(_hidden(s, d).withColumn("key", F.col("track") % 2), "key", 2, "track", "frame", "rep", "event_id", n_init=1, rounds=3)[1])
+QUERIES["hmm_states"] = lambda s, d: hmm.fit_hmm(_hidden(s, d), [2, 3], "track", "frame", "rep", "event_id")[0]
+QUERIES["hmm_by_key"] = lambda s, d: hmm.fit_hmm_by_key(_hidden(s, d).withColumn("key", F.col("track") % 2), "key", 2, "track", "frame", "rep", "event_id", n_init=1)[0]
+QUERIES["hmm_distance"] = lambda s, d: hmm.hmm_distance(_hidden(s, d), hmm.fit_hmm_by_key(_hidden(s, d).withColumn("key", F.col("track") % 2), "key", 2, "track", "frame", "rep", "event_id", n_init=1)[1])
 
 
 def _flow(s, d):

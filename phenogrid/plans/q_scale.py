@@ -67,7 +67,9 @@ def _found(method):
     return lambda s, d: rounded(threshold.find_thresholds(cells(s, d), "l_extendedprice", ["batch"], method).select("batch", F.get("thresholds", F.lit(0)).alias("threshold")), "threshold", digits=4)
 
 
-for _m in ("mean", "isodata", "yen", "triangle", "li", "minimum", "multi_otsu"):
+QUERIES["threshold_otsu_bins"], SQL["threshold_otsu_bins"] = QUERIES["threshold_otsu"], SQL["threshold_otsu"]
+SQL["threshold_otsu"] = f"SELECT batch, threshold FROM ({_OTSU})"
+for _m in ("otsu", "mean", "isodata", "yen", "triangle", "li", "minimum", "multi_otsu"):
     QUERIES[f"threshold_{_m}"] = _found(_m)
 SQL["threshold_mean"] = f"WITH {CELLS} SELECT batch, {r6('avg(l_extendedprice)', 4)} AS threshold FROM cells GROUP BY batch"
 SQL["threshold_isodata"] = f"WITH {_HIST} {_FULL}, d AS (SELECT *, (s1 / nullif(w1, 0) + (s - s1) / nullif(w - w1, 0)) / 2 - c AS d FROM m) SELECT batch, {r6('min(c)', 4)} AS threshold FROM d WHERE d >= 0 AND d < bw GROUP BY batch"
@@ -120,13 +122,17 @@ l AS (UNPIVOT n ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feat
 _WELLS = ["l_quantity", "l_extendedprice", "l_discount"]
 _wells = lambda s, d: group.aggregate(cells(s, d), ["plate", "well"], _WELLS, "mean")
 _WL = f"{CELLS}, wells AS (SELECT plate AS grp, well, {', '.join(f'avg({f}) AS {f}' for f in _WELLS)} FROM cells GROUP BY plate, well), wl AS (UNPIVOT wells ON {', '.join(_WELLS)} INTO NAME feature VALUE value)"
-QUERIES["rank_feats_wilcoxon"] = lambda s, d: rounded(features.rank_features(_wells(s, d), _WELLS, "plate").select("grp", "feature", "score"), "score")
+_ADJUSTED = """, zz AS (SELECT grp, feature, (rs - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS score FROM a), tt AS (SELECT *, 1 / (1 + 0.3275911 * abs(score) / sqrt(2)) AS t FROM zz),
+pp AS (SELECT grp, feature, score, least(1.0::DOUBLE, 2 * (1 - 0.5 * (1 + (1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-score * score / 2))))) AS p FROM tt),
+bh AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, feature) AS rk, count(*) OVER (PARTITION BY grp) AS nn FROM pp)
+SELECT grp, feature, """ + f"{r6('score')} AS score, {r6('p')} AS p, {r6('least(1.0::DOUBLE, min(p * nn / rk) OVER (PARTITION BY grp ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS p_adjusted FROM bh"
+QUERIES["rank_feats_wilcoxon"] = lambda s, d: rounded(features.rank_features(_wells(s, d), _WELLS, "plate"), "score", "p", "p_adjusted")
 SQL["rank_feats_wilcoxon"] = f"""WITH {_WL}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature) AS nn FROM wl),
-a AS (SELECT grp, feature, sum(r) AS rs, count(*)::DOUBLE AS n1, any_value(nn)::DOUBLE - count(*) AS n2 FROM k GROUP BY grp, feature) SELECT grp, feature, {r6('(rs - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')} AS score FROM a"""
-QUERIES["rank_feats_wilcoxon_reference"] = lambda s, d: rounded(features.rank_features(_wells(s, d), _WELLS, "plate", "A").select("grp", "feature", "score"), "score")
+a AS (SELECT grp, feature, sum(r) AS rs, count(*)::DOUBLE AS n1, any_value(nn)::DOUBLE - count(*) AS n2 FROM k GROUP BY grp, feature){_ADJUSTED}"""
+QUERIES["rank_feats_wilcoxon_reference"] = lambda s, d: rounded(features.rank_features(_wells(s, d), _WELLS, "plate", "A"), "score", "p", "p_adjusted")
 SQL["rank_feats_wilcoxon_reference"] = f"""WITH {_WL}, b AS (SELECT g.grp, feature, value, wl.grp = g.grp AS own FROM wl JOIN (SELECT DISTINCT grp FROM wl WHERE grp <> 'A') g ON wl.grp = g.grp OR wl.grp = 'A'),
 k AS (SELECT *, rank() OVER (PARTITION BY grp, feature ORDER BY value) + (count(*) OVER (PARTITION BY grp, feature, value) - 1) / 2.0 AS r FROM b),
-a AS (SELECT grp, feature, sum(r) FILTER (WHERE own) AS rs, count(*) FILTER (WHERE own)::DOUBLE AS n1, count(*) FILTER (WHERE NOT own)::DOUBLE AS n2 FROM k GROUP BY grp, feature) SELECT grp, feature, {r6('(rs - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')} AS score FROM a"""
+a AS (SELECT grp, feature, sum(r) FILTER (WHERE own) AS rs, count(*) FILTER (WHERE own)::DOUBLE AS n1, count(*) FILTER (WHERE NOT own)::DOUBLE AS n2 FROM k GROUP BY grp, feature){_ADJUSTED}"""
 QUERIES["rank_feats_ttest"] = lambda s, d: rounded(features.rank_features(_wells(s, d), _WELLS, "plate", "A", "t").select("grp", "feature", "score"), "score", digits=4)
 SQL["rank_feats_ttest"] = f"""WITH {_WL}, m AS (SELECT grp, feature, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM wl GROUP BY ALL)
 SELECT a.grp, a.feature, {r6('(a.m - b.m) / sqrt((a.n * a.v + b.n * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n))', 4)} AS score FROM m a JOIN m b ON a.feature = b.feature AND b.grp = 'A' WHERE a.grp <> 'A'"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phenogrid.operators import summaries
+from phenogrid.plans.q_eval import _AXES, _FIRST, _PAIR, _SECOND, _TWO, _two
 from phenogrid.plans.fixtures import CELLS, FEATS, TRACKS, cells, r6, rounded, tracks
 
 QUERIES, SQL = {}, {}
@@ -18,6 +19,10 @@ def _pca(s, d):
 QUERIES["pca_variance"] = _pca
 SQL["pca_variance"] = f"WITH {CELLS} SELECT round(var_samp(l_quantity) + var_samp(l_extendedprice / 10000) + var_samp(l_discount) + var_samp(l_tax), 5) AS total, 100.0::DOUBLE AS cumulative FROM cells"
 QUERIES["pca_scores"] = lambda s, d: rounded(summaries.pca(cells(s, d), FEATS, 2)[0].select("row_id", F.get("X_pca", F.lit(0)).alias("pc1"), F.get("X_pca", F.lit(1)).alias("pc2")), "pc1", "pc2", digits=3)
+QUERIES["pca_pair"] = lambda s, d: rounded(summaries.pca(_two(s, d), _TWO)[0].select("row_id", F.get("X_pca", F.lit(0)).alias("pc1"), F.get("X_pca", F.lit(1)).alias("pc2")), "pc1", "pc2", digits=5)
+SQL["pca_pair"] = f"WITH {_PAIR}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM two), e AS (SELECT *, {_AXES} FROM m) SELECT row_id, {r6(_FIRST, 5)} AS pc1, {r6(_SECOND, 5)} AS pc2 FROM two, e"
+QUERIES["pca_components_pair"] = lambda s, d: rounded(summaries.pca(_two(s, d), _TWO)[1], "variance", "percent", "cumulative")
+SQL["pca_components_pair"] = f"WITH {_PAIR}, m AS (SELECT 0 AS mx, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM two), e AS (SELECT *, {_AXES} FROM m) SELECT CAST(1 AS INTEGER) AS component, {r6('l1')} AS variance, {r6('100 * l1 / (l1 + l2)')} AS percent, {r6('100 * l1 / (l1 + l2)')} AS cumulative FROM e UNION ALL SELECT 2, {r6('l2')}, {r6('100 * l2 / (l1 + l2)')}, 100.0 FROM e"
 QUERIES["time_summary"] = lambda s, d: rounded(summaries.time_summary(tracks(s, d), "frame", ["x", "y"], ["state"]), "x", "x_std", "y", "y_std", digits=9)
 SQL["time_summary"] = f"WITH {TRACKS} SELECT frame, state, {r6('avg(x)', 9)} AS x, {r6('stddev_samp(x)', 9)} AS x_std, {r6('avg(y)', 9)} AS y, {r6('stddev_samp(y)', 9)} AS y_std FROM tracks GROUP BY ALL"
 QUERIES["time_heatmap"] = lambda s, d: rounded(summaries.time_heatmap(tracks(s, d), "frame", [0, 1, 2], ["x", "y"]), "0", "1", "2")

@@ -49,17 +49,21 @@ SQL["lineage_edges"] = f"WITH {TRACKS}, p AS (SELECT track, min(frame) AS st, ma
 
 
 def _trees(s, d):
-    return read(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 40).alias("tree"), F.floor(F.col("vec_id") / 40).alias("t"), F.slice("embedding", 1, 3).cast("array<double>").alias("rep")).filter("vec_id % 7 <> 3")
+    return read(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 40).alias("tree"), (F.floor(F.col("vec_id") / 40) + (F.col("vec_id") % 40 % 7 == 3).cast("long")).alias("t"), F.col("embedding").cast("array<double>").alias("rep"))  # some trees start later: gaps in the grid
 
 
-_TREES = "tr AS (SELECT vec_id, vec_id % 40 AS tree, vec_id // 40 AS t, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS rep FROM embeddings WHERE vec_id % 7 <> 3), g AS (SELECT a.tree, b.t FROM (SELECT DISTINCT tree FROM tr) a CROSS JOIN (SELECT DISTINCT t FROM tr) b), f AS (SELECT g.tree, g.t, coalesce(rep, [0.0, 0.0, 0.0]::DOUBLE[]) AS v FROM g LEFT JOIN tr USING (tree, t))"
+_TREES = "tr AS (SELECT vec_id, vec_id % 40 AS tree, vec_id // 40 + CASE WHEN vec_id % 40 % 7 = 3 THEN 1 ELSE 0 END AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS rep FROM embeddings), g AS (SELECT a.tree, b.t FROM (SELECT DISTINCT tree FROM tr) a CROSS JOIN (SELECT DISTINCT t FROM tr) b), f AS (SELECT g.tree, g.t, coalesce(rep, list_transform(range(64), lambda x: 0.0::DOUBLE)) AS v FROM g LEFT JOIN tr USING (tree, t))"
 
 
 def _flat(df, rep):
-    return rounded(df.withColumns({f"v{i}": F.get(rep, F.lit(i)) for i in range(3)}).drop(rep), "v0", "v1", "v2")
+    """A whole vector as its first component, sum and sum of squares."""
+    total = lambda f: F.aggregate(rep, F.lit(0.0), lambda acc, x: acc + f(x))
+    return rounded(df.withColumns({"v0": F.get(rep, F.lit(0)), "v1": total(lambda x: x), "v2": total(lambda x: x * x)}).drop(rep), "v0", "v1", "v2")
 
 
-_V3 = ", ".join(f"{r6(f'v[{i + 1}]')} AS v{i}" for i in range(3))
+_flat_sql = lambda v: f"{r6(f'{v}[1]')} AS v0, {r6(f'list_sum({v})')} AS v1, {r6(f'list_sum(list_transform({v}, lambda x: x * x))')} AS v2"
+_V3 = _flat_sql("v")
+_STEP = "list_transform(range(1, 65), lambda i: coalesce(b[i] - a[i], 0))"
 QUERIES["to_grid"] = lambda s, d: _flat(timeseries.to_grid(_trees(s, d), "tree", "t", "rep"), "vec")
 SQL["to_grid"] = f"WITH {_TREES} SELECT tree, t, {_V3} FROM f"
 QUERIES["make_3d_round_trip"] = lambda s, d: _flat(timeseries.from_3d(timeseries.make_3d(_trees(s, d), "tree", "t", "rep"), "tree", [r[0] for r in _trees(s, d).select("t").distinct().orderBy("t").collect()], "t"), "vec")
@@ -67,17 +71,17 @@ SQL["make_3d_round_trip"] = SQL["to_grid"]
 QUERIES["tree_labels"] = lambda s, d: timeseries.tree_labels(_trees(s, d).withColumn("y", F.col("vec_id") % 20), "tree", "y")
 SQL["tree_labels"] = f"WITH {_TREES} SELECT tree, min(vec_id % 20) AS y, count(DISTINCT vec_id % 20) = 1 AS consistent FROM tr GROUP BY tree"
 QUERIES["vectorize_embedding"] = lambda s, d: _flat(timeseries.vectorize(_trees(s, d), "tree", "t", "rep").select("vec_id", "X_vect"), "X_vect")
-SQL["vectorize_embedding"] = f"WITH {_TREES}, m AS (SELECT tree, t, v AS a, lead(v) OVER (PARTITION BY tree ORDER BY t) AS b FROM f) SELECT vec_id, {', '.join(f'{r6(f'coalesce(b[{i + 1}] - a[{i + 1}], 0)')} AS v{i}' for i in range(3))} FROM tr JOIN m USING (tree, t)"
-QUERIES["js_distance"] = lambda s, d: rounded(timeseries.jensen_shannon(tracks(s, d).groupBy("track", "state").agg(F.count(F.lit(1)).alias("n")).filter("track < 30"), "track", "state", "n"), "distance", digits=5)
-SQL["js_distance"] = f"""WITH {TRACKS}, n AS (SELECT track, state, count(*) AS n FROM tracks WHERE track < 30 GROUP BY ALL), p AS (SELECT track, state, n / sum(n) OVER (PARTITION BY track) AS p FROM n),
+SQL["vectorize_embedding"] = f"WITH {_TREES}, m AS (SELECT tree, t, v AS a, lead(v) OVER (PARTITION BY tree ORDER BY t) AS b FROM f) SELECT vec_id, {_flat_sql('w')} FROM (SELECT vec_id, {_STEP} AS w FROM tr JOIN m USING (tree, t))"
+QUERIES["js_distance"] = lambda s, d: rounded(timeseries.jensen_shannon(tracks(s, d).groupBy((F.col("track") % 30).alias("track"), "state").agg(F.count(F.lit(1)).alias("n")), "track", "state", "n"), "distance", digits=5)
+SQL["js_distance"] = f"""WITH {TRACKS}, n AS (SELECT track % 30 AS track, state, count(*) AS n FROM tracks GROUP BY ALL), p AS (SELECT track, state, n / sum(n) OVER (PARTITION BY track) AS p FROM n),
 f AS (SELECT k.track, s.state, coalesce(p, 0) AS p FROM (SELECT DISTINCT track FROM p) k CROSS JOIN (SELECT DISTINCT state FROM p) s LEFT JOIN p ON p.track = k.track AND p.state = s.state)
 SELECT a.track AS a, b.track AS b, {r6('sqrt(greatest(0, sum(CASE WHEN a.p > 0 THEN a.p * ln(a.p * 2 / (a.p + b.p)) ELSE 0 END + CASE WHEN b.p > 0 THEN b.p * ln(b.p * 2 / (a.p + b.p)) ELSE 0 END) / 2))', 5)} AS distance FROM f a JOIN f b ON a.state = b.state AND a.track < b.track GROUP BY ALL"""
-_NODES = [[0.1, 0.0, 0.0], [-0.1, 0.0, 0.0], [0.0, 0.1, 0.1], [0.0, -0.1, -0.1]]
+_NODES = [[*n, *[0.0] * 61] for n in ([0.1, 0.0, 0.0], [-0.1, 0.0, 0.0], [0.0, 0.1, 0.1], [0.0, -0.1, -0.1])]
 QUERIES["velocity_field"] = lambda s, d: rounded(timeseries.velocity_field(timeseries.vectorize(_trees(s, d), "tree", "t", "rep"), "rep", "X_vect", _NODES, 5), "value")
-SQL["velocity_field"] = f"""WITH {_TREES}, m AS (SELECT tree, t, v AS a, lead(v) OVER (PARTITION BY tree ORDER BY t) AS b FROM f), w AS (SELECT vec_id, rep, [coalesce(b[1] - a[1], 0), coalesce(b[2] - a[2], 0), coalesce(b[3] - a[3], 0)] AS u FROM tr JOIN m USING (tree, t)),
-nd AS (SELECT * FROM (VALUES (0, [0.1, 0.0, 0.0]::DOUBLE[]), (1, [-0.1, 0.0, 0.0]::DOUBLE[]), (2, [0.0, 0.1, 0.1]::DOUBLE[]), (3, [0.0, -0.1, -0.1]::DOUBLE[])) x(node, c)),
+SQL["velocity_field"] = f"""WITH {_TREES}, m AS (SELECT tree, t, v AS a, lead(v) OVER (PARTITION BY tree ORDER BY t) AS b FROM f), w AS (SELECT vec_id, rep, {_STEP} AS u FROM tr JOIN m USING (tree, t)),
+nd AS (SELECT node, list_concat(c3, list_transform(range(61), lambda x: 0.0::DOUBLE)) AS c FROM (VALUES (0, [0.1, 0.0, 0.0]::DOUBLE[]), (1, [-0.1, 0.0, 0.0]::DOUBLE[]), (2, [0.0, 0.1, 0.1]::DOUBLE[]), (3, [0.0, -0.1, -0.1]::DOUBLE[])) x(node, c3)),
 q AS (SELECT vec_id, u, node FROM w CROSS JOIN nd QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(rep, c), node) = 1), k AS (SELECT node, count(*) AS n FROM q GROUP BY node HAVING count(*) > 5)
-SELECT node, n, CAST(i - 1 AS INTEGER) AS dim, {r6('avg(x)')} AS value FROM (SELECT node, unnest(range(1, 4)) AS i, unnest(u) AS x FROM q) JOIN k USING (node) GROUP BY ALL"""
+SELECT node, n, CAST(i - 1 AS INTEGER) AS dim, {r6('avg(x)')} AS value FROM (SELECT node, unnest(range(1, 65)) AS i, unnest(u) AS x FROM q) JOIN k USING (node) GROUP BY ALL"""
 
 # -- motility -------------------------------------------------------------------------------------------------------------
 

@@ -256,7 +256,7 @@ def test_modz_query_weighs_every_customer(spark, method):
     from phenogrid import registry
 
     d = "/root/testdata/sf0.001"
-    got = {r.g: list(r)[1:] for r in registry.QUERIES[f"aggregate_modz_{method}_all"](spark, d).select("g", "f0", "f1", "f2", "f3").collect()}
+    got = {r.g: list(r)[1:] for r in registry.QUERIES[f"aggregate_modz_{method}"](spark, d).select("g", "f0", "f1", "f2", "f3").collect()}
     region = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
     rows = [(region[r.c_nationkey], [r.c_acctbal, r.c_nationkey * 100.0, float(len(r.c_name)), r.c_custkey % 97 * 20.0]) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
     for g in {k for k, _ in rows}:
@@ -291,7 +291,7 @@ def test_evaluation_takes_all_vectors_whole(spark):
     up = np.triu(np.ones(r.shape, bool), 1)
     same = label[:, None] == label[None]
     null = r[up & ~same]
-    got = {g.label: (g.mean_sim, g.z) for g in registry.QUERIES["reproducibility_z_all"](spark, d).collect()}
+    got = {g.label: (g.mean_sim, g.z) for g in registry.QUERIES["reproducibility_z"](spark, d).collect()}
     assert set(got) == set(label.tolist())
     for g, (mean, z) in got.items():
         want = r[up & same & (label == g)[:, None]].mean()
