@@ -166,14 +166,14 @@ QUERIES["coral"] = lambda s, d: rounded(batch.CORAL(FEATS, "batch", "treatment")
 
 def _plate(s, d, method, sweeps):
     wells = group.aggregate(cells(s, d), ["plate", "well"], ["l_quantity", "l_extendedprice"], "mean")
-    at = F.col("well") - 1  # plates of 10 x 10 wells
+    at = F.col("well")  # plates of 10 x 10 wells
     wells = wells.withColumns({"part": F.floor(at / 100), "prow": F.floor(at / 10) % 10, "pcol": at % 10})
     return rounded(batch.correct_plates(wells, ["l_quantity", "l_extendedprice"], "prow", "pcol", ["plate", "part"], sweeps, method).select("plate", "well", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", digits=5)
 
 
 QUERIES["plate_polish"] = lambda s, d: _plate(s, d, "median", 10)
 QUERIES["plate_polish_mean"] = lambda s, d: _plate(s, d, "mean", 1)
-_POLISH = f"""WITH {CELLS}, w AS (SELECT plate, well, (well - 1) // 100 AS part, (well - 1) // 10 % 10 AS prow, (well - 1) % 10 AS pcol, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM cells GROUP BY ALL), r0 AS (UNPIVOT w ON q, e INTO NAME f VALUE x)"""
+_POLISH = f"""WITH {CELLS}, w AS (SELECT plate, well, well // 100 AS part, well // 10 % 10 AS prow, well % 10 AS pcol, avg(l_quantity) AS q, avg(l_extendedprice) AS e FROM cells GROUP BY ALL), r0 AS (UNPIVOT w ON q, e INTO NAME f VALUE x)"""
 
 
 def _polish_sql(mid: str, sweeps: int) -> str:
@@ -212,13 +212,13 @@ SELECT event_id, tile_row, tile_col, {r6('x')} AS x, {r6('y')} AS y FROM q WHERE
 
 
 def _plate_map(s, d):
-    at = (F.col("well") - 1) % 96
+    at = F.col("well") % 96
     wells = group.aggregate(cells(s, d).withColumn("name", F.concat(F.char(65 + F.floor(at / 12)), (at % 12 + 1).cast("string"))), ["name"], ["l_quantity"], "mean", count=True)
     return rounded(batch.plate_map(wells, "name", "l_quantity", size=group.COUNT, size_range=(10.0, 50.0)), "value", "size")
 
 
 QUERIES["plate_map"] = _plate_map
-SQL["plate_map"] = f"""WITH {CELLS}, w AS (SELECT (well - 1) % 96 AS at, avg(l_quantity) AS v, count(*) AS n FROM cells GROUP BY ALL), g AS (SELECT CAST(unnest(range(96)) AS INTEGER) AS i), f AS (SELECT i // 12 + 1 AS "row", i % 12 + 1 AS col, v, n FROM g LEFT JOIN w ON i = w.at)
+SQL["plate_map"] = f"""WITH {CELLS}, w AS (SELECT well % 96 AS at, avg(l_quantity) AS v, count(*) AS n FROM cells GROUP BY ALL), g AS (SELECT CAST(unnest(range(96)) AS INTEGER) AS i), f AS (SELECT i // 12 + 1 AS "row", i % 12 + 1 AS col, v, n FROM g LEFT JOIN w ON i = w.at)
 SELECT "row", col, {r6('v')} AS value, {r6('10 + (n - min(n) OVER ()) * 40.0 / (max(n) OVER () - min(n) OVER ())')} AS size FROM f"""
 
 # -- two features: roots and axes of 2 x 2 matrices have closed forms, which SQL can write -----------------------------------
