@@ -54,12 +54,26 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+ADJUSTMENTS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by")
+
+
 def adjust(p: np.ndarray, method: str = "bonferroni") -> np.ndarray:
-    """Bonferroni or Benjamini-Hochberg."""
+    """p values adjusted for their number: of the family-wise error (bonferroni, sidak, holm, holm-sidak, simes-hochberg) or of the false discovery rate (fdr_bh, fdr_by)."""
+    if method not in ADJUSTMENTS:
+        raise ValueError(f"adjust: {method} is none of {', '.join(ADJUSTMENTS)}")
     n = len(p)
     if method == "bonferroni":
         return np.minimum(p * n, 1)
+    if method == "sidak":
+        return 1 - (1 - p) ** n
     order = np.argsort(p, kind="stable")
+    up, rank = p[order], np.arange(1, n + 1)
+    if method in ("holm", "holm-sidak"):
+        one = up * (n - rank + 1) if method == "holm" else 1 - (1 - up) ** (n - rank + 1)
+        one = np.maximum.accumulate(one)
+    else:
+        one = up * (n - rank + 1) if method == "simes-hochberg" else up * n / rank * (np.sum(1 / rank) if method == "fdr_by" else 1)
+        one = np.minimum.accumulate(one[::-1])[::-1]
     out = np.empty(n)
-    out[order] = np.minimum(1, np.minimum.accumulate((p[order] * n / np.arange(1, n + 1))[::-1])[::-1])
+    out[order] = np.minimum(one, 1)
     return out

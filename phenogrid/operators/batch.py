@@ -228,8 +228,8 @@ READINGS: dict[str, Callable[[Column, int, int], tuple[Column, Column]]] = {
 }
 
 
-def pseudostitch(df: DataFrame, tile: str, x: str, y: str, grid: tuple[int, int] = (5, 5), image: tuple[int, int] = (2048, 2048), overlap: float = 0.2, reading: str = "horizontal", first: int = 1) -> DataFrame:
-    """Positions in the whole well, tile_row and tile_col, without objects that lie in the area of an earlier tile.
+def pseudostitch(df: DataFrame, tile: str, x: str, y: str, grid: tuple[int, int] = (5, 5), image: tuple[int, int] = (2048, 2048), overlap: float = 0.2, reading: str = "horizontal", first: int = 1, by: Sequence[str] = (), update_loc: bool = True) -> DataFrame:
+    """Positions in the whole well (unless update_loc is off), tile_row and tile_col, without objects that lie in the area of an earlier tile. With `by`, only of tiles in which the group has objects.
 
     A tile's area is [int(t), int(t + size)) in x and y. The earlier tiles that can hold a position are known from the grid, so
     the test is arithmetic on constants: no join, no bitmap."""
@@ -238,12 +238,19 @@ def pseudostitch(df: DataFrame, tile: str, x: str, y: str, grid: tuple[int, int]
     r, c = READINGS[reading](i, rows, cols)
     step_y, step_x = image[0] * (1 - overlap), image[1] * (1 - overlap)
     out = df.withColumns({"tile_row": r.cast("int"), "tile_col": c.cast("int")})
-    out = out.withColumns({x: F.col(x) + F.col("tile_col") * step_x, y: F.col(y) + F.col("tile_row") * step_y})
+    at_x, at_y = F.col(x) + F.col("tile_col") * step_x, F.col(y) + F.col("tile_row") * step_y
+    if update_loc:
+        out = out.withColumns({x: at_x, y: at_y})
+        at_x, at_y = F.col(x), F.col(y)
     order = _orders(rows, cols, reading)
     rects = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(int(step_x * cc)).alias("x0"), F.lit(int(step_x * cc + image[1])).alias("x1"), F.lit(int(step_y * rr)).alias("y0"), F.lit(int(step_y * rr + image[0])).alias("y1")) for k, (rr, cc) in enumerate(order)])
-    px, py = F.floor(x), F.floor(y)
+    if by:
+        held = out.groupBy(*by).agg(F.collect_set((F.col(tile) - first).cast("int")).alias("_tiles"))  # as many numbers as the grid has tiles
+        out = out.join(held, list(by))
+        rects = F.filter(rects, lambda t: F.array_contains("_tiles", t["k"]))
+    px, py = F.floor(at_x), F.floor(at_y)
     covered = F.exists(rects, lambda t: (t["k"] < i) & (px >= t["x0"]) & (px < t["x1"]) & (py >= t["y0"]) & (py < t["y1"]))
-    return out.filter(~covered)
+    return out.filter(~covered).drop("_tiles")
 
 
 def _orders(rows: int, cols: int, reading: str) -> list[tuple[int, int]]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions.scratch import cut
 from phenogrid.functions.threads import one_thread
 
 
@@ -222,6 +223,13 @@ def effect(pairs: DataFrame, group: str, others: Sequence[str] = (), control_id:
     return _scored(per.join(F.broadcast(null), how="cross"), [group, *others], "effect")  # one row
 
 
+def repro_effect(df: DataFrame, groups: Sequence[str], treat: str, vector: Column, others: Sequence[str] = (), method: str = "pearson", control_id: object = "ctrl", row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """(reproducibility, effect) from one comparison of all rows, of which only sums by labels are kept."""
+    labels = list(dict.fromkeys([*groups, treat, *others]))
+    sums = cut(pair_sums(df, labels, vector, method, row_id))
+    return reproducibility(sums, groups), effect(sums, treat, others, control_id)
+
+
 def best_concentration(df: DataFrame, pairs: DataFrame, treat: str, conc: str, control_id: object = "ctrl") -> tuple[DataFrame, DataFrame]:
     """(treat, conc, effect percentile of each treatment's strongest concentration; the rows at it and all controls). Ties go to the smaller concentration."""
     scores = effect(pairs, treat, [conc], control_id)

@@ -152,6 +152,8 @@ def rank_features(df: DataFrame, feats: Sequence[str], group_by: str, reference:
         from phenogrid.functions.stats import student_p
 
         out = per.select("grp", "feature", t.alias("_t"), (n1 + n2 - 2).alias("_df")).select("grp", "feature", F.coalesce("_t", F.lit(0.0)).alias("score"), F.coalesce(student_p(F.col("_t"), F.col("_df")), F.lit(1.0)).alias("p"))
+    if corr_method not in ("bonferroni", "fdr_bh"):
+        raise ValueError(corr_method)
     if corr_method == "bonferroni":
         return out.withColumn("p_adjusted", X.bonferroni(F.col("p"), F.count(F.lit(1)).over(Window.partitionBy("grp"))))
     return X.bh_adjust(out, ["grp"], "p", "feature")

@@ -150,13 +150,22 @@ def sample_rows(df: DataFrame, size: int, row_id: str = "row_id", seed: int = 0)
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, stratify: str | None = None, row_id: str = "row_id", seed: int = 0) -> DataFrame:
-    """df with `is_test`. With strata each gives its share, rounded half to even; without, a row is drawn by its own hash."""
+    """df with `is_test`. With strata each gives its share, rounded half to even; without, the whole gives its share, rounded up.
+
+    Without strata no order over all rows is needed: rows are counted by the first digits of their hash, and only those that share
+    the digits at the edge are ranked; the hash at the edge then decides."""
+    order = X.hash_order(row_id, seed)
     if stratify is None:
-        # 32 bits of the hash as a share: no order over all rows
-        share = F.conv(F.substring(X.hash_order(row_id, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-        return df.withColumn("is_test", share < test_size)
+        digits = F.substring(order, 1, 4)
+        counts = df.groupBy(digits.alias("_head")).agg(F.count(F.lit(1)).alias("_c"))
+        up = Window.orderBy("_head")  # 65,536 rows at most
+        counts = counts.withColumn("_to", F.sum("_c").over(up)).withColumn("_take", F.ceil(F.sum("_c").over(Window.partitionBy()) * F.lit(test_size) - F.lit(1e-9)))
+        edge = counts.filter((F.col("_take") > F.col("_to") - F.col("_c")) & (F.col("_take") <= F.col("_to"))).select("_head", (F.col("_take") - F.col("_to") + F.col("_c")).alias("_place"))
+        near = df.select(order.alias("_hash"), digits.alias("_head")).join(F.broadcast(edge), "_head")  # one row
+        last = near.withColumn("_rn", F.row_number().over(Window.partitionBy("_head").orderBy("_hash"))).filter(F.col("_rn") == F.col("_place")).agg(F.max("_hash").alias("_last"))
+        return df.join(F.broadcast(last), how="cross").withColumn("is_test", F.coalesce(order <= F.col("_last"), F.lit(False))).drop("_last")  # one row
     w = Window.partitionBy(stratify)
-    rank = F.row_number().over(w.orderBy(X.hash_order(row_id, seed), row_id))
+    rank = F.row_number().over(w.orderBy(order, row_id))
     return df.withColumn("is_test", rank <= F.bround(F.count(F.lit(1)).over(w) * F.lit(test_size), 0))
 
 

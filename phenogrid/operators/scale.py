@@ -7,6 +7,7 @@ they are small. Rows are never collected by group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,26 @@ def normalize(df: DataFrame, feats: Sequence[str], by: Sequence[str] = (), metho
     return out.filter(X.all_valid(feats)) if drop_missing else out
 
 
+@dataclass
+class RobustMAD:
+    """Median and scaled MAD of the rows it is fitted on, for other rows: (x - median) / (1.4826 MAD + epsilon); a zero divisor gives NULL."""
+
+    feats: Sequence[str]
+    epsilon: float = 0.0
+    median: dict[str, float] = field(default_factory=dict)
+    mad: dict[str, float] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame) -> RobustMAD:
+        self.median = df.agg(*[X.median(f).alias(f) for f in self.feats]).first().asDict()
+        known = {f: m for f, m in self.median.items() if m is not None}
+        off = df.agg(*[X.median(F.abs(F.col(f) - F.lit(m))).alias(f) for f, m in known.items()]).first() if known else None
+        self.mad = off.asDict() if off else {}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f: X.div(F.col(f) - F.lit(self.median[f]), F.lit(self.mad.get(f)) * X.MAD_SCALE + self.epsilon) for f in self.feats})
+
+
 def transform(df: DataFrame, feats: Sequence[str], method: str) -> DataFrame:
     """sqrt, log or log1p of each feature; what has no real result is NULL."""
     one = {"sqrt": lambda c: F.when(c >= 0, F.sqrt(c)), "log": lambda c: F.when(c > 0, F.ln(c)), "log1p": lambda c: F.when(c > -1, F.log1p(c))}[method]

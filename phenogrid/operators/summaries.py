@@ -28,6 +28,19 @@ def pca(df: DataFrame, feats: Sequence[str], n: int | None = None, out: str = "X
     return scored, df.sparkSession.createDataFrame(table, "component int, variance double, percent double, cumulative double")
 
 
+def choose_representation(df: DataFrame, feats: Sequence[str], rep: str | None = None, n: int | None = None, pca_column: str = "X_pca") -> tuple[DataFrame, str]:
+    """(df, the name of an array column): the named embedding's first n components; "X" or n = 0 the features themselves; None the principal components, which are made (50 at most) if df has none."""
+    if rep == "X" or rep is None and n == 0:
+        return df.withColumn("X", F.array(*[F.col(f).cast("double") for f in feats])), "X"
+    if rep is None:
+        rep = pca_column
+        if rep not in df.columns:
+            df = pca(df, feats, min(50, len(feats)), rep)[0]
+    if rep not in df.columns:
+        raise ValueError(f"choose_representation: no {rep}")
+    return (df, rep) if n is None else (df.withColumn(rep, F.slice(rep, 1, n)), rep)
+
+
 def time_summary(df: DataFrame, time: str, feats: Sequence[str], hue: Sequence[str] = ()) -> DataFrame:
     """time, hue, mean and standard deviation of each feature."""
     by = [time, *hue]

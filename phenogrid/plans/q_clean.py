@@ -207,7 +207,7 @@ def _(s, d):
     return group.sample_rows(cells(s, d), 1000, seed=3).select("row_id")
 
 
-@query("train_test_split", f"WITH {CELLS} SELECT row_id, CAST('0x' || substr(md5('0:' || row_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 AS is_test FROM cells")
+@query("train_test_split", f"WITH {CELLS} SELECT row_id, row_number() OVER (ORDER BY md5('0:' || row_id)) <= ceil(count(*) OVER () * 0.2 - 1e-9) AS is_test FROM cells")
 def _(s, d):
     return group.train_test_split(cells(s, d)).select("row_id", "is_test")
 

@@ -51,6 +51,13 @@ for _m in ("if", "rc", "lof", "oc-svm"):
     QUERIES[f"outliers_{_m.replace('-', '_')}"] = lambda s, d, m=_m: models.outlier_scores(_wells(s, d), FEATS, m).select("row_id", F.round("outlier_score", 6).alias("outlier_score"), "inlier")
 
 
+# every well among all wells: 20 neighbours, reachability, densities
+SQL["outliers_lof"] = f"""WITH {CELLS}, w AS (SELECT batch || '-' || lpad(well::VARCHAR, 4, '0') AS id, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c, avg(l_tax) + CASE WHEN well % 3 = 1 THEN well // 3 % 5 * 0.01 ELSE 0 END AS e FROM cells GROUP BY batch, well),
+nn AS (SELECT p.id, q.id AS other, sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2) + pow(p.e - q.e, 2)) AS d FROM w p JOIN w q ON p.id <> q.id QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, q.id) <= 20),
+k AS (SELECT id AS other, max(d) AS kth FROM nn GROUP BY id), dn AS (SELECT id, 1 / greatest(avg(greatest(d, kth)), 1e-12) AS density FROM nn JOIN k USING (other) GROUP BY id),
+s AS (SELECT nn.id, avg(o.density) / any_value(m.density) AS lof FROM nn JOIN dn o ON nn.other = o.id JOIN dn m ON nn.id = m.id GROUP BY nn.id) SELECT id AS row_id, {r6('lof')} AS outlier_score, lof <= 1.5 AS inlier FROM s"""
+
+
 def _series(s, d):
     """Mean courses of 24 groups of tracks, over all frames."""
     return tracks(s, d).groupBy((F.col("track") % 24).alias("track"), "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

@@ -298,3 +298,118 @@ def test_evaluation_takes_all_vectors_whole(spark):
         assert mean == pytest.approx(want, abs=2e-6) and z == pytest.approx((want - null.mean()) / null.std(ddof=1), abs=2e-5)
     assert registry.QUERIES["dist_mahalanobis"](spark, d).count() == len(rows) * (len(rows) - 1) // 2
     assert {g.label for g in registry.QUERIES["eval_percentiles"](spark, d).collect()} == set(label.tolist())
+
+
+def test_batch_tools_run_one_after_another(spark, tmp_path):
+    from phenogrid import __main__ as tools
+    from phenogrid.profile import Profile
+    from phenogrid.sources import plates
+
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i:03}", 1 + i % 2, 1, f"w{i % 6}", "ctrl" if i % 6 < 2 else "t", int(i % 4) + 1, *map(float, rng.normal(size=3)), float(rng.uniform(0, 100)), float(rng.uniform(0, 100)), i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id string, BatchNumber int, PlateNumber int, well string, treat string, Metadata_Field int, a double, b double, c double, Cells_Location_Center_X double, Cells_Location_Center_Y double, Metadata_Timepoint int")
+    p = Profile(df.withColumn("twin", F.col("a")), ["a", "b", "c", "twin"])
+    at = lambda n: str(tmp_path / n)
+    plates.write_profile(p, at("start"))
+    tools.main(["collect", at("start"), at("start"), at("twice")], spark)
+    assert plates.read_profile(spark, at("twice")).df.count() == 240
+    for argv in (
+        ["clean", at("start"), at("clean"), "--freq-thresh", "0"],
+        ["normalize", at("clean"), at("normal"), "--method", "mad_robust", "--pop-var", "treat", "--norm-pop", "ctrl"],
+        ["subsample", at("normal"), at("half"), "--perc", "0.5"],
+        ["aggregate", at("normal"), at("wells"), "--by", "BatchNumber", "PlateNumber", "well", "--min-cells", "5"],
+        ["pseudostitch", at("normal"), at("stitched"), "--grid", "2", "2", "--image", "100", "100"],
+        ["track", at("normal"), at("tracks")],
+        ["split", at("normal"), at("train"), "--test-size", "0.25"],
+    ):
+        tools.main(argv, spark)
+    got = {n: plates.read_profile(spark, at(n)) for n in ("clean", "half", "wells", "stitched", "tracks", "train", "train-test")}
+    assert got["clean"].features == ["a", "b", "c"] and got["half"].df.count() == 60
+    assert got["wells"].df.count() == 6 and 0 < got["stitched"].df.count() < 120 and "track" in got["tracks"].df.columns
+    assert (got["train"].df.count(), got["train-test"].df.count()) == (90, 30)
+
+
+def test_adjustments():
+    from phenogrid.functions.stats import adjust
+
+    p = np.array([0.01, 0.04, 0.03, 0.005])
+    want = {"bonferroni": [0.04, 0.16, 0.12, 0.02], "sidak": 1 - (1 - p) ** 4, "holm": [0.03, 0.06, 0.06, 0.02], "simes-hochberg": [0.03, 0.04, 0.04, 0.02], "fdr_bh": [0.02, 0.04, 0.04, 0.02], "fdr_by": np.array([0.02, 0.04, 0.04, 0.02]) * (1 + 1 / 2 + 1 / 3 + 1 / 4)}
+    for method, value in want.items():
+        assert adjust(p, method) == pytest.approx(np.asarray(value)), method
+    with pytest.raises(ValueError):
+        adjust(p, "other")
+
+
+def test_correlations_of_many_features_have_one_rule(spark):
+    """A feature that misses a value has no correlation, with few features as with many."""
+    from phenogrid.operators import features
+
+    rng = np.random.default_rng(6)
+    for d in (5, 130):
+        x = rng.normal(size=(80, d))
+        x[:, 2] = 1.5
+        rows = [(i, *[None if (i, j) == (3, 0) else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+        df = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"f{j} double" for j in range(d))).repartition(3)
+        for method in ("pearson", "spearman") if d == 5 else ("pearson",):
+            got = {(r.i, r.j): r.r for r in features.correlation_pairs(df, [f"f{j}" for j in range(d)], method).collect()}
+            want = np.corrcoef((pd.DataFrame(x).rank().to_numpy() if method == "spearman" else x)[:, [1, 3, 4]].T)
+            assert all(got[k] is None for k in got if 0 in k or 2 in k) and [got[1, 3], got[1, 4], got[3, 4]] == pytest.approx([want[0, 1], want[0, 2], want[1, 2]])
+
+
+def test_local_outlier_factor_equals_brute_force(spark):
+    from phenogrid.operators import models
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(3, 3)) + 9])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99, None, 0.0, 0.0)], "row_id long, a double, b double, c double")
+    got = {r.row_id: r for r in models.outlier_scores(df, ["a", "b", "c"], "lof", neighbours=5).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :5]
+    kth = np.take_along_axis(d, near, 1)[:, -1]
+    dens = 1 / np.maximum(np.take_along_axis(d, near, 1), kth[near]).mean(1)
+    assert [got[i].outlier_score for i in range(63)] == pytest.approx((dens[near].mean(1) / dens).tolist())
+    assert got[99].outlier_score is None and not got[99].inlier and not got[62].inlier
+
+
+def test_mixture_emissions_and_silhouette(spark):
+    from phenogrid.operators import hmm
+
+    rng = np.random.default_rng(8)
+    rows, truth = [], []
+    for t in range(12):
+        s = 0
+        for f in range(40):
+            s = 1 - s if rng.random() < 0.1 else s
+            centre = (-6 if rng.random() < 0.5 else -3) if s == 0 else (3 if rng.random() < 0.5 else 6)
+            rows.append((t * 40 + f, t, f, [float(centre + rng.normal() * 0.3), float(rng.normal())]))
+            truth.append(s)
+    df = spark.createDataFrame(rows, "row_id long, track long, frame long, rep array<double>")
+    states, model = hmm.fit_hmm(df, [2, 3], "track", "frame", "rep", select_by="silhouette", n_init=1, rounds=6, mixtures=2)
+    got = {r.row_id: r.HMMState for r in states.collect()}
+    assert model.k == 2 and model.mixtures == 2 and np.mean([got[i] == s for i, s in enumerate(truth)]) > 0.97
+    with pytest.raises(ValueError):
+        hmm.fit_hmm(df, 2, "track", "frame", "rep", select_by="other")
+
+
+def test_one_call_scores_groups_of_tiles_and_representation(spark):
+    from phenogrid.operators import batch, scale, summaries
+
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 4, "ctrl" if i % 4 == 0 else f"t{i % 4}", [float(x) for x in rng.normal(size=5)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, g long, treat string, v array<double>")
+    repro, eff = evaluate.repro_effect(df, ["g"], "treat", F.col("v"))
+    pairs = evaluate.similarity(df, ["g", "treat"], F.col("v"))
+    assert {r.g: round(r.z, 9) for r in repro.collect()} == {r.g: round(r.z, 9) for r in evaluate.reproducibility(pairs, ["g"]).collect()}
+    assert {r.treat: round(r.z, 9) for r in eff.collect()} == {r.treat: round(r.z, 9) for r in evaluate.effect(pairs, "treat").collect()}
+    tiles = spark.createDataFrame([(1, "a", 1, 90.0, 5.0), (2, "a", 2, 5.0, 5.0), (3, "b", 2, 5.0, 5.0)], "row_id long, well string, tile int, x double, y double")
+    assert {r.row_id for r in batch.pseudostitch(tiles, "tile", "x", "y", (2, 2), (100, 100)).collect()} == {1}
+    kept = {r.row_id: r.x for r in batch.pseudostitch(tiles, "tile", "x", "y", (2, 2), (100, 100), by=["well"], update_loc=False).collect()}
+    assert kept == {1: 90.0, 3: 5.0}
+    wide = spark.createDataFrame([(i, *map(float, rng.normal(size=3))) for i in range(20)], "row_id long, a double, b double, c double")
+    assert summaries.choose_representation(wide, ["a", "b", "c"], None, 0)[1] == "X"
+    out, name = summaries.choose_representation(wide, ["a", "b", "c"], None, 2)
+    assert name == "X_pca" and len(out.first()[name]) == 2
+    fitted = scale.RobustMAD(["a", "b"]).fit(wide)
+    x = wide.toPandas()["a"]
+    assert fitted.transform(wide).toPandas()["a"].to_numpy() == pytest.approx(((x - x.median()) / (1.482602218505602 * (x - x.median()).abs().median())).to_numpy())
