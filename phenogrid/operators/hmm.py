@@ -84,22 +84,26 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def expect(m: Model, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(log-likelihood, state shares by frame, expected transitions) of one track."""
-    with np.errstate(divide="ignore"):
-        ls, lt = np.log(m.start), np.log(m.trans)
+    """(log-likelihood, state shares by frame, expected transitions) of one track: forward and backward shares, scaled at each frame."""
     e = m.logpdf(x)
+    top = e.max(1)
+    e = np.exp(e - top[:, None])
     n = len(x)
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = ls + e[0]
-    for t in range(1, n):
-        a[t] = e[t] + _lse(a[t - 1][:, None] + lt, 0)
+    a, b, scale = np.empty_like(e), np.ones_like(e), np.empty(n)
+    now = m.start * e[0] + 1e-300
+    for t in range(n):
+        if t:
+            now = (now @ m.trans) * e[t] + 1e-300
+        scale[t] = now.sum()
+        now = now / scale[t]
+        a[t] = now
+    back = b[-1]
     for t in range(n - 2, -1, -1):
-        b[t] = _lse(lt + (e[t + 1] + b[t + 1])[None], 1)
-    ll = float(_lse(a[-1], 0))
-    xi = np.zeros((m.k, m.k))
-    for t in range(n - 1):
-        xi += np.exp(a[t][:, None] + lt + (e[t + 1] + b[t + 1])[None] - ll)
-    return ll, np.exp(a + b - ll), xi
+        back = m.trans @ (e[t + 1] * back) / scale[t + 1]
+        b[t] = back
+    xi = m.trans * (a[:-1].T @ (e[1:] * b[1:] / scale[1:, None]))
+    share = a * b
+    return float(np.log(scale).sum() + top.sum()), share / share.sum(1, keepdims=True), xi
 
 
 def viterbi(m: Model, x: np.ndarray) -> np.ndarray:
