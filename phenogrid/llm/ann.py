@@ -125,19 +125,20 @@ class Index:
 
     root: Router
     children: dict[int, Router]
+    width: int  # numbers of parts that a part's number stands before
 
     def parts(self, x: np.ndarray, every: bool) -> list[np.ndarray]:
         """Numbers of the parts that each row (of length 1) probes, or lies in."""
         top = self.root.ranked(x, every)
         if not self.children:
-            return list(top * MAX_PARTS)
+            return list(top * self.width)
         found: list[list[np.ndarray]] = [[] for _ in x]
         row, place = np.indices(top.shape)
         for p in np.unique(top):
             at = row[top == p]
             inner = self.children[p].ranked(x[at], every) if p in self.children else np.zeros((len(at), 1), np.int64)
             for i, r in zip(at.tolist(), inner, strict=True):
-                found[i].append(p * MAX_PARTS + r)
+                found[i].append(p * self.width + r)
         return [np.concatenate(f) for f in found]
 
 
@@ -162,9 +163,9 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: in
     return Router(*p, probes=parts)
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 5, graph_k: int = 10, target_recall: float = TARGET_RECALL) -> Router:
+def fit(sample: np.ndarray, rows: int, k: int = 5, graph_k: int = 10, target_recall: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> Router:
     """A router from sample vectors, for a table of `rows` rows."""
-    parts = int(min(MAX_PARTS, max(1, -(-rows // PART_ROWS)), max(1, len(sample) // 32)))
+    parts = int(min(max_parts, max(1, -(-rows // part_rows)), max(1, len(sample) // 32)))
     d = sample.shape[1] if sample.ndim == 2 else 1
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
@@ -231,7 +232,7 @@ def best(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarra
         yield query_ids[at + i], ids[j], exact
 
 
-def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each row of base for which `queries` holds."""
     spark = base.sparkSession
     dims = base.select(F.size(vector_col).alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
@@ -240,9 +241,9 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     rows = materialise(vectors(base, id_col, vector_col, dim).withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS + TEST_ROWS).toArrow()
-    deep = total > MAX_PARTS * PART_ROWS * 4  # parts of four times their size at one level
+    deep = total > max_parts * part_rows * 4  # parts of four times their size at one level
     aim = TARGET_RECALL ** (0.5 if deep else 1)
-    index = Index(fit(matrix(drawn.column("vec"), dim), total, k, target_recall=aim), {})
+    index = Index(fit(matrix(drawn.column("vec"), dim), total, k, target_recall=aim, part_rows=part_rows, max_parts=max_parts), {}, max_parts)
 
     def routed(frame: DataFrame, every: bool) -> DataFrame:
         """id, vec, part: a row for each part that a query probes, or for the part that a row lies in."""
@@ -267,12 +268,12 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
         def fit_part(group: pa.Table) -> pa.Table:
             one_thread()
             group = group.sort_by("place")
-            r = fit(matrix(group.column("vec"), dim), group.column("n")[0].as_py(), k, target_recall=aim)
+            r = fit(matrix(group.column("vec"), dim), group.column("n")[0].as_py(), k, target_recall=aim, part_rows=part_rows, max_parts=max_parts)
             small = Router(*[w.astype(np.float32) for w in (r.w1, r.b1, r.w2, r.b2)], r.probes)
             return pa.table({"part": group.column("part").slice(0, 1), "router": pa.array([pickle.dumps(small)], pa.binary())})
 
-        fitted = drawn.join(sizes, "part").filter(F.col("n") > PART_ROWS).groupBy("part").applyInArrow(fit_part, "part int, router binary")
-        index.children = {r[0] // MAX_PARTS: pickle.loads(r[1]) for r in fitted.collect()}  # at most MAX_PARTS routers of bounded size
+        fitted = drawn.join(sizes, "part").filter(F.col("n") > part_rows).groupBy("part").applyInArrow(fit_part, "part int, router binary")
+        index.children = {r[0] // max_parts: pickle.loads(r[1]) for r in fitted.collect()}  # at most MAX_PARTS routers of bounded size
         placed = materialise(routed(rows, False), "placed")
     wanted = vectors(base.filter(queries), id_col, vector_col, dim)
     blocks = materialise(placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "parts")

@@ -154,6 +154,14 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - np.minimum(u, v).sum() / np.maximum(u, v).sum()) < 0.03
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, words), (4, words), (4, "other " + words), (2, words + " x"), (7, None), (7, "a b c d e f g"), (None, None)]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.class_id) for r in got if r.id is not None) == [(2, 2), (4, 2), (4, 2), (7, 7), (7, 7)]
+    assert [r.class_id for r in got if r.id is None] == [None, None]
+
+
 def test_near_dedup_weights_count(spark):
     """How often a shingle stands matters: equal sets, unlike weights."""
     few, many = "u " * 6, "u " * 4000
@@ -235,6 +243,20 @@ def test_bpe_equals_the_library(spark, docs, texts):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_bpe_does_not_depend_on_what_is_shared(spark):
+    """Null ids, repeated rows, an empty and a very long piece; no, few or all pieces shared."""
+    import public_tokenizers as P
+
+    rng = np.random.default_rng(22)
+    made = [" ".join("".join(rng.choice(list("abcdeéß漢"), int(rng.integers(3, 14)))) for _ in range(40)) for _ in range(30)]
+    df = spark.createDataFrame([*enumerate(made), (None, made[0]), (3, made[3]), (40, ""), (41, None), (42, "q" * 30000)], "doc_id long, text string")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    runs = [sorted(((r.id is None, r.id or 0), list(r.ids)) for r in bpe.encode(df, path, P.PATTERN, shared_pieces=n).collect()) for n in (0, 60, 1 << 18)]
+    assert runs[0] == runs[1] == runs[2]
+    v = bpe.vocabulary(path, P.PATTERN)
+    assert bpe.decode(dict(runs[0])[(False, 42)], v) == b"q" * 30000 and dict(runs[0])[(False, 41)] == []
+
+
 def test_replay_equals_encoding_alone():
     import public_tokenizers as P
 
@@ -323,6 +345,16 @@ def test_mixing(spark, docs, texts):
     assert out.columns == SCHEMA.replace(",", "").split()[::2] and Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_mixing_null_and_repeated_ids(spark):
+    """Rows without an id, and rows that share one, spread by their texts; another partitioning gives the same."""
+    rows = [(None, f"t{i} a b", "s") for i in range(200)] + [(5, f"u{i} a", "s") for i in range(100)] + [(i, "x y", "r") for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted((r.id or -1, r.size, r.taken, [round(p, 9) for p in r.positions]) for r in mixing.curriculum(d).collect()) for d in (df.coalesce(1), df.repartition(7)))
+    assert one == two and len(one) == 330
+    kept, again = (Counter(r.text for r in mixing.mixed(d).collect()) for d in (df.coalesce(1), df.repartition(5)))
+    assert kept == again
+
+
 def test_language_model_counts_and_normalisation(spark, docs, texts):
     got = {r.doc_id: r for r in lm.op2_log_bilinear(spark, docs).collect()}
     c = Counter()
@@ -436,6 +468,22 @@ def test_quality_learns_and_never_sees_held_out_labels(spark):
     assert again == {r.id: r.score for r in got}
 
 
+def test_quality_against_brute_force(spark):
+    """The fit on plain arrays gives the scores of the query; repeated ids are one labelled row; dense and sparse features travel alike."""
+    rng = np.random.default_rng(23)
+    made = [prose(rng, 40) if i % 3 else prose(rng, 40).upper() for i in range(120)] + [" ".join(chr(40 + int(c)) * 2 for c in rng.integers(0, 5000, 20000))]
+    df = spark.createDataFrame([*enumerate(made), (7, made[7])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(121)], "doc_id long, quality int")
+    features = quality.Features()
+    train = [i for i in range(121) if zlib.crc32(str(i).encode()) % 5]
+    found = [features.of(made[i].encode()).astype(np.int32) for i in train]
+    assert all(np.array_equal(quality.unpacked(quality.packed(x)), x) for x in found) and quality.packed(found[-1])[:1] in (b"b", b"l")
+    model = quality.fit(quality.Rows([quality.packed(x) for x in found]), np.array([int(i % 3 > 0) for i in train]))
+    want = {i: float(model.score(np.array([model.margin(features.of(t.encode()))]))[0]) for i, t in enumerate(made)}
+    got = quality.score(df, quality.train(df, labels)).collect()
+    assert len(got) == 122 and all(r.score == pytest.approx(want[r.id], abs=1e-12) for r in got)
+
+
 def test_quality_with_one_class_and_odd_rows(spark, docs):
     got = quality.op5_nbsvm_quality(spark, docs).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
@@ -489,6 +537,43 @@ def test_nearest_neighbours_recall(spark, tmp_path):
     assert router.parts > 4 and router.probes < router.parts
 
 
+def recall(got, ids, x, queries, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.id)
+    hits = 0
+    for q in queries:
+        s = u @ u[ids == q][0]
+        s[ids == q] = -9
+        hits += len(set(ids[np.argsort(-s)[:k]].tolist()) & found[q])
+    return hits / (k * len(queries))
+
+
+def test_nearest_neighbours_in_two_levels(spark):
+    """A table beyond one level's parts; every query gets its five, clashing columns and repeated query ids change nothing."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(60, 12))[rng.integers(0, 60, 3000)] + 0.3 * rng.normal(size=(3000, 12))
+    rows = [(i, [float(v) for v in r], 1, 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[100]], "vec_id long, embedding array<double>, id int, part int")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, part_rows=16, max_parts=8).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, k) for q in range(0, 3000, 50) for k in range(1, 6)]
+    assert recall(got, np.arange(3000), x, list(range(0, 3000, 50))) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_nearest_neighbours_of_the_tables_are_routed(spark, monkeypatch):
+    routers = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: routers.append(fit(*a, **k)) or routers[-1])
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(df, F.col("vec_id") % 50 == 0).collect()
+    rows = df.filter("embedding is not null").orderBy("vec_id").collect()
+    ids = np.array([r.vec_id for r in rows])
+    assert routers[0].probes < routers[0].parts
+    assert recall(got, ids, np.array([r.embedding for r in rows], float), ids[ids % 50 == 0].tolist()) >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(13)
     x = rng.normal(size=(1200, 8))
