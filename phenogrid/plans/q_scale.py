@@ -49,6 +49,18 @@ s_{0} AS (SELECT x, CASE WHEN b = 101 THEN 1.0 WHEN u = 0 THEN 0.0 WHEN u > b TH
 SQL["transform_quantile"] = f"WITH {CELLS}, {_Q.format('l_quantity')}, {_Q.format('l_extendedprice')} SELECT row_id, {r6('a.v', 5)} AS l_quantity, {r6('b.v', 5)} AS l_extendedprice FROM cells JOIN s_l_quantity a ON a.x = l_quantity JOIN s_l_extendedprice b ON b.x = l_extendedprice"
 QUERIES["transform_power"] = lambda s, d: rounded(scale.transform_power(cells(s, d), ["l_quantity", "l_extendedprice"]).select("row_id", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
 
+_LIFT = "CASE WHEN abs(lam) < 1e-12 THEN ln(1 + v) ELSE (pow(v + 1, lam) - 1) / lam END"  # of values from 0 on
+
+
+def _round(k: int, grid: str, source: str) -> str:
+    """The best exponent of each feature among a grid's; the first of equals."""
+    return f"g{k} AS (SELECT f, {grid} AS lam FROM {source}), s{k} AS (SELECT f, lam, -count(*) / 2 * ln(var_pop({_LIFT})) + (lam - 1) * sum(ln(1 + v)) AS score FROM l JOIN g{k} USING (f) GROUP BY f, lam), b{k} AS (SELECT f, arg_max(lam, score) AS best FROM s{k} GROUP BY f)"
+
+
+SQL["transform_power"] = f"""WITH {CELLS}, l AS (SELECT row_id, 'q' AS f, l_quantity AS v FROM cells UNION ALL SELECT row_id, 'e', l_extendedprice FROM cells),
+{_round(1, "-2.0::DOUBLE + unnest(range(21)) * 0.25", "(SELECT DISTINCT f FROM l)")}, {_round(2, "best - 0.25 + unnest(range(9)) * 0.0625", "b1")}, {_round(3, "best - 0.0625 + unnest(range(9)) * 0.015625", "b2")},
+t AS (SELECT row_id, f, {_LIFT} AS v FROM l JOIN (SELECT f, best AS lam FROM b3) USING (f)) SELECT row_id, {r6("max(v) FILTER (WHERE f = 'q')")} AS l_quantity, {r6("max(v) FILTER (WHERE f = 'e')")} AS l_extendedprice FROM t GROUP BY row_id"""
+
 # -- thresholds -----------------------------------------------------------------------------------------------------------
 
 QUERIES["histogram"] = lambda s, d: rounded(threshold.histogram(cells(s, d), "l_extendedprice", ["batch"]), "lo", "hi")
@@ -75,6 +87,16 @@ SQL["threshold_mean"] = f"WITH {CELLS} SELECT batch, {r6('avg(l_extendedprice)',
 SQL["threshold_isodata"] = f"WITH {_HIST} {_FULL}, d AS (SELECT *, (s1 / nullif(w1, 0) + (s - s1) / nullif(w - w1, 0)) / 2 - c AS d FROM m) SELECT batch, {r6('min(c)', 4)} AS threshold FROM d WHERE d >= 0 AND d < bw GROUP BY batch"
 SQL["threshold_yen"] = f"""WITH {_HIST} {_FULL}, p AS (SELECT *, sum(n / total) OVER u AS a, sum(pow(n / total, 2)) OVER u AS b, sum(pow(n / total, 2)) OVER (PARTITION BY batch) AS bb FROM m WINDOW u AS (PARTITION BY batch ORDER BY bin)),
 k AS (SELECT batch, bin, c, ln(pow(a * (1 - a), 2) / (b * (bb - b))) AS v FROM p WHERE bin < 255 AND a > 0 AND a < 1 - 1e-12) SELECT batch, {r6('arg_max(c, v)', 4)} AS threshold FROM k GROUP BY batch"""
+SQL["threshold_multi_otsu"] = f"""WITH {_HIST} {_FULL}, v AS (SELECT a.batch, a.c, a.bin AS i, b.bin AS j, coalesce(a.s1 * a.s1 / nullif(a.w1, 0), 0) + coalesce(pow(b.s1 - a.s1, 2) / nullif(b.w1 - a.w1, 0), 0) + coalesce(pow(b.s - b.s1, 2) / nullif(b.w - b.w1, 0), 0) AS v FROM m a JOIN m b ON a.batch = b.batch AND a.bin < b.bin AND b.bin < 255)
+SELECT batch, {r6('c', 4)} AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY batch ORDER BY v DESC, i, j) = 1"""
+# the bin farthest from the line between the peak and the end of the longer tail
+SQL["threshold_triangle"] = f"""WITH {_HIST} {_FULL}, ends AS (SELECT batch, min(bin) FILTER (WHERE n > 0) AS lo, max(bin) FILTER (WHERE n > 0) AS hi, max(n) AS height FROM m GROUP BY batch), p AS (SELECT ends.*, min(bin) AS peak FROM ends JOIN m ON m.batch = ends.batch AND m.n = ends.height GROUP BY ALL),
+d AS (SELECT m.batch, c, CASE WHEN peak - lo < hi - peak THEN -bin ELSE bin END AS place, CASE WHEN peak - lo < hi - peak THEN height * (hi - bin) - (hi - peak) * n ELSE height * (bin - lo) - (peak - lo) * n END AS far FROM m JOIN p ON m.batch = p.batch AND CASE WHEN peak - lo < hi - peak THEN bin BETWEEN peak + 1 AND hi ELSE bin BETWEEN lo AND peak - 1 END)
+SELECT batch, {r6('c', 4)} AS threshold FROM d QUALIFY row_number() OVER (PARTITION BY batch ORDER BY far DESC, place) = 1"""
+SQL["threshold_li"] = f"""WITH RECURSIVE {_HIST} {_FULL}, x AS (SELECT batch, n, c - min(c) OVER (PARTITION BY batch) AS x, min(c) OVER (PARTITION BY batch) AS c0, bw FROM m),
+r AS (SELECT batch, sum(n * x) / sum(n) AS t, -1.0::DOUBLE AS last, 0 AS k FROM x GROUP BY batch
+UNION ALL SELECT batch, (mb - mf) / (ln(mb) - ln(mf)), t, k + 1 FROM (SELECT r.batch, r.t, r.k, sum(n * x) FILTER (WHERE x > t) / nullif(sum(n) FILTER (WHERE x > t), 0) AS mf, sum(n * x) FILTER (WHERE x <= t) / nullif(sum(n) FILTER (WHERE x <= t), 0) AS mb FROM r JOIN x USING (batch) WHERE abs(t - last) > bw / 2 GROUP BY r.batch, r.t, r.k) WHERE mf IS NOT NULL AND mb > 0)
+SELECT r.batch, {r6('arg_max(t, k) + any_value(c0)', 4)} AS threshold FROM r JOIN (SELECT DISTINCT batch, c0 FROM x) USING (batch) GROUP BY r.batch"""
 QUERIES["threshold_assign"] = lambda s, d: threshold.assign_by_threshold(cells(s, d), "l_extendedprice", ["batch"], "cls", "mean", labels={0: "low", 1: "high"}, max_val=50000.0).select("row_id", "cls")
 SQL["threshold_assign"] = f"WITH {CELLS}, t AS (SELECT batch, avg(l_extendedprice) AS m FROM cells WHERE l_extendedprice < 50000 GROUP BY batch) SELECT row_id, CASE WHEN l_extendedprice > m THEN 'high' ELSE 'low' END AS cls FROM cells JOIN t USING (batch)"
 
