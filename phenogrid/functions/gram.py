@@ -1,7 +1,7 @@
 """Means and cross products of many features in one pass: a matrix product in each task, summed in a tree.
 
 What leaves a task is (rows, means, cross products about its own means) for each group, cut into blocks of rows of the matrix;
-blocks meet by group and block, `fan_in` tasks at a time. The result is on the driver: a matrix of the features for each
+blocks meet by group and block, first in 256 parts and then in one. The result is on the driver: a matrix of the features for each
 group, which their number bounds, not the rows. Matrices are applied with one product for each Arrow batch.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from phenogrid.functions.threads import one_thread
 
-#: Numbers of a block, about: 2 MB.
-BLOCK_NUMBERS = 250_000
+#: Numbers of a block, about: 0.8 MB, so that a few hundred of them fit a task.
+BLOCK_NUMBERS = 100_000
 
 
 @dataclass
@@ -55,7 +55,7 @@ def _add(a: tuple, b: tuple) -> tuple:
     return n + m, mean + shift * (m / (n + m)), cross + more + np.outer(shift[at[0] : at[1]], shift) * (n * m / (n + m)), at
 
 
-def moments(df: DataFrame, feats: Sequence[str], by: str | None = None, drop_missing: bool = False, fan_in: int = 16) -> dict[object, Moments]:
+def moments(df: DataFrame, feats: Sequence[str], by: str | None = None, drop_missing: bool = False) -> dict[object, Moments]:
     """Moments of each group of `by` (null too), or of all rows under the key None.
 
     A missing value counts for its feature, and as 0 in the products; with drop_missing its row is left out altogether."""
@@ -101,13 +101,9 @@ def moments(df: DataFrame, feats: Sequence[str], by: str | None = None, drop_mis
         return group.slice(0, 1).set_column(3, "blob", pa.array([pickle.dumps((*total, gone))], pa.binary()))
 
     schema = f"key {kind}, block int, part int, blob binary"
-    parts = max(1, named.rdd.getNumPartitions())
     sums = named.mapInArrow(tally, schema)
-    while True:
-        parts = -(-parts // fan_in)
-        sums = sums.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("key", "block", "part").applyInArrow(add, schema)
-        if parts <= 1:
-            break
+    for parts in (256, 1):
+        sums = sums.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("key", "block", "part").applyInArrow(add, schema)
     out: dict[object, Moments] = {}
     for key, _, _, blob in sums.collect():
         n, mean, cross, (a, z), gone = pickle.loads(blob)

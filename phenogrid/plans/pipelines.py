@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
+from phenogrid.functions.scratch import cut
 from phenogrid.operators import clean, features, group, models, scale, threshold
 from phenogrid.profile import Profile
 
@@ -20,7 +21,7 @@ def clean_data(p: Profile, min_share: float | None = None, freq_thresh: float =
     p = p.pipe(clean.drop_missing_rows, p.features)
     twice = [r.feature for r in clean.duplicate_features(p.df, p.features, p.row_id).collect()]
     p = p.select([f for f in p.features if f not in twice])
-    p = p.pipe(clean.drop_duplicate_rows, p.features, p.row_id)
+    p = p.pipe(clean.drop_duplicate_rows, p.features, p.row_id).pipe(cut)  # the scans that follow read what is left
     same = clean.invariant_features(p.df, p.features)
     p = p.select([f for f in p.features if f not in same])
     p = p.pipe(clean.drop_invariant_rows, p.features)
@@ -49,7 +50,7 @@ def profile_recipe(p: Profile, by: Sequence[str], well: str, treat: str, dose: s
     wells = group.aggregate(df, [*by, well], p.features, "median", obs=[treat, dose, "Cycle"], row_id=p.row_id, count=True)
     wells = wells.withColumn("row_id", F.concat_ws("-", *[F.col(c).cast("string") for c in (*by, well)]))
     wells = scale.normalize(wells, p.features, by, "mad_robust", treat, control)
-    wells = wells.checkpoint() if wells.sparkSession.conf.get("spark.checkpoint.dir", None) else wells
+    wells = cut(wells)
     usable = [f for f in p.features if f not in clean.missing_features(wells, p.features, 0.5)]
     chosen = models.feature_lmem(wells, usable, treat, dose, by[0], control)
     wells, kept = features.project(wells, p.features, chosen)

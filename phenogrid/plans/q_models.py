@@ -27,13 +27,13 @@ SELECT batch, plate, well, count(*) AS "Metadata_Cellnumber", {', '.join(r6(f'qu
 
 def _pipeline_clean(s, d):
     df = dirty(s, d).withColumns({"copy": F.col("l_extendedprice"), "constant": F.lit(1.0), "flag": (F.col("line") > 6).cast("double")})
-    p = pipelines.clean_data(Profile(df, [*FEATS, "copy", "constant", "flag"]), 0.9, 0.0, 0.0005)
+    p = pipelines.clean_data(Profile(df, [*FEATS, "copy", "constant", "flag"]), 0.9, 0.3, 0.00001)
     return p.df.select("row_id", *p.features)
 
 
 QUERIES["pipeline_clean"] = _pipeline_clean
 SQL["pipeline_clean"] = f"""WITH {DIRTY}, c AS (SELECT *, (line > 6)::DOUBLE AS flag FROM dirty WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL)
-SELECT min(row_id) AS row_id, l_quantity, l_extendedprice FROM (SELECT row_id, l_quantity, l_extendedprice, l_discount, l_tax, flag FROM c) GROUP BY l_quantity, l_extendedprice, l_discount, l_tax, flag"""
+SELECT min(row_id) AS row_id, l_quantity, l_extendedprice, l_discount, l_tax FROM (SELECT row_id, l_quantity, l_extendedprice, l_discount, l_tax, flag FROM c) GROUP BY l_quantity, l_extendedprice, l_discount, l_tax, flag"""
 
 
 def _wells(s, d):
