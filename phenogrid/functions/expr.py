@@ -58,7 +58,7 @@ def avg_rank(part: Sequence[str | Column], by: str | Column) -> Column:
 
 
 #: Ranges of values into which placed() cuts a part.
-RANGES = 256
+RANGES = 64
 
 
 def placed(counts: DataFrame, part: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
@@ -68,7 +68,7 @@ def placed(counts: DataFrame, part: Sequence[str], value: str = "value", n: str
     the ranges are summed up, and only the values of one range are put in order by a task. The result is exact whatever the cuts."""
     cuts = counts.groupBy(*part).agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(2000)).alias("_cuts"))
     found = counts.join(F.broadcast(cuts), list(part)) if part else counts.join(F.broadcast(cuts), how="cross")  # a row for each part, of features and groups
-    found = found.withColumn("_range", bisected(F.col("_cuts"), F.col(value), RANGES)).drop("_cuts")
+    found = found.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sums = found.groupBy(*part, "_range").agg(F.sum(n).alias("_sum"))
     up = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a part
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(up), F.lit(0))).withColumn("total", F.sum("_sum").over(Window.partitionBy(*part))).drop("_sum")
@@ -77,14 +77,6 @@ def placed(counts: DataFrame, part: Sequence[str], value: str = "value", n: str
     return found.withColumn("before", F.col("_start") + F.col("_within")).drop("_range", "_start", "_within")
 
 
-def bisected(cuts: Column, value: Column, n: int) -> Column:
-    """How many of n - 1 sorted cuts are below the value, in two steps of about the root of n looks."""
-    step = 1 << (n.bit_length() // 2)
-    coarse = F.filter(cuts, lambda c, i: ((i + 1) % step == 0) & (c < value))
-    begin = F.size(coarse) * step
-    return begin + F.size(F.filter(F.slice(cuts, begin + 1, step - 1), lambda c: c < value))
-
-
 def mid_rank(before: Column, n: Column) -> Column:
     """The mean rank, from 1, of n equal values after `before` smaller ones."""
     return before + (n + 1) / F.lit(2.0)
