@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, bpe, clusters, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, substring_dedup
+from phenogrid.llm import ann, bpe, clusters, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, substring_dedup, trie
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op9_layout_text": html_text.op9_layout_text,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_rotated_clusters": clusters.op13_rotated_clusters,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op4_debruijn_repeats": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op8_curriculum_mix": mixing.SQL,
+    "op12_prefix_trie": trie.SQL,
     "op13_rotated_clusters": clusters.SQL,
 }
