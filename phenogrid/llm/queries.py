@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, bpe, clusters, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, substring_dedup, trie
+from phenogrid.llm import ann, bpe, clusters, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, rules, substring_dedup, trie
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op9_layout_text": html_text.op9_layout_text,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_quality_rules": rules.op11_quality_rules,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_rotated_clusters": clusters.op13_rotated_clusters,
 }
