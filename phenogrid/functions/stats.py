@@ -37,6 +37,45 @@ def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - out, out)
 
 
+def chi2_cdf(x: float, k: float) -> float:
+    """P(X <= x) for chi-square of k degrees: the lower incomplete gamma function, as a series or a continued fraction."""
+    a, z = k / 2, x / 2
+    if z <= 0:
+        return 0.0
+    front = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > 1e-16 * abs(total):
+            n += 1
+            term *= z / n
+            total += term
+        return front * total
+    b, c = z + 1 - a, 1e300
+    d = 1 / b
+    f = d
+    for i in range(1, 10_000):
+        num = -i * (i - a)
+        b += 2
+        d = 1 / (num * d + b or 1e-300)
+        c = b + num / c
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * f
+
+
+def chi2_quantile(p: float, k: float) -> float:
+    """The x at which chi2_cdf(x, k) = p, by bisection."""
+    low, high = 0.0, max(1.0, k)
+    while chi2_cdf(high, k) < p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, k) < p else (low, middle)
+    return (low + high) / 2
+
+
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     t, df = np.asarray(t, float), np.asarray(df, float)
     with np.errstate(all="ignore"):

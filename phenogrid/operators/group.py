@@ -145,8 +145,18 @@ def subsample(df: DataFrame, by: Sequence[str], perc: float = 0.1, row_id: str =
 
 
 def sample_rows(df: DataFrame, size: int, row_id: str = "row_id", seed: int = 0) -> DataFrame:
-    """size rows, or all if there are no more: a top-k by hash."""
-    return df.orderBy(X.hash_order(row_id, seed), row_id).limit(size)
+    """size rows, or all if there are no more: those with the smallest hash.
+
+    Rows are counted by the first digits of their hash; only those up to the digits at which the count reaches size are put in order, so that
+    what meets in one task is about the sample, not the best rows of every partition."""
+    order = X.hash_order(row_id, seed)
+    counts = df.groupBy(F.substring(order, 1, 4).alias("_head")).agg(F.count(F.lit(1)).alias("_c")).collect()  # 65,536 at most
+    held, edge = 0, None
+    for head, c in sorted((r["_head"] or "", r["_c"]) for r in counts):
+        held, edge = held + c, head
+        if held >= size:
+            break
+    return df.filter(F.coalesce(F.substring(order, 1, 4), F.lit("")) <= F.lit(edge or "")).orderBy(order, row_id).limit(size)
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, stratify: str | None = None, row_id: str = "row_id", seed: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Iterative models: mixed models, feature clustering, recursive elimination, outlier detectors, time warping, random walks, transport.
+"""Iterative models: mixed models, feature clustering, recursive elimination, time warping, random walks, transport.
 
 Numpy kernels run on the driver on feature-by-feature or group-by-group matrices, or on executors in groups that are small by
 their meaning (one feature's wells, one pair of series). Rows reach the driver only as a documented, bounded sample.
@@ -6,7 +6,7 @@ their meaning (one feature's wells, one pair of series). Rows reach the driver o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
-from phenogrid.functions import gram
 from phenogrid.functions.scratch import cut as cut_plan
 from phenogrid.functions.stats import adjust, normal_two_sided
-from phenogrid.operators.batch import covariance, inverse_root
+from phenogrid.operators.batch import covariance
 from phenogrid.operators.group import sample_rows
 
 # -- mixed models ---------------------------------------------------------------------------------------------------------
@@ -232,130 +231,6 @@ def svm_rfe(df: DataFrame, feats: Sequence[str], treat: str, n_features: int | N
     return df.sparkSession.createDataFrame([(f, ranks.get(f, 1), f in left) for f in feats], "feature string, rank int, keep boolean")
 
 
-# -- outliers -------------------------------------------------------------------------------------------------------------
-
-#: Rows of the sample that detectors are trained on.
-TRAIN_ROWS = 10_000
-
-
-def _forest(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) -> list[tuple[np.ndarray, ...]]:
-    out = []
-    depth = int(np.ceil(np.log2(max(size, 2))))
-    for _ in range(trees):
-        feature, value, left, right, length = [], [], [], [], []
-
-        def grow(rows: np.ndarray, level: int) -> int:
-            at = len(feature)
-            feature.append(-1); value.append(0.0); left.append(0); right.append(0); length.append(level + _path(len(rows)))  # noqa: E702
-            spread = rows.max(0) - rows.min(0) if len(rows) else np.zeros(x.shape[1])
-            if level < depth and len(rows) > 1 and (spread > 0).any():
-                f = int(rng.choice(np.flatnonzero(spread > 0)))
-                v = rng.uniform(rows[:, f].min(), rows[:, f].max())
-                feature[at], value[at] = f, v
-                left[at] = grow(rows[rows[:, f] < v], level + 1)
-                right[at] = grow(rows[rows[:, f] >= v], level + 1)
-            return at
-
-        grow(x[rng.permutation(len(x))[:size]], 0)
-        out.append(tuple(map(np.array, (feature, value, left, right, length))))
-    return out
-
-
-def _path(n: int) -> float:
-    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-
-def _robust_covariance(df: DataFrame, feats: Sequence[str], contamination: float) -> DataFrame:
-    """Squared distances from the centre of the nearest three quarters of all rows, which are found again until they are stable (10 rounds at most).
-
-    Each round is a pass for the moments and one for the quantile of distances (to one in ten thousand)."""
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop()
-    kept, last = rows, None
-    for _ in range(10):
-        m = gram.moments(kept, feats)[None]
-        w = inverse_root(m.covariance(sample=True), 1e-9)
-
-        def away(x: np.ndarray, _, centre=m.mean, w=w) -> np.ndarray:
-            return (((x - centre) @ w) ** 2).sum(1)[:, None]
-
-        scored = gram.applied(rows, feats, ["_d"], away)
-        edge = scored.agg(F.percentile_approx("_d", 0.75, 10_000)).first()[0]
-        if edge is None or last is not None and abs(edge - last) <= 1e-9 * abs(last):
-            break
-        last = edge
-        kept = scored.filter(F.col("_d") <= edge).drop("_d")
-    limit = scored.agg(F.percentile_approx("_d", 1 - contamination, 10_000)).first()[0]
-    out = gram.applied(df, feats, ["outlier_score"], away)
-    return out.withColumn("inlier", F.coalesce(F.col("outlier_score") <= F.lit(limit), F.lit(False)))
-
-
-def outlier_scores(df: DataFrame, feats: Sequence[str], method: str = "if", contamination: float = 0.1, trees: int = 100, size: int = 256, neighbours: int = 20, nu: float = 0.5, seed: int = 0, row_id: str = "row_id") -> DataFrame:
-    """df with `outlier_score` (higher: stranger) and `inlier`. Methods: `if` isolation forest; `rc` robust covariance (distances from a
-    reweighted centre of all rows); `lof` local density, each row among all rows (exact, quadratic work in blocks); `oc-svm` and
-    `oc-svm-sgd` one-class machine on random Fourier features.
-
-    An isolation forest's trees and the one-class machine are trained on a sample of TRAIN_ROWS rows (by hash of the row id); all rows
-    are scored. Rows that miss features are no inliers."""
-    vector = F.array(*[F.col(f).cast("double") for f in feats])
-    if method == "lof":
-        from phenogrid.operators.neighbours import local_outlier_factor
-
-        found = local_outlier_factor(df, row_id, vector, neighbours).select(F.col("id").alias(row_id), F.col("lof").alias("outlier_score"))
-        return df.join(found, row_id, "left").withColumn("inlier", F.coalesce(F.col("outlier_score") <= 1.5, F.lit(False)))
-    if method == "rc":
-        return _robust_covariance(df, feats, contamination)
-    sample = np.array([list(r) for r in sample_rows(df.select(row_id, *feats).na.drop(), TRAIN_ROWS, row_id, seed).drop(row_id).collect()], float).reshape(-1, len(feats))
-    rng = np.random.default_rng(seed)
-    if not len(sample):
-        return df.withColumn("outlier_score", F.lit(None).cast("double")).withColumn("inlier", F.lit(False))
-    if method == "if":
-        forest, scale = _forest(sample, trees, min(size, len(sample)), rng), _path(min(size, len(sample))) or 1.0
-
-        def score(x: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(x))
-            for f, v, le, ri, ln in forest:
-                node = np.zeros(len(x), int)
-                for _ in range(64):
-                    inner = f[node] >= 0
-                    if not inner.any():
-                        break
-                    go = x[np.arange(len(x)), np.maximum(f[node], 0)] < v[node]
-                    node = np.where(inner, np.where(go, le[node], ri[node]), node)
-                total += ln[node]
-            return 2 ** (-total / len(forest) / scale)
-
-        limit = 0.5
-    else:
-        centre, spread = sample.mean(0), sample.std(0) + 1e-12
-        width = 1 / max(len(feats), 1) ** 0.5
-        freq, phase = rng.normal(0, width, (len(feats), 200)), rng.uniform(0, 2 * np.pi, 200)
-        lift = lambda x: np.cos((x - centre) / spread @ freq + phase) * (2 / 200) ** 0.5
-        z = lift(sample)
-        w, rho = z.mean(0), 0.0
-        for t in range(1, 300):
-            rho = float(np.quantile(z @ w, nu))
-            below = z @ w < rho
-            w = w - 0.5 / t**0.5 * (w - (z[below].sum(0) / (nu * len(z)) if below.any() else 0))
-        rho = float(np.quantile(z @ w, nu))
-
-        def score(x: np.ndarray) -> np.ndarray:
-            return -(lift(x) @ w)
-
-        limit = -rho
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x = part[list(feats)].to_numpy(float)
-            fine = np.isfinite(x).all(1)
-            s = np.full(len(x), np.nan)
-            if fine.any():
-                s[fine] = score(x[fine])
-            yield part.assign(outlier_score=s, inlier=fine & (np.nan_to_num(s, nan=np.inf) <= limit))
-
-    out = df.select(row_id, *feats).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(row_id, *feats).schema) + ", outlier_score double, inlier boolean")
-    return df.join(out.select(row_id, X.clean("outlier_score").alias("outlier_score"), "inlier"), row_id)
-
-
 # -- time warping ---------------------------------------------------------------------------------------------------------
 
 

@@ -135,19 +135,29 @@ def minimum(n: np.ndarray, c: np.ndarray, most: int = 10_000) -> list[float]:
 
 
 def multi_otsu(n: np.ndarray, c: np.ndarray, classes: int = 3) -> list[float]:
-    """All splits into three classes at once: the pair of bins with the largest between-class variance."""
-    if classes == 2:
-        return otsu(n, c)
-    if classes != 3:
-        raise ValueError("multi_otsu: two or three classes")
+    """The splits into classes with the largest between-class variance: a dynamic programme over prefixes of the histogram.
+
+    best[j] is the most that the first j bins give in as many classes as were placed; a class more is one comparison of all ends with
+    all beginnings. Of equal splits the first is taken, from the last threshold on."""
+    if classes < 2:
+        raise ValueError("multi_otsu: two classes at least")
     p = n / n.sum()
     w, s = np.concatenate([[0], np.cumsum(p)]), np.concatenate([[0], np.cumsum(p * c)])
     with np.errstate(all="ignore"):
-        var = np.where(w[None] - w[:, None] > 0, (s[None] - s[:, None]) ** 2 / (w[None] - w[:, None]), 0)  # of bins i..j-1
-    total = var[0, 1:-1, None] + var[1:-1, 1:-1] + var[1:-1, -1][None]
-    total[np.tril_indices(len(total))] = -1
-    i, j = np.unravel_index(int(total.argmax()), total.shape)
-    return [float(c[i]), float(c[j])]
+        gain = np.where(w[None] - w[:, None] > 0, (s[None] - s[:, None]) ** 2 / (w[None] - w[:, None]), 0.0)  # of bins i..j-1
+    gain[np.tril_indices(len(gain))] = -np.inf  # a class has a bin at least
+    best, ways = gain[0], []
+    for _ in range(classes - 1):
+        total = best[:, None] + gain
+        ways.append(total.argmax(0))
+        best = total.max(0)
+    if not np.isfinite(best[-1]):
+        raise ValueError("multi_otsu: fewer bins than classes")
+    at, cuts = len(n), []
+    for way in reversed(ways):
+        at = int(way[at])
+        cuts.append(at)
+    return [float(c[i - 1]) for i in reversed(cuts)]
 
 
 METHODS: dict[str, Callable[..., list[float]]] = {"otsu": otsu, "isodata": isodata, "yen": yen, "triangle": triangle, "mean": mean, "li": li, "minimum": minimum, "multi_otsu": multi_otsu}

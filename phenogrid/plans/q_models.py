@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from phenogrid.operators import group, hmm, models, simulate, tracking
+from phenogrid.operators import group, hmm, models, outliers, simulate, tracking
 from phenogrid.plans import pipelines
 from phenogrid.plans.fixtures import CELLS, DIRTY, FEATS, TRACKS, cells, dirty, r6, read, rounded, tracks
 from phenogrid.profile import Profile
@@ -48,7 +48,7 @@ SELECT batch || '-' || lpad(well::VARCHAR, 4, '0') AS row_id, {r6('(q + q * 1.01
 QUERIES["estimate_k"] = lambda s, d: s.createDataFrame([(models.estimate_k(models.feature_distances(_wells(s, d).withColumns({f"{f}_{i}": F.col(f) * (1 + i / 100) for f in FEATS for i in range(3)}), [f"{f}_{i}" for f in FEATS for i in range(3)]), (2, 8)),)], "k int")
 QUERIES["svm_rfe"] = lambda s, d: models.svm_rfe(_wells(s, d), FEATS, "treat", 2)
 for _m in ("if", "rc", "lof", "oc-svm"):
-    QUERIES[f"outliers_{_m.replace('-', '_')}"] = lambda s, d, m=_m: models.outlier_scores(_wells(s, d), FEATS, m).select("row_id", F.round("outlier_score", 6).alias("outlier_score"), "inlier")
+    QUERIES[f"outliers_{_m.replace('-', '_')}"] = lambda s, d, m=_m: outliers.outlier_scores(_wells(s, d), FEATS, m).select("row_id", F.round("outlier_score", 6).alias("outlier_score"), "inlier")
 
 
 # every well among all wells: 20 neighbours, reachability, densities

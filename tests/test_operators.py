@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
 from phenogrid.functions import stats
-from phenogrid.operators import batch, clean, evaluate, group, hmm, models, motility, scale, simulate, threshold, timeseries, tracking
+from phenogrid.operators import batch, clean, evaluate, group, hmm, models, motility, outliers, scale, simulate, threshold, timeseries, tracking
 from phenogrid.profile import Profile
 from phenogrid.sources import plates
 
@@ -362,7 +362,7 @@ def test_local_outlier_factor_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(3, 3)) + 9])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99, None, 0.0, 0.0)], "row_id long, a double, b double, c double")
-    got = {r.row_id: r for r in models.outlier_scores(df, ["a", "b", "c"], "lof", neighbours=5).collect()}
+    got = {r.row_id: r for r in outliers.outlier_scores(df, ["a", "b", "c"], "lof", neighbours=5).collect()}
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1)[:, :5]
