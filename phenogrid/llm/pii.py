@@ -2,14 +2,15 @@
 
 For each kind a pattern is matched leftmost and without overlap. Spark's matchers return matches without positions, so the
 text is also split by the same pattern: pieces and matches alternate, and running sums of their lengths are the positions
-(in code points, end exclusive). A match that fails its check is dropped and not tried again at a later start.
+(in code points, end exclusive). Sums run in blocks of BLOCK matches, and over the blocks, so that a text with very many matches stays
+linear. A match that fails its check is dropped and not tried again at a later start.
 
 Kinds: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits). This method adds two: iban, two
 letters, two check digits, 11 to 30 more letters or digits, confirmed by mod 97 (ISO 13616); and secret, a run of 24 to 128
 characters of an encoded key in which at least four digits and four letters stand.
 
-Each span has a score: a prior of its kind, raised by a passed check and by a context word of its kind within the
-`CONTEXT` characters before or the half of it after. Base spans are kept whatever their score. Added kinds need `ADDED_SCORE`: an
+Each span has a score: a prior of its kind, raised by a passed check and by a context word of its kind, whole and in any case, within the
+last `CONTEXT` characters of the piece before it or the first half as many of the piece after it. Base spans are kept whatever their score. Added kinds need `ADDED_SCORE`: an
 iban has it by its checksum, a run of characters is a secret only where a word such as "token" or "key" stands by it.
 
 The patterns never scan a run of characters twice: quantifiers are possessive, and a run is entered at its start only (or
@@ -21,7 +22,7 @@ ignored. Very long texts are read whole.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ BASE, ADDED = KINDS[:4], KINDS[4:]
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 # Words that speak for a kind, and priors before and after a checksum.
 WORDS = {
-    "email": ("mail", "contact", "write", "address", "@"),
+    "email": ("mail", "contact", "write", "address"),
     "ip": ("ip", "server", "host", "address", "network"),
     "card": ("card", "visa", "credit", "payment", "pay", "carte", "karte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
@@ -54,6 +55,8 @@ WORDS = {
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.5, "secret": 0.3, "iban": 0.3}
 CHECKED = {"email": 0.0, "ip": 0.0, "card": 0.4, "phone": 0.0, "secret": 0.2, "iban": 0.3}
 CONTEXT, CONTEXT_RAISE, ADDED_SCORE = 40, 0.2, 0.6
+#: Matches whose positions are summed up together.
+BLOCK = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -88,9 +91,10 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, text: Column, start: Column, end: Column) -> Column:
-    near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))), F.substring(text, end + 1, F.lit(CONTEXT // 2))))
-    words = reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in WORDS[kind]])
+def score(kind: str, before: Column, after: Column) -> Column:
+    """A word counts if no letter stands next to it; one cut off at the edge of the context is not whole."""
+    near = F.lower(F.concat(F.right(F.concat(F.lit(" "), before), F.lit(CONTEXT + 1)), F.lit("\n"), F.left(F.concat(after, F.lit(" ")), F.lit(CONTEXT // 2 + 1))))
+    words = F.rlike(near, F.lit(rf"(?<=[^\p{{L}}])(?:{'|'.join(WORDS[kind])})(?=[^\p{{L}}])"))
     return F.lit(PRIOR[kind] + CHECKED[kind]) + F.when(words, CONTEXT_RAISE).otherwise(0.0)
 
 
@@ -101,25 +105,45 @@ def propose(kind: str, text: Column) -> Column:
     return F.struct(hits.alias("hits"), gaps.alias("gaps"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body's lambdas read it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def located(found: Column) -> Column:
-    """Running sums: each match starts where the pieces and matches before it end."""
-    pairs = F.arrays_zip(found["hits"].alias("hit"), F.slice(found["gaps"], F.lit(1), F.size(found["hits"])).alias("gap"))
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int,end:int>>").alias("spans"))
+    """(match, start, end, before, after) of each match: it starts where the pieces and matches before it end."""
+    n = F.size(found["hits"])
+    pairs = F.arrays_zip(found["hits"].alias("hit"), F.slice(found["gaps"], F.lit(1), n).alias("before"), F.slice(found["gaps"], F.lit(2), n).alias("after"))
+    none = F.array().cast("array<struct<match:string,start:int,end:int,before:string,after:string>>")
+
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda a, x: a + F.length(x["before"]) + F.length(x["hit"]))
+
+    def begins(b: Column) -> Column:
+        seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(F.transform(b, length), seed, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["all"], a["at"]).alias("all")))["all"]
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["hit"])
+        span = F.struct(x["hit"].alias("match"), start.alias("start"), end.alias("end"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(pair["hit"].alias("match"), start.alias("start"), end.alias("end"))).alias("spans"))
+    def spans(b: Column) -> Column:
+        return F.flatten(F.zip_with(b, begins(b), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]))
 
-    return F.aggregate(pairs, seed, step)["spans"]
+    return let(pairs, lambda p: let(blocks(p), spans))
 
 
-def judged(kind: str, found: Column, text: Column) -> Column:
+def judged(kind: str, found: Column) -> Column:
     """The confirmed spans of a kind with their scores."""
     place = KINDS.index(kind)
 
     def scored(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, text, s["start"], s["end"]).alias("score"), s["match"].alias("match"))
+        return F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, s["before"], s["after"]).alias("score"), s["match"].alias("match"))
 
     return F.transform(F.filter(located(found), lambda s: confirmed(kind, s["match"])), scored)
 
@@ -131,7 +155,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         may = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike("text", F.lit(PATTERNS[kind]))
         out = out.withColumn(f"raw_{kind}", F.when(may, propose(kind, F.col("text"))))
     for kind in KINDS:
-        out = out.withColumn(f"at_{kind}", F.when(F.size(F.col(f"raw_{kind}.hits")) > 0, judged(kind, F.col(f"raw_{kind}"), F.col("text"))))
+        out = out.withColumn(f"at_{kind}", F.when(F.size(F.col(f"raw_{kind}.hits")) > 0, judged(kind, F.col(f"raw_{kind}"))))
     empty = F.array().cast(out.schema["at_email"].dataType)
     # added kinds must reach the score (of tenths: half a tenth for rounding); they may overlap base spans, which all stay
     added = [F.filter(F.coalesce(f"at_{k}", empty), lambda s: s["score"] > ADDED_SCORE - 0.05) for k in ADDED]

@@ -310,6 +310,31 @@ def test_pii_context_decides(spark, tmp_path):
     assert [got[i].n_card for i in (6, 7)] == [1, 1] and [got[i].scores for i in (6, 7, 8)] == ["0.9", "0.7", ""] and got[6].n_spans == 1
 
 
+def test_pii_context_is_whole_words_nearby(spark, tmp_path):
+    run = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4"
+    made = [f"the author of monkey {run}", f"api_key:{run}", f"KEY {'x' * 3} {'-' * 60} {run}", f"{'m' * 37}key {run}", f"on{'k' * 35} key {run}", f"{run} Token", f"{run} {'-' * 13} token", f"{run} {'-' * 14} token"]
+    spark.createDataFrame([*enumerate(made), (None, made[1]), (1, made[1])], "doc_id long, text string").selectExpr("*", "'c' AS spans", "1 AS at_email", "2 AS id").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.op6_pii(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r.n_secret for r in rows}
+    assert [got[i] for i in range(8)] == [0, 1, 0, 0, 1, 1, 1, 0] and len(rows) == 10 and got[None] == 1
+
+
+def test_pii_is_linear_in_the_matches_of_one_text(spark, tmp_path):
+    """Many e-mails in one text: right positions, and time in proportion to their number."""
+    import time
+
+    took = {}
+    for n in (20_000, 20_000, 80_000):
+        text = "é ab@cd.ef, 4111 1111 1111 1111; " * n
+        path = f"{tmp_path}/{n}-{len(took)}"
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        began = time.perf_counter()
+        r = pii.op6_pii(spark, path).first()
+        took[n] = time.perf_counter() - began
+        assert (r.n_email, r.n_card) == (n, n) and r.base_sha256 == hashlib.sha256(",".join(f"email:{33 * i + 2}:{33 * i + 10},card:{33 * i + 12}:{33 * i + 31}" for i in range(n)).encode()).hexdigest()
+    assert took[80_000] < 8 * took[20_000] + 2
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
