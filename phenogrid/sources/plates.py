@@ -139,6 +139,11 @@ def write_profile(p: Profile, path: str, partition_by: Sequence[str] = (), mode:
 
 
 def read_profile(spark: SparkSession, path: str) -> Profile:
+    """A profile store, or an annotated matrix in one .h5ad file."""
+    if path.endswith(".h5ad"):
+        from phenogrid.sources.h5ad import read_h5ad
+
+        return read_h5ad(spark, path)
     note = json.loads(spark.read.text(f"{path}/profile").first()[0])
     return Profile(spark.read.parquet(f"{path}/rows"), note["features"], note["reps"], note["row_id"], note["meta"])
 
