@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
 from phenogrid.functions import gram
+from phenogrid.functions.stats import ADJUSTMENTS, adjust
 
 
 def project(df: DataFrame, feats: Sequence[str], decided: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -152,8 +154,14 @@ def rank_features(df: DataFrame, feats: Sequence[str], group_by: str, reference:
         from phenogrid.functions.stats import student_p
 
         out = per.select("grp", "feature", t.alias("_t"), (n1 + n2 - 2).alias("_df")).select("grp", "feature", F.coalesce("_t", F.lit(0.0)).alias("score"), F.coalesce(student_p(F.col("_t"), F.col("_df")), F.lit(1.0)).alias("p"))
-    if corr_method not in ("bonferroni", "fdr_bh"):
-        raise ValueError(corr_method)
+    if corr_method not in ADJUSTMENTS:
+        raise ValueError(f"corr_method must be one of {', '.join(ADJUSTMENTS)}, not {corr_method}")
+    if corr_method not in ("bonferroni", "fdr_bh"):  # a group has a row for each feature
+
+        def adjusted(g: pd.DataFrame) -> pd.DataFrame:
+            return g.assign(p_adjusted=adjust(g["p"].to_numpy(float), corr_method))
+
+        return out.groupBy("grp").applyInPandas(adjusted, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", p_adjusted double")
     if corr_method == "bonferroni":
         return out.withColumn("p_adjusted", X.bonferroni(F.col("p"), F.count(F.lit(1)).over(Window.partitionBy("grp"))))
     return X.bh_adjust(out, ["grp"], "p", "feature")

@@ -7,12 +7,13 @@ their meaning (one feature's wells, one pair of series). Rows reach the driver o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import expr as X
@@ -24,14 +25,23 @@ from phenogrid.operators.group import sample_rows
 # -- mixed models ---------------------------------------------------------------------------------------------------------
 
 
-def reml_random_intercept(y: np.ndarray, x: np.ndarray, groups: np.ndarray) -> tuple[float, float]:
-    """(p of the first coefficient, r2) of y ~ x with a random intercept by group: profile REML in the variance ratio, golden search.
+@dataclass
+class RandomIntercept:
+    """A fitted y ~ x with a random intercept by group: coefficients, their covariance, the variance ratio, and each group's predicted offset."""
 
-    r2 is of the fixed part, clipped at 0. A singular fit gives p = 1 and r2 = 0."""
+    beta: np.ndarray
+    cov: np.ndarray
+    ratio: float
+    groups: np.ndarray
+    offset: np.ndarray
+
+
+def reml_fit(y: np.ndarray, x: np.ndarray, groups: np.ndarray) -> RandomIntercept | None:
+    """Profile REML in the variance ratio, by golden search; None for a singular fit. An offset is ratio * (sum of the group's residuals) / (1 + ratio * its size)."""
     n, k = x.shape
     if n <= k or not np.isfinite(y).all() or y.std() == 0:
-        return 1.0, 0.0
-    index = np.unique(groups, return_inverse=True)[1]
+        return None
+    names, index = np.unique(groups, return_inverse=True)
     size = np.bincount(index).astype(float)
     sums = lambda a: np.stack([np.bincount(index, c) for c in a.T], 1)
     sx, sy = sums(x), np.bincount(index, y)
@@ -63,13 +73,47 @@ def reml_random_intercept(y: np.ndarray, x: np.ndarray, groups: np.ndarray) -> t
                 fp = solve(np.exp(p))[0]
         best = max((0.0, float(np.exp((lo + hi) / 2))), key=lambda r: solve(r)[0])
         _, beta, cov = solve(best)
-        if not np.isfinite(cov[0, 0]) or cov[0, 0] <= 0:
-            return 1.0, 0.0
-        fitted = x @ beta
-        r2 = max(0.0, 1 - float(((y - fitted) ** 2).sum() / ((y - y.mean()) ** 2).sum()))
-        return normal_two_sided(float(beta[0] / cov[0, 0] ** 0.5)), r2
     except np.linalg.LinAlgError:
+        return None
+    if not np.isfinite(cov[0, 0]) or cov[0, 0] <= 0:
+        return None
+    return RandomIntercept(beta, cov, best, names, best * np.bincount(index, y - x @ beta) / (1 + best * size))
+
+
+def reml_random_intercept(y: np.ndarray, x: np.ndarray, groups: np.ndarray) -> tuple[float, float]:
+    """(p of the first coefficient, r2) of y ~ x with a random intercept by group.
+
+    r2 is of the fixed part, clipped at 0. A singular fit gives p = 1 and r2 = 0."""
+    fit = reml_fit(y, x, groups)
+    if fit is None:
         return 1.0, 0.0
+    r2 = max(0.0, 1 - float(((y - x @ fit.beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()))
+    return normal_two_sided(float(fit.beta[0] / fit.cov[0, 0] ** 0.5)), r2
+
+
+def lmem_lines(df: DataFrame, feature: str, treat: str, fixed: str, rand: str, control: object = "ctrl") -> DataFrame:
+    """against, group, n, slope, intercept, offset: the lines of a mixed model's plot, one for each treatment and group of random offsets.
+
+    Each treatment's rows and the controls are a model of `feature` on the rank of `fixed` among all rows (from 0), with an intercept. Rows that miss anything are left out."""
+    rows = df.filter(X.all_valid([treat, fixed, rand, feature])).select(F.col(treat).cast("string").alias("treat"), F.col(fixed).alias("x"), F.col(rand).cast("string").alias("rand"), F.col(feature).cast("double").alias("y"))
+    levels = rows.select("x").distinct()
+    ranks = levels.withColumn("rank", F.row_number().over(Window.orderBy("x")) - 1)  # a row for each level of the fixed effect
+    rows = rows.join(ranks, "x")
+    kinds = rows.filter(F.col("treat") != F.lit(control)).select(F.col("treat").alias("against")).distinct()
+    controls = rows.filter(F.col("treat") == F.lit(control)).join(F.broadcast(kinds), how="cross")  # controls once for each of a few treatments
+    both = rows.filter(F.col("treat") != F.lit(control)).withColumn("against", F.col("treat")).unionByName(controls)
+
+    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["rand", "rank", "y"])
+        fit = reml_fit(g["y"].to_numpy(float), np.stack([g["rank"].to_numpy(float), np.ones(len(g))], 1), g["rand"].to_numpy())
+        n = g.groupby("rand").size()
+        out = pd.DataFrame({"group": n.index, "n": n.to_numpy()})
+        if fit is None:
+            return out.assign(against=key[0], slope=np.nan, intercept=np.nan, offset=np.nan)
+        return out.assign(against=key[0], slope=fit.beta[0], intercept=fit.beta[1], offset=fit.offset)
+
+    found = both.groupBy("against").applyInPandas(solve, "group string, n long, against string, slope double, intercept double, offset double")
+    return found.select("against", "group", "n", *[X.clean(c).alias(c) for c in ("slope", "intercept", "offset")])
 
 
 def feature_lmem(df: DataFrame, feats: Sequence[str], treat: str, dose: str, rand: str, control: object = "ctrl", method: str = "bonferroni", alpha: float = 0.05, r2_thresh: float = 0.7, intercept: bool = False, sample_size: int | None = None, row_id: str = "row_id") -> DataFrame:
@@ -324,8 +368,6 @@ def fate_cluster(df: DataFrame, rep: str, k: int = 10, n_iter: int = 100, centro
         done = done.unionByName(now)
     end = done.groupBy("walk").agg(F.max_by("at", "step").alias("terminal"))
     visits = done.join(end, "walk").groupBy("at", "terminal").agg(F.count(F.lit(1)).alias("visits"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("at")
     return visits.withColumn("share", F.col("visits") / F.sum("visits").over(w)).withColumn("is_class", F.row_number().over(w.orderBy(F.desc("visits"), "terminal")) == 1).select(F.col("at").alias(row_id), "terminal", "visits", "share", "is_class")
 

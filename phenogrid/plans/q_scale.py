@@ -89,6 +89,9 @@ SQL["threshold_yen"] = f"""WITH {_HIST} {_FULL}, p AS (SELECT *, sum(n / total)
 k AS (SELECT batch, bin, c, ln(pow(a * (1 - a), 2) / (b * (bb - b))) AS v FROM p WHERE bin < 255 AND a > 0 AND a < 1 - 1e-12) SELECT batch, {r6('arg_max(c, v)', 4)} AS threshold FROM k GROUP BY batch"""
 SQL["threshold_multi_otsu"] = f"""WITH {_HIST} {_FULL}, v AS (SELECT a.batch, a.c, a.bin AS i, b.bin AS j, coalesce(a.s1 * a.s1 / nullif(a.w1, 0), 0) + coalesce(pow(b.s1 - a.s1, 2) / nullif(b.w1 - a.w1, 0), 0) + coalesce(pow(b.s - b.s1, 2) / nullif(b.w - b.w1, 0), 0) AS v FROM m a JOIN m b ON a.batch = b.batch AND a.bin < b.bin AND b.bin < 255)
 SELECT batch, {r6('c', 4)} AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY batch ORDER BY v DESC, i, j) = 1"""
+QUERIES["threshold_multi_otsu_both"] = lambda s, d: threshold.find_thresholds(cells(s, d), "l_extendedprice", ["batch"], "multi_otsu").select("batch", F.posexplode("thresholds").alias("at", "threshold")).withColumn("threshold", F.round("threshold", 4))
+SQL["threshold_multi_otsu_both"] = f"""WITH {_HIST} {_FULL}, v AS (SELECT a.batch, a.c AS c0, b.c AS c1, a.bin AS i, b.bin AS j, coalesce(a.s1 * a.s1 / nullif(a.w1, 0), 0) + coalesce(pow(b.s1 - a.s1, 2) / nullif(b.w1 - a.w1, 0), 0) + coalesce(pow(b.s - b.s1, 2) / nullif(b.w - b.w1, 0), 0) AS v FROM m a JOIN m b ON a.batch = b.batch AND a.bin < b.bin AND b.bin < 255),
+best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY batch ORDER BY v DESC, i, j) = 1) SELECT batch, CAST(0 AS INTEGER) AS at, {r6('c0', 4)} AS threshold FROM best UNION ALL SELECT batch, 1, {r6('c1', 4)} FROM best"""
 # the bin farthest from the line between the peak and the end of the longer tail
 SQL["threshold_triangle"] = f"""WITH {_HIST} {_FULL}, ends AS (SELECT batch, min(bin) FILTER (WHERE n > 0) AS lo, max(bin) FILTER (WHERE n > 0) AS hi, max(n) AS height FROM m GROUP BY batch), p AS (SELECT ends.*, min(bin) AS peak FROM ends JOIN m ON m.batch = ends.batch AND m.n = ends.height GROUP BY ALL),
 d AS (SELECT m.batch, c, CASE WHEN peak - lo < hi - peak THEN -bin ELSE bin END AS place, CASE WHEN peak - lo < hi - peak THEN height * (hi - bin) - (hi - peak) * n ELSE height * (bin - lo) - (peak - lo) * n END AS far FROM m JOIN p ON m.batch = p.batch AND CASE WHEN peak - lo < hi - peak THEN bin BETWEEN peak + 1 AND hi ELSE bin BETWEEN lo AND peak - 1 END)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenogrid.operators import summaries
+from pyspark.ml import Pipeline
+
+from phenogrid.operators import estimators, models, plot_tables, summaries
 from phenogrid.plans.q_eval import _AXES, _FIRST, _PAIR, _SECOND, _TWO, _two
-from phenogrid.plans.fixtures import CELLS, FEATS, TRACKS, cells, r6, rounded, tracks
+from phenogrid.plans.fixtures import CELLS, FEATS, TRACKS, cells, r6, read, rounded, tracks
+from phenogrid.plans.q_models import _wells
 
 QUERIES, SQL = {}, {}
 
@@ -38,3 +41,48 @@ SQL["state_graph"] = f"WITH {TRACKS}, k AS (SELECT state, lead(state) OVER (PART
 QUERIES["density"] = lambda s, d: rounded(summaries.density(tracks(s, d), "x", "y", ["state"], 20), "share")
 SQL["density"] = f"""WITH {TRACKS}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tracks), n AS (SELECT state, CAST(least(floor((x - x0) / (x1 - x0) * 20), 19) AS INTEGER) AS bin_x, CAST(least(floor((y - y0) / (y1 - y0) * 20), 19) AS INTEGER) AS bin_y, count(*) AS n FROM tracks, e GROUP BY ALL)
 SELECT state, bin_x, bin_y, n, {r6('n / sum(n) OVER (PARTITION BY state)')} AS share FROM n"""
+
+_BINS = 24
+QUERIES["kernel_density"] = lambda s, d: rounded(plot_tables.kernel_density(tracks(s, d), "x", "y", "state", _BINS).select("event_id", (F.col("density") * 1000).alias("density"), "density_scaled"), "density", "density_scaled", digits=5)
+SQL["kernel_density"] = f"""WITH {TRACKS}, k AS (SELECT * FROM tracks WHERE x IS NOT NULL AND y IS NOT NULL AND state IS NOT NULL),
+m AS (SELECT state, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM k GROUP BY state),
+w AS (SELECT event_id, state, n, sqrt(a) AS r, sqrt(c - b * b / a) AS s, (x - mx) / sqrt(a) AS u, (y - my - b / sqrt(a) * ((x - mx) / sqrt(a))) / sqrt(c - b * b / a) AS v FROM k JOIN m USING (state)),
+e AS (SELECT state, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM w GROUP BY state),
+p AS (SELECT event_id, state, n, r, s, (u1 - u0) / {_BINS} AS du, (v1 - v0) / {_BINS} AS dv, least(floor((u - u0) / (u1 - u0) * {_BINS}), {_BINS - 1}) AS i, least(floor((v - v0) / (v1 - v0) * {_BINS}), {_BINS - 1}) AS j FROM w JOIN e USING (state)),
+q AS (SELECT state, i, j, any_value(n) AS n, any_value(r) AS r, any_value(s) AS s, any_value(du) AS du, any_value(dv) AS dv, count(*) AS q FROM p GROUP BY state, i, j),
+g AS (SELECT a.state, a.i, a.j, sum(b.q * exp(-0.5 * (pow((a.i - b.i) * a.du, 2) + pow((a.j - b.j) * a.dv, 2)) / pow(pow(a.n, -1.0 / 6), 2))) / any_value(2 * pi() * pow(pow(a.n, -1.0 / 6), 2) * a.n * a.r * a.s) AS density FROM q a JOIN q b USING (state) GROUP BY a.state, a.i, a.j),
+z AS (SELECT *, coalesce((density - min(density) OVER h) / nullif(max(density) OVER h - min(density) OVER h, 0), 0) AS scaled FROM g WINDOW h AS (PARTITION BY state))
+SELECT t.event_id, {r6('density * 1000', 5)} AS density, {r6('scaled', 5)} AS density_scaled FROM tracks t LEFT JOIN p USING (event_id) LEFT JOIN z ON z.state = p.state AND z.i = p.i AND z.j = p.j"""
+
+
+def _families(s, d):
+    """vec_id as tracks: each has the third of its number for a mother; two of a hundred are each other's."""
+    v = F.col("vec_id")
+    mother = F.when(v % 100 == 40, v + 1).when(v % 100 == 41, v - 1).otherwise(F.floor(v / 3))
+    return read(s, d, "embeddings").select(v.alias("track"), mother.cast("long").alias("mother"), v.alias("frame"))
+
+
+QUERIES["lineage_layout"] = lambda s, d: rounded(plot_tables.lineage_layout(_families(s, d), "track", "mother", "frame").drop("start", "end"), "position", digits=9)
+SQL["lineage_layout"] = f"""WITH RECURSIVE t AS (SELECT vec_id AS track, CASE WHEN vec_id % 100 = 40 THEN vec_id + 1 WHEN vec_id % 100 = 41 THEN vec_id - 1 ELSE vec_id // 3 END AS mother FROM embeddings),
+k AS (SELECT track, CASE WHEN mother <> track AND mother IN (SELECT track FROM t) THEN mother END AS parent FROM t),
+e AS (SELECT track, parent, row_number() OVER (PARTITION BY parent ORDER BY track) - 1 AS i, count(*) OVER (PARTITION BY parent) AS n FROM k WHERE parent IS NOT NULL),
+d AS (SELECT track, track AS root, CAST(0 AS INTEGER) AS depth, 0.5::DOUBLE AS position, 1.0::DOUBLE AS w FROM k WHERE parent IS NULL
+  UNION ALL SELECT e.track, d.root, d.depth + 1, d.position + CASE WHEN e.n = 1 THEN 0 ELSE -(d.w / 2) + 2 * (d.w / 2) * e.i / (e.n - 1) END, CASE WHEN e.n = 1 THEN d.w ELSE d.w / 2 END FROM e JOIN d ON e.parent = d.track),
+up AS (SELECT track AS leaf, track AS node FROM d WHERE track NOT IN (SELECT parent FROM e) UNION ALL SELECT up.leaf, e.parent FROM up JOIN e ON e.track = up.node),
+l AS (SELECT node AS track, count(*) AS leaves FROM up GROUP BY node)
+SELECT k.track, k.parent, d.root, d.depth, {r6('d.position', 9)} AS position, l.leaves, d.root IS NULL AS cyclic FROM k LEFT JOIN d USING (track) LEFT JOIN l USING (track)"""
+QUERIES["trace_layout"] = lambda s, d: rounded(plot_tables.trace_layout(tracks(s, d), ["state"], "x", "y").select("event_id", "frame", "trace"), "trace", digits=5)
+SQL["trace_layout"] = f"""WITH {TRACKS}, m AS (SELECT state, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS g FROM tracks WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY state)
+SELECT event_id, frame, {r6('CASE WHEN abs(cos(g)) >= abs(sin(g)) THEN sign(cos(g)) ELSE sign(sin(g)) END * ((x - mx) * cos(g) + (y - my) * sin(g))', 5)} AS trace FROM tracks LEFT JOIN m USING (state)"""
+QUERIES["clustermap_rows"] = lambda s, d: plot_tables.clustermap_order(_wells(s, d), FEATS)[0]
+QUERIES["clustermap_features"] = lambda s, d: plot_tables.clustermap_order(_wells(s, d), FEATS)[1]
+QUERIES["lmem_lines"] = lambda s, d: rounded(models.lmem_lines(_wells(s, d), "l_quantity", "treat", "dose", "batch"), "slope", "intercept", "offset")
+
+
+def _scaled(s, d):
+    df = cells(s, d)
+    return rounded(Pipeline(stages=[estimators.RobustMADScaler(features=FEATS[:2])]).fit(df).transform(df).select("row_id", *FEATS[:2]), *FEATS[:2])
+
+
+QUERIES["ml_robust_mad"] = _scaled
+SQL["ml_robust_mad"] = f"WITH {CELLS}, m AS (SELECT median(l_quantity) AS a, median(l_extendedprice) AS b FROM cells), s AS (SELECT median(abs(l_quantity - a)) AS c, median(abs(l_extendedprice - b)) AS d FROM cells, m) SELECT row_id, {r6('(l_quantity - a) / (c * 1.482602218505602)')} AS l_quantity, {r6('(l_extendedprice - b) / (d * 1.482602218505602)')} AS l_extendedprice FROM cells, m, s"
