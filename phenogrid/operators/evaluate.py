@@ -6,7 +6,7 @@ equi-join that any number of executors can share. Rows here are wells or treatme
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -119,16 +119,95 @@ def _blocks(rows: DataFrame, labels: Sequence[str], block_rows: int) -> tuple[Da
     return left, right
 
 
-#: Rows of a block whose similarities to another block are one matrix product.
-PAIR_ROWS = 2048
+#: Rows of a block whose similarities to another block are one matrix product; widest vectors whose products are summed by label; labels of a block; numbers that a task sums up before it passes them on.
+PAIR_ROWS, MOST_WIDE, LABEL_ROWS, HELD_NUMBERS = 2048, 1024, 256, 30_000_000
+
+
+def _label_sums(rows: DataFrame, labels: Sequence[str], method: str, wide: int) -> DataFrame:
+    """pair_sums without pairs: of the unit vectors u of two labels, the sum of all u.w is (sum of u).(sum of w), and that of their squares the inner product of the sums of uu' and ww'.
+
+    Each label's sums are made in one pass over the rows and met with the other labels', in blocks of labels."""
+    upper = np.triu_indices(wide)
+    scale = np.where(upper[0] == upper[1], 1.0, np.sqrt(2.0))  # so that products of half matrices are those of whole ones
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*labels).schema}
+    held_schema = ", ".join(f"`{c}` {kinds[c]}" for c in labels) + ", part int, n long, blob binary"
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        one_thread()
+        task, held = TaskContext.get().partitionId(), {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(held)
+            parts = [pa.array([k[i] for k in keys], t) for i, t in enumerate(types)]
+            blobs = [np.concatenate([total, square[upper] * scale]).tobytes() for _, total, square in held.values()]
+            made = pa.RecordBatch.from_arrays([*parts, pa.array([task] * len(keys), pa.int32()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array(blobs, pa.binary())], [*labels, "part", "n", "blob"])
+            held.clear()
+            return made
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            types = [b.schema.field(c).type for c in labels]
+            x, step = _matrix(t.column("v")), max(1, HELD_NUMBERS // wide**2)
+            x = np.concatenate([prepared(x[i : i + step], method) for i in range(0, len(x), step)]) if len(x) else x
+            order: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*[t.column(c).to_pylist() for c in labels], strict=True)):
+                order.setdefault(k, []).append(i)
+            for k, at in order.items():
+                part = x[at]
+                part = part[np.isfinite(part).all(1)]
+                n, total, square = held.get(k, (0, 0.0, 0.0))
+                held[k] = (n + len(part), total + part.sum(0), square + part.T @ part)
+            if len(held) * wide * wide > HELD_NUMBERS:
+                yield out()
+        if held:
+            yield out()
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        blob = sum(np.frombuffer(x) for x in group.column("blob").to_pylist()).tobytes()
+        first = group.slice(0, 1)
+        return first.set_column(group.column_names.index("n"), "n", pa.array([sum(group.column("n").to_pylist())], pa.int64())).set_column(group.column_names.index("blob"), "blob", pa.array([blob], pa.binary()))
+
+    sums = rows.select(*labels, "v").mapInArrow(tally, held_schema)
+    for parts in (256, 1):
+        sums = sums.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy(*labels, "part").applyInArrow(add, held_schema)
+    per = cut(sums.filter("n > 0").select(F.to_json(F.struct(*labels)).alias("id"), *labels, F.struct("n", "blob").alias("v")))
+    left, right = _blocks(per, labels, LABEL_ROWS)
+    names = [f"{c}_{x}" for x in "ab" for c in labels] + ["n", "total", "squares"]
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        one_thread()
+        types = [one.schema.field(c).type for _ in "ab" for c in labels] + [pa.int64(), pa.float64(), pa.float64()]
+        if not one.num_rows or not two.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        (n, x), (m, y) = ((np.array([v["n"] for v in t.column(c).to_pylist()]), np.array([np.frombuffer(v["blob"]) for v in t.column(c).to_pylist()])) for t, c in ((one, "v"), (two, "v2")))
+        total, squares, count = x[:, :wide] @ y[:, :wide].T, x[:, wide:] @ y[:, wide:].T, np.outer(n, m)
+        ids, ids2 = np.array(one.column("id").to_pylist(), object), np.array(two.column("id2").to_pylist(), object)
+        own = ids[:, None] == ids2[None]
+        each = np.broadcast_to(n[:, None].astype(float), own.shape)  # unit vectors: their squared lengths sum up to their number
+        count, total, squares = np.where(own, count - each, count), np.where(own, total - each, total), np.where(own, squares - each, squares)
+        half = np.where(own, 0.5, 1.0)
+        use = (own | (ids[:, None] < ids2[None]) if one.column("p")[0] == one.column("q")[0] else np.ones_like(own)) & (count > 0)
+        i, j = np.nonzero(use)
+        sides = [one.column(c).combine_chunks().take(pa.array(i)) for c in labels] + [two.column(f"{c}_2").combine_chunks().take(pa.array(j)) for c in labels]
+        return pa.table([*sides, pa.array((count * half)[i, j].astype(np.int64)), pa.array((total * half)[i, j]), pa.array((squares * half)[i, j])], names=names)
+
+    schema = ", ".join(f"`{c}_{x}` {kinds[c]}" for x in "ab" for c in labels)
+    return left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInArrow(run, f"{schema}, n long, total double, squares double")
 
 
 def pair_sums(df: DataFrame, labels: Sequence[str], vector: Column, method: str = "pearson", row_id: str = "row_id") -> DataFrame:
     """<label>_a, <label>_b, n, total, squares: what `reproducibility` and `effect` need of all pairs of rows (two rows' labels in either order), without a row for each pair.
 
-    Pairs without a similarity do not count. Two blocks of rows meet in one matrix product; the work is quadratic, what comes out is not."""
+    Pairs without a similarity do not count. Up to MOST_WIDE components no pair is formed: one pass over the rows sums up products by
+    label. Beyond, two blocks of rows meet in one matrix product; the work is quadratic, what comes out is not."""
     if method not in ("pearson", "spearman"):
         raise ValueError(method)
+    wide = df.select(F.size(vector).alias("n")).filter("n > 0").limit(1).collect()
+    if wide and wide[0].n <= MOST_WIDE:
+        return _label_sums(df.select(*labels, vector.cast("array<double>").alias("v")).filter(F.size("v") == wide[0].n), labels, method, wide[0].n)
     left, right = _blocks(df.select(F.col(row_id).alias("id"), *labels, vector.cast("array<double>").alias("v")), labels, PAIR_ROWS)
     kinds = {f.name: f.dataType.simpleString() for f in df.select(*labels).schema}
     schema = ", ".join(f"`{c}_{x}` {kinds[c]}" for x in "ab" for c in labels)

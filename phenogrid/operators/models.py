@@ -408,3 +408,30 @@ def transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.nd
         left[at] -= amount
         need[t] -= amount
     return flow
+
+
+def state_flows(df: DataFrame, state: str, time: str, rep: str) -> DataFrame:
+    """time, next, source, target, flow, cost: for each frame and the one after it, the cheapest way to turn the one's shares of states into the other's.
+
+    A step from one state to another costs the distance of their centroids, the means of `rep` over all rows of the state. Frames are
+    solved each on its own; a problem is states by states. Rows without state or time take no part, rows without rep none in the centroids."""
+    rows = df.filter(X.all_valid([state, time])).select(F.col(state).alias("s"), F.col(time).alias("t"), F.col(rep).cast("array<double>").alias("v"))
+    means = rows.select("s", F.posexplode("v").alias("i", "x")).groupBy("s", "i").agg(F.avg("x").alias("m")).groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("m"))
+    centre = {r.s: np.array(r.m, float) for r in means.collect()}  # a row for each state
+    names = sorted(r.s for r in rows.select("s").distinct().collect())
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    cost = np.array([[np.linalg.norm(centre[a] - centre[b]) if a in centre and b in centre else 0.0 if a == b else np.inf for b in names] for a in names]).reshape(len(names), len(names))
+    cost[~np.isfinite(cost)] = cost[np.isfinite(cost)].max(initial=0) * 2 + 1  # states without a centroid are far from all
+    shares = rows.groupBy("t", "s").count().groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("s", "count"))).alias("n"))
+    pairs = shares.select("t", F.lead("t").over(Window.orderBy("t")).alias("next"), "n", F.lead("n").over(Window.orderBy("t")).alias("m")).filter("next is not null")  # a row for each frame
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                a, z = (np.array([dict(x).get(s, 0) for s in names], float) for x in (r.n, r.m))
+                flow = transport(a / a.sum(), z / z.sum() * (1 - 1e-12), cost)
+                out += [(r.t, r.next, names[i], names[j], float(flow[i, j]), float(cost[i, j])) for i, j in zip(*np.nonzero(flow > 1e-11), strict=True)]
+            yield pd.DataFrame(out, columns=["time", "next", "source", "target", "flow", "cost"])
+
+    return pairs.mapInPandas(solve, f"time {kinds['t']}, next {kinds['t']}, source {kinds['s']}, target {kinds['s']}, flow double, cost double")

@@ -89,6 +89,7 @@ def _flow(s, d):
 
 
 QUERIES["state_transport"] = _flow
+QUERIES["state_flows"] = lambda s, d: rounded(models.state_flows(tracks(s, d).withColumn("rep", F.array("x", "y")), "state", "frame", "rep"), "flow", "cost")
 QUERIES["bayes_track"] = lambda s, d: tracking.track(tracks(s, d).select("event_id", (F.col("track") % 10).alias("field"), (F.col("frame") % 40).alias("t"), "x", "y"), "t", ["field"], "x", "y", "event_id", division_radius=20.0)
 for _m in ("rw", "brw", "levy", "fbm"):
     QUERIES[f"simulate_{_m}"] = lambda s, d, m=_m: simulate.motion(s, 50, m, alpha=2.5)

@@ -1,6 +1,7 @@
 """Golden values, independent numpy versions and properties."""
 
 import math
+import itertools
 import os
 
 import numpy as np
@@ -267,8 +268,11 @@ def test_modz_query_weighs_every_customer(spark, method):
         assert got[g] == pytest.approx(w @ x / w.sum(), abs=1e-5)
 
 
-def test_pair_sums_equal_the_pairs(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "PAIR_ROWS", 9)
+@pytest.mark.parametrize("wide", [0, 1024])
+def test_pair_sums_equal_the_pairs(spark, monkeypatch, wide):
+    """By blocks of rows, and by sums of labels without pairs."""
+    for name, value in (("PAIR_ROWS", 9), ("MOST_WIDE", wide), ("LABEL_ROWS", 3), ("HELD_NUMBERS", 80)):
+        monkeypatch.setattr(evaluate, name, value)
     rng = np.random.default_rng(2)
     rows = [(i, i % 3, "ctrl" if i % 3 == 0 else f"t{i % 2}", i % 2, [1.0] * 6 if i == 4 else rng.normal(size=6).tolist()) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, g long, treat string, conc long, v array<double>")
@@ -413,3 +417,28 @@ def test_one_call_scores_groups_of_tiles_and_representation(spark):
     fitted = scale.RobustMAD(["a", "b"]).fit(wide)
     x = wide.toPandas()["a"]
     assert fitted.transform(wide).toPandas()["a"].to_numpy() == pytest.approx(((x - x.median()) / (1.482602218505602 * (x - x.median()).abs().median())).to_numpy())
+
+
+def test_flows_between_states_are_cheapest(spark):
+    """Two and three states against enumeration of the vertices; unequal frames as shares; missing values take no part."""
+    rng = np.random.default_rng(41)
+    rows = [(i, t, str(rng.choice(list("abc"))), [float(x) for x in rng.normal(size=2)]) for t in (0, 1, 2, 5) for i in range(20 + t)] + [(99, 0, None, [0.0, 0.0]), (98, 1, "a", None), (97, None, "b", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "i long, t long, state string, rep array<double>")
+    got = models.state_flows(df, "state", "t", "rep").toPandas()
+    good = [r for r in rows if r[1] is not None and r[2] is not None]
+    mean = {s: np.mean([r[3] for r in good if r[2] == s and r[3] is not None], axis=0) for s in "abc"}
+    assert sorted(set(zip(got.time, got.next, strict=True))) == [(0, 1), (1, 2), (2, 5)]
+    for t, after in ((0, 1), (1, 2), (2, 5)):
+        share = [{s: np.mean([r[2] == s for r in good if r[1] == u]) for s in "abc"} for u in (t, after)]
+        part = got[got.time == t]
+        for s in "abc":
+            assert part[part.source == s].flow.sum() == pytest.approx(share[0][s]) and part[part.target == s].flow.sum() == pytest.approx(share[1][s])
+        cost = {(a, b): np.linalg.norm(mean[a] - mean[b]) for a in "abc" for b in "abc"}
+        best = np.inf
+        for base in itertools.combinations([(a, b) for a in "abc" for b in "abc"], 5):  # a vertex of the polytope has five flows at most
+            m = np.array([[float(c[0] == s) for c in base] for s in "abc"] + [[float(c[1] == s) for c in base] for s in "abc"])
+            want = np.array([share[0][s] for s in "abc"] + [share[1][s] for s in "abc"])
+            x = np.linalg.lstsq(m, want, rcond=None)[0]
+            if (x > -1e-9).all() and np.allclose(m @ x, want):
+                best = min(best, sum(cost[c] * v for c, v in zip(base, x, strict=True)))
+        assert sum(cost[r.source, r.target] * r.flow for r in part.itertuples()) == pytest.approx(best)

@@ -30,8 +30,8 @@ def duck():
     return c
 
 
-# every fourth in a plain run; all with ALL_QUERIES in the environment, on the tables that QUERY_DATA names
-NAMES = sorted(registry.SQL) if os.environ.get("ALL_QUERIES") else sorted(registry.SQL)[::4]
+# on the tables that QUERY_DATA names
+NAMES = sorted(registry.SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
