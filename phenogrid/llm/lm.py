@@ -12,10 +12,13 @@ order of their last letters, are cut into classes of about the square root of th
 normalised log-probabilities at the cost of two square roots of the vocabulary for each token.
 
 Training. Noise-contrastive estimation in numpy: each factor learns to tell the true class or unit from noise of the unigram
-distribution; the noise's part of the gradient is its expectation, not a draw. All training texts are passed over, each
-Spark partition from the same parameters; then the partitions' moves are averaged in a tree (a word's vector by how often the
-partition met it), and the next round starts. No round leaves texts out. Corpora of fewer than FEW_TOKENS tokens get more
-rounds (MOST_ROUNDS at most) and smaller steps, so that these too see enough of them.
+distribution; the noise's part of the gradient is its expectation, not a draw. Training goes in rounds: each task passes over its
+texts of the round from the same parameters; then the tasks' moves are averaged in a tree (a word's vector by how often the
+task met it), and the next round starts. The more tokens, the more rounds: every SLICE_TOKENS of them are a round of their own, a slice of
+the texts by a hash (MOST_SLICES at most, then slices grow), so each text is in one. As many tasks share a round as
+have TASK_TOKENS each, but no more than LEAST_TASKS or the cluster's cores: so steps in sequence grow with the corpus, and neither the
+number of files nor of partitions decides what is learnt. Corpora of fewer than FEW_TOKENS tokens are one slice, passed over
+MOST_PASSES times at most and in smaller steps, so that these too see enough of them.
 
 What is collected is bounded: SHARED_WORDS words of at most 64 bytes with their counts, and the parameters (MAX_OWN words).
 The other words' counts meet their documents in a join, in which no word is hot: the frequent ones are shared. Longer words
@@ -53,8 +56,8 @@ END = b""  # not a word
 FLUSH_WORDS = 300_000
 #: Length of the vectors, classes of one unit, noise events for each true one, tokens of a step, rows of a product, first rate.
 WIDTH, SINGLES, NOISE, BATCH, BLOCK, RATE = 16, 32, 100.0, 16_384, 512, 0.15
-#: Tokens below which a corpus is passed over more than once, and how often at most.
-FEW_TOKENS, MOST_ROUNDS = 4_000_000, 8
+#: Tokens below which a corpus is passed over more than once, and how often at most; tokens of a slice, about, and most slices; tokens of a task in a round, and how many tasks share a round where the cluster has fewer cores.
+FEW_TOKENS, MOST_PASSES, SLICE_TOKENS, MOST_SLICES, TASK_TOKENS, LEAST_TASKS = 4_000_000, 8, 1_000_000, 16, 200_000, 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -327,7 +330,7 @@ _CHUNKS = 32
 
 
 def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in: int = 32) -> Parameters:
-    """One round: every partition passes over its texts from p; the moves are averaged in a tree, chunk by chunk."""
+    """One round: every task passes over its texts from p; the moves are averaged in a tree, chunk by chunk."""
     sc = rows.sparkSession.sparkContext
     given = sc.broadcast((p, lex))
     sizes = {k: x.size for k, x in p.items()}
@@ -425,11 +428,22 @@ class Scorer:
         return out / math.log(10)
 
 
+def plan(tokens: int, partitions: int, cores: int) -> tuple[int, int, int]:
+    """(passes, slices, tasks of a round)."""
+    passes = int(min(MOST_PASSES, max(1, FEW_TOKENS // max(1, tokens))))
+    slices = int(min(MOST_SLICES, max(1, tokens // SLICE_TOKENS))) if passes == 1 else 1
+    return passes, slices, int(min(partitions, max(LEAST_TASKS, cores), max(1, tokens // slices // TASK_TOKENS)))
+
+
 def train(rows: DataFrame, lex: Lexicon) -> Parameters:
-    """Fit the model on the units of `rows` (one column)."""
+    """Fit the model on `rows` (units, and row, by which slices are dealt)."""
     p = start(lex)
-    for k in range(int(min(MOST_ROUNDS, max(1, FEW_TOKENS // max(1, lex.tally.sum()))))):
-        p = averaged(rows, p, lex, RATE / (1 + k / 2))
+    passes, slices, tasks = plan(int(lex.tally.sum()), task_count(rows), rows.sparkSession.sparkContext.defaultParallelism)
+    rounds = passes * slices
+    for k in range(rounds):
+        part = rows if slices == 1 else rows.filter(F.pmod(F.xxhash64("row"), F.lit(slices)) == k % slices)
+        fall = min(k / 2, 3.5 * k / max(1, rounds - 1))  # the last of many rounds takes steps as small as the last of eight
+        p = averaged(part.select("units").coalesce(tasks), p, lex, RATE / (1 + fall))
     return p
 
 
@@ -441,7 +455,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     lex = lexicon(counts, total, shared)
     rows = materialise(annotate(docs, lex, id_col, text_col, folds).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    p = train(rows.filter(~F.col("held_out")).select("units"), lex)
+    p = train(rows.filter(~F.col("held_out")).select("units", "row"), lex)
     given = spark.sparkContext.broadcast((p, lex))
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

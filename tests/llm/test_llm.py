@@ -412,7 +412,7 @@ def test_language_model_against_brute_force(spark):
     total = sum(c.values())
     lex = lm.lexicon(counts, total)
     rows = lm.annotate(df, lex, "doc_id", "text", 10)
-    p = lm.train(rows.filter("not held_out").select("units"), lex)
+    p = lm.train(rows.filter("not held_out").select("units", F.lit(0).alias("row")), lex)
     place = dict(zip(lex.words, lex.unit.tolist()))
     shapes = set(lex.of_shape.tolist())
 
@@ -468,6 +468,26 @@ def test_language_model_of_words_that_all_stand_once(spark):
     assert (r.n_known, r.train_tokens, r.held_out) == (0, 0, True) and math.isfinite(r.score)
 
 
+def test_language_model_trains_in_more_rounds_on_more_tokens():
+    """Steps in sequence grow with the tokens; partitions beyond the tasks of a round change nothing."""
+    assert [lm.plan(t, 10_000, 8)[:2] for t in (10, 10**6, 4 * 10**6, 2 * 10**7, 10**10)] == [(8, 1), (4, 1), (1, 4), (1, 16), (1, 16)]
+    assert lm.plan(3 * 10**6, 4, 8)[2] == 4 and lm.plan(3 * 10**6, 40, 8) == lm.plan(3 * 10**6, 4000, 8) == (1, 3, 5)
+    depth = [t / lm.plan(t, 10**6, 100)[2] for t in (10**7, 10**8, 10**9, 10**10)]
+    assert depth == sorted(depth) and depth[-1] > 20 * depth[0]
+
+
+def test_language_model_does_not_depend_on_files(spark, tmp_path):
+    """The gain over the base with many small files is near that with one."""
+    rng = np.random.default_rng(29)
+    made = [" ".join(f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), 120), np.repeat(rng.choice(list("xyz")), 120), strict=True)) for _ in range(600)]
+    gains = []
+    for n in (1, 40):
+        spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(n).write.parquet(f"{tmp_path}/{n}")
+        r = lm.score(spark.read.parquet(f"{tmp_path}/{n}")).filter("held_out").agg((F.sum("score") - F.sum("base_score")).alias("g"), F.sum("n_tokens").alias("n")).first()
+        gains.append(r.g / r.n)
+    assert min(gains) > 0.9 * max(gains) > 0.1
+
+
 def test_language_model_vocabulary_grows():
     assert [lm.own_words(10**k) for k in (4, 6, 8)] == [50, 500, 5000]
 
