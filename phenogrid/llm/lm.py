@@ -35,7 +35,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -332,7 +332,7 @@ _CHUNKS = 32
 def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in: int = 32) -> Parameters:
     """One round: every task passes over its texts from p; the moves are averaged in a tree, chunk by chunk."""
     sc = rows.sparkSession.sparkContext
-    given = sc.broadcast((p, lex))
+    given = sc.broadcast((p, replace(lex, words=[], counts=lex.counts[:0], unit=lex.unit[:0])))  # training reads units, never words
     sizes = {k: x.size for k, x in p.items()}
     length = -(-sum(sizes.values()) // _CHUNKS)
 
@@ -456,7 +456,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     lex = lexicon(counts, total, shared)
     rows = materialise(annotate(docs, lex, id_col, text_col, folds).withColumn("row", F.monotonically_increasing_id()), "tokens")
     p = train(rows.filter(~F.col("held_out")).select("units", "row"), lex)
-    given = spark.sparkContext.broadcast((p, lex))
+    given = spark.sparkContext.broadcast((p, replace(lex, words=[], counts=lex.counts[:0], unit=lex.unit[:0])))
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
