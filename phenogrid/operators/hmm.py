@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenogrid.functions import expr as X
 from phenogrid.functions.scratch import cut
 from phenogrid.operators.group import sample_tracks
 
@@ -130,39 +131,53 @@ def pack(df: DataFrame, track: str, time: str, rep: str, keep: Sequence[str] = (
 
 def em(packed: DataFrame, model: Model, rounds: int = 10, tol: float = 1e-2) -> Model:
     """EM from a start model; each round is one pass over the tracks that returns k x d statistics for each task."""
-    k, c, d = model.k, model.mixtures, model.means.shape[1]
+    return em_by_key(packed.select(F.lit(0).alias("key"), "x"), {0: model}, rounds, tol)[0]
+
+
+def em_by_key(packed: DataFrame, models: dict[object, Model], rounds: int = 10, tol: float = 1e-2) -> dict[object, Model]:
+    """EM of one model for each key over the tracks (key, x): a round is one pass for all keys that have not settled. All models are of one shape."""
+    models, names = dict(models), list(models)
+    some = models[names[0]]
+    k, c, d = some.k, some.mixtures, some.means.shape[1]
     parts = k * c
+    width = 2 + k + k * k + parts + parts * d + parts * d * d
+    active = set(names)
     for _ in range(rounds):
-        shared = packed.sparkSession.sparkContext.broadcast(model)
+        shared = packed.sparkSession.sparkContext.broadcast({name: models[name] for name in active})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            total = np.zeros(2 + k + k * k + parts + parts * d + parts * d * d)
+            held: dict[object, np.ndarray] = {}
             for b in batches:
-                for x in b.column(0).to_pylist():
+                for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if (m := shared.value.get(name)) is None:
+                        continue
                     x = np.array(x, float)
                     ll, g, xi = expect(m, x)
                     each = m.log_parts(x)
                     each = (g[:, :, None] * np.exp(each - _lse(each, 2)[:, :, None])).reshape(len(x), parts)
                     second = np.einsum("ts,ti,tj->sij", each, x, x)
-                    total += np.concatenate([[ll, len(x)], g[0], xi.ravel(), each.sum(0), (each.T @ x).ravel(), second.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+                    held[name] = held.get(name, 0.0) + np.concatenate([[ll, len(x)], g[0], xi.ravel(), each.sum(0), (each.T @ x).ravel(), second.ravel()])
+            for name, total in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([names.index(name)] * width, pa.int32()), pa.array(range(width), pa.int32()), pa.array(total)], ["name", "i", "v"])
 
-        rows = packed.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        s = np.zeros(2 + k + k * k + parts + parts * d + parts * d * d)
+        rows = packed.select("key", "x").mapInArrow(run, "name int, i int, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).collect()
+        found = {name: np.zeros(width) for name in active}
         for r in rows:
-            s[r.i] = r.v
-        ll, n = s[0], int(s[1])
-        start, xi, g, first, second = np.split(s[2:], np.cumsum([k, k * k, parts, parts * d]))
-        g = np.maximum(g, 1e-12)
-        means = first.reshape(parts, d) / g[:, None]
-        covars = second.reshape(parts, d, d) / g[:, None, None] - np.einsum("si,sj->sij", means, means) + 1e-3 * np.eye(d)
-        xi = xi.reshape(k, k) + 1e-12
-        gain = ll - model.loglik
-        model = Model(start / max(start.sum(), 1e-12), xi / xi.sum(1, keepdims=True), means, covars, ll, n, g.reshape(k, c) / g.reshape(k, c).sum(1, keepdims=True))
-        if gain < tol:
+            found[names[r.name]][r.i] = r.v
+        for name, s in found.items():
+            ll, n = s[0], int(s[1])
+            start, xi, g, first, second = np.split(s[2:], np.cumsum([k, k * k, parts, parts * d]))
+            g = np.maximum(g, 1e-12)
+            means = first.reshape(parts, d) / g[:, None]
+            covars = second.reshape(parts, d, d) / g[:, None, None] - np.einsum("si,sj->sij", means, means) + 1e-3 * np.eye(d)
+            xi = xi.reshape(k, k) + 1e-12
+            gain = ll - models[name].loglik
+            models[name] = Model(start / max(start.sum(), 1e-12), xi / xi.sum(1, keepdims=True), means, covars, ll, n, g.reshape(k, c) / g.reshape(k, c).sum(1, keepdims=True))
+            if gain < tol:
+                active.discard(name)
+        if not active:
             break
-    return model
+    return models
 
 
 def first_model(x: np.ndarray, k: int, seed: int, mixtures: int = 1) -> Model:
@@ -239,16 +254,32 @@ def decode(df: DataFrame, model: Model, track: str, time: str, rep: str, row_id:
     return pack(df, track, time, rep, [row_id]).select("ids", "x").mapInArrow(run, f"`{row_id}` {kind}, `{state}` int")
 
 
-def fit_hmm_by_key(df: DataFrame, key: str, n_components: int, track: str, time: str, rep: str, row_id: str = "row_id", state: str = "HMMState", **kw) -> tuple[DataFrame, dict[object, Model]]:
-    """(row_id, key, state; the keys' models): a model of all tracks, then one for each (of few) keys that starts from it."""
-    _, shared = fit_hmm(df, n_components, track, time, rep, row_id, **kw)
-    out, models = None, {}
-    for value in [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key).collect()]:
-        part = df.filter(F.col(key) == F.lit(value))
-        states, models[value] = fit_hmm(part, n_components, track, time, rep, row_id, state=state, start=shared, **kw)
-        states = states.withColumn(key, F.lit(value))
-        out = states if out is None else out.unionByName(states)
-    return out, models
+def fit_hmm_by_key(
+    df: DataFrame, key: str, n_components: int, track: str, time: str, rep: str, row_id: str = "row_id", state: str = "HMMState", min_len: int | None = None, sample_size: int = 1000, rounds: int = 10, seed: int = 0, **kw
+) -> tuple[DataFrame, dict[object, Model]]:
+    """(row_id, state, key; the keys' models): a model of all tracks, then one for each key that starts from it.
+
+    All keys are fitted together, a pass over sample_size tracks of each for a round, and all rows are decoded in one pass."""
+    _, shared = fit_hmm(df, n_components, track, time, rep, row_id, min_len=min_len, sample_size=sample_size, rounds=rounds, seed=seed, **kw)
+    rows = df.filter(F.col(key).isNotNull() & F.col(track).isNotNull()).withColumn("_kt", F.struct(F.col(key).alias("key"), F.col(track).alias("track")))
+    tracks = rows.groupBy("_kt").count() if min_len is None else rows.groupBy("_kt").count().filter(F.col("count") >= min_len)
+    w = Window.partitionBy("_kt.key").orderBy(X.hash_order(F.col("_kt.track").cast("string"), seed), "_kt.track")
+    chosen = tracks.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sample_size).select("_kt")
+    packed = cut(pack(rows.join(chosen, "_kt", "left_semi"), "_kt", time, rep).select(F.col("_kt.key").alias("key"), "x"))
+    names = [r[0] for r in packed.select("key").distinct().orderBy("key").collect()]  # one model for each
+    models = {name: m.ordered() for name, m in em_by_key(packed, {name: shared for name in names}, rounds).items()} if names else {}
+    given = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, ids, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                if name in given.value:
+                    found = viterbi(given.value[name], np.array(x, float)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.values, pa.array(found), pa.array([name] * len(found), b.schema.field(0).type)], [row_id, state, key])
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (row_id, key)}
+    whole = pack(rows, "_kt", time, rep, [row_id]).select(F.col("_kt.key").alias("key"), "ids", "x")
+    return whole.mapInArrow(run, f"`{row_id}` {kinds[row_id]}, `{state}` int, `{key}` {kinds[key]}"), models
 
 
 def hmm_distance(df: DataFrame, models: dict[object, Model], include_start: bool = False) -> DataFrame:

@@ -442,3 +442,16 @@ def test_flows_between_states_are_cheapest(spark):
             if (x > -1e-9).all() and np.allclose(m @ x, want):
                 best = min(best, sum(cost[c] * v for c, v in zip(base, x, strict=True)))
         assert sum(cost[r.source, r.target] * r.flow for r in part.itertuples()) == pytest.approx(best)
+
+
+def test_models_of_all_keys_equal_those_of_one_key_after_the_other(spark):
+    sim = simulate.hidden_markov(spark, 14, 2, t=np.array([[0.9, 0.1], [0.1, 0.9]]), e=np.eye(2), length=30, seed=5)
+    df = sim.select(F.concat_ws("-", "track", "time").alias("row_id"), "track", "time", F.array(F.col("hidden") * 3.0 + F.sin(F.col("time") * 12.9 + F.col("track"))).alias("rep"), F.when(F.col("track") == 13, None).otherwise(F.concat(F.lit("k"), F.col("track") % 2)).alias("key")).cache()
+    states, fitted = hmm.fit_hmm_by_key(df, "key", 2, "track", "time", "rep", n_init=1, rounds=4, sample_size=5)
+    _, shared = hmm.fit_hmm(df, 2, "track", "time", "rep", n_init=1, rounds=4, sample_size=5)
+    got = {r.row_id: (r.key, r.HMMState) for r in states.collect()}
+    assert set(fitted) == {"k0", "k1"} and len(got) == 13 * 30
+    for k in fitted:
+        part, one = hmm.fit_hmm(df.filter(F.col("key") == k), 2, "track", "time", "rep", n_init=1, rounds=4, sample_size=5, start=shared)
+        assert np.allclose(fitted[k].trans, one.trans) and np.allclose(fitted[k].means, one.means) and np.allclose(fitted[k].start, one.start)
+        assert {i: s for i, (key, s) in got.items() if key == k} == {r.row_id: r.HMMState for r in part.collect()}
