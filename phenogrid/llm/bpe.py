@@ -4,12 +4,18 @@ A text is split by the tokenizer's pattern. The pieces of the whole corpus that
 frequent ones, SHARED_PIECES at most, are merged once, in tasks of which each has some of them, and every worker gets their ids.
 Rarer pieces are merged where they stand: the distinct ones of a batch of documents that the worker has not met lately.
 
-Merging works on all pieces at hand at once. They form one array of symbols with links to the left and right neighbours; an
-inverted index maps each mergeable pair to the positions where it stands; merges are replayed in rank order over the whole
-index, and each touches only the two neighbours of its position. Documents are then put together from their pieces' ids.
+Merging works on all pieces at hand at once. Short pieces form matrices, a row for each piece, with the rank of every pair of
+neighbours beside it; in each round every piece makes its lowest merge, the leftmost of equal ones, and is a symbol shorter. Long
+pieces form one array of symbols with links to the left and right neighbours; an inverted index maps each mergeable pair to the
+positions where it stands; merges are replayed in rank order over the whole index, and each touches only the two neighbours of
+its position. Documents are then put together from their pieces' ids.
 
-A piece must come out as if it were encoded alone, lowest rank first, leftmost first. Replaying a rank over all pieces at
-once keeps that as long as no merge creates a pair of a lower rank; a piece where one does is encoded on its own instead.
+A piece must come out as if it were encoded alone, lowest rank first, leftmost first. The rounds do so by themselves. Replaying
+a rank over all long pieces at once keeps that as long as no merge creates a pair of a lower rank; a piece where one does is
+encoded on its own instead.
+
+No match of SPACED patterns holds a space after anything but white space, so a space between two other characters always begins
+a piece. Texts are cut there, which str.split does, and the pattern runs once over each distinct word instead of over all texts.
 
 Defined results: a null text counts as empty: no ids. Every byte sequence has an encoding, since all 256 bytes have ranks.
 A null id is kept. Repeated rows are encoded each. Other columns are ignored. Very long pieces are encoded whole. An empty table
@@ -22,22 +28,25 @@ import base64
 import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import frequent, materialise, remove_table, table
+from phenogrid.llm.common import frequent, lean, materialise, remove_table, sliced, table
 
-#: Pieces that all workers know; distinct pieces that a task counts before it passes them on.
-SHARED_PIECES, FLUSH_PIECES = 262_144, 300_000
-#: Pieces that a worker remembers beside them; then it starts afresh. Longer pieces than REMEMBER_BYTES are never kept.
-REMEMBER_PIECES, REMEMBER_BYTES = 500_000, 64
+#: Pieces that all workers know; distinct words that a task counts before it passes their pieces on.
+SHARED_PIECES, FLUSH_WORDS = 262_144, 300_000
+#: Words, and pieces, that a worker remembers beside them; then it starts afresh. What is longer than REMEMBER_BYTES is never kept, and a longer piece is merged by the index.
+REMEMBER, REMEMBER_BYTES = 200_000, 64
 #: Characters of text, or of pieces, that one replay works on at a time.
-REPLAY_CHARS = 4_000_000
+REPLAY_CHARS = 2_000_000
+#: Patterns that may be matched between spaces.
+SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,6 +72,7 @@ class Vocabulary:
         import regex
 
         self.split = regex.compile(pattern).findall
+        self.spaced = pattern in SPACED
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: byte -> its rank; the first symbols of any piece
@@ -71,12 +81,53 @@ class Vocabulary:
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
         #: pair -> rank of the two together, for every way to cut a token into two tokens
         self.merges = {ranks[t[:i]] * _SHIFT + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: the same, sorted by pair
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.pair_ranks = np.array([self.merges[x] for x in self.pairs.tolist()], np.int32)
         #: rank of two bytes together, or -1, at first byte * 256 + second byte
         self.bytes2 = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.width = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
         #: pieces that are tokens, with their ids as bytes
         self.whole = {t.decode(): np.array([r], self.width).tobytes() for t, r in ranks.items() if _is_text(t)}
 
+    def keys(self, texts: list[str], known: Container[str]) -> tuple[list[list[str]], set[str]]:
+        """The parts of each text as keys of what is known of them, and those not known; equal parts have equal keys.
+
+        A part after a space is its own key, without the space. A key that begins with a space stands for what follows it: a text's
+        first part, or one that ends in white space. No other key is empty or has white space at an end, in `known` neither."""
+        if not self.spaced:
+            parts = [[" " + t] for t in texts]
+            return parts, set().union(*parts).difference(known)
+        parts = [t.split(" ") for t in texts]
+        for p in parts:
+            p[0] = " " + p[0]
+        new = set().union(*parts).difference(known)
+        odd = {w for w in new if not w or w[0] != " " and w.strip() != w}
+        apart = [i for i, p in enumerate(parts) if len(p) > 1 and (p[0][-1].isspace() or odd and not odd.isdisjoint(p))]
+        for i in apart:
+            parts[i] = _joined(parts[i])
+        return parts, set().union(*parts).difference(known) if apart else new
+
+    def pieces(self, keys: Iterable[str]) -> tuple[list[str], list[str], list[int]]:
+        """The keys in another order, the pieces of all, where those of each key begin and the number of all."""
+        plain, rest = [], []
+        for k in keys:
+            (rest if " " in k else plain).append(k)
+        # a piece begins with a space where a word of `plain` begins, and nowhere else
+        found = self.split(" " + " ".join(plain)) if plain else []
+        begins = [i for i, p in enumerate(found) if p[0] == " "]
+        for k in rest:
+            begins.append(len(found))
+            found += self.split(k[1:] if k[0] == " " else " " + k)
+        return plain + rest, found, [*begins, len(found)]
+
+
+def _joined(words: list[str]) -> list[str]:
+    """Undo the cuts at spaces that have white space, or an end of the text, beside them."""
+    cuts = [0, *[i for i, (a, b) in enumerate(pairwise(words), 1) if a and b and not a[-1].isspace() and not b[0].isspace()], len(words)]
+    first, *others = [" ".join(words[a:b]) for a, b in pairwise(cuts)]
+    return [first, *[w if w.strip() == w else "  " + w for w in others]]
+
 
 @cache
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -107,15 +158,82 @@ def encode_alone(piece: bytes, v: Vocabulary) -> list[int]:
 
 
 def replay(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
-    """The ids of each piece: every merge in rank order over an inverted index of all pieces."""
-    out: list[list[int]] = [[r] if (r := v.ranks.get(p)) is not None else [] for p in pieces]  # a piece that is a token needs no merges
+    """The ids of each piece."""
+    return [np.frombuffer(x, v.width).tolist() for x in merged(pieces, v)]
+
+
+def merged(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The ids of each piece as bytes: pieces that are tokens need no merges, short ones are merged in rounds, long ones by the index."""
+    out: list[bytes] = [np.array([r], v.width).tobytes() if (r := v.ranks.get(p)) is not None else b"" for p in pieces]
     todo = [i for i, ids in enumerate(out) if not ids and pieces[i]]
-    if not todo:
-        return out
+    for part, how in (([i for i in todo if len(pieces[i]) <= REMEMBER_BYTES], by_rounds), ([i for i in todo if len(pieces[i]) > REMEMBER_BYTES], by_index)):
+        for i, ids in zip(part, how([pieces[i] for i in part], v), strict=True):
+            out[i] = ids
+    return out
+
+
+_NEVER = np.int32(1 << 30)
+
+
+def _rank_of(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The rank of each pair, or _NEVER."""
+    pair = left.astype(np.int64) * _SHIFT + right
+    at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
+    return np.where(v.pairs[at] == pair, v.pair_ranks[at], _NEVER)
+
+
+def by_rounds(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
+    """In each round every piece of n symbols makes its lowest merge, or is done: it then joins the pieces of n - 1 bytes."""
+    out: list[bytes] = [b""] * len(pieces)
+    if not len(v.pairs):
+        return [np.array([v.first[b] for b in p], v.width).tobytes() for p in pieces]
+    length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    order = np.argsort(length, kind="stable")
+    begins = np.searchsorted(length[order], np.arange(length.max(initial=0) + 2)).tolist()
+    first, bytes2 = np.array(v.first, np.int32), np.where(v.bytes2 < 0, _NEVER, v.bytes2).astype(np.int32)
+    who, symbols, ranks = np.empty(0, np.int64), None, None  # of the last round's pieces
+    for n in range(len(begins) - 2, 0, -1):
+        fresh = order[begins[n] : begins[n + 1]]
+        raw = np.frombuffer(b"".join([pieces[i] for i in fresh.tolist()]), np.uint8).reshape(-1, n)
+        fresh_ranks = bytes2[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]
+        if len(who):
+            who, symbols, ranks = np.concatenate([who, fresh]), np.concatenate([symbols, first[raw]]), np.concatenate([ranks, fresh_ranks])
+        else:
+            who, symbols, ranks = fresh, first[raw], fresh_ranks
+        rows = np.arange(len(who))
+        at = ranks.argmin(1) if n > 1 else np.zeros(len(who), np.int64)
+        low = ranks[rows, at] if n > 1 else np.full(len(who), _NEVER)
+        done = low == _NEVER
+        flat, step = symbols[done].astype(v.width).tobytes(), n * np.dtype(v.width).itemsize
+        for k, i in enumerate(who[done].tolist()):
+            out[i] = flat[k * step : (k + 1) * step]
+        if n == 1 or done.all():
+            who = who[:0]
+            continue
+        who, at, low, symbols, ranks = (x[~done] for x in (who, at, low, symbols, ranks))
+        rows = np.arange(len(who))
+        # the merged symbol stands at `at`; the one after it goes, and so does the pair of the two
+        symbols[rows, at] = low
+        keep = np.arange(n) != (at + 1)[:, None]
+        symbols = symbols[keep].reshape(-1, n - 1)
+        ranks = ranks[keep[:, 1:]].reshape(-1, n - 2)
+        r = rows[at > 0]
+        k = at[r]
+        ranks[r, k - 1] = _rank_of(symbols[r, k - 1], symbols[r, k], v)
+        r = rows[at < n - 2]
+        k = at[r]
+        ranks[r, k] = _rank_of(symbols[r, k], symbols[r, k + 1], v)
+    return out
+
+
+def by_index(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
+    """Every merge in rank order over an inverted index of all pieces."""
+    if not pieces:
+        return []
     # all pieces in one row of symbols, a wall (-1) after each; neighbours that can merge, by rank
-    length = np.array([len(pieces[i]) for i in todo])
+    length = np.array([len(p) for p in pieces])
     ends = np.cumsum(length + 1) - 1  # the walls
-    raw = np.frombuffer(b"\0".join([pieces[i] for i in todo]) + b"\0", np.uint8)
+    raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     symbols = np.array(v.first, np.int64)[raw]
     symbols[ends] = -1
     n = len(symbols)
@@ -166,71 +284,80 @@ def replay(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
                     index[r] = [h]
                     heapq.heappush(heap, r)
     done = np.array(ids)
-    flat = done[done >= 0].tolist()
-    stops = np.cumsum(done >= 0)[ends].tolist()
-    begin = 0
-    for p, stop in zip(todo, stops, strict=True):
-        out[p] = flat[begin:stop]
-        begin = stop
+    flat, step = done[done >= 0].astype(v.width).tobytes(), np.dtype(v.width).itemsize
+    stops = (np.cumsum(done >= 0)[ends] * step).tolist()
+    out = [flat[a:b] for a, b in pairwise([0, *stops])]
     for k in set(np.searchsorted(ends, odd).tolist()):
-        out[todo[k]] = encode_alone(pieces[todo[k]], v)
+        out[k] = np.array(encode_alone(pieces[k], v), v.width).tobytes()
     return out
 
 
 class Encoder:
-    """Knows the shared pieces and keeps those met lately, each as the bytes of its ids."""
+    """Knows the shared pieces and keeps the words and pieces met lately, each as the bytes of its ids."""
 
     def __init__(self, v: Vocabulary, shared: dict[str, bytes] | None = None):
-        self.v = v
-        self.shared = v.whole | (shared or {})
-        self.known = dict(self.shared)
-
-    def batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
-        if len(self.known) > len(self.shared) + REMEMBER_PIECES:
-            self.known = dict(self.shared)
-        known, width = self.known, self.v.width
-        parts = [self.v.split(t) for t in texts]
-        new = list(set().union(*parts).difference(known)) if parts else []
-        known.update(zip(new, merged(new, self.v), strict=True))
-        for part in parts:
-            yield np.frombuffer(b"".join(map(known.__getitem__, part)), width).tolist()
-        for x in new:
-            if len(x) > REMEMBER_BYTES:
-                del known[x]
-
-
-def merged(pieces: list[str], v: Vocabulary) -> list[bytes]:
-    """The ids of each piece as bytes."""
-    return [np.array(ids, v.width).tobytes() for ids in replay([x.encode("utf-8", "surrogatepass") for x in pieces], v)]
+        self.v, self.shared = v, shared or {}
+        self.known: dict[str, bytes] = {}
+        self.met: dict[str, bytes] = {}
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        for held in (self.known, self.met):
+            if len(held) > REMEMBER:
+                held.clear()
+        known, met, v = self.known, self.met, self.v
+        parts, new = v.keys(texts, known)
+        new, found, begins = v.pieces(new)
+        rare = []
+        for p in set(found).difference(met):
+            if ids := v.whole.get(p) or self.shared.get(p):
+                met[p] = ids
+            else:
+                rare.append(p)
+        met.update(zip(rare, merged([p.encode("utf-8", "surrogatepass") for p in rare], v), strict=True))
+        each = list(map(met.__getitem__, found))
+        flat, ends = b"".join(each), np.cumsum([0, *map(len, each)])[begins].tolist()
+        known.update(zip(new, (flat[a:b] for a, b in pairwise(ends)), strict=True))
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for held, fresh in ((known, new), (met, rare)):
+            for x in fresh:
+                if len(x) > REMEMBER_BYTES:
+                    del held[x]
+        return out
 
 
 def count_pieces(ranks_path: str, pattern: str):
-    """Texts to (piece, c): pieces that are not tokens, and how many of the texts have them."""
+    """Texts to (piece, c): pieces that are not tokens, and in how many of the texts' distinct words they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path, pattern)
-        held: Counter = Counter()
+        words: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "c"])
-            held.clear()
-            return got
+            held: Counter = Counter()
+            keys, found, begins = v.pieces(words)
+            times = np.repeat([words[k] for k in keys], np.diff(begins)).tolist()
+            for p, c in zip(found, times, strict=True):
+                if p not in v.whole and len(p) <= REMEMBER_BYTES:
+                    held[p] += c
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "c"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(p for p in set(v.split(text or "")).difference(v.whole) if len(p) <= REMEMBER_BYTES)
-                if len(held) > FLUSH_PIECES:
+            for texts in sliced(b.column(0), REPLAY_CHARS):
+                for part in v.keys(texts, words)[0]:
+                    words.update(set(part))
+                if len(words) > FLUSH_WORDS or sum(map(len, words)) > 8 * REPLAY_CHARS:
                     yield out()
-        if held:
+        if words:
             yield out()
 
     return run
 
 
 def dictionary(texts: DataFrame, ranks_path: str, pattern: str, most: int = SHARED_PIECES) -> dict[str, bytes]:
-    """The most frequent pieces of the corpus that are not tokens, at most `most`, with their ids; those that stand in one text only are left out."""
-    counts = texts.mapInArrow(count_pieces(ranks_path, pattern), "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c")).filter("c > 1")
+    """The most frequent pieces of the corpus that are not tokens, at most `most`, with their ids; those that stand in one word of one text only are left out."""
+    counts = texts.mapInArrow(lean(count_pieces(ranks_path, pattern)), "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c")).filter("c > 1")
     counts = materialise(counts, "pieces")
     level, least = frequent(counts, most)
 
@@ -239,9 +366,9 @@ def dictionary(texts: DataFrame, ranks_path: str, pattern: str, most: int = SHAR
         for b in batches:
             pieces = b.column(0).to_pylist()
             for part in slices(pieces):
-                yield pa.RecordBatch.from_arrays([pa.array(pieces[part], pa.string()), pa.array(merged(pieces[part], v), pa.binary())], ["piece", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[part], pa.string()), pa.array(merged([x.encode() for x in pieces[part]], v), pa.binary())], ["piece", "ids"])
 
-    got = counts.filter(level >= least).select("piece").mapInArrow(merge, "piece string, ids binary").toArrow()
+    got = counts.filter(level >= least).select("piece").mapInArrow(lean(merge), "piece string, ids binary").toArrow()
     remove_table(counts)
     return dict(zip(got.column("piece").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
@@ -275,26 +402,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         v = vocabulary(ranks_path, pattern)
         encoder = Encoder(v, shared.value)
         for b in batches:
-            names = b.column(0)
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for part in slices(texts):
-                n, each, sha, back = [], [], [], []
-                for text, numbers in zip(texts[part], encoder.batch(texts[part]), strict=True):
-                    n.append(len(numbers))
-                    if ids:
-                        each.append(numbers)
-                    if digests:
-                        raw = decode(numbers, v)
-                        if raw != text.encode("utf-8", "surrogatepass"):
+            at = 0
+            for texts in sliced(b.column(1), REPLAY_CHARS):
+                raw = encoder.batch(texts)
+                n = np.array([len(x) for x in raw], np.int64) // np.dtype(v.width).itemsize
+                cols = [b.column(0).slice(at, len(texts)), pa.array(n)]
+                if ids:
+                    flat = np.frombuffer(b"".join(raw), v.width).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
+                if digests:
+                    sha, back = [], []
+                    for text, x in zip(texts, raw, strict=True):
+                        numbers = np.frombuffer(x, v.width).tolist()
+                        decoded = decode(numbers, v)
+                        if decoded != text.encode("utf-8", "surrogatepass"):
                             raise ValueError("decoding does not give back the text")
                         sha.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, numbers)).encode()).hexdigest())
-                        back.append(hashlib.sha256(raw).hexdigest())
-                cols = [names.slice(part.start, len(n)), pa.array(n, pa.int64())] + ([pa.array(each, pa.list_(pa.int32()))] if ids else []) + ([pa.array(sha, pa.string()), pa.array(back, pa.string())] if digests else [])
+                        back.append(hashlib.sha256(decoded).hexdigest())
+                    cols += [pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
+                at += len(texts)
 
     kind = named.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long" + (", ids array<int>" if ids else "") + (", ids_sha256 string, decoded_sha256 string" if digests else "")
-    return named.mapInArrow(renamed(run, schema), schema)
+    return named.mapInArrow(lean(renamed(run, schema)), schema)
 
 
 def renamed(run, schema: str):

@@ -267,6 +267,37 @@ def test_replay_equals_encoding_alone():
     assert bpe.replay(pieces, v) == whole
 
 
+def test_bpe_of_texts_cut_at_spaces_equals_the_library():
+    """White space of all kinds, at ends too; words come back in later batches, where they stand otherwise."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    v, plain = bpe.vocabulary(path, P.PATTERN), bpe.Vocabulary(bpe.load_ranks(path), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    assert v.spaced
+    plain.spaced = False  # as of any other pattern
+    rng = np.random.default_rng(23)
+    bits = np.array([" ", " ", " ", "\n", "\t", "\u00a0", "\x1c", "a", "b", "é", "'s", "'", "1", "漢", "!", "the", "🎉", "q" * 80])
+    encoder, other = bpe.Encoder(v), bpe.Encoder(plain)
+    for _ in range(40):
+        made = ["".join(rng.choice(bits, int(rng.integers(0, 25))).tolist()) for _ in range(100)]
+        assert other.batch(made) == (got := encoder.batch(made))
+        assert [np.frombuffer(x, v.width).tolist() for x in got] == [enc.encode_ordinary(t) for t in made]
+
+
+def test_bpe_matches_each_distinct_word_once():
+    import public_tokenizers as P
+
+    v = bpe.Vocabulary(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    read, split = [], v.split
+    v.split = lambda t: read.append(len(t)) or split(t)
+    encoder = bpe.Encoder(v)
+    encoder.batch(["alpha beta, gamma " * 2000 + "end"] * 3)
+    encoder.batch(["gamma beta, end"])
+    assert sum(read) < 100  # the pattern ran over each text: 108,000 characters
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
