@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import SPACE, col, free_name, materialise, table, task_count
+from phenogrid.llm.common import SPACE, col, free_name, lean, materialise, table, task_count
 
 #: Entries of one digest range that a merge task should hold at the root; rows that a first run takes in at most.
 RANGE_ROWS, RUN_ROWS = 50_000, 200_000
@@ -134,13 +134,13 @@ def merge_runs(rows: DataFrame, fan_in: int = 16) -> DataFrame:
     buckets = max(1, -(-rows.count() // RANGE_ROWS))
     runs = max(1, task_count(rows))
     named = rows.select(F.spark_partition_id().alias("run"), "digest", "check", "length", "id", "row")
-    held = named.mapInArrow(_first_runs(buckets), "bucket int, run int, entries binary")
+    held = named.mapInArrow(lean(_first_runs(buckets)), "bucket int, run int, entries binary")
     while True:
         runs = -(-runs // fan_in)
         held = held.withColumn("up", F.floor(F.col("run") / fan_in).cast("int")).groupBy("bucket", "up").applyInArrow(_merge, "bucket int, run int, entries binary")
         if runs <= 1:
             break
-    return held.select("entries").mapInArrow(_rows, "digest binary, check long, length long, id long, row long, n long")
+    return held.select("entries").mapInArrow(lean(_rows), "digest binary, check long, length long, id long, row long, n long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:

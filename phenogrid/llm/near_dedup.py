@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenogrid.functions.threads import one_thread
-from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, free_name, materialise, mix, powers, remove_table, rolling, table
+from phenogrid.llm.common import BASE_A, BASE_B, WordHashes, free_name, lean, materialise, mix, powers, remove_table, rolling, sliced, table
 from phenogrid.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -150,7 +150,7 @@ def set_name(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-#: Words of text sketched at a time.
+#: Bytes of text sketched at a time.
 _BATCH_CHARS = 1_500_000
 
 
@@ -160,23 +160,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            ids, texts = b.column(0), [(x or "").encode() for x in b.column(1).to_pylist()]
             at = 0
-            while at < len(texts):
-                end, chars = at + 1, len(texts[at])
-                while end < len(texts) and chars + len(texts[end]) <= _BATCH_CHARS:
-                    chars += len(texts[end])
-                    end += 1
-                found = [np.unique(s, return_counts=True) for s in shingles(texts[at:end], hashes)]
+            for texts in sliced(b.column(1), _BATCH_CHARS):
+                found = [np.unique(s, return_counts=True) for s in shingles([t.encode() for t in texts], hashes)]
                 sets = [x[0] for x in found]
                 keys = band_keys(dart_signatures(sets, [x[1].astype(float) for x in found] if weighted else None)).view(np.int64)
                 nodes = [set_name(layers(*x) if weighted else x[0]) if len(x[0]) else None for x in found]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(nodes, pa.binary()), flat], ["id", "node", "bands"])
-                at = end
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(nodes, pa.binary()), flat], ["id", "node", "bands"])
+                at += len(texts)
 
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, node binary, bands array<long>")
+    return named.mapInArrow(lean(run), f"id {named.schema['id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -282,17 +277,22 @@ def compare_blocks(left: DataFrame, texts: DataFrame, threshold: float, weighted
     return dealt(minor, "1").groupBy("g1").cogroup(dealt(every, "2").groupBy("g2")).applyInArrow(judge, "a binary, b binary")
 
 
+def _names(texts: pa.Array, hashes: WordHashes, weighted: bool) -> list[bytes | None]:
+    """The name of each text's shingle set, null without words; the words of few texts are held at a time."""
+    return [set_name(x) if len(x) else None for part in sliced(texts, _BATCH_CHARS) for x in bags([t.encode() for t in part], hashes, weighted)]
+
+
 def candidate_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
     """node, text of the nodes (node, id). The one join with the texts of all documents. Where an id repeats, the text that has the node's set."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            same = [set_name(s) == n for s, n in zip(bags([(t or "").encode() for t in b.column(1).to_pylist()], hashes, weighted), b.column(0).to_pylist(), strict=True)]
+            same = [x == n for x, n in zip(_names(b.column(1), hashes, weighted), b.column(0).to_pylist(), strict=True)]
             yield b.filter(pa.array(same, pa.bool_()))
 
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = nodes.join(named, "id").select("node", "text").mapInArrow(own, "node binary, text string")
+    found = nodes.join(named, "id").select("node", "text").mapInArrow(lean(own), "node binary, text string")
     return found.dropDuplicates(["node"])
 
 
@@ -348,12 +348,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = bags([(t or "").encode() for t in b.column(text_col).to_pylist()], hashes, weighted)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_name(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names, set_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_names(b.column(text_col), hashes, weighted), pa.binary())], [*b.schema.names, set_col])
 
     same = docs.columns
     part = docs.join(mixed, docs[id_col] == F.col(name), "left_semi")
-    part = part.mapInArrow(named, T.StructType([*part.schema.fields, T.StructField(set_col, T.BinaryType())]))
+    part = part.mapInArrow(lean(named), T.StructType([*part.schema.fields, T.StructField(set_col, T.BinaryType())]))
     gone = found.filter("gone").select(F.col("id").alias(name), F.col("node").alias("_node")).distinct()
     part = part.join(gone, (part[id_col] == F.col(name)) & (part[set_col] == F.col("_node")), "left_anti").select(*same)
     return docs.join(per.select(name), docs[id_col] == F.col(name), "left_anti").unionByName(part)

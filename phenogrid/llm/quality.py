@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from phenogrid.llm.common import col, crc_mod, free_name, hash64, table
+from phenogrid.llm.common import col, crc_mod, free_name, hash64, lean, sliced, table
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 4_000
 THRESHOLD = 0.3
+#: Bytes of text that a scoring task takes out of a batch at a time.
+BATCH_BYTES = 1_500_000
 FOLDS = 5
 
 # Where each kind of n-gram has its features.
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["id", "found", "y"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    got = texts.mapInArrow(featurise, f"id {kind}, found binary, y int").groupBy("id").agg(F.min("found").alias("found"), F.min("y").alias("y")).toArrow().sort_by("id")
+    got = texts.mapInArrow(lean(featurise), f"id {kind}, found binary, y int").groupBy("id").agg(F.min("found").alias("found"), F.min("y").alias("y")).toArrow().sort_by("id")
     rows = Rows(got.column("found").to_pylist())
     return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
 
@@ -236,8 +238,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), shared.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_name)).to_pylist()
-            got = m.score(np.array([m.margin(features.of((x or "").encode())) for x in texts]))
+            texts = sliced(b.column(b.schema.get_field_index(text_name)), BATCH_BYTES)
+            got = m.score(np.array([m.margin(features.of(x.encode())) for part in texts for x in part]))
             if carry:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, last])
             else:
@@ -245,10 +247,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     if carry:
         text_name, last = text_col, score_name(docs)
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(last, DoubleType())]))
+        return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(last, DoubleType())]))
     text_name = "text"
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return named.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, score double")
+    return named.mapInArrow(lean(run), f"id {named.schema['id'].dataType.simpleString()}, score double")
 
 
 def score_name(docs: DataFrame) -> str:

@@ -839,6 +839,20 @@ def test_nothing_else_imports_llm():
                     assert "phenogrid.llm" not in open(os.path.join(d, n)).read(), n
 
 
+def test_tasks_hold_few_texts_of_a_batch_at_a_time(monkeypatch):
+    """A batch holds 10,000 rows, whose words would take several times its bytes."""
+    import pyarrow as pa
+
+    held, hashes = [], common.WordHashes()
+    monkeypatch.setattr(near_dedup, "shingles", lambda texts, h, f=near_dedup.shingles: held.append(sum(map(len, texts))) or f(texts, h))
+    texts = ["w%d " % i * 100_000 for i in range(20)] + [None, "", "z " * 1_000_000]
+    got = near_dedup._names(pa.array(texts), hashes, True)
+    assert max(held[:-1]) <= near_dedup._BATCH_CHARS and held[-1] == 2_000_000 and sum(held) == sum(len(t or "") for t in texts)
+    assert [x is None for x in got] == [not t for t in texts] and len(set(got)) == 22
+    assert [len(x) for x in common.sliced(pa.array(["ab", None, "abc", "", "é"]), 4)] == [2, 2, 1] and list(common.sliced(pa.array([], pa.string()), 4)) == []
+    assert list(common.lean(iter)([1, 2])) == [1, 2]
+
+
 def test_near_copies_of_repeated_ids_keep_one_row_of_each_class(spark):
     words = [f"word{i}" for i in range(300)]
     text, near, clean = " ".join(words), " ".join(words[:299]), " ".join(f"other{i}" for i in range(300))
