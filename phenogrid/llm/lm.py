@@ -75,7 +75,7 @@ def shape(key: bytes) -> int:
         return 64
     last = key[-1]
     kind = 0 if 97 <= last <= 122 else 1 if last >= 128 else 2 if last == 46 else 3 if last == 44 else 4 if 48 <= last <= 57 else 5 + last % 3
-    beyond = next((key[i] * 64 + key[i + 1] for i in range(len(key) - 1) if key[i] >= 0xC0), -1)
+    beyond = -1 if key.isascii() else next((key[i] * 64 + key[i + 1] for i in range(len(key) - 1) if key[i] >= 0xC0), -1)
     return kind * 8 + (1 + beyond % 7 if beyond >= 0 else 0)
 
 
@@ -114,6 +114,11 @@ class Lexicon:
     tally: np.ndarray  # training tokens of each unit
     log_mass: np.ndarray  # of each unit: log10 of what the counts of a shape's words are shares of; 0 for words of their own
 
+    @property
+    def kind(self) -> type:
+        """Of the numbers of units where they are stored or sorted: two bytes if these do."""
+        return np.uint16 if len(self.tally) <= 1 << 16 else np.int32
+
     @property
     def class_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -207,7 +212,7 @@ def annotate(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str, folds: i
                 rare, held = np.flatnonzero(at < 0), at[at >= 0]
                 got = lex.unit[np.maximum(at, 0)]
                 got[rare] = lex.of_shape[-1 - at[rare]]
-                units.append(got.tobytes())
+                units.append(got.astype(lex.kind).tobytes())
                 n.append(len(at))
                 known.append(int((lex.counts[held] > 0).sum()))
                 part.append(float(logs[held].sum()))
@@ -249,24 +254,28 @@ def contexts(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return u, v, w
 
 
+def _with(x: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """x with one more column: a product of [x, 1] and [vectors, bias] holds the bias."""
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = x, last
+    return out
+
+
 def _contrast(x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: np.ndarray, true: np.ndarray) -> np.ndarray:
     """The gradient of the noise-contrastive loss by the energies: expected noise events taken for true, less true ones missed.
 
-    bias is less the log of the noise. Blocks of rows stay in the processor's cache."""
+    x has a column of ones; bias is less the log of the noise. Blocks of rows stay in the processor's cache."""
     grad = np.empty((len(x), len(noise)), np.float32)
+    minus = np.ascontiguousarray(-_with(vectors, bias).T)
     with np.errstate(over="ignore"):
         for at in range(0, len(x), BLOCK):
             s = grad[at : at + BLOCK]
-            np.matmul(x[at : at + BLOCK], vectors.T, out=s)
-            s += bias
-            np.negative(s, out=s)
+            np.matmul(x[at : at + BLOCK], minus, out=s)
             np.exp(s, out=s)
             s += 1
-            np.reciprocal(s, out=s)
+            np.divide(noise, s, out=s)
             rows, t = np.arange(len(s)), true[at : at + BLOCK]
-            found = s[rows, t]
-            s *= noise
-            s[rows, t] -= 1 - found
+            s[rows, t] -= 1 - s[rows, t] / noise[t]
     return grad
 
 
@@ -274,7 +283,7 @@ class Trainer:
     """Passes over texts with adaptive steps (squared gradients are summed for each parameter)."""
 
     def __init__(self, p: Parameters, lex: Lexicon, rate: float):
-        self.p, self.first, self.class_of, self.rate = {k: x.copy() for k, x in p.items()}, lex.first, lex.class_of, rate
+        self.p, self.first, self.class_of, self.rate, self.kind = {k: x.copy() for k, x in p.items()}, lex.first, lex.class_of.astype(lex.kind), rate, lex.kind
         self.batch = int(min(BATCH, max(256, lex.tally.sum() * BATCH / FEW_TOKENS)))
         self.square = {k: np.full(x.shape, 1e-2, np.float32) for k, x in p.items()}
         mass = lex.tally + 0.5
@@ -294,26 +303,28 @@ class Trainer:
         ru, rv = p["R"][u], p["R"][v]
         h = ru @ p["A"] + rv @ p["B"]
         c = self.class_of[w]
-        g = _contrast(h, p["K"], p["k"] - self.log_class, self.class_noise, c)
+        one = _with(h, 1)
+        g = _contrast(one, p["K"], p["k"] - self.log_class, self.class_noise, c)
         dh = g @ p["K"]
-        dk, dbias = g.T @ h, g.sum(0)
+        dk = g.T @ one
         order = np.argsort(c, kind="stable")
         kinds, begins = np.unique(c[order], return_index=True)
         for cls, rows in zip(kinds.tolist(), np.split(order, begins[1:]), strict=True):
             a, b = self.first[cls], self.first[cls + 1]
             if b - a < 2:
                 continue
-            x, part = h[rows], slice(a, b)
+            x, part = one[rows], slice(a, b)
             g = _contrast(x, p["Q"][part], p["q"][part] - self.log_unit[part], self.unit_noise[part], w[rows] - a)
             dh[rows] += g @ p["Q"][part]
-            self._move("Q", part, g.T @ x)
-            self._move("q", part, g.sum(0))
-        self._move("K", slice(None), dk)
-        self._move("k", slice(None), dbias)
+            dq = g.T @ x
+            self._move("Q", part, dq[:, :-1])
+            self._move("q", part, dq[:, -1])
+        self._move("K", slice(None), dk[:, :-1])
+        self._move("k", slice(None), dk[:, -1])
         du, dv = dh @ p["A"].T, dh @ p["B"].T
         self._move("A", slice(None), ru.T @ dh)
         self._move("B", slice(None), rv.T @ dh)
-        both = np.concatenate([u, v])
+        both = np.concatenate([u, v]).astype(self.kind)  # two bytes are sorted by counting
         order = np.argsort(both, kind="stable")
         seen, begins, times = np.unique(both[order], return_index=True, return_counts=True)
         self._move("R", seen, np.add.reduceat(np.concatenate([du, dv])[order], begins))
@@ -349,7 +360,7 @@ def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in:
             held: list[np.ndarray] = []
             size = 0
             for x in b.column(0).to_pylist():
-                held.append(np.frombuffer(x, np.int32))
+                held.append(np.frombuffer(x, lex.kind).astype(np.int32))
                 size += len(held[-1])
                 if size >= 4 * BATCH:
                     t.texts(held)
@@ -393,15 +404,19 @@ def averaged(rows: DataFrame, p: Parameters, lex: Lexicon, rate: float, fan_in:
 
 
 def _log_softmax_at(x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax of x @ vectors.T + bias at one place of each row."""
+    """log of the softmax of x @ vectors.T + bias at one place of each row; x has a column of ones."""
     out = np.empty(len(x))
+    given, ones = np.ascontiguousarray(_with(vectors, bias).T), np.ones(len(bias), np.float32)
     for begin in range(0, len(x), BLOCK):
-        e = x[begin : begin + BLOCK] @ vectors.T
-        e += bias
-        e -= e.max(1, keepdims=True)
-        true = e[np.arange(len(e)), at[begin : begin + BLOCK]]
-        np.exp(e, out=e)
-        out[begin : begin + BLOCK] = true - np.log(e.sum(1))
+        e = x[begin : begin + BLOCK] @ given
+        rows, t = np.arange(len(e)), at[begin : begin + BLOCK]
+        true = e[rows, t]
+        if -60 < e.min() and e.max() < 60:
+            np.exp(e, out=e)
+            out[begin : begin + BLOCK] = true - np.log(e @ ones)
+        else:  # exponentials could leave the range of floats
+            top = e.max(1, keepdims=True)
+            out[begin : begin + BLOCK] = true - top[:, 0] - np.log(np.exp(e - top).sum(1))
     return out
 
 
@@ -409,14 +424,14 @@ class Scorer:
     """Normalised log10 P(unit | two units before), by batched matrix products."""
 
     def __init__(self, p: Parameters, lex: Lexicon):
-        self.p, self.first, self.class_of = p, lex.first, lex.class_of
+        self.p, self.first, self.class_of = p, lex.first, lex.class_of.astype(lex.kind)
         self.a, self.b = p["R"] @ p["A"], p["R"] @ p["B"]
 
     def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         p, out = self.p, np.empty(len(w))
         for begin in range(0, len(w), 4 * BATCH):
             s = slice(begin, begin + 4 * BATCH)
-            h, c, x = self.a[u[s]] + self.b[v[s]], self.class_of[w[s]], w[s]
+            h, c, x = _with(self.a[u[s]] + self.b[v[s]], 1), self.class_of[w[s]], w[s]
             got = _log_softmax_at(h, p["K"], p["k"], c)
             order = np.argsort(c, kind="stable")
             kinds, begins = np.unique(c[order], return_index=True)
@@ -463,7 +478,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         p, lex = given.value
         scorer = Scorer(p, lex)
         for b in batches:
-            units = [np.frombuffer(x, np.int32) for x in b.column(b.num_columns - 1).to_pylist()]
+            units = [np.frombuffer(x, lex.kind).astype(np.int32) for x in b.column(b.num_columns - 1).to_pylist()]
             got = np.empty(0)
             if units:
                 u, v, w = contexts(units)

@@ -519,6 +519,25 @@ def test_language_model_does_not_depend_on_files(spark, tmp_path):
     assert min(gains) > 0.9 * max(gains) > 0.1
 
 
+def test_language_model_products_hold_the_biases():
+    """Energies and gradients against the plain formulas, large energies too; units are stored in two bytes where these do."""
+    rng = np.random.default_rng(24)
+    for size in (1, 20, 200):
+        x, vectors, bias = rng.normal(0, 1, (700, 16)).astype(np.float32), rng.normal(0, size, (9, 16)).astype(np.float32), rng.normal(0, 1, 9).astype(np.float32)
+        noise, true = rng.uniform(0.1, 9, 9).astype(np.float32), rng.integers(0, 9, 700)
+        e = x.astype(float) @ vectors.T.astype(float) + bias
+        top = e.max(1, keepdims=True)
+        plain = (e - top - np.log(np.exp(e - top).sum(1, keepdims=True)))[np.arange(700), true]
+        assert np.allclose(lm._log_softmax_at(lm._with(x, 1), vectors, bias, true), plain, rtol=1e-4, atol=1e-3)
+        sigma = 1 / (1 + np.exp(-np.clip(e, -700, 700)))
+        grad = sigma * noise
+        grad[np.arange(700), true] -= 1 - sigma[np.arange(700), true]
+        assert np.allclose(lm._contrast(lm._with(x, 1), vectors, bias, noise, true), grad, atol=2e-3)
+    few = lm.Lexicon([], np.zeros(0), np.zeros(0), np.zeros(0), np.array([0, 5]), np.ones(5), np.zeros(5))
+    assert few.kind is np.uint16 and lm.replace(few, tally=np.ones(65_537)).kind is np.int32
+    assert lm.shape("é".encode()) != lm.shape(b"e")
+
+
 def test_language_model_vocabulary_grows():
     assert [lm.own_words(10**k) for k in (4, 6, 8)] == [50, 500, 5000]
 
