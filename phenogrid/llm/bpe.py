@@ -1,25 +1,27 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A text is split by the tokenizer's pattern. The pieces of the whole corpus that are not tokens themselves are counted; the most
-frequent ones, SHARED_PIECES at most, are merged once, in tasks of which each has some of them, and every worker gets their ids.
-Rarer pieces are merged where they stand: the distinct ones of a batch of documents that the worker has not met lately.
+A text is cut into words, and a word into pieces by the tokenizer's pattern. The words of the whole corpus are counted; the most
+frequent ones, SHARED_WORDS at most, are merged once, in tasks of which each has some of them, and every worker gets their ids.
+Rarer words are merged where they stand: the distinct ones of a slice of documents. Cutting, counting and putting documents
+together from their words' ids are Arrow's columns; only the pattern makes strings, one for each piece of a distinct word.
 
 Merging works on all pieces at hand at once. Short pieces form matrices, a row for each piece, with the rank of every pair of
 neighbours beside it; in each round every piece makes its lowest merge, the leftmost of equal ones, and is a symbol shorter. Long
 pieces form one array of symbols with links to the left and right neighbours; an inverted index maps each mergeable pair to the
 positions where it stands; merges are replayed in rank order over the whole index, and each touches only the two neighbours of
-its position. Documents are then put together from their pieces' ids.
+its position.
 
 A piece must come out as if it were encoded alone, lowest rank first, leftmost first. The rounds do so by themselves. Replaying
 a rank over all long pieces at once keeps that as long as no merge creates a pair of a lower rank; a piece where one does is
 encoded on its own instead.
 
 No match of SPACED patterns holds a space after anything but white space, so a space between two other characters always begins
-a piece. Texts are cut there, which str.split does, and the pattern runs once over each distinct word instead of over all texts.
+a piece. Texts are cut there, and the pattern runs once over each distinct word. With any other pattern it runs over the texts,
+and its matches are the words.
 
 Defined results: a null text counts as empty: no ids. Every byte sequence has an encoding, since all 256 bytes have ranks.
 A null id is kept. Repeated rows are encoded each. Other columns are ignored. Very long pieces are encoded whole. An empty table
-gives an empty result. No result depends on which pieces are shared.
+gives an empty result. No result depends on which words are shared.
 """
 
 from __future__ import annotations
@@ -27,24 +29,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import Counter
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import frequent, lean, materialise, remove_table, sliced, table
+from phenogrid.llm.common import frequent, lean, materialise, remove_table, spans, table
 
-#: Pieces that all workers know; distinct words that a task counts before it passes their pieces on.
-SHARED_PIECES, FLUSH_WORDS = 262_144, 300_000
-#: Words, and pieces, that a worker remembers beside them; then it starts afresh. What is longer than REMEMBER_BYTES is never kept, and a longer piece is merged by the index.
-REMEMBER, REMEMBER_BYTES = 200_000, 64
-#: Characters of text, or of pieces, that one replay works on at a time.
-REPLAY_CHARS = 2_000_000
+#: Words that all workers know, of SHARED_BYTES at most; distinct words that a task counts before it passes them on, and their bytes.
+SHARED_WORDS, SHARED_BYTES, FLUSH_WORDS, FLUSH_BYTES = 262_144, 64, 1_000_000, 32_000_000
+#: Bytes of text that are cut into words at a time, and of pieces that one replay works on; longer pieces than LONG are merged by the index.
+SLICE_BYTES, REPLAY_BYTES, LONG = 8_000_000, 2_000_000, 64
 #: Patterns that may be matched between spaces.
 SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
@@ -59,12 +59,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _SHIFT = 1 << 24
 
 
-def _is_text(token: bytes) -> bool:
-    try:
-        token.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """Where each text, or binary value, begins in the bytes, and the last ends."""
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+
+
+def _bytes(texts: pa.Array) -> np.ndarray:
+    held = texts.buffers()[2]
+    return np.frombuffer(held, np.uint8) if held else np.empty(0, np.uint8)
+
+
+def _binary(begins: np.ndarray, values: np.ndarray | pa.Buffer | None) -> pa.Array:
+    """The binary values that begin there; the last entry is where the last ends."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(np.ascontiguousarray(begins, np.int32)), pa.py_buffer(b"" if values is None else values)])
 
 
 class Vocabulary:
@@ -77,8 +84,9 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: byte -> its rank; the first symbols of any piece
         self.first = [ranks[bytes([b])] for b in range(256)]
-        #: decimal text of every id
-        self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
+        #: the bytes of every id, and its decimal text after a comma
+        self.token_bytes = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.binary())
+        self.decimal = pa.array([b",%d" % i for i in range(max(self.tokens) + 1)], pa.binary())
         #: pair -> rank of the two together, for every way to cut a token into two tokens
         self.merges = {ranks[t[:i]] * _SHIFT + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         #: the same, sorted by pair
@@ -87,46 +95,76 @@ class Vocabulary:
         #: rank of two bytes together, or -1, at first byte * 256 + second byte
         self.bytes2 = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.width = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
-        #: pieces that are tokens, with their ids as bytes
-        self.whole = {t.decode(): np.array([r], self.width).tobytes() for t, r in ranks.items() if _is_text(t)}
 
-    def keys(self, texts: list[str], known: Container[str]) -> tuple[list[list[str]], set[str]]:
-        """The parts of each text as keys of what is known of them, and those not known; equal parts have equal keys.
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words of the texts; all words as places among those; where the words of each text begin, and the last end.
 
-        A part after a space is its own key, without the space. A key that begins with a space stands for what follows it: a text's
-        first part, or one that ends in white space. No other key is empty or has white space at an end, in `known` neither."""
+        A word after a space stands without it. A word that begins with a space stands for what follows it: a text's first, or one
+        that ends in white space. No other word is empty or has white space at an end."""
         if not self.spaced:
-            parts = [[" " + t] for t in texts]
-            return parts, set().union(*parts).difference(known)
-        parts = [t.split(" ") for t in texts]
-        for p in parts:
-            p[0] = " " + p[0]
-        new = set().union(*parts).difference(known)
-        odd = {w for w in new if not w or w[0] != " " and w.strip() != w}
-        apart = [i for i, p in enumerate(parts) if len(p) > 1 and (p[0][-1].isspace() or odd and not odd.isdisjoint(p))]
-        for i in apart:
-            parts[i] = _joined(parts[i])
-        return parts, set().union(*parts).difference(known) if apart else new
-
-    def pieces(self, keys: Iterable[str]) -> tuple[list[str], list[str], list[int]]:
-        """The keys in another order, the pieces of all, where those of each key begin and the number of all."""
-        plain, rest = [], []
-        for k in keys:
-            (rest if " " in k else plain).append(k)
-        # a piece begins with a space where a word of `plain` begins, and nowhere else
-        found = self.split(" " + " ".join(plain)) if plain else []
-        begins = [i for i, p in enumerate(found) if p[0] == " "]
-        for k in rest:
+            found = [self.split(t) for t in texts.to_pylist()]
+            coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+            return coded.dictionary, coded.indices.to_numpy(), np.cumsum([0, *map(len, found)])
+        parts = pc.split_pattern(texts, " ")
+        begins, flat = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
+        coded = flat.dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        own = np.zeros(len(at), bool)  # words that do not stand for themselves
+        own[begins[:-1]] = True
+        left, right = (pc.or_(pc.equal(distinct, ""), pc.not_equal(trim(distinct), distinct)).to_numpy(zero_copy_only=False) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        cut = None
+        if left.any() or right.any():
+            # white space beside a space: the words are put together again
+            first, cut = own, own.copy()
+            cut[1:] |= ~(right[at[:-1]] | left[at[1:]])
+            starts = np.flatnonzero(cut)
+            last = np.append(starts[1:], len(at)) - 1
+            made = first[starts] | (last > starts) | right[at[last]]
+            starts, last = starts[made], last[made]
+            own = np.zeros(len(at), bool)
+            own[starts] = True
+            ends, spaces = _offsets(flat), np.arange(len(at)) - np.cumsum(first) + 1
+            raw = _bytes(texts)[_offsets(texts)[0] : _offsets(texts)[-1]].tobytes()
+            lead = np.where(first[starts], 1, np.where(right[at[last]], 2, 0)).tolist()
+            froms, tos = (ends[starts] - ends[0] + spaces[starts]).tolist(), (ends[last + 1] - ends[0] + spaces[last]).tolist()
+            more = pa.array([b" " * n + raw[i:j] for n, i, j in zip(lead, froms, tos, strict=True)], pa.binary()).cast(pa.string())
+        else:
+            more = pc.binary_join_element_wise(" ", flat.take(pa.array(begins[:-1])), "")
+        more = more.dictionary_encode()
+        used = np.zeros(len(distinct), bool)
+        used[at[~own if cut is None else cut & ~own]] = True
+        place = (np.cumsum(used, dtype=np.int32) - np.int32(1))[at]
+        place[own] = used.sum() + more.indices.to_numpy()
+        if cut is not None:
+            place, begins = place[cut], np.concatenate([[0], np.cumsum(cut)])[begins]
+        return pa.concat_arrays([distinct.filter(pa.array(used)), more.dictionary]), place, begins
+
+    def pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pieces of the words, taken in some order; where those of each word begin, and the last end; that order."""
+        if not self.spaced:
+            return words, np.arange(len(words) + 1), np.arange(len(words))
+        inside = pc.match_substring(words, " ")
+        plain, rest = words.filter(pc.invert(inside)), words.filter(inside)
+        found = self.split(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()) if len(plain) else []
+        n, begins = len(found), []
+        for w in rest.to_pylist():
             begins.append(len(found))
-            found += self.split(k[1:] if k[0] == " " else " " + k)
-        return plain + rest, found, [*begins, len(found)]
-
+            found += self.split(w[1:] if w[0] == " " else " " + w)
+        got = pa.array(found, pa.string())
+        # a piece begins with a space where a word of `plain` begins, and nowhere else
+        led = np.flatnonzero(_bytes(got)[_offsets(got)[:n]] == 32)
+        inside = inside.to_numpy(zero_copy_only=False)
+        return got, np.concatenate([led, begins, [len(found)]]).astype(np.int64), np.concatenate([np.flatnonzero(~inside), np.flatnonzero(inside)])
 
-def _joined(words: list[str]) -> list[str]:
-    """Undo the cuts at spaces that have white space, or an end of the text, beside them."""
-    cuts = [0, *[i for i, (a, b) in enumerate(pairwise(words), 1) if a and b and not a[-1].isspace() and not b[0].isspace()], len(words)]
-    first, *others = [" ".join(words[a:b]) for a, b in pairwise(cuts)]
-    return [first, *[w if w.strip() == w else "  " + w for w in others]]
+    def word_ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each word as bytes."""
+        out = [pa.array([], pa.binary())]
+        for a, b in spans(words, REPLAY_BYTES):
+            found, begins, order = self.pieces(words.slice(a, b - a))
+            coded = found.dictionary_encode()
+            each = merged(coded.dictionary, self).take(coded.indices)
+            out.append(_binary(_offsets(each)[begins], each.buffers()[2]).take(pa.array(np.argsort(order, kind="stable"))))
+        return pa.concat_arrays(out)
 
 
 @cache
@@ -159,17 +197,37 @@ def encode_alone(piece: bytes, v: Vocabulary) -> list[int]:
 
 def replay(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
     """The ids of each piece."""
-    return [np.frombuffer(x, v.width).tolist() for x in merged(pieces, v)]
+    return [np.frombuffer(x, v.width).tolist() for x in merged(pa.array(pieces, pa.binary()), v).to_pylist()]
 
 
-def merged(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
+def merged(pieces: pa.Array, v: Vocabulary) -> pa.Array:
     """The ids of each piece as bytes: pieces that are tokens need no merges, short ones are merged in rounds, long ones by the index."""
-    out: list[bytes] = [np.array([r], v.width).tobytes() if (r := v.ranks.get(p)) is not None else b"" for p in pieces]
-    todo = [i for i, ids in enumerate(out) if not ids and pieces[i]]
-    for part, how in (([i for i in todo if len(pieces[i]) <= REMEMBER_BYTES], by_rounds), ([i for i in todo if len(pieces[i]) > REMEMBER_BYTES], by_index)):
-        for i, ids in zip(part, how([pieces[i] for i in part], v), strict=True):
-            out[i] = ids
-    return out
+    pieces = pieces.cast(pa.binary())
+    ids = pc.index_in(pieces, value_set=v.token_bytes).fill_null(-1).to_numpy()
+    ends, data = _offsets(pieces), _bytes(pieces)
+    begins, length = ends[:-1], np.diff(ends)
+    short, long = (np.flatnonzero((ids < 0) & x) for x in ((length > 0) & (length <= LONG), length > LONG))
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parted(short, length):
+        made += ((part[who], symbols) for who, symbols in by_rounds(data, begins[part], length[part], v))
+    for part in parted(long, length):
+        for i, x in zip(part.tolist(), by_index([data[a:b].tobytes() for a, b in zip(begins[part].tolist(), ends[part + 1].tolist(), strict=True)], v), strict=True):
+            made.append((np.array([i]), np.frombuffer(x, v.width)[None]))
+    n = (ids >= 0).astype(np.int64)
+    for who, symbols in made:
+        n[who] = symbols.shape[1]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    flat = np.empty(starts[-1], v.width)
+    flat[starts[:-1][ids >= 0]] = ids[ids >= 0]
+    for who, symbols in made:
+        flat[starts[who][:, None] + np.arange(symbols.shape[1])] = symbols
+    return _binary(starts * flat.itemsize, flat)
+
+
+def parted(which: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Parts of `which` of about REPLAY_BYTES together."""
+    at = np.cumsum(length[which], dtype=np.int64) // REPLAY_BYTES
+    return np.split(which, np.flatnonzero(np.diff(at)) + 1) if len(which) else []
 
 
 _NEVER = np.int32(1 << 30)
@@ -182,35 +240,30 @@ def _rank_of(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> np.ndarray:
     return np.where(v.pairs[at] == pair, v.pair_ranks[at], _NEVER)
 
 
-def by_rounds(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
-    """In each round every piece of n symbols makes its lowest merge, or is done: it then joins the pieces of n - 1 bytes."""
-    out: list[bytes] = [b""] * len(pieces)
-    if not len(v.pairs):
-        return [np.array([v.first[b] for b in p], v.width).tobytes() for p in pieces]
-    length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+def by_rounds(data: np.ndarray, begins: np.ndarray, length: np.ndarray, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places among the pieces, their ids, a row for each) of pieces of n symbols that are done; in each round every other one makes its lowest merge and joins the pieces of n - 1 bytes."""
     order = np.argsort(length, kind="stable")
-    begins = np.searchsorted(length[order], np.arange(length.max(initial=0) + 2)).tolist()
+    bounds = np.searchsorted(length[order], np.arange(length.max(initial=0) + 2)).tolist()
     first, bytes2 = np.array(v.first, np.int32), np.where(v.bytes2 < 0, _NEVER, v.bytes2).astype(np.int32)
     who, symbols, ranks = np.empty(0, np.int64), None, None  # of the last round's pieces
-    for n in range(len(begins) - 2, 0, -1):
-        fresh = order[begins[n] : begins[n + 1]]
-        raw = np.frombuffer(b"".join([pieces[i] for i in fresh.tolist()]), np.uint8).reshape(-1, n)
+    for n in range(len(bounds) - 2, 0, -1):
+        fresh = order[bounds[n] : bounds[n + 1]]
+        raw = data[begins[fresh][:, None] + np.arange(n)]
         fresh_ranks = bytes2[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]
         if len(who):
             who, symbols, ranks = np.concatenate([who, fresh]), np.concatenate([symbols, first[raw]]), np.concatenate([ranks, fresh_ranks])
         else:
             who, symbols, ranks = fresh, first[raw], fresh_ranks
-        rows = np.arange(len(who))
+        if not len(who):
+            continue
         at = ranks.argmin(1) if n > 1 else np.zeros(len(who), np.int64)
-        low = ranks[rows, at] if n > 1 else np.full(len(who), _NEVER)
+        low = ranks[np.arange(len(who)), at] if n > 1 else np.full(len(who), _NEVER)
         done = low == _NEVER
-        flat, step = symbols[done].astype(v.width).tobytes(), n * np.dtype(v.width).itemsize
-        for k, i in enumerate(who[done].tolist()):
-            out[i] = flat[k * step : (k + 1) * step]
-        if n == 1 or done.all():
-            who = who[:0]
+        if done.any():
+            yield who[done], symbols[done]
+            who, at, low, symbols, ranks = (x[~done] for x in (who, at, low, symbols, ranks))
+        if not len(who):
             continue
-        who, at, low, symbols, ranks = (x[~done] for x in (who, at, low, symbols, ranks))
         rows = np.arange(len(who))
         # the merged symbol stands at `at`; the one after it goes, and so does the pair of the two
         symbols[rows, at] = low
@@ -223,7 +276,6 @@ def by_rounds(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
         r = rows[at < n - 2]
         k = at[r]
         ranks[r, k] = _rank_of(symbols[r, k], symbols[r, k + 1], v)
-    return out
 
 
 def by_index(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
@@ -293,84 +345,88 @@ def by_index(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Knows the shared pieces and keeps the words and pieces met lately, each as the bytes of its ids."""
-
-    def __init__(self, v: Vocabulary, shared: dict[str, bytes] | None = None):
-        self.v, self.shared = v, shared or {}
-        self.known: dict[str, bytes] = {}
-        self.met: dict[str, bytes] = {}
+    """Knows the shared words and merges all others of the texts at hand. `shared`: columns word and ids, as bytes."""
+
+    def __init__(self, v: Vocabulary, shared: pa.Table | None = None):
+        self.v = v
+        self.known, self.ids = (pa.concat_arrays([pa.array([], t), *(shared.column(k).chunks if shared else [])]) for k, t in enumerate((pa.string(), pa.binary())))
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts; where those of each begin, and the last end."""
+        words, at, begins = self.v.words(texts)
+        place = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy()
+        rare = place < 0
+        place = np.where(rare, len(self.known) - 1 + np.cumsum(rare), place)
+        ids = pa.concat_arrays([self.ids, self.v.word_ids(words.filter(pa.array(rare)))]).take(pa.array(place[at]))
+        ends = _offsets(ids)
+        flat = _bytes(ids)[: ends[-1]].view(self.v.width)
+        return flat, ends[begins] // flat.itemsize
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        for held in (self.known, self.met):
-            if len(held) > REMEMBER:
-                held.clear()
-        known, met, v = self.known, self.met, self.v
-        parts, new = v.keys(texts, known)
-        new, found, begins = v.pieces(new)
-        rare = []
-        for p in set(found).difference(met):
-            if ids := v.whole.get(p) or self.shared.get(p):
-                met[p] = ids
-            else:
-                rare.append(p)
-        met.update(zip(rare, merged([p.encode("utf-8", "surrogatepass") for p in rare], v), strict=True))
-        each = list(map(met.__getitem__, found))
-        flat, ends = b"".join(each), np.cumsum([0, *map(len, each)])[begins].tolist()
-        known.update(zip(new, (flat[a:b] for a, b in pairwise(ends)), strict=True))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for held, fresh in ((known, new), (met, rare)):
-            for x in fresh:
-                if len(x) > REMEMBER_BYTES:
-                    del held[x]
-        return out
-
-
-def count_pieces(ranks_path: str, pattern: str):
-    """Texts to (piece, c): pieces that are not tokens, and in how many of the texts' distinct words they stand."""
+        flat, ends = self.encoded(pa.array(texts, pa.string()))
+        return [flat[a:b].tobytes() for a, b in pairwise(ends.tolist())]
+
+
+def text_digests(flat: np.ndarray, ends: np.ndarray, texts: pa.Array, v: Vocabulary) -> tuple[list[str], list[str]]:
+    """Of each text, SHA-256 of its decimal ids joined by commas and of what its ids decode to."""
+    ids = pa.array(flat)
+    decimal, decoded = v.decimal.take(ids), v.token_bytes.take(ids)
+    of_ids, of_bytes, of_text = _offsets(decimal)[ends], _offsets(decoded)[ends], _offsets(texts)
+    numbers, back = memoryview(_bytes(decimal)), memoryview(_bytes(decoded))
+    if decoded.null_count or not np.array_equal(of_bytes, of_text - of_text[0]) or not np.array_equal(_bytes(decoded)[: of_bytes[-1]], _bytes(texts)[of_text[0] : of_text[-1]]):
+        raise ValueError("decoding does not give back the text")
+    return [hashlib.sha256(numbers[a + 1 : b]).hexdigest() for a, b in pairwise(of_ids.tolist())], [hashlib.sha256(back[a:b]).hexdigest() for a, b in pairwise(of_bytes.tolist())]
+
+
+def texts_of(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts, null as empty, about SLICE_BYTES at a time."""
+    texts = column.cast(pa.string()).fill_null("")
+    return (texts.slice(a, b - a) for a, b in spans(texts, SLICE_BYTES))
+
+
+def count_words(ranks_path: str, pattern: str):
+    """Texts to (word, c): words of SHARED_BYTES at most, and how often they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path, pattern)
-        words: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            held: Counter = Counter()
-            keys, found, begins = v.pieces(words)
-            times = np.repeat([words[k] for k in keys], np.diff(begins)).tolist()
-            for p, c in zip(found, times, strict=True):
-                if p not in v.whole and len(p) <= REMEMBER_BYTES:
-                    held[p] += c
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "c"])
+        none = pa.array([], pa.string()), np.empty(0, np.int64)
+
+        def out(words: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([words, pa.array(counts)], ["word", "c"])
+            return (whole.slice(i, 1 << 16) for i in range(0, len(words), 1 << 16))
 
+        words, counts = none
         for b in batches:
-            for texts in sliced(b.column(0), REPLAY_CHARS):
-                for part in v.keys(texts, words)[0]:
-                    words.update(set(part))
-                if len(words) > FLUSH_WORDS or sum(map(len, words)) > 8 * REPLAY_CHARS:
-                    yield out()
-        if words:
-            yield out()
+            for texts in texts_of(b.column(0)):
+                found, at, _ = v.words(texts)
+                short = np.diff(_offsets(found)) <= SHARED_BYTES
+                coded = pa.concat_arrays([words, found.filter(pa.array(short))]).dictionary_encode()
+                each = np.concatenate([counts, np.bincount(at, minlength=len(found))[short]])
+                words, counts = coded.dictionary, np.bincount(coded.indices.to_numpy(), each, len(coded.dictionary)).astype(np.int64)
+                if len(words) > FLUSH_WORDS or words.nbytes > FLUSH_BYTES:
+                    yield from out(words, counts)
+                    words, counts = none
+        yield from out(words, counts)
 
     return run
 
 
-def dictionary(texts: DataFrame, ranks_path: str, pattern: str, most: int = SHARED_PIECES) -> dict[str, bytes]:
-    """The most frequent pieces of the corpus that are not tokens, at most `most`, with their ids; those that stand in one word of one text only are left out."""
-    counts = texts.mapInArrow(lean(count_pieces(ranks_path, pattern)), "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c")).filter("c > 1")
-    counts = materialise(counts, "pieces")
+def dictionary(texts: DataFrame, ranks_path: str, pattern: str, most: int = SHARED_WORDS) -> pa.Table:
+    """(word, ids) of the most frequent words of the corpus, at most `most`; those that stand only once are left out."""
+    counts = texts.mapInArrow(lean(count_words(ranks_path, pattern)), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
+    counts = materialise(counts, "words")
     level, least = frequent(counts, most)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path, pattern)
         for b in batches:
-            pieces = b.column(0).to_pylist()
-            for part in slices(pieces):
-                yield pa.RecordBatch.from_arrays([pa.array(pieces[part], pa.string()), pa.array(merged([x.encode() for x in pieces[part]], v), pa.binary())], ["piece", "ids"])
+            words = b.column(0).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([words, v.word_ids(words)], ["word", "ids"])
 
-    got = counts.filter(level >= least).select("piece").mapInArrow(lean(merge), "piece string, ids binary").toArrow()
+    got = counts.filter(level >= least).select("word").mapInArrow(lean(merge), "word string, ids binary").toArrow()
     remove_table(counts)
-    return dict(zip(got.column("piece").to_pylist(), got.column("ids").to_pylist(), strict=True))
+    return got
 
 
 def decode(ids: Iterable[int], v: Vocabulary) -> bytes:
@@ -378,19 +434,7 @@ def decode(ids: Iterable[int], v: Vocabulary) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def slices(texts: list[str], chars: int = REPLAY_CHARS) -> Iterator[slice]:
-    """Cut a list of texts into parts of about `chars` characters; a longer text is a part of its own."""
-    at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > chars:
-            yield slice(at, i)
-            at, held = i, 0
-        held += len(t)
-    if texts:
-        yield slice(at, len(texts))
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, shared_pieces: int = SHARED_PIECES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, shared_pieces: int = SHARED_WORDS) -> DataFrame:
     """id; n_tokens; with `ids` the ids; with `digests` ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
 
     Decoding is checked: it must give back the text's bytes. ranks_path must be readable on every executor."""
@@ -403,23 +447,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         encoder = Encoder(v, shared.value)
         for b in batches:
             at = 0
-            for texts in sliced(b.column(1), REPLAY_CHARS):
-                raw = encoder.batch(texts)
-                n = np.array([len(x) for x in raw], np.int64) // np.dtype(v.width).itemsize
-                cols = [b.column(0).slice(at, len(texts)), pa.array(n)]
+            for texts in texts_of(b.column(1)):
+                flat, ends = encoder.encoded(texts)
+                cols = [b.column(0).slice(at, len(texts)), pa.array(np.diff(ends).astype(np.int64))]
                 if ids:
-                    flat = np.frombuffer(b"".join(raw), v.width).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))))
                 if digests:
-                    sha, back = [], []
-                    for text, x in zip(texts, raw, strict=True):
-                        numbers = np.frombuffer(x, v.width).tolist()
-                        decoded = decode(numbers, v)
-                        if decoded != text.encode("utf-8", "surrogatepass"):
-                            raise ValueError("decoding does not give back the text")
-                        sha.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, numbers)).encode()).hexdigest())
-                        back.append(hashlib.sha256(decoded).hexdigest())
-                    cols += [pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                    cols += [pa.array(x, pa.string()) for x in text_digests(flat, ends, texts, v)]
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
                 at += len(texts)
 

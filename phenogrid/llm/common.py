@@ -91,16 +91,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(texts: pa.Array, size: int) -> Iterator[list[str]]:
-    """The texts, null as empty, about `size` bytes at a time; a longer text comes alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+def spans(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Where to cut the texts, null as empty, into parts of about `size` bytes; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        yield [x or "" for x in texts.slice(at, end - at).to_pylist()]
+        yield at, end
         at = end
 
 
+def sliced(texts: pa.Array, size: int) -> Iterator[list[str]]:
+    """The texts, null as empty, about `size` bytes at a time; a longer text comes alone."""
+    for a, b in spans(texts, size):
+        yield [x or "" for x in texts.slice(a, b - a).to_pylist()]
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, after which the worker gives freed memory back to the system: it stays, idle or not, beside the next stages' workers."""
 

@@ -298,6 +298,55 @@ def test_bpe_matches_each_distinct_word_once():
     assert sum(read) < 100  # the pattern ran over each text: 108,000 characters
 
 
+def test_bpe_makes_no_object_for_each_word():
+    """Words that come back are columns' numbers: as strings they took 60 bytes each, and most of the time."""
+    import tracemalloc
+
+    import public_tokenizers as P
+
+    v = bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts, encoder = [" ".join(f"word{i % 997}," for i in range(100_000))] * 4, bpe.Encoder(v)
+    encoder.batch(texts[:1])
+    tracemalloc.start()
+    got = encoder.batch(texts)
+    most = tracemalloc.get_traced_memory()[1] - sum(map(len, got))
+    tracemalloc.stop()
+    assert len(set(got)) == 1 and most < 40 * 400_000
+
+
+def test_bpe_counts_every_word_of_the_corpus():
+    """Over slices and batches, nulls, white space beside spaces, and the words of another pattern."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = ["a b c, b", None, "b  b\n x", "", "a", " b", "c, " + "y" * 65, "b b\t"] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5], pa.string())], ["text"]) for i in range(0, len(texts), 5)]
+    got = Counter()
+    for b in bpe.count_words(path, P.PATTERN)(iter(batches)):
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    want = Counter([" a", "b", "c,", "b", " ", " b  b\n x", " ", " a", "  b", " c,", " b", "  b\t"])
+    assert got == Counter({w: 3 * c for w, c in want.items()})
+    other = bpe.Vocabulary(bpe.load_ranks(path), r"\s?\S+|\s+")
+    words, at, begins = other.words(pa.array(["a b b", "", "b b"]))
+    assert [words[i].as_py() for i in at] == ["a", " b", " b", "b", " b"] and begins.tolist() == [0, 3, 3, 5]
+
+
+def test_bpe_digests_refuse_ids_of_another_text():
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    v = bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts = pa.array(["before", "one two", "", "漢 three", "after"]).slice(1, 3)
+    flat, ends = bpe.Encoder(v).encoded(texts)
+    sha, back = bpe.text_digests(flat, ends, texts, v)
+    ids = [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert sha == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+    assert back == [hashlib.sha256(t.as_py().encode()).hexdigest() for t in texts]
+    with pytest.raises(ValueError):
+        bpe.text_digests(flat, ends, pa.array(["one two", "", "漢 threE"]), v)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
