@@ -455,3 +455,14 @@ def test_models_of_all_keys_equal_those_of_one_key_after_the_other(spark):
         part, one = hmm.fit_hmm(df.filter(F.col("key") == k), 2, "track", "time", "rep", n_init=1, rounds=4, sample_size=5, start=shared)
         assert np.allclose(fitted[k].trans, one.trans) and np.allclose(fitted[k].means, one.means) and np.allclose(fitted[k].start, one.start)
         assert {i: s for i, (key, s) in got.items() if key == k} == {r.row_id: r.HMMState for r in part.collect()}
+
+
+def test_equal_means_tie(spark):
+    """Rows of one group in two orders: sums of fractions differ in their last digits, equal means must not."""
+    values = [(7 * i % 11) / 100 for i in range(40)]
+    assert len({np.cumsum(np.random.default_rng(g).permutation(values))[-1] for g in range(40)}) > 1
+    made = [(g, v) for g in range(40) for v in np.random.default_rng(g).permutation(values).tolist()] + [(40, 1 / 3), (40, 2 / 3), (41, None), (42, 1e300), (42, 1e300)]
+    df = spark.createDataFrame(made, "g long, f double").repartition(7)
+    got = {r.g: r.f for r in group.aggregate(df, ["g"], ["f"], "mean", row_id="g").collect()}
+    assert {got[g] for g in range(40)} == {sum(7 * i % 11 for i in range(40)) / 4000}
+    assert got[40] == pytest.approx(0.5) and got[41] is None and got[42] is not None
