@@ -466,3 +466,34 @@ def test_equal_means_tie(spark):
     got = {r.g: r.f for r in group.aggregate(df, ["g"], ["f"], "mean", row_id="g").collect()}
     assert {got[g] for g in range(40)} == {sum(7 * i % 11 for i in range(40)) / 4000}
     assert got[40] == pytest.approx(0.5) and got[41] is None and got[42] is not None
+
+
+def test_similarity_copies_rows_once_a_block(spark, monkeypatch):
+    """Rows are shuffled once and travel in their block's bytes: as many packed rows as blocks, whatever the rows, and every pair once."""
+    monkeypatch.setattr(evaluate, "PACK_ROWS", 40)
+    monkeypatch.setattr(evaluate, "SLICE_PAIRS", 300)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 12)).astype(np.float32).astype(float)
+    x[7] = x[90]  # copies: no distance
+    df = spark.createDataFrame([(i, f"g{i % 3}", r.tolist()) for i, r in enumerate(x)] + [(150, "g0", None)], "row_id long, g string, v array<double>")
+    packed = evaluate._packed(df.select(F.col("row_id").alias("id"), F.col("v")), [], 5, None)
+    assert packed.count() == 5
+    for method in ("euclidean", "cityblock", "kendall", "spearman", "mahalanobis"):
+        got = {(r.a, r.b): r for r in evaluate.similarity(df if method != "mahalanobis" else df.filter("v is not null"), ["g"], F.col("v"), method, block_rows=30).collect()}
+        assert all(a < b and r.g_a == f"g{a % 3}" and r.g_b == f"g{b % 3}" for (a, b), r in got.items())
+        n = 150 if method == "mahalanobis" else 151
+        assert len(got) == n * (n - 1) // 2
+        i, j = np.triu_indices(150, 1)
+        if method == "kendall":
+            s = evaluate._signs(x)
+            want = (s @ s.T)[i, j] / np.sqrt((np.abs(s).sum(1)[:, None] * np.abs(s).sum(1))[i, j])
+        elif method == "spearman":
+            want = np.corrcoef(evaluate._ranked(x))[i, j]
+        elif method == "mahalanobis":
+            d = x[i] - x[j]
+            want = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(x.T)), d))
+        else:
+            want = np.abs(x[i] - x[j]).sum(1) if method == "cityblock" else np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+        assert np.allclose([got[a, b].sim for a, b in zip(i.tolist(), j.tolist(), strict=True)], want, atol=1e-9)
+        if method == "euclidean":
+            assert got[7, 90].sim == 0 and got[0, 150].sim is None
