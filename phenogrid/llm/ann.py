@@ -8,8 +8,8 @@ without structure thus gets many probes rather than bad results. Parts have abou
 needs more than MAX_PARTS of them has two levels: each part is cut again in the same way, from a sample of its own
 rows that a task of its own fits on, so that the number of parts grows with the rows.
 
-Search: every row is put in its most probable part. Parts are cut into blocks of about `BLOCK_ROWS` rows, the queries that
-probe a part into groups, and each (block, query group) is one matrix product; the blocks' best meet in a window. Scores are
+Search: every row is put in its most probable part. Parts are laid into blocks of about `BLOCK_ROWS` rows, queries into groups,
+and each (block, query group) is a matrix product of the queries that probe a part of the block; the blocks' best meet in a window. Scores are
 computed again for each pair that is returned, on the original vectors in double precision.
 
 Of vectors that are equal in all components only the k + 1 smallest ids can be among a query's k nearest; the others leave
@@ -33,12 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.threads import one_thread
-from phenogrid.llm.common import materialise, table
+from phenogrid.llm.common import materialise, remove_table, table
 
 SAMPLE_ROWS, TEST_ROWS = 8_192, 512
 TARGET_RECALL = 0.94
 #: Rows of a part; parts of a level at most; rows of a block; queries of a group.
 PART_ROWS, MAX_PARTS, BLOCK_ROWS, GROUP_QUERIES = 64, 256, 8_192, 4_096
+#: Blocks that a small table is cut into, if they then have as many rows.
+FEW_BLOCKS, LEAST_BLOCK = 24, 512
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -127,19 +129,15 @@ class Index:
     children: dict[int, Router]
     width: int  # numbers of parts that a part's number stands before
 
-    def parts(self, x: np.ndarray, every: bool) -> list[np.ndarray]:
-        """Numbers of the parts that each row (of length 1) probes, or lies in."""
+    def parts(self, x: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, parts) that together say which parts each row (of length 1) probes, or lies in; parts has a column for each of a row's."""
         top = self.root.ranked(x, every)
         if not self.children:
-            return list(top * self.width)
-        found: list[list[np.ndarray]] = [[] for _ in x]
-        row, place = np.indices(top.shape)
+            yield np.arange(len(x)), top * self.width
+            return
         for p in np.unique(top):
-            at = row[top == p]
-            inner = self.children[p].ranked(x[at], every) if p in self.children else np.zeros((len(at), 1), np.int64)
-            for i, r in zip(at.tolist(), inner, strict=True):
-                found[i].append(p * self.width + r)
-        return [np.concatenate(f) for f in found]
+            at = np.flatnonzero((top == p).any(1))
+            yield at, p * self.width + (self.children[p].ranked(x[at], every) if p in self.children else np.zeros((len(at), 1), np.int64))
 
 
 def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: int = 800, batch: int = 512, rate: float = 0.004, seed: int = 2) -> Router:
@@ -217,14 +215,32 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def best(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query id, id, score) of each query's k best rows of a block, and what ties with the last."""
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Vectors in bytes; in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if np.array_equal(short, x) else x).tobytes()
+
+
+def unpacked(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * rows * dim else np.float64).astype(np.float64).reshape(rows, dim)
+
+
+def best(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, asked: np.ndarray | None = None, column: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, id, score) of each query's k best rows of a block, and what ties with the last; of the rows i only for which asked[:, column[i]] holds."""
     query, x = scaled(query), scaled(x)
     a = query / np.linalg.norm(query, axis=1, keepdims=True)
     b = x / np.linalg.norm(x, axis=1, keepdims=True)
     for at in range(0, len(a), 256):
         s = a[at : at + 256] @ b.T
         s[query_ids[at : at + 256, None] == ids[None]] = -3
+        if asked is not None:
+            s[~asked[at : at + 256][:, column]] = -3
         low = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -2.0)
         i, j = np.nonzero((s >= low - 1e-9) & (s > -2.5))
         u, v = query[at + i], x[j]
@@ -245,21 +261,21 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     aim = TARGET_RECALL ** (0.5 if deep else 1)
     index = Index(fit(matrix(drawn.column("vec"), dim), total, k, target_recall=aim, part_rows=part_rows, max_parts=max_parts), {}, max_parts)
 
-    def routed(frame: DataFrame, every: bool) -> DataFrame:
-        """id, vec, part: a row for each part that a query probes, or for the part that a row lies in."""
+    def routed(frame: DataFrame) -> DataFrame:
+        """id, vec, part: the part that each row lies in."""
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one_thread()
             for b in batches:
-                x = scaled(matrix(b.column(1), dim))
-                parts = shared.value.parts(x / np.linalg.norm(x, axis=1, keepdims=True), every) if len(x) else []
-                at = pa.array(np.repeat(np.arange(len(x)), [len(p) for p in parts]).astype(np.int32) if len(x) else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(parts).astype(np.int32) if len(x) else np.empty(0, np.int32))], ["id", "vec", "part"])
+                x, part = unit(matrix(b.column(1), dim)), np.zeros(b.num_rows, np.int32)
+                for at, own in shared.value.parts(x, False) if len(x) else ():
+                    part[at] = own[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part)], ["id", "vec", "part"])
 
         return frame.mapInArrow(run, "id long, vec binary, part int")
 
-    placed = materialise(routed(rows, False), "placed")
+    placed = materialise(routed(rows), "placed")
     if deep:
         place = Window.partitionBy("part").orderBy(F.xxhash64("id"), "id")
         drawn = placed.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SAMPLE_ROWS + TEST_ROWS)
@@ -274,45 +290,99 @@ def search(base: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
 
         fitted = drawn.join(sizes, "part").filter(F.col("n") > part_rows).groupBy("part").applyInArrow(fit_part, "part int, router binary")
         index.children = {r[0] // max_parts: pickle.loads(r[1]) for r in fitted.collect()}  # at most MAX_PARTS routers of bounded size
-        placed = materialise(routed(rows, False), "placed")
+        first, placed = placed, materialise(routed(rows), "placed")
+        remove_table(first)
     wanted = vectors(base.filter(queries), id_col, vector_col, dim)
-    blocks = materialise(placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "parts")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        one_thread()
-        out = []
-        if left.num_rows and right.num_rows:
-            q, x = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
-            out = list(best(q, left.column("id").to_numpy(), x, right.column("id").to_numpy(), k))
-        names, kinds = ["query_id", "id", "score"], (np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate([o[c] for o in out]) if out else np.empty(0, t) for c, (n, t) in enumerate(zip(names, kinds, strict=True))})
-
-    def found_in(asked: DataFrame) -> DataFrame:
-        """query_id, id, score: the best of the parts that each query (id, vec, part) asks."""
-        asked = materialise(asked, "asked")
-        # a row for each part: at most MAX_PARTS * MAX_PARTS
-        per = F.broadcast(materialise(blocks.join(asked.groupBy("part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups")), "part"), "per"))
-
-        def dealt(frame: DataFrame, mine: str, other: str) -> DataFrame:
-            """Each row in its own block or group, and in all of the other side's of its part."""
-            own = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias(mine)
-            return frame.join(per, "part").select("id", "vec", "part", own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-
-        keys = ["part", "blocks", "groups"]
-        met = dealt(asked, "groups", "blocks").groupBy(*keys).cogroup(dealt(placed, "blocks", "groups").groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
+    # parts in order of number are laid into blocks of about the same size; a part of more rows than a block is dealt over several
+    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # at most MAX_PARTS * MAX_PARTS
+    block_rows = max(1, min(BLOCK_ROWS, max(LEAST_BLOCK, total // FEW_BLOCKS)))
+    first, spread, held, at = [], [], 0, 0
+    for _, n in sizes:
+        if held and held + n > block_rows:
+            held, at = 0, at + 1
+        first.append(at)
+        spread.append(-(-n // block_rows))
+        held += n
+        if spread[-1] > 1:
+            held, at = 0, at + spread[-1]
+    numbers = np.array([p for p, _ in sizes], np.int64)
+    where = spark.createDataFrame(pa.table({"part": pa.array(numbers, pa.int32()), "first": pa.array(first, pa.int32()), "spread": pa.array(spread, pa.int32())}))
+    in_block: dict[int, np.ndarray] = {}  # places in `numbers` of the parts of each block
+    for i, (b, w) in enumerate(zip(first, spread, strict=True)):
+        for c in range(b, b + w):
+            in_block.setdefault(c, []).append(i)
+    in_block = {b: np.array(v) for b, v in in_block.items()}
+
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("part", "ascending"), ("id", "ascending")])
+        cells = [group.column("id").to_numpy().tobytes(), group.column("part").to_numpy().astype(np.int32).tobytes(), packed(matrix(group.column("vec"), dim))]
+        return pa.table({"blk": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v], pa.binary()) for c, v in zip(("ids", "parts", "vecs"), cells, strict=True)}})
+
+    own = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("spread"))).cast("int")
+    blocks = materialise(placed.join(F.broadcast(where), "part").select("id", "vec", "part", own.alias("blk")).groupBy("blk").applyInArrow(pack, "blk int, ids binary, parts binary, vecs binary"), "blocks")
+
+    def found_in(queries: DataFrame, all_parts: bool) -> DataFrame:
+        """query_id, rank, id, score: the best of the parts that each query (id, vec) asks, or of all.
+
+        A group of queries goes to each block that holds a part of theirs, once, with a bit for each query and part; the block goes to each
+        group, once. So what is shuffled does not grow with the parts that a query probes, and a task holds a block and a group."""
+        shared = spark.sparkContext.broadcast(index)
+        groups = max(1, -(-queries.count() // GROUP_QUERIES))
+
+        def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
+            given = pa.Table.from_batches(list(batches)).sort_by("id")
+            ids, x = given.column("id").to_numpy(), matrix(given.column("vec"), dim)
+            asked = np.full((len(x), len(numbers)), all_parts)
+            for rows_at, probed in () if all_parts else shared.value.parts(unit(x), True):
+                place = np.minimum(np.searchsorted(numbers, probed), len(numbers) - 1)
+                there = numbers[place] == probed  # others hold no rows
+                asked[np.broadcast_to(rows_at[:, None], probed.shape)[there], place[there]] = True
+            for b, parts_at in in_block.items():
+                mine = asked[:, parts_at]
+                some = mine.any(1)
+                if some.any():
+                    cells = [ids[some].tobytes(), packed(x[some]), np.packbits(mine[some]).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([key[0].as_py()], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["blk", "grp", "ids", "vecs", "asked"])
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            one_thread()
+            out = []
+            if left.num_rows and right.num_rows:
+                (q,), (r,) = left.to_pylist(), right.to_pylist()
+                query_ids, ids = np.frombuffer(q["ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                query, x = unpacked(q["vecs"], len(query_ids), dim), unpacked(r["vecs"], len(ids), dim)
+                here = numbers[in_block[q["blk"]]]
+                asked = np.unpackbits(np.frombuffer(q["asked"], np.uint8), count=len(query_ids) * len(here)).reshape(len(query_ids), -1).astype(bool)
+                column = np.searchsorted(here, np.frombuffer(r["parts"], np.int32))
+                if asked.mean() > 0.25:
+                    out = list(best(query, query_ids, x, ids, k, asked, column))
+                else:  # few parts each: part by part
+                    ends = np.searchsorted(column, np.arange(len(here) + 1))
+                    for c, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                        mine = asked[:, c]
+                        if a < z and mine.any():
+                            out += best(query[mine], query_ids[mine], x[a:z], ids[a:z], k)
+            names, kinds = ["query_id", "id", "score"], (np.int64, np.int64, np.float64)
+            return pa.table({n: np.concatenate([o[c] for o in out]) if out else np.empty(0, t) for c, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+        dealt = queries.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("grp").applyInArrow(ask, "blk int, grp int, ids binary, vecs binary, asked binary")
+        copied = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        keys = ["blk", "grp"]
+        tasks = max(1, min(4_096, len(in_block) * groups))
+        met = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(copied.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
         best_of = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return best_of.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    found = found_in(routed(wanted, True))
+    found = found_in(wanted, False)
     if index.children or index.root.probes < index.root.parts:
         # a query whose parts hold fewer than k candidates asks all parts; parts of even size leave such queries to tiny or odd tables
         found = materialise(found, "found")
         full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
         short = materialise(wanted.join(full, "id", "left_anti"), "short")
         if not short.isEmpty():
-            every = short.withColumn("part", F.explode(F.lit([r[0] for r in blocks.select("part").collect()])))
-            found = found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(found_in(every))
+            found = found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(found_in(short, True))
     return found
 
 

@@ -705,6 +705,24 @@ def test_nearest_neighbours_in_two_levels(spark):
     assert recall(got, np.arange(3000), x, list(range(0, 3000, 50))) >= 0.9
 
 
+def test_queries_are_not_copied_for_each_part(spark, monkeypatch):
+    """A query that probes many parts goes to each block once: no table between has more rows than the input, and blocks hold many parts."""
+    tables = {}
+
+    def kept(df, name):
+        table = common.materialise(df, name)
+        tables[name] = table.count()
+        return table
+
+    monkeypatch.setattr(ann, "materialise", kept)
+    x = np.random.default_rng(22).normal(size=(1500, 12))  # without structure: most parts are probed
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.lit(True), part_rows=16, max_parts=8).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, k) for q in range(1500) for k in range(1, 6)]
+    assert recall(got, np.arange(1500), x, list(range(0, 1500, 50))) >= 0.9
+    assert max(n for name, n in tables.items() if name != "found") <= 1500 and tables["blocks"] <= 4
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
 def test_nearest_neighbours_of_the_tables_are_routed(spark, monkeypatch):
     routers = []
