@@ -497,3 +497,20 @@ def test_similarity_copies_rows_once_a_block(spark, monkeypatch):
         assert np.allclose([got[a, b].sim for a, b in zip(i.tolist(), j.tolist(), strict=True)], want, atol=1e-9)
         if method == "euclidean":
             assert got[7, 90].sim == 0 and got[0, 150].sim is None
+
+
+def test_mad_holds_no_group_of_values(spark, capsys):
+    """Exact medians and MADs of groups of any size, without an exact percentile, whose buffer holds every distinct value of a group."""
+    rng = np.random.default_rng(8)
+    made = pd.DataFrame({"row_id": np.arange(6007), "g": np.r_[np.zeros(6001, int), [1, 1, 2, 2, 2, 3]], "a": np.r_[rng.normal(size=6001), [1.0, 4.0, 5.0, 5.0, 9.0, np.nan]], "b": rng.integers(0, 3, 6007).astype(float)})
+    df = spark.createDataFrame([(int(r.row_id), int(r.g), None if np.isnan(r.a) else float(r.a), float(r.b)) for r in made.itertuples()], "row_id long, g long, a double, b double").repartition(5)
+    out = scale.normalize(df, ["a", "b"], ["g"], "mad_robust", eps=1.0)
+    out.explain()
+    assert "percentile(" not in capsys.readouterr().out
+    got = out.toPandas().set_index("row_id").sort_index()
+    for f in "ab":
+        med = made.groupby("g")[f].transform("median")
+        mad = (made[f] - med).abs().groupby(made["g"]).transform("median")
+        assert np.allclose(got[f].astype(float), (made[f] - med) / (mad * X.MAD_SCALE + 1), equal_nan=True)
+    whole = scale.normalize(df, ["b"], [], "mad_robust", eps=1.0).toPandas().set_index("row_id").sort_index()
+    assert np.allclose(whole["b"], (made["b"] - made["b"].median()) / ((made["b"] - made["b"].median()).abs().median() * X.MAD_SCALE + 1))
