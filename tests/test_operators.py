@@ -514,3 +514,19 @@ def test_mad_holds_no_group_of_values(spark, capsys):
         assert np.allclose(got[f].astype(float), (made[f] - med) / (mad * X.MAD_SCALE + 1), equal_nan=True)
     whole = scale.normalize(df, ["b"], [], "mad_robust", eps=1.0).toPandas().set_index("row_id").sort_index()
     assert np.allclose(whole["b"], (made["b"] - made["b"].median()) / ((made["b"] - made["b"].median()).abs().median() * X.MAD_SCALE + 1))
+
+
+def test_spearman_ranks_do_not_move_rows(spark, monkeypatch):
+    """Ranks of few distinct values are held by tasks, those of many are joined by value; both are exact, and no row is taken apart into one for each feature."""
+    from phenogrid.operators import features
+
+    rng = np.random.default_rng(9)
+    x = pd.DataFrame({"a": rng.integers(0, 5, 400).astype(float), "b": rng.normal(size=400), "c": rng.integers(0, 90, 400).astype(float)})
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x.to_numpy())], "row_id long, a double, b double, c double")
+    want = x.rank().corr().to_numpy()
+    for held in (10_000, 120, 0):
+        monkeypatch.setattr(features, "HELD_VALUES", held)
+        assert np.allclose(features.correlation_matrix(df, ["a", "b", "c"], "spearman"), want)
+        if held == 10_000:
+            plan = features.ranked(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Generate" not in plan
