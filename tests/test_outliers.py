@@ -164,3 +164,38 @@ def test_thresholds_of_many_classes_equal_all_splits():
         assert len(got) == classes - 1 and between([int(g / 0.5) + 1 for g in got]) == pytest.approx(best)
     with pytest.raises(ValueError, match="two classes"):
         threshold.multi_otsu(n, c, 1)
+
+
+def test_visits_leave_in_small_batches(spark, monkeypatch):
+    """A row that visits every part has its vector copied for few visits at a time, and no neighbour is lost."""
+    monkeypatch.setattr(neighbours, "STEP_VISITS", 64)
+    x = np.random.default_rng(12).normal(size=(300, 10))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, v array<double>")
+    rows, pivots = neighbours.parted(df, "row_id", F.col("v"), 16)
+    frames = []
+
+    class Caught:
+        """Takes the function that mapInArrow is given."""
+
+        def join(self, *_):
+            return self
+
+        select = join
+
+        def mapInArrow(self, look, _):  # noqa: N802
+            frames.append(look)
+
+    class Rows(Caught):
+        schema = rows.schema
+
+        def groupBy(self, key):  # noqa: N802
+            return rows.groupBy(key)
+
+    neighbours.visits(Rows(), pivots, None)
+    batch = rows.withColumn("within", F.lit(None).cast("double")).toArrow().combine_chunks().to_batches()[0]
+    sizes = [b.num_rows for b in frames[0](iter([batch]))]
+    assert max(sizes) <= 64 and sum(sizes) == 300 * (len(pivots) - 1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r.id, r["rank"]): r.other for r in neighbours.nearest(df, "row_id", F.col("v"), 4, part_rows=16).collect()}
+    assert all(got[i, k + 1] == j for i in range(300) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4]))
