@@ -530,3 +530,9 @@ def test_spearman_ranks_do_not_move_rows(spark, monkeypatch):
         if held == 10_000:
             plan = features.ranked(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
             assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_no_features_left(spark):
+    """A recipe whose selection keeps no feature goes on: no row misses a feature."""
+    df = spark.createDataFrame([(1, None), (2, 1.0)], "row_id long, f double")
+    assert clean.drop_missing_rows(df, []).count() == 2 and scale.normalize(df, ["f"]).count() == 2
